@@ -1,6 +1,7 @@
 """The queries of this subpackage and the SQL they must agree with."""
 
 from ctispark.llm.mixing import OP3_SQL, op3_mixing
+from ctispark.llm.quality import OP5_SQL, op5_quality
 
-QUERIES = {"op3_mixing": op3_mixing}
-ORACLE = {"op3_mixing": OP3_SQL}
+QUERIES = {"op3_mixing": op3_mixing, "op5_quality": op5_quality}
+ORACLE = {"op3_mixing": OP3_SQL, "op5_quality": OP5_SQL}
