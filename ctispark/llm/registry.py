@@ -2,6 +2,7 @@
 
 from ctispark.llm.mixing import OP3_SQL, op3_mixing
 from ctispark.llm.quality import OP5_SQL, op5_quality
+from ctispark.llm.secrets import OP9_SQL, op9_secrets
 
-QUERIES = {"op3_mixing": op3_mixing, "op5_quality": op5_quality}
-ORACLE = {"op3_mixing": OP3_SQL, "op5_quality": OP5_SQL}
+QUERIES = {"op3_mixing": op3_mixing, "op5_quality": op5_quality, "op9_secrets": op9_secrets}
+ORACLE = {"op3_mixing": OP3_SQL, "op5_quality": OP5_SQL, "op9_secrets": OP9_SQL}
