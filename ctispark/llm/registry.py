@@ -8,6 +8,7 @@ from ctispark.llm.langid import op2_langid
 from ctispark.llm.mixing import OP3_SQL, op3_mixing
 from ctispark.llm.quality import OP5_SQL, op5_quality
 from ctispark.llm.secrets import OP9_SQL, op9_secrets
+from ctispark.llm.substrings import op1_substrings
 
-QUERIES = {"op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_jaccard": op7_jaccard, "op9_secrets": op9_secrets, "op10_html": op10_html}
+QUERIES = {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_jaccard": op7_jaccard, "op9_secrets": op9_secrets, "op10_html": op10_html}
 ORACLE = {"op3_mixing": OP3_SQL, "op5_quality": OP5_SQL, "op9_secrets": OP9_SQL}
