@@ -7,8 +7,11 @@ from ctispark.llm.jaccard import op7_jaccard
 from ctispark.llm.langid import op2_langid
 from ctispark.llm.mixing import OP3_SQL, op3_mixing
 from ctispark.llm.quality import OP5_SQL, op5_quality
+from ctispark.llm.scoring import op8_scoring
 from ctispark.llm.secrets import OP9_SQL, op9_secrets
 from ctispark.llm.substrings import op1_substrings
 
-QUERIES = {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_jaccard": op7_jaccard, "op9_secrets": op9_secrets, "op10_html": op10_html}
+import corpus_pipeline
+
+QUERIES = {"op1_substrings": op1_substrings, "op2_langid": op2_langid, "op3_mixing": op3_mixing, "op4_embeddings": op4_embeddings, "op5_quality": op5_quality, "op6_bpe": op6_bpe, "op7_jaccard": op7_jaccard, "op8_scoring": op8_scoring, "op9_secrets": op9_secrets, "op10_html": op10_html, "pipeline": corpus_pipeline.run}
 ORACLE = {"op3_mixing": OP3_SQL, "op5_quality": OP5_SQL, "op9_secrets": OP9_SQL}
