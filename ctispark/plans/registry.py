@@ -1,8 +1,6 @@
 """Registered queries over the tables of a data folder, and the SQL each must agree with."""
 
-from collections.abc import Callable
+from ctispark.plans import tables
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES = {**tables.QUERIES}
+ORACLE = {**tables.ORACLE}
