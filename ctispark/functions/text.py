@@ -75,7 +75,7 @@ def cvss_labels(vector: Column) -> Column:
 def rule_format(text: Column) -> Column:
     """Yara, sigma, snort or null; comment lines before a snort rule are passed over."""
     t = F.trim(text)
-    first = F.get(F.filter(F.transform(F.split(t, r"\r?\n"), F.trim), lambda x: (x != "") & ~x.startswith("#")), F.lit(0))
+    first = F.get(F.filter(F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")), F.lit(0))
     yara = t.rlike(r"(?m)^rule\s+[A-Za-z0-9_]+") & F.contains(t, F.lit("{"))
     sigma = F.contains(t, F.lit("title:")) & F.contains(t, F.lit("logsource:"))
     return F.when(yara, "yara").when(sigma, "sigma").when(first.rlike(r"\A(?:alert|drop|reject|pass|log|sdrop|rewrite)\s"), "snort")

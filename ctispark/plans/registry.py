@@ -1,6 +1,7 @@
 """Registered queries over the tables of a data folder, and the SQL each must agree with."""
 
-from ctispark.plans import tables
+from ctispark.plans import documents, functions, tables
 
 QUERIES = {**tables.QUERIES}
+__all__ = ["ORACLE", "QUERIES", "documents", "functions"]
 ORACLE = {**tables.ORACLE}

@@ -234,9 +234,9 @@ _VR = f"""cast({_VR_SCORE} + {_lookup("cwe_id", dims.VR_CWE, False)} + {_lookup(
  + case when customer_action <> '' then {_v["customer_action_required"]} else 0 end + case when exploited_wild = 1 then {_v["exploit_active"]} when publicly_disclosed = 1 then {_v["publicly_disclosed"]} else {_v["exploit_unproven"]} end
  + case severity when 'Critical' then {_v["critical_severity"]} when 'Important' then {_v["important_severity"]} else 0 end + case when lower(scope) = 'changed' then {_v["scope_changed"]} else 0 end as double)"""
 _HOLDS = lambda names: "(" + " or ".join(f"contains({_BOTH}, '{n.lower()}')" for n in names) + ")"
-_TAGS = f"""array_to_string(list_filter([case when impact in ('Remote Code Execution', 'Elevation of Privilege') then 'high_impact' end, case when cwe_id in ({_in(dims.HEAP_CORRUPT)}) then 'heap_corrupt' end, case when impact = 'Information Disclosure' then 'info_leak' end,
+_TAGS = f"""array_to_string(list_sort(list_filter([case when impact in ('Remote Code Execution', 'Elevation of Privilege') then 'high_impact' end, case when cwe_id in ({_in(dims.HEAP_CORRUPT)}) then 'heap_corrupt' end, case when impact = 'Information Disclosure' then 'info_leak' end,
  case when {_HOLDS(dims.KERNEL)} then 'kernel' end, case when cwe_id in ({_in(dims.MEM_CORRUPT)}) then 'mem_corrupt' end, case when exploited_wild = 0 and publicly_disclosed = 0 and cve_id not in (select cve_id from kev_entry) then 'novel' end,
- case when cve_id in (select cve_id from msrc_kb) then 'patchable' end, case when upper(av) = 'N' and upper(pr) = 'N' then 'remote_preauth' end, case when lower(scope) = 'changed' then 'scope_change' end, case when {_HOLDS(dims.PARSERS)} then 'user_mode_parser' end], lambda x: x is not null), ',')"""
+ case when cve_id in (select cve_id from msrc_kb) then 'patchable' end, case when upper(av) = 'N' and upper(pr) = 'N' then 'remote_preauth' end, case when lower(scope) = 'changed' then 'scope_change' end, case when {_HOLDS(dims.PARSERS)} then 'user_mode_parser' end], lambda x: x is not null)), ',')"""
 _add("J05_defense_score", "msrc_cve kev_entry", lambda c, k: scoring.defense_score(joins.cve_with_kev(c, k)).select("cve_id", "score", "priority"), f"select cve_id, score, {_tier('score', dims.THRESHOLDS)} as priority from (select cve_id, {_DEFENSE} as score from msrc_cve)")
 _add("J07_vr_score", "msrc_cve", lambda c: scoring.vr_score(c).select("cve_id", "vr_score", "vr_priority"), f"select cve_id, vr_score, {_tier('vr_score', dims.VR_THRESHOLDS)} as vr_priority from (select cve_id, {_VR} as vr_score from msrc_cve)")
 _add(
