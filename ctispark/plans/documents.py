@@ -5,3 +5,46 @@ from ctispark.plans.tables import ORACLE, QUERIES
 from ctispark.sources.tables import table
 
 QUERIES["M08_iocs_plaintext"] = lambda spark, sf_dir: plaintext.iocs_plaintext(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _windows(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ctispark.streaming.jobs import poll_windows
+
+    out = poll_windows(table(spark, sf_dir, "events"), "ts", "6 hours", key=("event_type",))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+QUERIES["K05_poll_windows"] = _windows
+ORACLE["K05_poll_windows"] = "select strftime(time_bucket(interval '6 hours', ts, timestamp '1970-01-01'), '%Y-%m-%d %H:%M') as start, event_type, count(*) as n from events group by 1, 2"
+
+
+def _nodes(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ctispark.operators.html import html_nodes
+
+    return html_nodes(table(spark, sf_dir, "pages").withColumn("source", F.when(F.col("page_id") % 2 == 0, "cisa").otherwise("jpcert")), "page_id")
+
+
+def _over_nodes(name, *columns):
+    def run(spark, sf_dir):
+        from ctispark.operators import html
+
+        out = getattr(html, name)(_nodes(spark, sf_dir))
+        return out.select(*columns) if columns else out
+
+    return run
+
+
+QUERIES["M02_page_title"] = _over_nodes("page_title")
+ORACLE["M02_page_title"] = r"""
+select page_id as doc_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as title from pages
+"""
+QUERIES["M23_link_audit"] = _over_nodes("link_audit", "doc_id", "href", "external")
+ORACLE["M23_link_audit"] = "select page_id as doc_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href, false as external from pages"
+QUERIES["M01_article_body"] = _over_nodes("article_body")
+QUERIES["M10_extract_iocs"] = _over_nodes("extract_iocs")
+QUERIES["M20_html_to_markdown"] = _over_nodes("html_to_markdown")
+QUERIES["M22_clean_document"] = _over_nodes("clean_document", "doc_id", "pos", "tag", "dangerous", "spoofed")
