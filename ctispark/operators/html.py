@@ -281,8 +281,8 @@ def attack_techniques(nodes: DataFrame) -> DataFrame:
     link_id = F.coalesce(named, F.nullif(F.regexp_extract("hint", text.TECHNIQUE, 0), F.lit("")))
     links = links.withColumns({"link_id": link_id, "version": version})
     c = cells(nodes).filter("tag = 'td'").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "table_pos", "row_pos").orderBy("pos")) - 1)
-    in_cell = links.filter("table_pos >= 0 and link_id is not null").select("doc_id", F.col("pos").alias("p"), "link_id", "version", F.col("table_pos").alias("tp"))
-    ids = c.join(in_cell, (c.doc_id == in_cell.doc_id) & (F.col("tp") == F.col("table_pos")) & (F.col("p") > F.col("pos")) & (F.col("p") <= F.col("end_pos")), "left").drop(in_cell.doc_id)
+    in_cell = links.filter("table_pos >= 0 and link_id is not null").select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), "link_id", "version", F.col("table_pos").alias("tp"))
+    ids = c.join(in_cell, (F.col("doc_id") == F.col("d")) & (F.col("tp") == F.col("table_pos")) & (F.col("p") > F.col("pos")) & (F.col("p") <= F.col("end_pos")), "left").drop("d")
     ids = ids.groupBy("doc_id", "table_pos", "row_pos", "n", "pos", "text").agg(F.min_by(F.struct("link_id", "version"), "p").alias("l"))
     ids = ids.withColumn("technique_id", F.coalesce("l.link_id", F.nullif(F.regexp_extract("text", text.TECHNIQUE, 0), F.lit(""))))
     wide = ids.join(attack_roles(nodes), ["doc_id", "table_pos", "n"])
@@ -351,9 +351,9 @@ def figures(nodes: DataFrame) -> DataFrame:
     sites = F.create_map(*[F.lit(x) for kv in SITES.items() for x in kv])
     img = nodes.filter((F.col("tag") == "img") & (F.col("attrs")["src"] != "")).select("doc_id", "source", "pos", "parent_pos", F.col("attrs")["alt"].alias("alt_text"), text.resolve_url(F.col("attrs")["src"], sites[F.col("source")]).alias("original_url"))
     fig = nodes.filter(F.col("tag") == "figure").filter((F.col("source") == "acsc") | (F.col("source") == "cisa") & has_class("c-figure") | (F.col("source") == "jpcert") & has_class("mt-figure")).select("doc_id", F.col("pos").alias("f"), F.col("end_pos").alias("z"))
-    caps = nodes.filter("tag = 'figcaption'").select("doc_id", F.col("pos").alias("c"), F.col("text").alias("caption"))
+    caps = nodes.filter("tag = 'figcaption'").select(F.col("doc_id").alias("d"), F.col("pos").alias("c"), F.col("text").alias("caption"))
     first = img.join(fig, "doc_id").filter("pos between f and z").groupBy("doc_id", "f", "z").agg(F.min_by(F.struct("original_url", "alt_text"), "pos").alias("i"))
-    captioned = first.join(caps, (first.doc_id == caps.doc_id) & F.col("c").between(F.col("f"), F.col("z")), "left").drop(caps.doc_id).groupBy("doc_id", "f").agg(F.first("i").alias("i"), F.min_by("caption", "c").alias("caption")).select("doc_id", "i.original_url", "caption", "i.alt_text")
+    captioned = first.join(caps, (F.col("doc_id") == F.col("d")) & F.col("c").between(F.col("f"), F.col("z")), "left").drop("d").groupBy("doc_id", "f").agg(F.first("i").alias("i"), F.min_by("caption", "c").alias("caption")).select("doc_id", "i.original_url", "caption", "i.alt_text")
     inside = nodes.filter("tag = 'figure'").select("doc_id", F.col("pos").alias("f"), F.col("end_pos").alias("z"))
     bare = img.filter("source = 'jpcert'").join(inside, "doc_id", "left").groupBy("doc_id", "pos", "parent_pos", "original_url", "alt_text").agg(F.coalesce(F.bool_or(F.col("pos").between(F.col("f"), F.col("z"))), F.lit(False)).alias("in_figure")).filter("not in_figure")
     follows = nodes.filter("tag <> 'br'").select("doc_id", "parent_pos", F.col("pos").alias("n"), "tag", F.col("attrs")["style"].alias("style"), "text")
@@ -424,8 +424,8 @@ def clean_document(nodes: DataFrame) -> DataFrame:
     """Nodes without hidden ones and what they hold, and without empty wrappers; dangerous: a link that runs code; spoofed: a page that brings marks of our own."""
     style = F.lower(F.regexp_replace(F.coalesce(F.col("attrs")["style"], F.lit("")), r"\s+", ""))
     hidden = F.col("attrs")["hidden"].isNotNull() | style.rlike("display:none|visibility:hidden") | (F.col("attrs")["aria-hidden"] == "true")
-    roots = nodes.filter(F.coalesce(hidden, F.lit(False))).select("doc_id", F.col("pos").alias("a"), F.col("end_pos").alias("z"))
-    shown = nodes.join(roots, (nodes.doc_id == roots.doc_id) & F.col("pos").between(F.col("a"), F.col("z")), "left_anti")
+    roots = nodes.filter(F.coalesce(hidden, F.lit(False))).select(F.col("doc_id").alias("d"), F.col("pos").alias("a"), F.col("end_pos").alias("z"))
+    shown = nodes.join(roots, (F.col("doc_id") == F.col("d")) & F.col("pos").between(F.col("a"), F.col("z")), "left_anti")
     hollow = F.col("tag").isin("span", "div", "p") & (F.col("text") == "") & (F.col("pos") == F.col("end_pos"))
     href = F.lower(F.regexp_replace(F.coalesce(F.col("attrs")["href"], F.lit("")), r"[\x00-\x20]+", ""))
     return shown.filter(~hollow).withColumns({"dangerous": href.rlike(r"\A(?:javascript|data|vbscript):"), "spoofed": F.exists(F.map_keys("attrs"), lambda k: k.startswith("data-annotation"))})

@@ -8,8 +8,6 @@ from ctispark.operators import plaintext
 from ctispark.plans.tables import _add, _joined
 from ctispark.sources.domain import SQL
 
-V, K = F.col("value"), F.col("type")
-
 
 def _s(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -45,24 +43,24 @@ _DETECT = f"""case when {_hex("value", 128)} then 'sha512' when {_hex("value", 6
 _INFER = f"""case when {_hex("value", 32)} then 'md5' when {_hex("value", 40)} then 'sha1' when {_hex("value", 64)} then 'sha256' when {_hex("value", 128)} then 'sha512' when starts_with(value, 'http://') then 'url' when contains(value, '@') and contains(split_part(value, '@', -1), '.') then 'email'
  when regexp_matches(value, {_s(ioc.IPV4)}) then 'ip' when regexp_matches(value, {_s(ioc.DOMAIN_LIKE)}) then 'domain' end"""
 
-_add("I01_refang", "ioc", lambda i: i.select("advisory_id", ioc.refang(F.replace(F.replace(V, F.lit("."), F.lit("[.]")), F.lit("http"), F.lit("hXXp"))).alias("value")), "select advisory_id, value from ioc")
-_add("I02_detect_type", "ioc", lambda i: i.select("value", ioc.detect_type(V).alias("found")), f"select value, {_DETECT} as found from ioc")
-_add("I03_infer_type", "ioc", lambda i: i.select("value", ioc.infer_type(V).alias("found")), f"select value, {_INFER} as found from ioc")
-_add("I04_looks_like_filepath", "ioc", lambda i: i.select("value", ioc.looks_like_filepath(F.concat(F.lit("/"), V)).alias("path")), rf"select value, regexp_matches('/' || value, {_s(ioc.UNIX_PATH)}) as path from ioc")
-_add("I05_is_hex", "ioc", lambda i: i.select("value", ioc.is_hex(F.upper(V), 32).alias("ok")), f"select value, {_hex('value', 32)} as ok from ioc")
+_add("I01_refang", "ioc", lambda i: i.select("advisory_id", ioc.refang(F.replace(F.replace(F.col("value"), F.lit("."), F.lit("[.]")), F.lit("http"), F.lit("hXXp"))).alias("value")), "select advisory_id, value from ioc")
+_add("I02_detect_type", "ioc", lambda i: i.select("value", ioc.detect_type(F.col("value")).alias("found")), f"select value, {_DETECT} as found from ioc")
+_add("I03_infer_type", "ioc", lambda i: i.select("value", ioc.infer_type(F.col("value")).alias("found")), f"select value, {_INFER} as found from ioc")
+_add("I04_looks_like_filepath", "ioc", lambda i: i.select("value", ioc.looks_like_filepath(F.concat(F.lit("/"), F.col("value"))).alias("path")), rf"select value, regexp_matches('/' || value, {_s(ioc.UNIX_PATH)}) as path from ioc")
+_add("I05_is_hex", "ioc", lambda i: i.select("value", ioc.is_hex(F.upper(F.col("value")), 32).alias("ok")), f"select value, {_hex('value', 32)} as ok from ioc")
 _IPS = "select distinct concat(cast(l_partkey % 256 as varchar(20)), '.', cast(l_suppkey % 256 as varchar(20)), '.', cast(l_linenumber as varchar(20)), '.', cast(l_orderkey % 300 as varchar(20))) as ip from lineitem"
 SQL["address"] = ("lineitem", _IPS)
 _add("I06_public_ip", "address", lambda a: a.select("ip", ioc.public_ip(F.col("ip")).alias("ok")), f"select ip, {_public('ip')} as ok from address")
-_add("I07_is_domain", "ioc", lambda i: i.select("value", ioc.is_domain(V).alias("ok")), f"select value, {_domain('value')} as ok from ioc")
-_add("I08_well_formed", "ioc", lambda i: i.select("type", "value", ioc.well_formed(K, V).alias("ok")), f"select type, value, case type when 'ip' then {_public('value')} when 'domain' then {_domain('value')} when 'url' then starts_with(value, 'http') when 'email' then contains(value, '@') else {_hex('value', 32)} end as ok from ioc")
+_add("I07_is_domain", "ioc", lambda i: i.select("value", ioc.is_domain(F.col("value")).alias("ok")), f"select value, {_domain('value')} as ok from ioc")
+_add("I08_well_formed", "ioc", lambda i: i.select("type", "value", ioc.well_formed(F.col("type"), F.col("value")).alias("ok")), f"select type, value, case type when 'ip' then {_public('value')} when 'domain' then {_domain('value')} when 'url' then starts_with(value, 'http') when 'email' then contains(value, '@') else {_hex('value', 32)} end as ok from ioc")
 _ALLOW = (("domain", "evil.com"), ("ip", "45.7.7.9"))
 _add(
     "I09_validate_ioc", "ioc", lambda i: plaintext.validated(i.select("type", "value").distinct(), i.sparkSession.createDataFrame(_ALLOW, "kind string, key string").filter("kind = 'ip'")),
     f"select distinct type, value, case when not case type when 'ip' then {_public('value')} when 'domain' then {_domain('value')} else true end then 'invalid' when type = 'ip' and value = '45.7.7.9' then 'allowlisted' else 'verified' end as validation_status, type = 'ip' and value = '45.7.7.9' as needs_review from ioc",
 )
-_add("I10_registerable_domain", "ioc", lambda i: i.filter("type = 'domain'").select("value", ioc.registerable_domain(F.concat(V, F.lit(".co.uk"))).alias("domain")), f"select value, {_registerable(chr(39).join(['value || ', '.co.uk', '']))} as domain from ioc where type = 'domain'")
-_add("I11_url_host", "ioc", lambda i: i.filter("type = 'url'").select("value", ioc.url_host(V).alias("host")), "select value, lower(regexp_extract(value, '^https?://([^/]+)', 1)) as host from ioc where type = 'url'")
-_add("I12_split_cell", "ioc", lambda i: i.select("value", F.array_join(ioc.split_cell(F.concat(V, F.lit(" aka "), K)), "|").alias("parts")), "select value, value || '|' || type as parts from ioc")
+_add("I10_registerable_domain", "ioc", lambda i: i.filter("type = 'domain'").select("value", ioc.registerable_domain(F.concat(F.col("value"), F.lit(".co.uk"))).alias("domain")), f"select value, {_registerable(chr(39).join(['value || ', '.co.uk', '']))} as domain from ioc where type = 'domain'")
+_add("I11_url_host", "ioc", lambda i: i.filter("type = 'url'").select("value", ioc.url_host(F.col("value")).alias("host")), "select value, lower(regexp_extract(value, '^https?://([^/]+)', 1)) as host from ioc where type = 'url'")
+_add("I12_split_cell", "ioc", lambda i: i.select("value", F.array_join(ioc.split_cell(F.concat(F.col("value"), F.lit(" aka "), F.col("type"))), "|").alias("parts")), "select value, value || '|' || type as parts from ioc")
 _add("I14_cvss_labels", "msrc_cve", lambda c: c.select("cve_id", text.cvss_labels(F.concat(F.lit("CVSS:3.1/AV:"), F.substring("av", 1, 1), F.lit("/PR:"), F.substring("pr", 1, 1), F.lit("/S:"), F.substring("scope", 1, 1))).alias("x")).select("cve_id", "x.av", "x.pr", "x.s", "x.ui"), "select cve_id, av, pr, scope as s, null as ui from msrc_cve")
 _add("I15_cve_ids", "advisory_cve", lambda l: l.groupBy("advisory_id").agg(F.concat_ws(" x ", F.sort_array(F.collect_list("cve_id"))).alias("t")).select("advisory_id", F.array_join(text.cve_ids(F.concat("t", F.lit(" "), "t")), ",").alias("cves")), "select advisory_id, string_agg(cve_id, ',' order by cve_id) as cves from advisory_cve group by 1")
 _add("I16_technique_ids", "advisory_technique", lambda t: t.select("advisory_id", "technique_id", F.array_join(text.technique_ids(F.concat("technique_id", F.lit(".001 and D3-NTA, "), "technique_id")), ",").alias("found")), "select advisory_id, technique_id, case when technique_id like 'T%' then technique_id || '.001,' || technique_id else '' end as found from advisory_technique")
@@ -71,10 +69,10 @@ _add("I19_cve_route", "advisory_cve kev_entry", lambda l, k: l.join(k.select("cv
 _add("I20_rule_format", "detection_rule", lambda r: r.select("advisory_id", "rule_name", text.rule_format(F.when(F.col("rule_format") == "yara", F.concat(F.lit("// c\nrule "), "rule_name", F.lit(" { }"))).when(F.col("rule_format") == "sigma", F.lit("title: a\nlogsource: b")).when(F.col("rule_format") == "snort", F.lit("# c\n\nalert tcp any")).otherwise(F.lit("text"))).alias("found")), "select advisory_id, rule_name, nullif(rule_format, 'other') as found from detection_rule")
 _add("I24_normalize_date", "advisory", lambda a: a.select("id", text.normalize_date(F.when(F.col("id") % 3 == 0, F.concat("pub_date", F.lit("T10:00:00Z"))).when(F.col("id") % 3 == 1, F.date_format("pub_date", "d MMM yyyy")).otherwise(F.concat(F.lit("Mon, "), F.date_format("pub_date", "dd MMM yyyy"), F.lit(" 10:00:00 +1000")))).alias("day")), "select id, pub_date as day from advisory")
 _add("I25_advisory_type", "feed_entry", lambda e: e.select("advisory_id", text.last_segment(F.concat(F.lit("https://x.example/a/"), "advisory_id", F.lit("/"))).alias("id"), text.advisory_type_from_id(F.concat(F.when(F.col("pos") % 2 == 0, "aa").otherwise("ar"), "advisory_id"), F.lit("cisa")).alias("kind")), "select advisory_id, advisory_id as id, case when pos % 2 = 0 then 'cybersecurity_advisory' else 'analysis_report' end as kind from feed_entry")
-_add("I27_asset_type", "ioc", lambda i: i.filter("type = 'url'").select("value", text.asset_type(F.concat(V, F.lit("/AA-stix2.json?x=1"))).alias("json"), text.asset_type(F.concat(V, F.lit("/a.PDF"))).alias("pdf"), text.asset_type(V).alias("none")), "select value, 'stix_json' as json, 'pdf' as pdf, null as none from ioc where type = 'url'")
-_add("I28_resolve_url", "ioc", lambda i: i.filter("type = 'url'").select("value", text.resolve_url(F.concat(F.lit("/f/"), F.col("advisory_id"), F.lit("?itok=9")), V).alias("full")), "select value, value || '/f/' || advisory_id as full from ioc where type = 'url'")
-_add("I30_csv_safe", "ioc", lambda i: i.select("advisory_id", ioc.csv_safe(F.concat(F.when(F.col("source_verified") == 1, "=").otherwise(""), V)).alias("cell")), "select advisory_id, case when source_verified = 1 then '''=' else '' end || value as cell from ioc")
-_add("I31_stix_pattern", "ioc", lambda i: i.select("advisory_id", ioc.stix_pattern(K, V).alias("pattern")), "select advisory_id, '[' || case type when 'ip' then 'ipv4-addr:value' when 'domain' then 'domain-name:value' when 'url' then 'url:value' when 'email' then 'email-addr:value' else 'file:hashes.MD5' end || ' = ''' || value || ''']' as pattern from ioc")
+_add("I27_asset_type", "ioc", lambda i: i.filter("type = 'url'").select("value", text.asset_type(F.concat(F.col("value"), F.lit("/AA-stix2.json?x=1"))).alias("json"), text.asset_type(F.concat(F.col("value"), F.lit("/a.PDF"))).alias("pdf"), text.asset_type(F.col("value")).alias("none")), "select value, 'stix_json' as json, 'pdf' as pdf, null as none from ioc where type = 'url'")
+_add("I28_resolve_url", "ioc", lambda i: i.filter("type = 'url'").select("value", text.resolve_url(F.concat(F.lit("/f/"), F.col("advisory_id"), F.lit("?itok=9")), F.col("value")).alias("full")), "select value, value || '/f/' || advisory_id as full from ioc where type = 'url'")
+_add("I30_csv_safe", "ioc", lambda i: i.select("advisory_id", ioc.csv_safe(F.concat(F.when(F.col("source_verified") == 1, "=").otherwise(""), F.col("value"))).alias("cell")), "select advisory_id, case when source_verified = 1 then '''=' else '' end || value as cell from ioc")
+_add("I31_stix_pattern", "ioc", lambda i: i.select("advisory_id", ioc.stix_pattern(F.col("type"), F.col("value")).alias("pattern")), "select advisory_id, '[' || case type when 'ip' then 'ipv4-addr:value' when 'domain' then 'domain-name:value' when 'url' then 'url:value' when 'email' then 'email-addr:value' else 'file:hashes.MD5' end || ' = ''' || value || ''']' as pattern from ioc")
 _add("I32_tactic_slug", "mitre_technique", lambda m: m.select("technique_id", text.tactic_slug(F.col("tactic")).alias("slug")), "select technique_id, replace(lower(tactic), ' ', '-') as slug from mitre_technique")
 _add("I34_is_noise", "advisory", lambda a: a.select("id", text.is_noise(F.substring("title", 1, F.col("id") % 9)).alias("noise")), r"select id, length(substr(title, 1, id % 9)) < 6 and not regexp_matches(substr(title, 1, id % 9), '\A[0-9A-Fa-f]{5,}\z') as noise from advisory".replace("id % 9)", "(id % 9)::bigint)"))
 _add("I36_strip_html", "advisory", lambda a: a.select("id", text.strip_html(F.concat(F.lit(" <p class='x'>"), "title", F.lit("</p>"))).alias("t")), "select id, trim(regexp_replace(title, '<[^>]+>', '', 'g')) as t from advisory")
@@ -84,9 +82,9 @@ _add("I44_summary_of", "advisory", lambda a: a.select("id", text.summary_of(F.co
 _add("H05_technique_sets", "advisory_technique", lambda t: t.groupBy("advisory_id").agg(F.sort_array(F.collect_set("technique_id")).alias("ids")).select("advisory_id", _joined("ids")), "select advisory_id, string_agg(distinct technique_id, ',' order by technique_id) as ids from advisory_technique group by 1")
 
 _add("D21_allowlist_join", "ioc", lambda i: plaintext.allowlist_join(i, dims.allowlist(i.sparkSession, domains=("evil.com",), ips=("45.9.7.9",))).select("advisory_id", "type", "value", "allowed"), "select advisory_id, type, value, type in ('domain', 'url') or (type = 'ip' and value = '45.9.7.9') as allowed from ioc")
-_LINES = lambda i: i.select("advisory_id", F.concat(F.lit("Indicators of compromise\nThe host uses "), F.replace(V, F.lit("."), F.lit("[.]")), F.lit(", it is said.\n"), V).alias("text"))
+_LINES = lambda i: i.select("advisory_id", F.concat(F.lit("Indicators of compromise\nThe host uses "), F.replace(F.col("value"), F.lit("."), F.lit("[.]")), F.lit(", it is said.\n"), F.col("value")).alias("text"))
 _add(
-    "M09_build_ioc", "ioc", lambda i: plaintext.typed(i.select("advisory_id", F.concat(F.lit(" "), F.replace(V, F.lit("."), F.lit("[.]"))).alias("raw")), "raw").select("advisory_id", "type", "value"),
+    "M09_build_ioc", "ioc", lambda i: plaintext.typed(i.select("advisory_id", F.concat(F.lit(" "), F.replace(F.col("value"), F.lit("."), F.lit("[.]"))).alias("raw")), "raw").select("advisory_id", "type", "value"),
     "select advisory_id, type, value from ioc",
 )
 _add(
