@@ -19,8 +19,9 @@ MOST_LOST = 50
 
 # The rules for a line that holds a word. Java's and RE2's regular expressions read them alike.
 HAS_WORD = r"[^\x20\x09-\x0D]"
-#: A sentence, list head or quotation ends like this.
+#: A sentence, list head or quotation ends like this; lines of SHORT words or more may do without.
 ENDS = r"[.!?:;…。！？)\]\"'”’»][\x20\x09-\x0D]*\z"
+SHORT = 10
 #: Menus and breadcrumbs are strings of these.
 NAVIGATION = r"(?s)\A(?:[^|›•·→]*[|›•·→]){3}"
 BOILERPLATE = r"(?i)lorem ipsum|enable javascript|requires javascript|privacy policy|cookie policy|uses cookies|use of cookies|terms of use|terms of service|all rights reserved|click here|sign up now|subscribe to our|powered by|share this|skip to content"
@@ -29,11 +30,11 @@ NOT_WORD = r"[\x20\x09-\x0D]+"
 
 
 def fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule: no end of a sentence; navigation; boilerplate; a symbol for three words or more; a doubled exclamation mark for three words or more."""
+    """Whether a line with a word breaks a rule: short and no end of a sentence; navigation; boilerplate; a symbol for three words or more; a doubled exclamation mark for three words or more."""
     n = F.size(words(line))
     symbols = F.length(F.regexp_replace(line, NOT_SYMBOL, ""))
     shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
-    return ~line.rlike(ENDS) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | (symbols * 3 >= n) & (symbols > 0) | (shouts * 3 >= n) & (shouts > 0)
+    return ~line.rlike(ENDS) & (n < SHORT) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | (symbols * 3 >= n) & (symbols > 0) | (shouts * 3 >= n) & (shouts > 0)
 
 
 def repeat_words(w: Column) -> Column:
@@ -107,7 +108,7 @@ x as (
   from l where regexp_matches(line, {_sql(HAS_WORD)})),
 b as (
   select doc_id, count(*) - count(distinct line) as n_dup_lines,
-    sum(case when not regexp_matches(line, {_sql(ENDS)}) or regexp_matches(line, {_sql(NAVIGATION)}) or regexp_matches(line, {_sql(BOILERPLATE)})
+    sum(case when (not regexp_matches(line, {_sql(ENDS)}) and n < {SHORT}) or regexp_matches(line, {_sql(NAVIGATION)}) or regexp_matches(line, {_sql(BOILERPLATE)})
       or (symbols > 0 and symbols * 3 >= n) or (shouts > 0 and shouts * 3 >= n)
       then length(regexp_replace(line, {_sql(NOT_WORD)}, '', 'g')) else 0 end)::bigint as lost
   from x group by doc_id),
