@@ -228,9 +228,61 @@ def month_of(day: Column, now: str) -> Column:
 def content_kind(content: Column) -> Column:
     """What a file's first bytes say that it is."""
     head = F.substring(content, 1, 512)
-    text = F.lower(F.trim(F.decode(head, "ISO-8859-1")))
+    text = F.lower(F.regexp_replace(F.decode(head, "ISO-8859-1"), r"\A\s+", ""))
     magic = lambda h: F.startswith(F.hex(head), F.lit(h))
     return (
-        F.when(magic("25504446"), "pdf").when(magic("89504E47"), "png").when(magic("FFD8FF"), "jpeg").when(magic("47494638"), "gif").when(magic("52494646"), "webp").when(magic("504B0304"), "zip")
-        .when(text.rlike(r"\A(?:<!doctype html|<html)"), "html").when(text.startswith("<?xml") | text.startswith("<stix"), "xml").when(text.startswith("{") | text.startswith("["), "json").otherwise("other")
+        F.when(magic("25504446"), "pdf").when(magic("89504E470D0A1A0A"), "png").when(magic("FFD8FF"), "jpeg").when(magic("47494638"), "gif").when(magic("52494646") & (F.substring(F.hex(head), 17, 8) == "57454250"), "webp").when(magic("504B0304"), "zip")
+        .when(F.contains(text, F.lit("<svg")), "svg").when(text.rlike(r"\A(?:<!doctype html|<html|<head|<body)"), "html").when(text.startswith("<?xml"), "xml").when(text.startswith("{") | text.startswith("["), "json").otherwise("other")
     )
+
+
+# What gives a challenge or block page away, and what only real pages have.
+CHALLENGE = ("Just a moment...", "Attention Required!", 'id="cf-browser-verification"', "window._cf_chl_opt")
+BLOCK = ("AkamaiGHost", "akamaiedge", "Request unsuccessful")
+PAGE_PARTS = ('class="field--name-body"', 'role="main"', "<article")
+
+
+def _holds_any(c: Column, marks: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | F.contains(c, F.lit(m))
+    return out
+
+
+def challenge_page(header: Column, body: Column) -> Column:
+    """A fetched page that asks for a browser check: by its header, its size (5,000 to 15,000 bytes), its marks, or since it lacks what pages have; empty ones are none."""
+    b = F.coalesce(body, F.lit(""))
+    size = F.octet_length(b)
+    return (F.lower(F.coalesce(header, F.lit(""))) == "challenge") | size.between(5000, 15000) | _holds_any(F.substring(b, 1, 2048), CHALLENGE) | (size > 0) & ~_holds_any(b, PAGE_PARTS)
+
+
+def block_page(status: Column, body: Column) -> Column:
+    """A fetched page of an edge server that refuses: a 403 with a reference, a small page (under 2,048 bytes) without structure, or a known mark."""
+    b = F.coalesce(body, F.lit(""))
+    head, size = F.substring(b, 1, 2048), F.octet_length(b)
+    refused = (status == 403) & _holds_any(head, ("Reference #", "Access Denied"))
+    return F.coalesce(refused, F.lit(False)) | (size > 0) & (size < 2048) & ~_holds_any(b, PAGE_PARTS[1:]) | _holds_any(head, BLOCK)
+
+
+def extracted_commands(json: Column) -> Column:
+    """Whether extracted JSON, bare or under llm_response, lists command lines."""
+    path = F.coalesce(F.get_json_object(json, "$.llm_response.iocs.command_lines"), F.get_json_object(json, "$.iocs.command_lines"))
+    return F.coalesce(F.json_array_length(path) > 0, F.lit(False))
+
+
+def figure_mismatch(asset: Column, content: Column) -> Column:
+    """A figure that is no image, or a file that is an HTML page."""
+    kind = content_kind(content)
+    return F.when(asset == "figure", ~kind.isin("png", "jpeg", "gif", "webp", "svg")).otherwise(kind == "html")
+
+
+def recent_months(day: Column, n: int) -> Column:
+    """YYYY-Mon of a day's month and the n - 1 before it, newest first."""
+    first = F.trunc(day, "month")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.date_format(F.add_months(first, -k), "yyyy-MMM"))
+
+
+def source_verified(value: Column, body: Column, state: Column) -> Column:
+    """Struct (source_verified, status): a value that does not stand in the text is format_valid at best."""
+    found = F.coalesce(F.contains(body, value), F.lit(False))
+    return F.struct(found.alias("source_verified"), F.when(~found & (state == "verified"), "format_valid").otherwise(state).alias("status"))
