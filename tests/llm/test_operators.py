@@ -276,7 +276,7 @@ def test_jaccard(docs, empty, monkeypatch, paired, block):
 
 def test_attention_gradients():
     r = np.random.default_rng(0)
-    model = Attention(5)
+    model = Attention(5, kind=np.float64)
     x, y, real = r.integers(0, 6, (3, 16)), r.integers(0, 5, (3, 16)), r.random((3, 16)) < 0.8
     _, g = model.loss(x, y, real)
     for k, p in model.p.items():
