@@ -1,7 +1,7 @@
 """Registered queries over the tables of a data folder, and the SQL each must agree with."""
 
-from ctispark.plans import documents, functions, tables
+from ctispark.plans import documents, functions, more, tables
 
 QUERIES = {**tables.QUERIES}
-__all__ = ["ORACLE", "QUERIES", "documents", "functions"]
+__all__ = ["ORACLE", "QUERIES", "documents", "functions", "more"]
 ORACLE = {**tables.ORACLE}
