@@ -115,7 +115,8 @@ def blocks(page: str) -> list[Block]:
                 named = set(re.split(r"[^a-z]+", " ".join(a or b or c for a, b, c in ATTR.findall(m["attrs"])).lower())) if m["attrs"] else set()
                 number += 1
                 # an article's own header holds its title
-                own = tag in CHROME and not (tag == "header" and body) or bool(named & CHROME_WORDS)
+                roles = (named & CHROME_WORDS) | ({tag} & CHROME)
+                own = bool(roles - {"header", "masthead"} if body or named & BODY_WORDS else roles)
                 stack.append((tag, number, body or tag in BODY or bool(named & BODY_WORDS) and not own, chrome or own))
     add(page[at:])
     flush()

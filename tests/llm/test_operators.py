@@ -371,7 +371,7 @@ def test_secrets(spark, docs, empty):
 
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href=/>Site</a></header><nav><ul><li><a href=a>Menu one</a></li></ul></nav>
-    <div id="cookie-notice">We use cookies. Is that fine with you?</div><main><article><header><h1>Head &amp; line</h1></header><p><b>First  part<br>of it.<p>Second &#233;&nbsp;part.</p><div class="advert">Buy this now. It is cheap.</div><form><label>E-mail</label><input></form>
+    <div id="cookie-notice">We use cookies. Is that fine with you?</div><main><article><div class="article-header"><h1>Head &amp; line</h1></div><p><b>First  part<br>of it.<p>Second &#233;&nbsp;part.</p><div class="advert">Buy this now. It is cheap.</div><form><label>E-mail</label><input></form>
     <!-- <p>gone</p> --><p>Third.</article><section class="comments"><p>Great post! I liked every bit of it, and so did everyone that I know.</p></section></main><aside><p>Side story with a sentence.</p></aside><footer>&copy; us.</footer></body>"""
     assert html_text.main_text(page) == "Head & line\n\nFirst part of it.\n\nSecond é part.\n\nThird."
     rows = [(1, "u", page, "old"), (1, "u", page, "old"), (2, None, None, "old"), (None, "u", "", "old"), (3, "u", "<article>" + "<p>A b c. " * 5000, "old"), (4, "u", "<" * 3000 + "&am <p", "old")]
