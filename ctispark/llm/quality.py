@@ -79,11 +79,15 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), repeat_words(w).alias("n_repeat_words"), clean.alias("clean_text"),
         )
 
-    judged = docs.drop("quality").withColumn("quality", let(words(F.col(text)), measures))
-    q = lambda name: F.col(f"quality.{name}")
-    failed = (q("n_words") < MIN_WORDS) | (100 * q("n_repeat_words") > MOST_REPEATED * q("n_words"))
-    lost = q("word_chars") - chars(q("clean_text"))
-    return judged.withColumn("quality", F.col("quality").withField("base_failed", failed).withField("kept", ~failed & (100 * lost <= MOST_LOST * q("word_chars"))))
+    def verdict(q: Column) -> Column:
+        failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MOST_REPEATED * q["n_words"])
+        lost = q["word_chars"] - chars(q["clean_text"])
+        return q.withField("base_failed", failed).withField("kept", ~failed & (100 * lost <= MOST_LOST * q["word_chars"]))
+
+    # a generator's output is computed once, however many filters and columns ask for it
+    docs = docs.drop("quality")
+    once = F.explode(F.array(let(let(words(F.col(text)), measures), verdict)))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], once.alias("quality"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
