@@ -25,7 +25,8 @@ def _nodes(spark, sf_dir):
 
     from ctispark.operators.html import html_nodes
 
-    return html_nodes(table(spark, sf_dir, "pages").withColumn("source", F.when(F.col("page_id") % 2 == 0, "cisa").otherwise("jpcert")), "page_id")
+    # several branches read the nodes; a lost executor's part is parsed again
+    return html_nodes(table(spark, sf_dir, "pages").withColumn("source", F.when(F.col("page_id") % 2 == 0, "cisa").otherwise("jpcert")), "page_id").persist()
 
 
 def _over_nodes(name, *columns):
