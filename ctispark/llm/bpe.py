@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ctispark.llm.common import read
+from ctispark.llm.common import pieces, read
 
 #: The rolling hash covers WINDOW characters; a chunk ends where its CUT_BITS top bits are 0, after about 2 ** CUT_BITS characters.
 WINDOW, CUT_BITS = 16, 10
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabula
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary, ranks)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, 1)):
             found = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             if digests:
                 sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
@@ -194,7 +194,7 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], [doc_id, "text"])
 
     return encoded.select(doc_id, ids).mapInArrow(run, f"`{doc_id}` {kind}, text string")
