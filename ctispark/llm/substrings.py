@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctispark.llm.common import read, staged
@@ -34,8 +34,8 @@ LONGEST = 400
 #: Words of a shard, about.
 SHARD_WORDS = 1_000_000
 HOT = 20_000
-#: Up to so many documents' intervals (about 100 bytes each) are broadcast to the texts; more are joined by a shuffle.
-BROADCAST_ROWS = 300_000
+#: Up to so many ranges of documents (at most 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_RANGES = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)
@@ -195,12 +195,25 @@ def _keys(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(F.col(doc_id).cast("string"), text).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text).alias("text"))
 
 
-def _with_texts(texts: DataFrame, per_row: DataFrame, how: str) -> DataFrame:
-    """texts joined with a table that has a row a row of theirs, which is broadcast while it is small."""
-    side = F.broadcast(per_row) if per_row.count() <= BROADCAST_ROWS else per_row
+def _with_texts(texts: DataFrame, per_row: DataFrame, ranges: str, how: str) -> DataFrame:
+    """texts joined with a table that has an array of ranges a row of theirs, which is broadcast while it is small."""
+    total = per_row.agg(F.sum(F.size(ranges) + 1)).first()[0] or 0
+    side = F.broadcast(per_row) if total <= BROADCAST_RANGES else per_row
     return texts.join(side, "row", how)
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted ranges, those that touch or overlap as one."""
+    start = F.struct(F.array().cast("array<struct<s:int,e:int>>").alias("done"), spans[0].alias("now"))
+
+    def step(a: Column, x: Column) -> Column:
+        touches = x["s"] <= a["now"]["e"]
+        grown = F.struct(a["now"]["s"].alias("s"), F.greatest(a["now"]["e"], x["e"]).alias("e"))
+        return F.struct(F.when(touches, a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))).alias("done"), F.when(touches, grown).otherwise(x).alias("now"))
+
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(row, spans): for each row of docs with repeats, by its hash, the ranges [first, last + 1) of repeated windows' starts as array<struct<s,e>>."""
     texts = _keys(docs, doc_id, text)
@@ -252,20 +265,25 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], ["row", "id", "key", "s", "words"])
 
-    taken = staged(_with_texts(texts, asked, "inner").select("row", "id", "text", "parts").mapInArrow(take, "row long, id long, key long, s long, words binary").distinct())
+    taken = staged(_with_texts(texts, asked, "parts", "inner").select("row", "id", "text", "parts").mapInArrow(take, "row long, id long, key long, s long, words binary").distinct())
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         index = FMIndex([np.frombuffer(w, np.uint64) for w in part.words], window)
         seq, offset = index.matches(part.id.to_numpy())
-        s = part.s.to_numpy()[seq] + offset
-        return pd.DataFrame({"row": part.row.to_numpy()[seq], "s": s.astype(np.int32), "e": (s + 1).astype(np.int32)})
+        row, s = part.row.to_numpy()[seq], part.s.to_numpy()[seq] + offset
+        order = np.lexsort((s, row))
+        row, s = row[order], s[order]
+        # windows one behind the other are one range
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (s[1:] > s[:-1] + 1)))) if len(s) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(s)) - 1
+        return pd.DataFrame({"row": row[first], "s": s[first].astype(np.int32), "e": (s[last] + 1).astype(np.int32)})
 
     searched = taken.filter("words is not null").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(search, "row long, s int, e int")
     single = taken.filter("words is null")
     lowest = single.groupBy("key").agg(F.min("id").alias("least")).withColumnRenamed("key", "k2")
     hot = single.join(lowest, F.col("key") == F.col("k2")).filter("id > least").select("row", F.col("s").cast("int").alias("s"), (F.col("s") + 1).cast("int").alias("e"))
     spans = copies.unionByName(searched).unionByName(hot)
-    return staged(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans")))
+    return staged(spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("all")).select("row", _merged(F.col("all")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -305,7 +323,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int64()), pa.array(gone, pa.int64()), pa.array(ranges, span), pa.array(kept, pa.binary()).cast(pa.string())], [doc_id, "n_words", "n_removed", "removed", "kept"])
 
-    joined = _with_texts(texts, found, "left").select("given", "text", "spans")
+    joined = _with_texts(texts, found, "spans", "left").select("given", "text", "spans")
     return joined.mapInArrow(cut, f"`{doc_id}` {kind}, n_words long, n_removed long, removed array<struct<start:int,end:int>>, kept string")
 
 
