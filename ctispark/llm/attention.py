@@ -7,6 +7,19 @@ SPAN, HALF = 16, 8
 WIDTH = 16
 
 
+def highest(m: np.ndarray) -> np.ndarray:
+    """The greatest of the last axis, which stays; by halves, as that axis is short."""
+    while m.shape[-1] > 1 and m.shape[-1] % 2 == 0:
+        k = m.shape[-1] // 2
+        m = np.maximum(m[..., :k], m[..., k:])
+    return m.max(axis=-1, keepdims=True)
+
+
+def added(m: np.ndarray) -> np.ndarray:
+    """The sum over the last axis, which stays."""
+    return (m.reshape(-1, m.shape[-1]) @ np.ones((m.shape[-1], 1), m.dtype)).reshape(*m.shape[:-1], 1)
+
+
 class Attention:
     """Predicts the next of n symbols from the symbols before it; symbol n stands before the first.
 
@@ -38,28 +51,31 @@ class Attention:
     def loss(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss of targets y after symbols x (windows by SPAN, where real), and gradients."""
         p, root = self.p, self.kind(np.sqrt(WIDTH))
+        flat = lambda m: m.reshape(-1, m.shape[-1])
+        times = lambda m, w: (flat(m) @ w).reshape(*m.shape[:-1], -1)
         e = p["E"][x]
-        q, k, v = e @ p["Q"], e @ p["K"], e @ p["V"]
-        s = q @ k.transpose(0, 2, 1) / root + p["r"][np.maximum(self.distance, 0)]
-        s = np.where(self.distance >= 0, s, self.kind(-np.inf))
-        a = np.exp(s - s.max(axis=2, keepdims=True))
-        a /= a.sum(axis=2, keepdims=True)
+        q, k, v = times(e, p["Q"]), times(e, p["K"]), times(e, p["V"])
+        s = (q / root) @ k.transpose(0, 2, 1)
+        s += np.where(self.distance >= 0, p["r"][np.maximum(self.distance, 0)], self.kind(-np.inf))
+        s -= highest(s)
+        a = np.exp(s, out=s)
+        a /= added(a)
         h = e + a @ v
-        z = h @ p["W"] + p["b"]
-        z -= z.max(axis=2, keepdims=True)
-        out = np.exp(z)
-        out /= out.sum(axis=2, keepdims=True)
+        z = times(h, p["W"]) + p["b"]
+        z -= highest(z)
+        out = np.exp(z, out=z)
+        out /= added(out)
         n = max(1, int(real.sum()))
         rows = np.take_along_axis(out, y[:, :, None], 2)[:, :, 0]
         loss = float(-np.log(np.maximum(rows, self.kind(1e-30)))[real].sum() / n)
         np.put_along_axis(out, y[:, :, None], (rows - 1)[:, :, None], 2)
-        dz = out * (real[:, :, None] / self.kind(n))
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        dh = dz @ p["W"].T
+        dz = np.multiply(out, real[:, :, None] / self.kind(n), out=out)
+        dh = times(dz, p["W"].T)
         da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+        ds = da - added(da * a)
+        ds *= a
         dq, dk, dv = ds @ k / root, ds.transpose(0, 2, 1) @ q / root, a.transpose(0, 2, 1) @ dh
-        de = dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
+        de = dh + times(dq, p["Q"].T) + times(dk, p["K"].T) + times(dv, p["V"].T)
         by = np.zeros((self.n + 1, x.size), self.kind)
         by[x.ravel(), np.arange(x.size)] = 1
         total = ds.sum(axis=0)

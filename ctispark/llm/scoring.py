@@ -4,9 +4,10 @@ A causal self-attention model, trained in numpy on the subword ids of a public
 vocabulary, predicts the class of the next subword (classes hold about equal
 shares of the corpus, by frequency); within its class a subword has its
 smoothed share of all training subwords. Each task trains on windows of its
-own documents, a fixed share of all windows, and the parameters are averaged by
-what was seen, twice. A document is scored in overlapping windows: each subword
-is scored once, with the half window before it in view.
+own documents, and the parameters are averaged by what was seen, twice; the
+rounds share out the windows, so together they see every one once. A document
+is scored in overlapping windows: each subword is scored once, with the half
+window before it in view.
 
 Beside it stands the base score, a smoothed unigram model of words whose
 counts cover all training documents. Counts live in shards by word hash.
@@ -28,8 +29,9 @@ from ctispark.llm.common import read, staged
 from ctispark.llm.shingles import split, word_hashes
 
 CLASSES = 32
-#: Training takes one window in SHARE, other ones in each of ROUNDS rounds, BATCH at a time.
-SHARE, ROUNDS, BATCH = 16, 2, 64
+#: Each of ROUNDS rounds trains on one window in SHARE, other ones each, so on all together; BATCH at a time.
+SHARE = ROUNDS = 2
+BATCH = 256
 HEAD = 1_000_000
 #: Shards: one for so many documents, FEWEST_SHARDS at least.
 SHARD_DOCS, FEWEST_SHARDS = 50_000, 16
@@ -216,22 +218,27 @@ def subword_counts(texts: DataFrame, size: int) -> np.ndarray:
 
 def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Batches of the training windows of (row, classes) texts."""
+    held, count = [], 0
 
-    def fresh() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.zeros((BATCH, SPAN), np.int64), np.zeros((BATCH, SPAN), np.int64), np.zeros((BATCH, SPAN), bool)
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(parts) for parts in zip(*held, strict=True)]
 
-    (x, y, real), held = fresh(), 0
     for row, symbols in texts:
-        before = np.concatenate(([n], symbols[:-1]))
-        for a in range((round_ - row) % SHARE * SPAN, len(symbols), SHARE * SPAN):
-            k = min(SPAN, len(symbols) - a)
-            x[held, :k], y[held, :k], real[held, :k] = before[a : a + k], symbols[a : a + k], True
-            held += 1
-            if held == BATCH:
-                yield x, y, real
-                (x, y, real), held = fresh(), 0
-    if held:
-        yield x[:held], y[:held], real[:held]
+        first, blocks = (round_ - row) % SHARE, -(-len(symbols) // SPAN)
+        if first >= blocks:
+            continue
+        x, y = np.zeros(blocks * SPAN, np.int64), np.zeros(blocks * SPAN, np.int64)
+        x[0], x[1 : len(symbols)], y[: len(symbols)] = n, symbols[:-1], symbols
+        held.append([m.reshape(-1, SPAN)[first::SHARE] for m in (x, y, np.arange(len(x)) < len(symbols))])
+        count += len(held[-1][0])
+        if count >= BATCH:
+            whole = joined()
+            for k in range(0, count - BATCH + 1, BATCH):
+                yield tuple(m[k : k + BATCH] for m in whole)
+            count %= BATCH
+            held = [[m[len(m) - count :] for m in whole]]
+    if count:
+        yield tuple(joined())
 
 
 def fit(texts: DataFrame, vocab: Vocabulary) -> Attention:

@@ -343,6 +343,13 @@ def test_scoring_learns():
     assert model.scorer()(test, np.array([len(test)])).mean() > math.log(1 / 8) + 0.8
 
 
+def test_scoring_trains_on_every_window():
+    """The rounds together see each symbol of each text once, whatever its row and length."""
+    texts = [(row, np.arange(length) + 1000 * row) for row, length in enumerate((1, 15, 16, 17, 40, 300, 900, 5, 16, 16, 16, 33, 7, 31, 32, 48, 64, 3))]
+    seen = Counter(int(v) for k in range(scoring.ROUNDS) for _, y, real in scoring.windows(iter(texts), 10**6, k) for v in y[real])
+    assert seen == Counter(int(v) for _, s in texts for v in s)
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q(r"AKIA[A-Z0-9]+") == [frozenset(("aki", "kia"))]
