@@ -2,8 +2,8 @@
 
 import numpy as np
 
-#: Positions of a window; a scoring window begins HALF positions before the first that it scores.
-SPAN, HALF = 16, 8
+#: Positions of a window, where a model is not given others; a scoring window begins half of them before the first that it scores.
+SPAN = 16
 WIDTH = 16
 
 
@@ -23,33 +23,44 @@ def added(m: np.ndarray) -> np.ndarray:
 class Attention:
     """Predicts the next of n symbols from the symbols before it; symbol n stands before the first.
 
+    With a number of inputs, the symbols before are so many other ones (and
+    that number stands before the first), of which the n are classes. Their
+    embeddings begin at zero, so one that was never trained says nothing, and
+    their gradients are sparse: a pair of symbols and rows.
+
     One head: queries, keys and values are linear in the symbols' embeddings,
     scores get a learned term for the distance, and the attended values are
     added to the embedding before the output layer.
     """
 
-    def __init__(self, n: int, shares: np.ndarray | None = None, seed: int = 7, kind: type = np.float32):
+    def __init__(self, n: int, shares: np.ndarray | None = None, seed: int = 7, kind: type = np.float32, inputs: int | None = None, span: int = SPAN):
         rng = np.random.default_rng(seed)
         self.n, self.kind, d = n, kind, WIDTH
-        self.shapes = {"E": (n + 1, d), "Q": (d, d), "K": (d, d), "V": (d, d), "W": (d, n), "b": (n,), "r": (SPAN,)}
+        self.inputs, self.sparse, self.span, self.half = n if inputs is None else inputs, inputs is not None, span, span // 2
+        self.shapes = {"E": (self.inputs + 1, d), "Q": (d, d), "K": (d, d), "V": (d, d), "W": (d, n), "b": (n,), "r": (span,)}
         self.p = {k: (rng.normal(0, 0.3 if k == "E" else 0.25, s) if len(s) > 1 else np.zeros(s)).astype(kind) for k, s in self.shapes.items()}
+        if self.sparse:
+            self.p["E"] = np.zeros(self.shapes["E"], kind)
         if shares is not None:
             self.p["b"] = np.log(np.maximum(shares, 1e-6)).astype(kind)
-        self.distance = np.arange(SPAN)[:, None] - np.arange(SPAN)
+        self.distance = np.arange(span)[:, None] - np.arange(span)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.shapes])
+        """All parameters but the embeddings."""
+        return np.concatenate([self.p[k].ravel() for k in self.shapes if k != "E"])
 
-    def load(self, flat: np.ndarray) -> "Attention":
+    def load(self, flat: np.ndarray, embeddings: np.ndarray) -> "Attention":
         at = 0
+        self.p["E"] = embeddings.astype(self.kind)
         for k, s in self.shapes.items():
-            n = int(np.prod(s))
-            self.p[k] = flat[at : at + n].reshape(s).astype(self.kind)
-            at += n
+            if k != "E":
+                n = int(np.prod(s))
+                self.p[k] = flat[at : at + n].reshape(s).astype(self.kind)
+                at += n
         return self
 
     def loss(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of targets y after symbols x (windows by SPAN, where real), and gradients."""
+        """Mean loss of targets y after symbols x (windows by span, where real), and gradients."""
         p, root = self.p, self.kind(np.sqrt(WIDTH))
         flat = lambda m: m.reshape(-1, m.shape[-1])
         times = lambda m, w: (flat(m) @ w).reshape(*m.shape[:-1], -1)
@@ -76,42 +87,43 @@ class Attention:
         ds *= a
         dq, dk, dv = ds @ k / root, ds.transpose(0, 2, 1) @ q / root, a.transpose(0, 2, 1) @ dh
         de = dh + times(dq, p["Q"].T) + times(dk, p["K"].T) + times(dv, p["V"].T)
-        by = np.zeros((self.n + 1, x.size), self.kind)
-        by[x.ravel(), np.arange(x.size)] = 1
+        if self.sparse:
+            order = np.argsort(x.ravel().astype(np.uint16) if self.inputs < 1 << 16 else x.ravel(), kind="stable")
+            own = x.ravel()[order]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            by_symbol = own[starts], np.add.reduceat(flat(de)[order], starts)
+        else:
+            by = np.zeros((self.n + 1, x.size), self.kind)
+            by[x.ravel(), np.arange(x.size)] = 1
+            by_symbol = by @ flat(de)
         total = ds.sum(axis=0)
         return loss, {
-            "E": by @ flat(de), "Q": flat(e).T @ flat(dq), "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv), "W": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0),
-            "r": np.bincount(np.maximum(self.distance, 0).ravel(), np.where(self.distance >= 0, total, 0).ravel(), SPAN),
+            "E": by_symbol, "Q": flat(e).T @ flat(dq), "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv), "W": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0),
+            "r": np.bincount(np.maximum(self.distance, 0).ravel(), np.where(self.distance >= 0, total, 0).ravel(), self.span),
         }
 
     def scorer(self):
-        """A function of (symbols, lengths), sequences one behind the other: the natural log of each symbol's probability."""
-        p, n = self.p, self.n
-        first, none = n, n + 1  # before a sequence; nothing there
-        scores = (p["E"] @ p["Q"]) @ (p["E"] @ p["K"]).T / np.sqrt(WIDTH)
-        pull = np.zeros((n + 2, n + 2), np.float32)
-        pull[: n + 1, : n + 1] = np.exp(scores - scores.max(axis=1, keepdims=True))
-        pull[none, none] = 1
-        ahead = np.arange(HALF)[:, None] + HALF - np.arange(SPAN)
-        near = np.where(ahead >= 0, np.exp(p["r"] - p["r"].max())[np.maximum(ahead, 0)], 0).astype(np.float32)
-        value = np.zeros((n + 2, n), np.float32)
-        value[: n + 1] = p["E"] @ p["V"] @ p["W"]
-        base = np.zeros((n + 2, n), np.float32)
-        base[: n + 1] = p["E"] @ p["W"] + p["b"]
-
-        def score(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-            # each sequence gets HALF places of nothing in front, and is filled up to a multiple of HALF
-            blocks = -(-lengths // HALF)
-            places = (blocks + 1) * HALF
-            starts = np.cumsum(places) - places + HALF
+        """A function of (symbols, lengths, targets), sequences one behind the other: the natural log of each target's probability; the symbols are the targets if there are no others."""
+        p, half, span = self.p, self.half, self.span
+        first, none = self.inputs, self.inputs + 1  # before a sequence; nothing there
+        e = np.concatenate((p["E"], np.zeros((1, WIDTH), self.kind)))
+        query, key, value = e @ (p["Q"] / self.kind(np.sqrt(WIDTH))), e @ p["K"], e @ p["V"]
+        ahead = np.arange(half)[:, None] + half - np.arange(span)
+        near = np.where(ahead >= 0, p["r"][np.maximum(ahead, 0)], self.kind(-np.inf))
+
+        def score(symbols: np.ndarray, lengths: np.ndarray, targets: np.ndarray | None = None) -> np.ndarray:
+            # each sequence gets half places of nothing in front, and is filled up to a multiple of half
+            blocks = -(-lengths // half)
+            places = (blocks + 1) * half
+            starts = np.cumsum(places) - places + half
             at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(symbols))
             x, y = np.full(int(places.sum()), none), np.zeros(int(places.sum()), np.int64)
-            y[at] = symbols
+            y[at] = symbols if targets is None else targets
             x[starts[lengths > 0]] = first
             inner = np.ones(len(symbols), bool)
             inner[np.cumsum(lengths)[lengths > 0] - 1] = False
             x[at[inner] + 1] = symbols[inner]
-            x, y = x.reshape(-1, HALF), y.reshape(-1, HALF)
+            x, y = x.reshape(-1, half), y.reshape(-1, half)
             asked = np.ones(len(x), bool)
             asked[(np.cumsum(blocks + 1) - blocks - 1)] = False
             rows = np.flatnonzero(asked)
@@ -119,28 +131,40 @@ class Attention:
             for k in range(0, len(rows), 512):
                 own = rows[k : k + 512]
                 queries, keys = x[own], np.concatenate((x[own - 1], x[own]), axis=1)
-                a = pull.take((queries * (n + 2))[:, :, None] + keys[:, None, :])
-                a *= near
-                a /= a.sum(axis=2, keepdims=True)
-                z = a @ value.take(keys, axis=0)
-                z += base.take(queries, axis=0)
-                z -= z.max(axis=2, keepdims=True)
+                a = query.take(queries, axis=0) @ key.take(keys, axis=0).transpose(0, 2, 1)
+                a += near
+                a += np.where(keys == none, self.kind(-np.inf), self.kind(0))[:, None, :]
+                a -= highest(a)
+                np.exp(a, out=a)
+                a /= added(a)
+                h = a @ value.take(keys, axis=0)
+                h += e.take(queries, axis=0)
+                z = (h.reshape(-1, WIDTH) @ p["W"]).reshape(*h.shape[:2], -1) + p["b"]
+                z -= highest(z)
                 got = np.take_along_axis(z, y[own][:, :, None], 2)[:, :, 0]
-                out[own] = got - np.log(np.exp(z, out=z).sum(axis=2))
+                out[own] = got - np.log(added(np.exp(z, out=z))[:, :, 0])
             return out.ravel()[at]
 
         return score
 
 
-def train(model: Attention, windows, rate: float = 0.02) -> int:
-    """Adam over windows, (x, y, real) batches. Returns how many targets it has seen."""
-    m = {k: np.zeros(s) for k, s in model.shapes.items()}
-    v = {k: np.zeros(s) for k, s in model.shapes.items()}
+def train(model: Attention, windows, rate: float = 0.02, counts: np.ndarray | None = None) -> int:
+    """Adam over windows, (x, y, real) batches, and Adagrad for sparse embeddings. Returns how many targets it has seen, and adds to counts how often each symbol stood before them."""
+    m = {k: np.zeros(s) for k, s in model.shapes.items() if k != "E" or not model.sparse}
+    v = {k: np.zeros(s) for k, s in model.shapes.items() if k != "E" or not model.sparse}
+    squares = np.zeros(model.shapes["E"], model.kind) if model.sparse else None
     seen = t = 0
     for x, y, real in windows:
         _, g = model.loss(x, y, real)
         t += 1
         seen += int(real.sum())
+        if counts is not None:
+            counts += np.bincount(x[real], minlength=len(counts))
+        if model.sparse:
+            at, rows = g.pop("E")
+            now = squares[at] + rows**2
+            squares[at] = now
+            model.p["E"][at] -= model.kind(5 * rate * min(1.0, t / 20)) * rows / (np.sqrt(now) + model.kind(1e-8))
         for k in g:
             m[k] += 0.1 * (g[k] - m[k])
             v[k] += 0.01 * (g[k] ** 2 - v[k])

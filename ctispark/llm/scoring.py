@@ -1,9 +1,10 @@
 """Language-model scores of documents.
 
 A causal self-attention model, trained in numpy on the subword ids of a public
-vocabulary, predicts the class of the next subword (classes hold about equal
-shares of the corpus, by frequency); within its class a subword has its
-smoothed share of all training subwords. Each task trains on windows of its
+vocabulary, predicts the class of the next subword from the ids before it
+(classes hold about equal shares of the corpus, by frequency, and are only what
+the output is factored by); within its class a subword has its smoothed share
+of all training subwords. Each task trains on windows of its
 own documents, and the parameters are averaged by what was seen, twice; the
 rounds share out the windows, so together they see every one once. A document
 is scored in overlapping windows: each subword is scored once, with the half
@@ -24,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctispark.llm.attention import SPAN, Attention, train
+from ctispark.llm.attention import SPAN, WIDTH, Attention, train
 from ctispark.llm.common import read, staged
 from ctispark.llm.shingles import split, word_hashes
 
 CLASSES = 32
 #: Each of ROUNDS rounds trains on one window in SHARE, other ones each, so on all together; BATCH at a time.
 SHARE = ROUNDS = 2
-BATCH = 256
+BATCH = 128
+#: Positions of a window; the parts by which embeddings of tasks are summed.
+VIEW, PARTS = 32, 16
 HEAD = 1_000_000
 #: Shards: one for so many documents, FEWEST_SHARDS at least.
 SHARD_DOCS, FEWEST_SHARDS = 50_000, 16
@@ -216,20 +219,20 @@ def subword_counts(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches of the training windows of (row, classes) texts."""
+def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int, span: int = SPAN, classes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of the training windows of (row, symbols) texts; n stands before the first symbol. Targets are the symbols, or their classes."""
     held, count = [], 0
 
     def joined() -> list[np.ndarray]:
         return [np.concatenate(parts) for parts in zip(*held, strict=True)]
 
     for row, symbols in texts:
-        first, blocks = (round_ - row) % SHARE, -(-len(symbols) // SPAN)
+        first, blocks = (round_ - row) % SHARE, -(-len(symbols) // span)
         if first >= blocks:
             continue
-        x, y = np.zeros(blocks * SPAN, np.int64), np.zeros(blocks * SPAN, np.int64)
-        x[0], x[1 : len(symbols)], y[: len(symbols)] = n, symbols[:-1], symbols
-        held.append([m.reshape(-1, SPAN)[first::SHARE] for m in (x, y, np.arange(len(x)) < len(symbols))])
+        x, y = np.zeros(blocks * span, np.int64), np.zeros(blocks * span, np.int64)
+        x[0], x[1 : len(symbols)], y[: len(symbols)] = n, symbols[:-1], symbols if classes is None else classes[symbols]
+        held.append([m.reshape(-1, span)[first::SHARE] for m in (x, y, np.arange(len(x)) < len(symbols))])
         count += len(held[-1][0])
         if count >= BATCH:
             whole = joined()
@@ -241,25 +244,61 @@ def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int) -> Ite
         yield tuple(joined())
 
 
+def summed(parts: DataFrame) -> DataFrame:
+    """parts (part, ids, n, x), sums of rows of WIDTH numbers by id, packed. The same with one row a part."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for part, ids, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.frombuffer(ids, np.int64) // PARTS
+                counts, sums = found.get(part, (np.zeros(0, np.int64), np.zeros((0, WIDTH))))
+                if len(at) and at[-1] >= len(counts):  # ids are in order
+                    more = int(at[-1]) + 1 - len(counts)
+                    counts, sums = np.append(counts, np.zeros(more, np.int64)), np.concatenate((sums, np.zeros((more, WIDTH))))
+                counts[at] += np.frombuffer(n, np.int64)
+                sums[at] += np.frombuffer(x, np.float32).reshape(-1, WIDTH)
+                found[part] = counts, sums
+        for part, (counts, sums) in found.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"part": [part], "ids": [(at * PARTS + part).tobytes()], "n": [counts[at].tobytes()], "x": [sums[at].astype(np.float32).tobytes()]}, SCHEMA)
+
+    return parts.repartition(PARTS, "part").mapInArrow(add, "part long, ids binary, n binary, x binary")
+
+
+SCHEMA = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("n", pa.binary()), ("x", pa.binary())])
+
+
 def fit(texts: DataFrame, vocab: Vocabulary) -> Attention:
-    """The model, trained on texts (row, ids): tasks train apart and are averaged, as many numbers as the model has go to the driver."""
+    """The model, trained on texts (row, ids): tasks train apart and are averaged, an embedding by how often each has seen its subword. As many numbers as the model has go to the driver."""
     size = len(vocab.classes)
     classes = len(vocab.shares)
-    model = Attention(classes, vocab.shares)
+    model = Attention(classes, vocab.shares, inputs=size, span=VIEW)
+    pad = lambda flat: np.append(flat, np.zeros(-len(flat) % WIDTH, np.float32))
+    rest = size + 1 + np.arange(len(pad(model.flat())) // WIDTH)  # other parameters are rows behind the embeddings
+    context = texts.sparkSession.sparkContext
     for k in range(ROUNDS):
-        now = model.flat()
+        now = context.broadcast((model.flat(), model.p["E"]))
 
-        def learn(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, k: int = k) -> Iterator[pa.RecordBatch]:
-            own = Attention(classes).load(now)
-            parts = ((row, np.append(vocab.classes[np.frombuffer(b, np.uint16)], vocab.classes[size - 1])) for batch in batches for row, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            seen = train(own, windows(parts, classes, k))
+        def learn(batches: Iterator[pa.RecordBatch], now=now, k: int = k) -> Iterator[pa.RecordBatch]:
+            own = Attention(classes, inputs=size, span=VIEW).load(*now.value)
+            parts = ((row, np.append(np.frombuffer(b, np.uint16), size - 1).astype(np.int64)) for batch in batches for row, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            counts = np.zeros(size + 1, np.int64)
+            seen = train(own, windows(parts, size, k, VIEW, vocab.classes), counts=counts)
             if seen:
-                flat = np.append(own.flat(), 1.0) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["k", "x"])
-
-        sums = texts.select("row", "ids").mapInArrow(learn, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toPandas().sort_values("k").x.to_numpy()
-        if len(sums):
-            model.load(sums[:-1] / sums[-1])
+                at = np.append(np.flatnonzero(counts), rest)
+                n = np.append(counts[counts > 0], np.full(len(rest), seen))
+                x = np.concatenate((own.p["E"][counts > 0], pad(own.flat()).reshape(-1, WIDTH))) * n[:, None].astype(np.float32)
+                for part in range(PARTS):
+                    mine = at % PARTS == part
+                    yield pa.RecordBatch.from_pydict({"part": [part], "ids": [at[mine].tobytes()], "n": [n[mine].tobytes()], "x": [x[mine].astype(np.float32).tobytes()]}, SCHEMA)
+
+        got = summed(texts.select("row", "ids").mapInArrow(learn, "part long, ids binary, n binary, x binary")).toPandas()
+        if len(got):
+            at, n = (np.frombuffer(b"".join(got[c]), np.int64) for c in ("ids", "n"))
+            rows = np.concatenate((model.p["E"], pad(model.flat()).reshape(-1, WIDTH)))
+            rows[at] = np.frombuffer(b"".join(got.x), np.float32).reshape(-1, WIDTH) / n[:, None]
+            model.load(rows[size + 1 :].ravel(), rows[: size + 1])
     return model
 
 
@@ -267,16 +306,18 @@ def model_scores(texts: DataFrame, vocab: Vocabulary, model: Attention) -> DataF
     """texts without ids and rest, with score, the log10 probability of the text and its end."""
     size = len(vocab.classes)
     keep = [c for c in texts.columns if c not in ("ids", "rest")]
+    shared = texts.sparkSession.sparkContext.broadcast((model.flat(), model.p["E"]))
+    classes = len(vocab.shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = model.scorer()
+        score = Attention(classes, inputs=size, span=VIEW).load(*shared.value).scorer()
         for batch in batches:
             out = []
             for k in range(0, batch.num_rows, 500):
                 each = [np.frombuffer(b, np.uint16) for b in batch.column(len(keep)).slice(k, 500).to_pylist()]
                 lengths = np.array([len(x) + 1 for x in each])
                 ids = np.concatenate([y for x in each for y in (x.astype(np.int64), [size - 1])])
-                logs = score(vocab.classes[ids], lengths) + vocab.share[ids]
+                logs = score(ids, lengths, vocab.classes[ids]) + vocab.share[ids]
                 out.append(np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*keep, "score"])
 

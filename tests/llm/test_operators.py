@@ -350,6 +350,17 @@ def test_scoring_trains_on_every_window():
     assert seen == Counter(int(v) for _, s in texts for v in s)
 
 
+def test_scoring_tells_subwords_of_a_class_apart(spark):
+    """Ids 0 and 1 share a class, but 2 follows the one and 3 the other."""
+    vocab = scoring.Vocabulary(np.array([0, 0, 1, 2, 3]), np.log([0.5, 0.5, 1, 1, 1]), np.full(4, 0.25))
+    r = np.random.default_rng(5)
+    rows = [(i, (r.integers(0, 2, (2000, 1)) + [0, 2]).astype(np.uint16).tobytes()) for i in range(200)]
+    model = scoring.fit(spark.createDataFrame(rows, "row long, ids binary"), vocab)
+    asked = spark.createDataFrame([(k, np.array(x, np.uint16).tobytes()) for k, x in enumerate([(0, 2), (1, 2), (0, 3), (1, 3)])], "row long, ids binary")
+    a, b, c, d = (x.score for x in scoring.model_scores(asked, vocab, model).orderBy("row").collect())
+    assert a > b + 0.5 and d > c + 0.5
+
+
 def test_trigram_queries():
     q = secrets.trigram_query
     assert q(r"AKIA[A-Z0-9]+") == [frozenset(("aki", "kia"))]
