@@ -120,7 +120,7 @@ def rename_values(df: DataFrame, col: str, values: dict[str, str], prefixes: dic
     for old, new in values.items():
         out = F.when(F.col(col) == old, new).otherwise(out)
     for old, new in (prefixes or {}).items():
-        out = F.when(F.col(col).startswith(old), F.concat(F.lit(new), F.substring(F.col(col), len(old) + 1, 1 << 20))).otherwise(out)
+        out = F.when(F.col(col).startswith(old), F.concat(F.lit(new), F.substring(F.col(col), F.lit(len(old) + 1), F.length(col)))).otherwise(out)
     return df.withColumn(col, out)
 
 

@@ -72,6 +72,12 @@ def test_report_actors(spark):
     assert rows(actors) == [("a", "Fancy"), ("b", "Fancy")] and rows(tools) == [("a", "X")] and rows(aliases) == [("Bear", "Fancy"), ("Pawn", "Fancy")]
 
 
+def test_renamed_values_stay_whole(spark):
+    df = spark.sql("select concat('do-', repeat('x', 1200000), 'end') as v union all select 'do' union all select 'other' union all select null")
+    out = merge.rename_values(df, "v", {"other": "else"}, {"do": "net-do"}).select(F.length("v").alias("n"), F.right("v", F.lit(3)).alias("last"))
+    assert {tuple(x) for x in out.collect()} == {(1200010, "end"), (6, "-do"), (4, "lse"), (None, None)}
+
+
 def test_json_backfill(spark):
     raw = '{"Notes":[{"Type":7,"Value":"Kernel"},{"Type":2,"Value":"A description that is long enough"}]}'
     out = merge.backfill_from_json(spark.createDataFrame([("c", None, "123", raw), ("d", "kept", "Own", raw)], "cve_id string, description string, component string, raw_json string"))
