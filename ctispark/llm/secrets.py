@@ -40,6 +40,8 @@ MORE = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
+#: The quotation mark that opens the value at a span's end.
+OPENED = r"""(["'])[A-Za-z0-9+/_.=-]+\z"""
 #: An expression that would need more alternatives than this gets a gap instead.
 ALTERNATIVES = 64
 #: Up to so many ids of candidates (8 bytes each) are broadcast; more are joined by a shuffle.
@@ -143,8 +145,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
     """docs with secret_spans, array<struct<start,rank,end,kind>> by start, then kind.
 
     Null and empty texts have none. Ids may be null or repeat: candidates are
-    found by id and verified by row, so each row gets its own spans. A column
-    of docs named secret_spans is replaced. Empty input gives empty output.
+    found by id and verified by row, so each row gets its own spans; repeated
+    rows have the same. Texts of any length are scanned whole. At one place
+    kinds stand as listed. A column of docs named secret_spans is replaced,
+    others pass through; __id and __rules are names of this function's own and
+    may not be in docs. Empty input gives empty output.
     """
     docs = docs.drop("secret_spans")
     found = staged(candidates(docs.select(doc_id, text), rules, doc_id, text).select(F.col("id").alias("__id"), F.col("rules").alias("__rules")))
@@ -160,18 +165,27 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str =
 
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret (overlapping ones as one) replaced by mark. Texts without secrets, and null texts, stay as they are."""
-    found = find_secrets(docs, doc_id=doc_id, text=text)
+    """docs with each secret (overlapping ones as one) replaced by mark.
+
+    A value that a quotation mark opens takes the same mark behind it along, if
+    it stands there; the spans of find_secrets don't. Texts without secrets,
+    and null texts, stay as they are; texts of any length are redacted whole.
+    All columns of docs pass through, one named secret_spans too.
+    """
+    own = docs.withColumnRenamed("secret_spans", "__own_spans")
+    found = find_secrets(own, doc_id=doc_id, text=text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     t = F.col(text)
 
     def step(a: Column, s: Column) -> Column:
         kept = F.substring(t, a["at"] + 1, s["start"] - a["at"])
         out = F.when(s["start"] >= a["at"], F.concat(a["out"], kept, F.lit(mark))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+        opened = F.regexp_extract(F.substring(t, s["start"] + 1, s["end"] - s["start"]), OPENED, 1)
+        end = s["end"] + F.when((opened != "") & (opened == F.substring(t, s["end"] + 1, F.lit(1))), 1).otherwise(0)
+        return F.struct(F.greatest(a["at"], end).alias("at"), out.alias("out"))
 
     clean = F.aggregate("secret_spans", start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(t)).drop("secret_spans")
+    return found.withColumn(text, F.when(F.size("secret_spans") > 0, clean).otherwise(t)).drop("secret_spans").withColumnRenamed("__own_spans", "secret_spans")
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
