@@ -1,170 +1,272 @@
-"""A small causal self-attention model over symbol sequences, in numpy."""
+"""A small causal self-attention model over symbol sequences, in numpy.
+
+One head: keys are the symbols' embeddings, queries and values are linear in
+them (a matrix of the keys' own would only be multiplied into that of the
+queries); scores get a learned term for the distance, and the attended values
+are added to the embedding before the output.
+
+The output has two steps that give each symbol a probability of its own: a
+softmax over classes, then, within the class, a tree of decisions down to the
+symbol. A decision is logistic in the first BRANCH numbers of the state, with
+the log odds of the counts as a fixed term. Embeddings and decisions begin at
+zero, so what was never trained has its share of the counts.
+"""
+
+from typing import NamedTuple
 
 import numpy as np
 
 #: Positions of a window, where a model is not given others; a scoring window begins half of them before the first that it scores.
 SPAN = 16
-WIDTH = 16
+WIDTH, BRANCH = 16, 8
 
 
-def highest(m: np.ndarray) -> np.ndarray:
-    """The greatest of the last axis, which stays; by halves, as that axis is short."""
-    while m.shape[-1] > 1 and m.shape[-1] % 2 == 0:
-        k = m.shape[-1] // 2
-        m = np.maximum(m[..., :k], m[..., k:])
-    return m.max(axis=-1, keepdims=True)
+class Outputs(NamedTuple):
+    """How symbols are predicted: their classes, the classes' shares, and each symbol's path of decisions, lengths[symbol] entries of nodes and signs from starts[symbol]; odds: the fixed terms of the decisions."""
 
+    classes: np.ndarray
+    shares: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    nodes: np.ndarray
+    signs: np.ndarray
+    odds: np.ndarray
 
-def added(m: np.ndarray) -> np.ndarray:
-    """The sum over the last axis, which stays."""
-    return (m.reshape(-1, m.shape[-1]) @ np.ones((m.shape[-1], 1), m.dtype)).reshape(*m.shape[:-1], 1)
 
+def factored(counts: np.ndarray, kind: np.ndarray, classes: int) -> Outputs:
+    """Symbols by kind and then by count, cut where a class has its part of all; a class is halved by counts again and again."""
+    smooth = counts + 1.0
+    order = np.lexsort((-counts, kind))
+    before = np.cumsum(smooth[order]) - smooth[order]
+    cls = np.empty(len(counts), np.int64)
+    cls[order] = np.minimum((before / smooth.sum() * classes).astype(np.int64), classes - 1)
+    paths: list[list[tuple[int, int]]] = [[] for _ in counts]
+    odds: list[float] = []
+    upto = np.concatenate(([0.0], np.cumsum(smooth[order])))
+    bounds = np.searchsorted(cls[order], np.arange(classes + 1)).tolist()
+    open_ = [(a, b, []) for a, b in zip(bounds, bounds[1:], strict=False) if a < b]
+    while open_:
+        a, b, path = open_.pop()
+        if b - a == 1:
+            paths[order[a]] = path
+            continue
+        middle = (upto[a] + upto[b]) / 2
+        k = int(np.searchsorted(upto[a + 1 : b], middle)) + a + 1
+        if k > a + 1 and (k >= b or middle - upto[k - 1] < upto[k] - middle):
+            k -= 1
+        node = len(odds)
+        odds.append(float(np.log((upto[k] - upto[a]) / (upto[b] - upto[k]))))
+        open_ += [(a, k, [*path, (node, 1)]), (k, b, [*path, (node, -1)])]
+    lengths = np.array([len(p) for p in paths], np.int64)
+    flat = np.array([step for p in paths for step in p], np.int64).reshape(-1, 2)
+    shares = np.bincount(cls, smooth, classes) / smooth.sum()
+    return Outputs(cls, shares, np.cumsum(lengths) - lengths, lengths, np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.float32), np.array(odds, np.float32))
+
+
+def _rows(keys: np.ndarray, values: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the sums of their values' rows, and how often each is real."""
+    if not len(keys):
+        return keys, values, real
+    order = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
+    own = keys[order]
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0), np.add.reduceat(real[order].astype(np.int64), starts)
 
-class Attention:
-    """Predicts the next of n symbols from the symbols before it; symbol n stands before the first.
 
-    With a number of inputs, the symbols before are so many other ones (and
-    that number stands before the first), of which the n are classes. Their
-    embeddings begin at zero, so one that was never trained says nothing, and
-    their gradients are sparse: a pair of symbols and rows.
+def _exp(m: np.ndarray) -> np.ndarray:
+    """exp of the last axis up to a factor of its own, in place; the greatest is only taken off where numbers are large."""
+    if not m.max(initial=0) < 60:
+        m -= m.max(axis=-1, keepdims=True)
+    return np.exp(m, out=m)
 
-    One head: queries, keys and values are linear in the symbols' embeddings,
-    scores get a learned term for the distance, and the attended values are
-    added to the embedding before the output layer.
-    """
 
-    def __init__(self, n: int, shares: np.ndarray | None = None, seed: int = 7, kind: type = np.float32, inputs: int | None = None, span: int = SPAN):
+class Attention:
+    """Predicts the next symbol from those before it; the number behind the last symbol stands before the first."""
+
+    def __init__(self, out: Outputs, span: int = SPAN, seed: int = 7, kind: type = np.float32):
         rng = np.random.default_rng(seed)
-        self.n, self.kind, d = n, kind, WIDTH
-        self.inputs, self.sparse, self.span, self.half = n if inputs is None else inputs, inputs is not None, span, span // 2
-        self.shapes = {"E": (self.inputs + 1, d), "Q": (d, d), "K": (d, d), "V": (d, d), "W": (d, n), "b": (n,), "r": (span,)}
-        self.p = {k: (rng.normal(0, 0.3 if k == "E" else 0.25, s) if len(s) > 1 else np.zeros(s)).astype(kind) for k, s in self.shapes.items()}
-        if self.sparse:
-            self.p["E"] = np.zeros(self.shapes["E"], kind)
-        if shares is not None:
-            self.p["b"] = np.log(np.maximum(shares, 1e-6)).astype(kind)
+        self.out, self.kind, self.span, self.half, self.first = out, kind, span, span // 2, len(out.classes)
+        c = len(out.shares)
+        self.shapes = {"Q": (WIDTH, WIDTH), "V": (WIDTH, WIDTH), "W": (WIDTH, c), "b": (c,), "r": (span,)}
+        self.p = {k: (rng.normal(0, 0.25, s) if len(s) > 1 else np.zeros(s)).astype(kind) for k, s in self.shapes.items()}
+        self.p["b"] = np.log(np.maximum(out.shares, 1e-6)).astype(kind)
+        self.p["E"] = np.zeros((self.first + 1, WIDTH), kind)
+        self.p["U"] = np.zeros((len(out.odds), BRANCH), kind)
         self.distance = np.arange(span)[:, None] - np.arange(span)
 
-    def flat(self) -> np.ndarray:
-        """All parameters but the embeddings."""
-        return np.concatenate([self.p[k].ravel() for k in self.shapes if k != "E"])
+    def table(self) -> np.ndarray:
+        """All parameters in rows of BRANCH numbers: embeddings, decisions, then the others, filled up with zeros."""
+        flat = np.concatenate([self.p[k].ravel() for k in self.shapes])
+        return np.concatenate((self.p["E"].reshape(-1, BRANCH), self.p["U"], np.append(flat, np.zeros(-len(flat) % BRANCH)).reshape(-1, BRANCH))).astype(np.float32)
 
-    def load(self, flat: np.ndarray, embeddings: np.ndarray) -> "Attention":
-        at = 0
-        self.p["E"] = embeddings.astype(self.kind)
+    def load(self, table: np.ndarray) -> "Attention":
+        a, b = self.p["E"].size // BRANCH, len(self.p["U"])
+        self.p["E"], self.p["U"] = table[:a].reshape(-1, WIDTH).astype(self.kind), table[a : a + b].astype(self.kind)
+        flat, at = table[a + b :].ravel(), 0
         for k, s in self.shapes.items():
-            if k != "E":
-                n = int(np.prod(s))
-                self.p[k] = flat[at : at + n].reshape(s).astype(self.kind)
-                at += n
+            n = int(np.prod(s))
+            self.p[k] = flat[at : at + n].reshape(s).astype(self.kind)
+            at += n
         return self
 
-    def loss(self, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of targets y after symbols x (windows by span, where real), and gradients."""
-        p, root = self.p, self.kind(np.sqrt(WIDTH))
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        times = lambda m, w: (flat(m) @ w).reshape(*m.shape[:-1], -1)
-        e = p["E"][x]
-        q, k, v = times(e, p["Q"]), times(e, p["K"]), times(e, p["V"])
-        s = (q / root) @ k.transpose(0, 2, 1)
+    def _levels(self, h: np.ndarray, y: np.ndarray):
+        """Targets y, those of the longest paths first, and a row a level of their paths: how many have it, its nodes, signs, weights and margins."""
+        o = self.out
+        order = np.argsort(255 - np.minimum(o.lengths[y], 255).astype(np.uint8), kind="stable")
+        lengths, starts = o.lengths[y[order]], o.starts[y[order]]
+        state = np.ascontiguousarray(h[:, :BRANCH]).take(order, axis=0)
+        have = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0)).tolist()
+
+        def levels():
+            for k, n in enumerate(have):
+                at = starts[:n] + k
+                nodes, signs = o.nodes.take(at), o.signs.take(at)
+                weights = self.p["U"].take(nodes, axis=0)
+                margin = (state[:n] * weights) @ np.ones(BRANCH, self.kind)
+                margin += o.odds.take(nodes)
+                margin *= signs
+                yield n, nodes, signs, weights, np.clip(margin, -60, 60, out=margin)
+
+        return order, state, sum(have), levels()
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, measured: bool = False) -> tuple[float, dict]:
+        """Mean loss (if measured) of targets y after symbols x (windows by span, where real), and gradients; those of E and U are rows' numbers, rows, and how often each was used."""
+        p, root, ones = self.p, self.kind(np.sqrt(WIDTH)), lambda n: np.ones((n, 1), self.kind)
+        blocks = lambda m: m.reshape(-1, self.span, WIDTH)
+        dot = lambda a, b: np.einsum("ij,ij->i", a, b)
+        flip = lambda m: m.transpose(0, 2, 1)
+        xs, ys, n = x.ravel(), y.ravel(), x.size
+        weight = real.ravel().astype(self.kind) / self.kind(max(1, int(real.sum())))
+        e = p["E"].take(xs, axis=0)
+        q = e @ (p["Q"] / root)
+        s = blocks(q) @ flip(blocks(e))
         s += np.where(self.distance >= 0, p["r"][np.maximum(self.distance, 0)], self.kind(-np.inf))
-        s -= highest(s)
-        a = np.exp(s, out=s)
-        a /= added(a)
-        h = e + a @ v
-        z = times(h, p["W"]) + p["b"]
-        z -= highest(z)
-        out = np.exp(z, out=z)
-        out /= added(out)
-        n = max(1, int(real.sum()))
-        rows = np.take_along_axis(out, y[:, :, None], 2)[:, :, 0]
-        loss = float(-np.log(np.maximum(rows, self.kind(1e-30)))[real].sum() / n)
-        np.put_along_axis(out, y[:, :, None], (rows - 1)[:, :, None], 2)
-        dz = np.multiply(out, real[:, :, None] / self.kind(n), out=out)
-        dh = times(dz, p["W"].T)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = da - added(da * a)
-        ds *= a
-        dq, dk, dv = ds @ k / root, ds.transpose(0, 2, 1) @ q / root, a.transpose(0, 2, 1) @ dh
-        de = dh + times(dq, p["Q"].T) + times(dk, p["K"].T) + times(dv, p["V"].T)
-        if self.sparse:
-            order = np.argsort(x.ravel().astype(np.uint16) if self.inputs < 1 << 16 else x.ravel(), kind="stable")
-            own = x.ravel()[order]
-            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            by_symbol = own[starts], np.add.reduceat(flat(de)[order], starts)
-        else:
-            by = np.zeros((self.n + 1, x.size), self.kind)
-            by[x.ravel(), np.arange(x.size)] = 1
-            by_symbol = by @ flat(de)
-        total = ds.sum(axis=0)
-        return loss, {
-            "E": by_symbol, "Q": flat(e).T @ flat(dq), "K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv), "W": flat(h).T @ flat(dz), "b": flat(dz).sum(axis=0),
-            "r": np.bincount(np.maximum(self.distance, 0).ravel(), np.where(self.distance >= 0, total, 0).ravel(), self.span),
-        }
+        _exp(s)
+        total = s.reshape(n, -1) @ ones(self.span)
+        c = (s @ blocks(e)).reshape(n, -1)
+        c /= total
+        h = c @ p["V"]
+        h += e
+        # classes
+        z = h @ p["W"]
+        z += p["b"]
+        _exp(z)
+        sums, cls = z @ ones(z.shape[1]), self.out.classes[ys]
+        loss = -float((np.log(np.maximum(z[np.arange(n), cls] / sums[:, 0], 1e-30)) * weight).sum()) if measured else 0.0
+        z *= weight[:, None] / sums
+        z[np.arange(n), cls] -= weight
+        dh = z @ p["W"].T
+        # decisions within the class
+        order, state, steps, levels = self._levels(h, ys)
+        own, used, back = weight[order], real.ravel()[order], np.zeros((n, BRANCH), self.kind)
+        asked, pushed, was, at = np.zeros(steps, np.int64), np.zeros((steps, BRANCH), self.kind), np.zeros(steps, bool), 0
+        for k, nodes, signs, weights, margin in levels:
+            if measured:
+                loss += float((np.log1p(np.exp(-margin)) * own[:k]).sum())
+            g = np.exp(margin)
+            g += 1
+            np.divide(signs * own[:k], g, out=g)
+            weights *= g[:, None]
+            back[:k] -= weights
+            np.multiply(state[:k], -g[:, None], out=pushed[at : at + k])
+            asked[at : at + k], was[at : at + k] = nodes, used[:k]
+            at += k
+        dh[order, :BRANCH] += back
+        found = {"W": h.T @ z, "b": z.sum(axis=0), "U": _rows(asked, pushed, was)}
+        # attention; the sum of gradients times shares is that of gradients times attended values
+        dc = dh @ p["V"].T
+        found["V"] = c.T @ dh
+        dc /= total
+        ds = blocks(dc) @ flip(blocks(e))
+        ds -= dot(dc, c).reshape(*x.shape, 1)
+        ds *= s
+        dq = (ds @ blocks(e)).reshape(n, -1)
+        de = dq @ (p["Q"].T / root)
+        de += dh
+        de3 = blocks(de)
+        de3 += flip(s) @ blocks(dc)
+        de3 += flip(ds) @ blocks(q)
+        by = ds.sum(axis=0)
+        found["r"] = np.bincount(np.maximum(self.distance, 0).ravel(), np.where(self.distance >= 0, by, 0).ravel(), self.span)
+        return loss, found | {"Q": e.T @ dq / root, "E": _rows(xs, de, real.ravel())}
 
     def scorer(self):
-        """A function of (symbols, lengths, targets), sequences one behind the other: the natural log of each target's probability; the symbols are the targets if there are no others."""
-        p, half, span = self.p, self.half, self.span
-        first, none = self.inputs, self.inputs + 1  # before a sequence; nothing there
+        """A function of (symbols, lengths), sequences one behind the other: the natural log of each symbol's probability."""
+        p, half, span, classes = self.p, self.half, self.span, self.out.classes
+        first, none = self.first, self.first + 1  # before a sequence; nothing there
         e = np.concatenate((p["E"], np.zeros((1, WIDTH), self.kind)))
-        query, key, value = e @ (p["Q"] / self.kind(np.sqrt(WIDTH))), e @ p["K"], e @ p["V"]
+        query = p["Q"] / self.kind(np.sqrt(WIDTH))
         ahead = np.arange(half)[:, None] + half - np.arange(span)
         near = np.where(ahead >= 0, p["r"][np.maximum(ahead, 0)], self.kind(-np.inf))
 
-        def score(symbols: np.ndarray, lengths: np.ndarray, targets: np.ndarray | None = None) -> np.ndarray:
+        def score(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
             # each sequence gets half places of nothing in front, and is filled up to a multiple of half
             blocks = -(-lengths // half)
             places = (blocks + 1) * half
             starts = np.cumsum(places) - places + half
             at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(symbols))
             x, y = np.full(int(places.sum()), none), np.zeros(int(places.sum()), np.int64)
-            y[at] = symbols if targets is None else targets
+            y[at] = symbols
             x[starts[lengths > 0]] = first
             inner = np.ones(len(symbols), bool)
             inner[np.cumsum(lengths)[lengths > 0] - 1] = False
             x[at[inner] + 1] = symbols[inner]
-            x, y = x.reshape(-1, half), y.reshape(-1, half)
+            filled = np.zeros(len(x), bool)
+            filled[at] = True
+            x, y, filled = x.reshape(-1, half), y.reshape(-1, half), filled.reshape(-1, half)
             asked = np.ones(len(x), bool)
             asked[(np.cumsum(blocks + 1) - blocks - 1)] = False
             rows = np.flatnonzero(asked)
             out = np.zeros(x.shape, np.float64)
-            for k in range(0, len(rows), 512):
-                own = rows[k : k + 512]
-                queries, keys = x[own], np.concatenate((x[own - 1], x[own]), axis=1)
-                a = query.take(queries, axis=0) @ key.take(keys, axis=0).transpose(0, 2, 1)
-                a += near
-                a += np.where(keys == none, self.kind(-np.inf), self.kind(0))[:, None, :]
-                a -= highest(a)
-                np.exp(a, out=a)
-                a /= added(a)
-                h = a @ value.take(keys, axis=0)
-                h += e.take(queries, axis=0)
-                z = (h.reshape(-1, WIDTH) @ p["W"]).reshape(*h.shape[:2], -1) + p["b"]
-                z -= highest(z)
-                got = np.take_along_axis(z, y[own][:, :, None], 2)[:, :, 0]
-                out[own] = got - np.log(added(np.exp(z, out=z))[:, :, 0])
+            for k in range(0, len(rows), 256):
+                own = rows[k : k + 256]
+                kept = e.take(np.concatenate((x[own - 1], x[own]), axis=1), axis=0)
+                late = kept[:, half:].reshape(-1, WIDTH)
+                s = (late @ query).reshape(-1, half, WIDTH) @ kept.transpose(0, 2, 1)
+                s += near
+                empty = x[own - 1, 0] == none  # the first block of a sequence
+                s[empty, :, :half] = -np.inf
+                _exp(s)
+                c = (s @ kept).reshape(-1, WIDTH)
+                c /= s.reshape(len(c), -1) @ np.ones((span, 1), self.kind)
+                h = c @ p["V"]
+                h += late
+                z = h @ p["W"]
+                z += p["b"]
+                _exp(z)
+                real = filled[own].ravel()
+                targets = y[own].ravel()[real]
+                got = np.log(z[real, classes[targets]]) - np.log(z.sum(axis=1)[real])
+                order, _, _, levels = self._levels(h[real], targets)
+                lost = np.zeros(len(targets))
+                for n, _, _, _, margin in levels:
+                    lost[:n] += np.log1p(np.exp(-margin))
+                got[order] -= lost
+                block = np.zeros(len(own) * half)
+                block[real] = got
+                out[own] = block.reshape(-1, half)
             return out.ravel()[at]
 
         return score
 
 
-def train(model: Attention, windows, rate: float = 0.02, counts: np.ndarray | None = None) -> int:
-    """Adam over windows, (x, y, real) batches, and Adagrad for sparse embeddings. Returns how many targets it has seen, and adds to counts how often each symbol stood before them."""
-    m = {k: np.zeros(s) for k, s in model.shapes.items() if k != "E" or not model.sparse}
-    v = {k: np.zeros(s) for k, s in model.shapes.items() if k != "E" or not model.sparse}
-    squares = np.zeros(model.shapes["E"], model.kind) if model.sparse else None
+def train(model: Attention, windows, rate: float = 0.02, before: np.ndarray | None = None, decided: np.ndarray | None = None) -> int:
+    """Adam over windows, (x, y, real) batches, and Adagrad for embeddings and decisions. Returns how many targets it has seen; adds to before how often each symbol stood before them, and to decided how often each decision was made."""
+    m = {k: np.zeros(s) for k, s in model.shapes.items()}
+    v = {k: np.zeros(s) for k, s in model.shapes.items()}
+    squares = {k: np.zeros(model.p[k].shape, model.kind) for k in ("E", "U")}
     seen = t = 0
     for x, y, real in windows:
-        _, g = model.loss(x, y, real)
+        _, g = model.gradients(x, y, real)
         t += 1
         seen += int(real.sum())
-        if counts is not None:
-            counts += np.bincount(x[real], minlength=len(counts))
-        if model.sparse:
-            at, rows = g.pop("E")
-            now = squares[at] + rows**2
-            squares[at] = now
-            model.p["E"][at] -= model.kind(5 * rate * min(1.0, t / 20)) * rows / (np.sqrt(now) + model.kind(1e-8))
+        for k, counts, faster in (("E", before, 5), ("U", decided, 10)):
+            at, rows, times = g.pop(k)
+            if counts is not None:
+                counts[at] += times
+            now = squares[k][at] + rows**2
+            squares[k][at] = now
+            model.p[k][at] -= model.kind(faster * rate * min(1.0, t / 20)) * rows / (np.sqrt(now) + model.kind(1e-8))
         for k in g:
             m[k] += 0.1 * (g[k] - m[k])
             v[k] += 0.01 * (g[k] ** 2 - v[k])

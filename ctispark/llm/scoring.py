@@ -1,10 +1,9 @@
 """Language-model scores of documents.
 
 A causal self-attention model, trained in numpy on the subword ids of a public
-vocabulary, predicts the class of the next subword from the ids before it
-(classes hold about equal shares of the corpus, by frequency, and are only what
-the output is factored by); within its class a subword has its smoothed share
-of all training subwords. Each task trains on windows of its
+vocabulary, predicts each subword from those before it: first its class, then,
+by a tree of decisions, the subword itself. A document's subwords are those of
+its words, each with the space before it. Each task trains on windows of its
 own documents, and the parameters are averaged by what was seen, twice; the
 rounds share out the windows, so together they see every one once. A document
 is scored in overlapping windows: each subword is scored once, with the half
@@ -16,8 +15,8 @@ Words with at least one in HEAD of all occurrences, HEAD at most, are
 broadcast; occurrences of all others go to their shards to be scored.
 """
 
+import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,19 +24,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctispark.llm.attention import SPAN, WIDTH, Attention, train
-from ctispark.llm.common import read, staged
-from ctispark.llm.shingles import split, word_hashes
+from ctispark.llm.attention import BRANCH, SPAN, Attention, Outputs, factored, train
+from ctispark.llm.common import pieces, read, staged
+from ctispark.llm.shingles import word_hashes
 
 CLASSES = 32
-#: Each of ROUNDS rounds trains on one window in SHARE, other ones each, so on all together; BATCH at a time.
+#: Each of ROUNDS rounds trains on one window in SHARE, other ones each, so on all of them together; BATCH at a time.
 SHARE = ROUNDS = 2
 BATCH = 128
-#: Positions of a window; the parts by which embeddings of tasks are summed.
-VIEW, PARTS = 32, 16
+#: Positions of a window; parts by which parameters of tasks are summed, one for so many documents.
+VIEW, FEWEST_PARTS, PART_DOCS = 32, 16, 1_000_000
 HEAD = 1_000_000
 #: Shards: one for so many documents, FEWEST_SHARDS at least.
-SHARD_DOCS, FEWEST_SHARDS = 50_000, 16
+SHARD_DOCS, FEWEST_SHARDS = 20_000, 32
+#: Words whose subwords a worker keeps.
+KEPT_WORDS = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -61,9 +62,9 @@ def encoder(ranks: str):
     return _encoders[ranks]
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words, A-Z in lower case."""
-    return [] if not text else split(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words, A-Z in lower case; bytes.split() parts at space and \\x09 to \\x0d, and at nothing else."""
+    return text.lower().split() if text else []
 
 
 def word_shards(rows: DataFrame, shards: int) -> DataFrame:
@@ -73,7 +74,7 @@ def word_shards(rows: DataFrame, shards: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[bool, list[np.ndarray]] = {False: [], True: []}
-            for held, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for held, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 found[held].append(word_hashes(tokens(t)))
             out: list[list] = [[], [], [], []]
             for held, hs in found.items():
@@ -115,14 +116,6 @@ def frequent(shards: DataFrame, n_all: int, most: int = HEAD) -> tuple[np.ndarra
     return h[order], np.frombuffer(b"".join(got.train), np.int64)[order]
 
 
-class Vocabulary(NamedTuple):
-    """Class of each subword id and the log of its share of the class; the last id ends a text."""
-
-    classes: np.ndarray
-    share: np.ndarray
-    shares: np.ndarray
-
-
 def kinds(ranks: str) -> np.ndarray:
     """For each id whether it begins a word (1) and is not ASCII (2); 4 for the end of a text."""
     import base64
@@ -132,37 +125,47 @@ def kinds(ranks: str) -> np.ndarray:
     return np.array([found[i].startswith(b" ") + 2 * (not found[i].isascii()) for i in range(len(found))] + [4])
 
 
-def vocabulary(counts: np.ndarray, kind: np.ndarray, classes: int = CLASSES) -> Vocabulary:
-    """Subwords by kind and then by frequency, cut where a class has its part of all occurrences."""
-    smooth = counts + 1.0
-    order = np.lexsort((-counts, kind))
-    before = np.cumsum(smooth[order]) - smooth[order]
-    cls = np.empty(len(counts), np.int64)
-    cls[order] = np.minimum((before / smooth.sum() * classes).astype(np.int64), classes - 1)
-    mass = np.bincount(cls, smooth, classes)
-    return Vocabulary(cls, np.log(smooth / mass[cls]), mass / mass.sum())
-
-
 def encoded(rows: DataFrame, ranks: str, head: tuple[np.ndarray, np.ndarray], denominator: int) -> DataFrame:
     """rows (row, id, held, text). With ids (packed), the number of words, the base score's part of frequent words, how many of them are known, and the hashes of the others."""
     shared = rows.sparkSession.sparkContext.broadcast(head)  # HEAD pairs of numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (top, n) = encoder(ranks), shared.value
+        enc, (top, n), kept = encoder(ranks), shared.value, {}
         logs = np.append(np.log10((n + 1) / denominator), 0.0)
         known = np.append(n > 0, False)
-        for batch in batches:
-            ids, ns, sums, seen, rest = [], [], [], [], []
-            for t in batch.column(3).to_pylist():
-                words = tokens(t)
-                ids.append(np.array(enc.encode_ordinary(b" ".join(words).decode("utf-8", "replace")), np.uint16).tobytes())
-                h = word_hashes(words)
-                at = np.searchsorted(top, h)
-                if len(top):
-                    at = np.where(top[np.minimum(at, len(top) - 1)] == h, at, len(top))
-                hit = at < len(top)
-                ns.append(len(h)), sums.append(float(logs[at].sum())), seen.append(int(known[at].sum())), rest.append(h[~hit].tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(ns, pa.int64()), pa.array(sums, pa.float64()), pa.array(seen, pa.int64()), pa.array(rest, pa.binary())], ["row", "id", "held", "ids", "n", "base", "known", "rest"])
+
+        def subwords(word: bytes) -> bytes:
+            found = kept.get(word)
+            if found is None:
+                found = np.array(enc.encode_ordinary(" " + word.decode("utf-8", "replace")), np.uint16).tobytes()
+                if len(kept) < KEPT_WORDS and len(word) < 50:
+                    kept[word] = found
+            return found
+
+        for batch in (part for whole in batches for part in pieces(whole, 3)):
+            words, counts = [], []
+            for t in batch.column(3).cast(pa.binary()).to_pylist():
+                own = tokens(t)
+                words += own
+                counts.append(len(own))
+            h, counts = word_hashes(words), np.array(counts, np.int64)
+            # each different word of the slice is looked up and encoded once
+            distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+            at = np.searchsorted(top, distinct)
+            if len(top):
+                at = np.where(top[np.minimum(at, len(top) - 1)] == distinct, at, len(top))
+            packed = [subwords(words[k]) for k in first.tolist()]
+            pool = np.frombuffer(b"".join(packed), np.uint16)
+            size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+            begin, sizes = np.cumsum(size) - size, size[which]
+            ids = pool[np.arange(sizes.sum()) + np.repeat(begin[which] - (np.cumsum(sizes) - sizes), sizes)]
+            doc, docs = np.repeat(np.arange(len(counts)), counts), len(counts)
+            rare = (at == len(top))[which]
+            id_ends, rare_ends = (np.concatenate(([0], np.cumsum(np.bincount(doc, x, docs).astype(np.int64)))).tolist() for x in (sizes, rare))
+            rest = h[rare]
+            packs = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] for x, ends in ((ids, id_ends), (rest, rare_ends))]
+            base, seen = (np.bincount(doc, x[at][which], docs) for x in (logs, known))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packs[0], pa.binary()), pa.array(counts), pa.array(base), pa.array(seen.astype(np.int64)), pa.array(packs[1], pa.binary())], ["row", "id", "held", "ids", "n", "base", "known", "rest"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return staged(rows.mapInArrow(run, f"row long, id {kind}, held boolean, ids binary, n long, base double, known long, rest binary"))
@@ -219,19 +222,19 @@ def subword_counts(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int, span: int = SPAN, classes: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Batches of the training windows of (row, symbols) texts; n stands before the first symbol. Targets are the symbols, or their classes."""
+def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int, span: int = SPAN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches (before, targets, real) of the training windows of (number, symbols) texts whose turn it is; n stands before the first symbol."""
     held, count = [], 0
 
     def joined() -> list[np.ndarray]:
         return [np.concatenate(parts) for parts in zip(*held, strict=True)]
 
-    for row, symbols in texts:
-        first, blocks = (round_ - row) % SHARE, -(-len(symbols) // span)
+    for number, symbols in texts:
+        first, blocks = (round_ - number) % SHARE, -(-len(symbols) // span)
         if first >= blocks:
             continue
         x, y = np.zeros(blocks * span, np.int64), np.zeros(blocks * span, np.int64)
-        x[0], x[1 : len(symbols)], y[: len(symbols)] = n, symbols[:-1], symbols if classes is None else classes[symbols]
+        x[0], x[1 : len(symbols)], y[: len(symbols)] = n, symbols[:-1], symbols
         held.append([m.reshape(-1, span)[first::SHARE] for m in (x, y, np.arange(len(x)) < len(symbols))])
         count += len(held[-1][0])
         if count >= BATCH:
@@ -244,82 +247,78 @@ def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int, span:
         yield tuple(joined())
 
 
-def summed(parts: DataFrame) -> DataFrame:
-    """parts (part, ids, n, x), sums of rows of WIDTH numbers by id, packed. The same with one row a part."""
+SCHEMA = pa.schema([("part", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("x", pa.binary())])
+
+
+def summed(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (part, at, n, x): numbers of parameter rows, in order, how often each was seen, and the rows times that, packed. The same with one row a part, the sums."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part, ids, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = np.frombuffer(ids, np.int64) // PARTS
-                counts, sums = found.get(part, (np.zeros(0, np.int64), np.zeros((0, WIDTH))))
-                if len(at) and at[-1] >= len(counts):  # ids are in order
+            for part, packed, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = np.frombuffer(packed, np.int64) // parts
+                counts, sums = found.get(part, (np.zeros(0, np.int64), np.zeros((0, BRANCH))))
+                if len(at) and at[-1] >= len(counts):
                     more = int(at[-1]) + 1 - len(counts)
-                    counts, sums = np.append(counts, np.zeros(more, np.int64)), np.concatenate((sums, np.zeros((more, WIDTH))))
+                    counts, sums = np.append(counts, np.zeros(more, np.int64)), np.concatenate((sums, np.zeros((more, BRANCH))))
                 counts[at] += np.frombuffer(n, np.int64)
-                sums[at] += np.frombuffer(x, np.float32).reshape(-1, WIDTH)
+                sums[at] += np.frombuffer(x, np.float32).reshape(-1, BRANCH)
                 found[part] = counts, sums
         for part, (counts, sums) in found.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"part": [part], "ids": [(at * PARTS + part).tobytes()], "n": [counts[at].tobytes()], "x": [sums[at].astype(np.float32).tobytes()]}, SCHEMA)
-
-    return parts.repartition(PARTS, "part").mapInArrow(add, "part long, ids binary, n binary, x binary")
+            yield pa.RecordBatch.from_pydict({"part": [part], "at": [(at * parts + part).tobytes()], "n": [counts[at].tobytes()], "x": [sums[at].astype(np.float32).tobytes()]}, SCHEMA)
 
+    return rows.repartition(parts, "part").mapInArrow(add, "part long, at binary, n binary, x binary")
 
-SCHEMA = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("n", pa.binary()), ("x", pa.binary())])
 
-
-def fit(texts: DataFrame, vocab: Vocabulary) -> Attention:
-    """The model, trained on texts (row, ids): tasks train apart and are averaged, an embedding by how often each has seen its subword. As many numbers as the model has go to the driver."""
-    size = len(vocab.classes)
-    classes = len(vocab.shares)
-    model = Attention(classes, vocab.shares, inputs=size, span=VIEW)
-    pad = lambda flat: np.append(flat, np.zeros(-len(flat) % WIDTH, np.float32))
-    rest = size + 1 + np.arange(len(pad(model.flat())) // WIDTH)  # other parameters are rows behind the embeddings
+def fit(texts: DataFrame, out: Outputs, parts: int = FEWEST_PARTS) -> Attention:
+    """The model, trained on texts (ids): tasks train apart and are averaged, an embedding or a decision by how often each has seen it. As many numbers as the model has go to the driver."""
+    size = len(out.classes)
+    model = Attention(out, VIEW)
     context = texts.sparkSession.sparkContext
+    outs = context.broadcast(out)  # a few numbers for each subword of the vocabulary
     for k in range(ROUNDS):
-        now = context.broadcast((model.flat(), model.p["E"]))
+        now = context.broadcast(model.table())
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, k: int = k) -> Iterator[pa.RecordBatch]:
-            own = Attention(classes, inputs=size, span=VIEW).load(*now.value)
-            parts = ((row, np.append(np.frombuffer(b, np.uint16), size - 1).astype(np.int64)) for batch in batches for row, b in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            counts = np.zeros(size + 1, np.int64)
-            seen = train(own, windows(parts, size, k, VIEW, vocab.classes), counts=counts)
+            own = Attention(outs.value, VIEW).load(now.value)
+            numbered = ((zlib.crc32(b), np.append(np.frombuffer(b, np.uint16), size - 1).astype(np.int64)) for batch in batches for b in batch.column(0).to_pylist())
+            before, decided = np.zeros(size + 1, np.int64), np.zeros(len(own.p["U"]), np.int64)
+            seen = train(own, windows(numbered, size, k, VIEW), before=before, decided=decided)
             if seen:
-                at = np.append(np.flatnonzero(counts), rest)
-                n = np.append(counts[counts > 0], np.full(len(rest), seen))
-                x = np.concatenate((own.p["E"][counts > 0], pad(own.flat()).reshape(-1, WIDTH))) * n[:, None].astype(np.float32)
-                for part in range(PARTS):
-                    mine = at % PARTS == part
-                    yield pa.RecordBatch.from_pydict({"part": [part], "ids": [at[mine].tobytes()], "n": [n[mine].tobytes()], "x": [x[mine].astype(np.float32).tobytes()]}, SCHEMA)
-
-        got = summed(texts.select("row", "ids").mapInArrow(learn, "part long, ids binary, n binary, x binary")).toPandas()
+                table = own.table()
+                n = np.concatenate((np.repeat(before, own.p["E"].shape[1] // BRANCH), decided))
+                n = np.append(n, np.full(len(table) - len(n), seen))
+                for part in range(parts):
+                    mine = np.arange(part, len(n), parts)
+                    mine = mine[n[mine] > 0]
+                    if len(mine):
+                        yield pa.RecordBatch.from_pydict({"part": [part], "at": [mine.tobytes()], "n": [n[mine].tobytes()], "x": [(table[mine] * n[mine, None]).astype(np.float32).tobytes()]}, SCHEMA)
+
+        got = summed(texts.select("ids").mapInArrow(learn, "part long, at binary, n binary, x binary"), parts).toPandas()
         if len(got):
-            at, n = (np.frombuffer(b"".join(got[c]), np.int64) for c in ("ids", "n"))
-            rows = np.concatenate((model.p["E"], pad(model.flat()).reshape(-1, WIDTH)))
-            rows[at] = np.frombuffer(b"".join(got.x), np.float32).reshape(-1, WIDTH) / n[:, None]
-            model.load(rows[size + 1 :].ravel(), rows[: size + 1])
+            at, n = (np.frombuffer(b"".join(got[c]), np.int64) for c in ("at", "n"))
+            table = model.table()
+            table[at] = np.frombuffer(b"".join(got.x), np.float32).reshape(-1, BRANCH) / n[:, None]
+            model.load(table)
     return model
 
 
-def model_scores(texts: DataFrame, vocab: Vocabulary, model: Attention) -> DataFrame:
+def model_scores(texts: DataFrame, model: Attention) -> DataFrame:
     """texts without ids and rest, with score, the log10 probability of the text and its end."""
-    size = len(vocab.classes)
+    size = len(model.out.classes)
     keep = [c for c in texts.columns if c not in ("ids", "rest")]
-    shared = texts.sparkSession.sparkContext.broadcast((model.flat(), model.p["E"]))
-    classes = len(vocab.shares)
+    shared = texts.sparkSession.sparkContext.broadcast((model.out, model.table()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Attention(classes, inputs=size, span=VIEW).load(*shared.value).scorer()
-        for batch in batches:
-            out = []
-            for k in range(0, batch.num_rows, 500):
-                each = [np.frombuffer(b, np.uint16) for b in batch.column(len(keep)).slice(k, 500).to_pylist()]
-                lengths = np.array([len(x) + 1 for x in each])
-                ids = np.concatenate([y for x in each for y in (x.astype(np.int64), [size - 1])])
-                logs = score(ids, lengths, vocab.classes[ids]) + vocab.share[ids]
-                out.append(np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*keep, "score"])
+        out, table = shared.value
+        score = Attention(out, VIEW).load(table).scorer()
+        for batch in (part for whole in batches for part in pieces(whole, len(keep), 1_000_000)):
+            each = [np.append(np.frombuffer(b, np.uint16), size - 1).astype(np.int64) for b in batch.column(len(keep)).to_pylist()]
+            lengths = np.array([len(x) for x in each])
+            logs = score(np.concatenate(each), lengths)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.add.reduceat(logs, np.cumsum(lengths) - lengths) / np.log(10))], [*keep, "score"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name in keep)
     return texts.select(*keep, "ids").mapInArrow(run, f"{types}, score double")
@@ -329,16 +328,19 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; it learns from rows where held is false.
 
     Tokens are words and one end a text; null texts are empty and have only
-    that. Null ids and repeated rows are scored like others. Where there is
-    nothing to learn from, counts are 0 and the model stays as it began. Other
-    columns are not returned; empty input gives empty output.
+    that. Null ids and repeated rows are scored like others, and learned from
+    as often as they occur. Texts of any length are learned from and scored
+    whole. Where there is nothing to learn from, counts are 0 and the model
+    stays as it began. Other columns are not returned, whatever their names;
+    empty input gives empty output.
     """
     if ranks is None:
         import public_tokenizers
 
-        ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), held.alias("held"), F.col(text).alias("text"))
-    shards = max(FEWEST_SHARDS, -(-docs.count() // SHARD_DOCS))
+    total = docs.count()
+    shards, parts = max(FEWEST_SHARDS, -(-total // SHARD_DOCS)), max(FEWEST_PARTS, -(-total // PART_DOCS))
     words = word_shards(rows, shards)
     sums = words.agg(F.sum("n_train"), F.sum("n_all"), F.sum("v")).first()
     n_words, n_all, v = (int(x or 0) for x in sums)
@@ -348,9 +350,8 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
     texts = encoded(rows, ranks, frequent(words, n_all), denominator)
     own = texts.filter(~F.col("held"))
     kind = kinds(ranks)
-    vocab = vocabulary(subword_counts(own, len(kind)), kind)
-    model = fit(own, vocab)
-    scored = model_scores(texts, vocab, model).join(rare_scores(texts, words, shards, denominator), "row", "left")
+    model = fit(own, factored(subword_counts(own, len(kind)), kind, CLASSES), parts)
+    scored = model_scores(texts, model).join(rare_scores(texts, words, shards, denominator), "row", "left")
     zero = F.lit(0)
     end_base = float(np.log10((ends + 1) / denominator))
     return scored.select(
