@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; a folder of this machine only where none is named, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -41,6 +43,26 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key of more rows than HUB_ROWS, and than one in HUBS of all rows, is a hub.
+HUB_ROWS, HUBS = 500, 100_000
+
+
+def hub_join(rows: DataFrame, key: str, table: DataFrame, other: str, n: str, total: int) -> DataFrame:
+    """rows joined with table where key = other. table has one row a key and n, how many rows have it; total: of all rows.
+
+    Hubs are few, HUBS at most, so their entries are broadcast and their rows
+    stay where they are; no task of the shuffled join gets more rows of one key
+    than a hub begins with. rows and table are read twice: give staged ones.
+    """
+    least = max(HUB_ROWS, total // HUBS)
+    hubs, others = table.filter(F.col(n) > least), table.filter(F.col(n) <= least)
+    if total <= HUB_ROWS:
+        return rows.join(table, F.col(key) == F.col(other))
+    near = rows.join(F.broadcast(hubs), F.col(key) == F.col(other))
+    far = rows.join(F.broadcast(hubs.select(F.col(other).alias("__hub"))), F.col(key) == F.col("__hub"), "left_anti")
+    return near.unionByName(far.join(others, F.col(key) == F.col(other)))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctispark.llm.common import read, staged
+from ctispark.llm.common import hub_join, read, staged
 from ctispark.llm.components import components
 from ctispark.llm.shingles import set_id, shingle_set
 
@@ -98,7 +98,7 @@ def candidate_ties(classes: DataFrame) -> DataFrame:
     """classes (c, bands, sketch). Ties (a, b) such that each pair of classes that shares a band, and is not unlike by sketch, hangs together."""
     rows = staged(classes.select("c", "sketch", F.explode("bands").alias("h")).select("h", "c"))
     sizes = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("first")).filter("n > 1").withColumnRenamed("h", "h2")
-    shared = staged(rows.join(sizes, F.col("h") == F.col("h2")).select("h", "c", "n", "first"))
+    shared = staged(hub_join(rows, "h", staged(sizes), "h2", "n", rows.count()).select("h", "c", "n", "first"))
     large = shared.filter(F.col("n") > PAIRED).filter("c <> first").select(F.col("c").alias("a"), F.col("first").alias("b"))
     small = shared.filter(F.col("n") <= PAIRED).groupBy("h").agg(F.sort_array(F.collect_list("c")).alias("cs"))
     paired = small.select(F.posexplode("cs").alias("i", "b"), "cs").select("b", F.explode(F.slice("cs", F.lit(1), F.col("i"))).alias("a")).distinct()
@@ -146,11 +146,11 @@ def verified(c: np.ndarray, m: np.ndarray, sets: list[np.ndarray], across: np.nd
 
 def links(docs: DataFrame, found: DataFrame, ties: DataFrame, doc_id: str, text: str, n: int, similarity: float) -> DataFrame:
     """(c, n_links, n_text_links, root) of the tiles of the clusters that ties make; found: (key, id, c) a row of docs."""
-    clusters = components(ties)
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("k")).withColumnRenamed("component", "cl")
+    clusters = staged(components(ties))
+    sizes = staged(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("k")).withColumnRenamed("component", "cl"))
     reps = found.filter("c is not null").groupBy("c").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("m"))
     split = F.ceil(F.col("k") / BLOCK).cast("int")
-    placed = clusters.join(sizes, F.col("component") == F.col("cl")).select(F.col("id").alias("own"), "component", split.alias("parts"), F.pmod(F.xxhash64("id"), split.cast("long")).cast("int").alias("part"))
+    placed = hub_join(clusters, "component", sizes, "cl", "k", clusters.count()).select(F.col("id").alias("own"), "component", split.alias("parts"), F.pmod(F.xxhash64("id"), split.cast("long")).cast("int").alias("part"))
     members = staged(placed.join(reps, F.col("own") == F.col("c")).select("rep", "c", "m", "component", "parts", "part"))
     side = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members
     key = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("t"), F.xxhash64(text).cast("string")))
@@ -203,8 +203,9 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     cluster that stays, that of the smallest id. Texts without words, null ones
     too, link with nothing and are kept. Null ids come last; a row without an
     id is kept only if its cluster has none with one. Repeated ids are rows of
-    their own and are kept alike. Other columns are not returned; empty input
-    gives empty output.
+    their own and are kept alike. Texts of any length are hashed whole. Other
+    columns are not returned, whatever their names; empty input gives empty
+    output.
     """
     bands, rows = bands_for(similarity, recall)
     found = staged(signatures(docs.select(doc_id, text), doc_id, text, words, bands, rows))
@@ -214,10 +215,11 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     per = tiles.groupBy("c").agg(F.sum("n_links").alias("n_links"), F.sum("n_text_links").alias("n_text_links"))
     comps = components(tiles.select(F.col("c").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("c"), "component")
     least = found.filter("c is not null").groupBy("c").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("m"))
-    named = least.join(per, "c", "left").join(comps, "c", "left").withColumn("component", F.coalesce("component", "c"))
-    tops = named.groupBy("component").agg(F.min("class_id").alias("cluster_id"))
-    info = named.join(tops, "component").select(F.col("c").alias("c2"), "class_id", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), "cluster_id")
-    out = found.select("id", "c").join(info, F.col("c") == F.col("c2"), "left")
+    named = staged(least.join(per, "c", "left").join(comps, "c", "left").withColumn("component", F.coalesce("component", "c")))
+    tops = staged(named.groupBy("component").agg(F.min("class_id").alias("cluster_id"), F.count(F.lit(1)).alias("k")).withColumnRenamed("component", "cl"))
+    info = hub_join(named, "component", tops, "cl", "k", named.count()).select(F.col("c").alias("c2"), "class_id", "m", (F.coalesce("n_links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"), "cluster_id")
+    rows_ = found.select("id", "c")
+    out = hub_join(rows_, "c", staged(info), "c2", "m", rows_.count()).drop("m").unionByName(rows_.filter("c is null"), allowMissingColumns=True)
     lone = F.col("c").isNull()
     return out.select(
         F.col("id").alias(doc_id), F.when(lone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"),

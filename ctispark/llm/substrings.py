@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctispark.llm.common import read, staged
+from ctispark.llm.common import hub_join, read, staged
 from ctispark.llm.shingles import mixed, ngrams, split, word_hashes
 
 WINDOW, ANCHOR = 50, 10
@@ -33,7 +33,8 @@ WINDOW, ANCHOR = 50, 10
 LONGEST = 400
 #: Words of a shard, about.
 SHARD_WORDS = 1_000_000
-HOT = 20_000
+#: An anchor of up to so many different segments is searched in one shard: HOT * (LONGEST + WINDOW) words at most.
+HOT = 2_000
 #: Up to so many ranges of documents (at most 40 bytes each) are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_RANGES = 1_000_000
 
@@ -92,9 +93,9 @@ class FMIndex:
         inside = np.ones(n, bool)
         inside[self.starts + lengths] = False
         text[inside] = ranks + 1
-        self.text, self.window = text, window
+        self.window, self.size = window, n
         # ranks by prefixes of doubled length; those of powers of two up to the window are kept to compare prefixes of any length
-        rank, by_length = text, {1: text}
+        rank, by_length = text, {1: text.astype(np.int32)}
         size = 1
         while True:
             shifted = np.zeros(n, np.int64)
@@ -106,13 +107,17 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
             if size <= window:
-                by_length[size] = rank
+                by_length[size] = rank.astype(np.int32)
             if size >= window:
                 break
-        self.rows = order
-        self.by_length = by_length
-        bwt = text[order - 1]
+        del rank, key, shifted
+        # of the suffix array there stay which sequence a row begins in, and which rows agree in window - 1 numbers
+        self.owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)[order]
+        self.short_lo, self.short_hi = self._groups(order, by_length, window - 1)
+        self.queries, self.lengths = [text[a : a + k].astype(np.int32) for a, k in zip(self.starts.tolist(), lengths.tolist(), strict=True)], lengths
         self.before = np.concatenate(([0], np.cumsum(np.bincount(text))))
+        bwt = text[order - 1].astype(np.int32)
+        del order, by_length, text
         self._wavelet(bwt)
 
     def _wavelet(self, bwt: np.ndarray) -> None:
@@ -142,30 +147,29 @@ class FMIndex:
             pos = self._down(k, pos, symbol >> (self.levels - 1 - k) & 1)
         return self.before[symbol] + pos - self.start[symbol]
 
-    def groups(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def _groups(self, rows: np.ndarray, by_length: dict[int, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
         """For each row the bounds of the rows that agree with it in so many numbers."""
-        differs = np.zeros(len(self.rows), bool)
+        n = self.size
+        differs = np.zeros(n, bool)
         differs[0] = True
-        done, n = 0, len(self.text)
-        for size in sorted(self.by_length, reverse=True):
+        done = 0
+        for size in sorted(by_length, reverse=True):
             while length - done >= size:
-                at = np.minimum(self.rows + done, n - 1)
-                value = np.where(self.rows + done < n, self.by_length[size][at], -1)
+                value = np.where(rows + done < n, by_length[size][np.minimum(rows + done, n - 1)], -1)
                 differs[1:] |= value[1:] != value[:-1]
                 done += size
-        bounds = np.append(np.flatnonzero(differs), len(self.rows))
-        mine = np.cumsum(differs) - 1
+        bounds = np.append(np.flatnonzero(differs), n).astype(np.int32)
+        mine = np.cumsum(differs, dtype=np.int32) - 1
         return bounds[mine], bounds[mine + 1]
 
     def matches(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sequence, offset) of each window that also stands in a sequence of a smaller number in least."""
-        lengths = np.append(self.starts[1:], len(self.text)) - 1 - self.starts
-        owner = np.repeat(np.arange(len(lengths)), lengths + 1)[self.rows]
-        value = np.append(least[owner], np.iinfo(np.int64).max)
-        short_lo, short_hi = self.groups(self.window - 1)
+        lengths = self.lengths
+        value = np.append(least[self.owner], np.iinfo(np.int64).max)
+        stream = np.concatenate(self.queries) if self.queries else np.zeros(0, np.int32)
+        end = np.cumsum(lengths)
         alive = np.flatnonzero(lengths >= self.window)
-        end = self.starts + lengths
-        lo, hi, size = np.zeros(len(lengths), np.int64), np.full(len(lengths), len(self.rows)), 0
+        lo, hi, size = np.zeros(len(lengths), np.int64), np.full(len(lengths), self.size), 0
         found: list[tuple[np.ndarray, ...]] = []
         for step in range(1, int(lengths.max(initial=0)) + 1):
             alive = alive[lengths[alive] >= step]
@@ -173,8 +177,8 @@ class FMIndex:
                 break
             if size == self.window:  # all matches are as long as a window: shorten them
                 row = lo[alive]
-                lo[alive], hi[alive], size = short_lo[row], short_hi[row], size - 1
-            symbol = self.text[end[alive] - step]
+                lo[alive], hi[alive], size = self.short_lo[row], self.short_hi[row], size - 1
+            symbol = stream[end[alive] - step]
             lo[alive], hi[alive] = self.extend(symbol, lo[alive]), self.extend(symbol, hi[alive])
             size += 1
             if size == self.window:
@@ -232,18 +236,19 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64 if k < 4 else np.int32)) for k, x in enumerate(out)], ["row", "id", "anchor", "content", "s", "e"])
 
     every = staged(texts.mapInArrow(cut, "row long, id long, anchor long, content long, s int, e int"))
-    shared = every.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select(F.col("anchor").alias("a2"))
-    some = staged(every.join(shared, F.col("anchor") == F.col("a2"), "left_semi"))
-    least = some.groupBy("anchor", "content").agg(F.min("id").alias("least")).select(F.col("anchor").alias("a2"), F.col("content").alias("c2"), "least")
-    judged = staged(some.join(least, (F.col("anchor") == F.col("a2")) & (F.col("content") == F.col("c2"))).select("row", "id", "anchor", "content", "s", "e", "least"))
+    total = every.count()
+    per = staged(every.groupBy("anchor", "content").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")))
+    shared = per.groupBy("anchor").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo < hi").select(F.col("anchor").alias("a2"), "k")
+    # a content has one anchor, so it alone finds its row
+    contents = staged(hub_join(per, "anchor", staged(shared), "a2", "k", total).select(F.col("content").alias("c2"), "least", "n", "k"))
+    judged = staged(hub_join(every, "content", contents, "c2", "n", total).select("row", "id", "anchor", "s", "e", "least", "k"))
     copies = judged.filter("id > least").select("row", "s", "e")
 
     # a content's segments in its first document, where an anchor has several contents
-    sizes = judged.groupBy("anchor", "content").agg(F.count(F.lit(1))).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("anchor", "a2")
-    left = judged.filter("id = least").join(sizes, F.col("anchor") == F.col("a2")).select("row", "anchor", (F.col("n") > HOT).alias("hot"), "s", "e").distinct()
+    left = judged.filter("id = least and k > 1").select("row", "anchor", (F.col("k") > HOT).alias("hot"), "s", "e").distinct()
     asked = staged(left.groupBy("row").agg(F.collect_list(F.struct("anchor", "hot", "s", "e")).alias("parts")))
-    total = asked.agg(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["e"] - p["s"] + window - 1))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_WORDS))
+    asked_words = asked.agg(F.sum(F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["e"] - p["s"] + window - 1))).first()[0] or 0
+    shards = max(1, -(-asked_words // SHARD_WORDS))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The asked segments' words as hashes; of a hot anchor's, a row for each window with its hash and no words."""
@@ -293,8 +298,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     window whose words also start in a document of a smaller id; kept is the
     other words, joined by a space. Null texts have no words. Null ids count as
     larger than all others; rows that share an id do not repeat each other.
-    Texts of fewer words than the window lose nothing. Other columns are not
-    returned; empty input gives empty output.
+    Texts of fewer words than the window lose nothing, texts of any length are
+    judged whole. Other columns are not returned, whatever their names; empty
+    input gives empty output.
     """
     found = repeats(docs.select(doc_id, text), doc_id, text, window, anchor)
     kind = docs.schema[doc_id].dataType.simpleString()
