@@ -95,7 +95,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     rows = docs.withColumn("__key", key).withColumn("mix_size", size_of(F.col(text))).withColumn("__ident", ident)
     rows = rows.withColumn("__kind", kind).withColumn("__part", part)
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "__kind", "__part").orderBy(F.col(doc_id).asc_nulls_last(), "mix_size")))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__key", "__kind", "__part").orderBy(F.col(doc_id).asc_nulls_last(), "mix_size", F.xxhash64(text), F.col(text))))
     rows = rows.join(starts, ["__key", "__kind", "__part"])
     run = lambda nth: F.floor((F.col("__start") + nth) * F.col("__rate") + F.col("__offset"))
     copies = F.least(run(F.col("__nth")) - run(F.col("__nth") - 1), F.lit(most)).cast("long")
