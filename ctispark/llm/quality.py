@@ -22,6 +22,9 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 #: A sentence, list head or quotation ends like this; lines of SHORT words or more may do without.
 ENDS = r"[.!?:;…。！？)\]\"'”’»][\x20\x09-\x0D]*\z"
 SHORT = 10
+#: Menus and boilerplate are lines of fewer characters than this; longer ones are prose that mentions such things.
+LONG = 250
+SYMBOL = r"[#*$%&|<>]"
 #: Menus and breadcrumbs are strings of these.
 NAVIGATION = r"(?s)\A(?:[^|›•·→]*[|›•·→]){3}"
 BOILERPLATE = r"(?i)lorem ipsum|enable javascript|requires javascript|privacy policy|cookie policy|uses cookies|use of cookies|terms of use|terms of service|all rights reserved|click here|sign up now|subscribe to our|powered by|share this|skip to content"
@@ -30,11 +33,12 @@ NOT_WORD = r"[\x20\x09-\x0D]+"
 
 
 def fails(line: Column) -> Column:
-    """Whether a line with a word breaks a rule: short and no end of a sentence; navigation; boilerplate; a symbol for three words or more; a doubled exclamation mark for three words or more."""
+    """Whether a line with a word breaks a rule: short and no end of a sentence; navigation or boilerplate, not LONG; a symbol for three words or more; a doubled exclamation mark for three words or more."""
     n = F.size(words(line))
     symbols = F.length(F.regexp_replace(line, NOT_SYMBOL, ""))
     shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("!")))
-    return ~line.rlike(ENDS) & (n < SHORT) | line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | (symbols * 3 >= n) & (symbols > 0) | (shouts * 3 >= n) & (shouts > 0)
+    # what is cheap and seldom true comes first; the words are only counted where it is
+    return (F.length(line) < LONG) & (line.rlike(NAVIGATION) | line.rlike(BOILERPLATE)) | line.rlike(SYMBOL) & (symbols * 3 >= n) | F.contains(line, F.lit("!!")) & (shouts * 3 >= n) | ~line.rlike(ENDS) & (n < SHORT)
 
 
 def repeat_words(w: Column) -> Column:
@@ -61,32 +65,36 @@ def repeat_words(w: Column) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with quality_*: the base measures, base_failed, clean_text (the lines that pass and those without words, by line feeds), kept.
+    """docs with quality, a struct of the base measures, base_failed, clean_text (the lines that pass and those without words, by line feeds) and kept.
 
-    A null text has no words and fails for that. Columns of docs named quality
-    are replaced; others pass through, repeated rows are judged alike, empty
-    input gives empty output.
+    A null text has no words and fails for that. Texts of any length are judged
+    whole. Columns of docs named quality are replaced; others pass through,
+    repeated rows are judged alike, empty input gives empty output.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    chars = lambda s: F.length(F.regexp_replace(s, NOT_WORD, "")).cast("long")
+    chars = lambda w: F.length(F.array_join(w, "")).cast("long")
 
-    def measures(w: Column) -> Column:
-        lines = F.split(t, "\n", -1)
+    def measures(w: Column, lines: Column, bad: Column) -> Column:
         worded = F.filter(lines, lambda x: x.rlike(HAS_WORD))
-        clean = F.array_join(F.filter(lines, lambda x: ~x.rlike(HAS_WORD) | ~fails(x)), "\n")
+        some = F.array_contains(bad, True)
+        clean = F.when(some, F.array_join(F.filter(lines, lambda x, i: ~F.get(bad, i)), "\n")).otherwise(t)
+        lost = F.when(some, chars(words(F.array_join(F.filter(lines, lambda x, i: F.get(bad, i)), "\n")))).otherwise(F.lit(0))
         return F.struct(
-            F.size(w).cast("long").alias("n_words"), chars(t).alias("word_chars"), F.length(F.regexp_replace(t, NOT_SYMBOL, "")).cast("long").alias("n_symbols"),
-            let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"), repeat_words(w).alias("n_repeat_words"), clean.alias("clean_text"),
+            F.size(w).cast("long").alias("n_words"), chars(w).alias("word_chars"), F.length(F.regexp_replace(t, NOT_SYMBOL, "")).cast("long").alias("n_symbols"),
+            F.when(F.size(lines) < 2, 0).otherwise(let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x)))).cast("long").alias("n_dup_lines"), repeat_words(w).alias("n_repeat_words"), clean.alias("clean_text"), lost.alias("lost"),
         )
 
     def verdict(q: Column) -> Column:
         failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MOST_REPEATED * q["n_words"])
-        lost = q["word_chars"] - chars(q["clean_text"])
-        return q.withField("base_failed", failed).withField("kept", ~failed & (100 * lost <= MOST_LOST * q["word_chars"]))
+        return q.withField("base_failed", failed).withField("kept", ~failed & (100 * q["lost"] <= MOST_LOST * q["word_chars"])).dropFields("lost")
+
+    def judged(lines: Column) -> Column:
+        bad = F.transform(lines, lambda x: x.rlike(HAS_WORD) & fails(x))
+        return let(bad, lambda b: let(words(F.col(text)), lambda w: measures(w, lines, b)))
 
     # a generator's output is computed once, however many filters and columns ask for it
     docs = docs.drop("quality")
-    once = F.explode(F.array(let(let(words(F.col(text)), measures), verdict)))
+    once = F.explode(F.array(let(let(F.split(t, "\n", -1), judged), verdict)))
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns], once.alias("quality"))
 
 
@@ -112,7 +120,7 @@ x as (
   from l where regexp_matches(line, {_sql(HAS_WORD)})),
 b as (
   select doc_id, count(*) - count(distinct line) as n_dup_lines,
-    sum(case when (not regexp_matches(line, {_sql(ENDS)}) and n < {SHORT}) or regexp_matches(line, {_sql(NAVIGATION)}) or regexp_matches(line, {_sql(BOILERPLATE)})
+    sum(case when (not regexp_matches(line, {_sql(ENDS)}) and n < {SHORT}) or (length(line) < {LONG} and (regexp_matches(line, {_sql(NAVIGATION)}) or regexp_matches(line, {_sql(BOILERPLATE)})))
       or (symbols > 0 and symbols * 3 >= n) or (shouts > 0 and shouts * 3 >= n)
       then length(regexp_replace(line, {_sql(NOT_WORD)}, '', 'g')) else 0 end)::bigint as lost
   from x group by doc_id),

@@ -197,6 +197,10 @@ def test_quality_lines(spark):
     text = "\n".join([good, bad[0], "", bad[1], good + " Again.", *bad[2:]])
     out = quality.judge(spark.createDataFrame([(text,)], "text string")).first().quality
     assert out.clean_text == f"{good}\n\n{good} Again."
+    # long prose that mentions such things stays; a text of one line is not lost for it; a column of the same name is replaced
+    prose = " ".join([good] * 3) + " See the privacy policy | terms | imprint | help, or click here. " + " ".join(f"word{i}" for i in range(40)) + "."
+    out = quality.judge(spark.createDataFrame([(prose, 1)], "text string, quality int")).first().quality
+    assert out.kept and out.clean_text == prose
 
 
 @pytest.mark.parametrize("text", ["", "a", "the <|endoftext|> end", "  x  y\n\n z\t", "日本語 text é " * 300, "a" * 4000, " \n" * 900, "don't we'll 12345 !?…" * 200])
