@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctispark.llm.common import read
@@ -96,7 +96,9 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", ident: str = "d
     """Learns from rows with a language and a letter; None if there is none.
 
     The sample is by a hash of id and text, at a rate that gives about sample
-    rows a language, and cut at twice that.
+    rows a language, and cut at twice that, by the hash. Repeated rows count as
+    often as they occur, null ids are ids like others, texts of any length are
+    learned from whole.
     """
     rows = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(ident).cast("string"), F.col(text)).alias("h"))
 
@@ -122,33 +124,35 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", ident: str = "d
     idf = (np.log((1 + total.sum()) / (1 + df)) + 1).astype(np.float32)
 
     rate = F.create_map(*[F.lit(x) for name, n in total.items() for x in (name, min(1.0, sample / n))])[F.col("lang")]
-    picked = rows.filter(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text", "h").limit(2 * sample * len(total))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [(name, h, counts(t, dims).astype(np.int32).tobytes()) for name, t, h in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "h")), strict=True) if has_letter(t)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.binary())], ["lang", "h", "v"])
-
-    found = picked.mapInArrow(vectors, "lang string, h long, v binary").toPandas().sort_values(["lang", "h"])
-    cs, langs, limits = [], [], []
-    for name, group in found.groupby("lang"):
-        x = unit(np.stack([np.frombuffer(v, np.int32) for v in group.v]), idf)
+    picked = rows.filter(F.pmod("h", F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text", "h")
+    # rows of one language in the order of their hashes, so reruns take the same ones
+    first = Window.partitionBy("lang").orderBy("h")
+    picked = picked.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= 2 * sample).drop("nth")
+
+    def centroids_of(group: pd.DataFrame) -> pd.DataFrame:
+        texts = [t for t in group.sort_values("h").text if has_letter(t)]
+        if not texts:
+            return pd.DataFrame({"lang": [], "c": [], "limit": []})
+        x = unit(np.stack([counts(t, dims) for t in texts]), idf)
         c = cluster(x, centroids, ROUNDS)
         near = x @ c.T
-        for j in range(len(c)):
-            mine = near[near.argmax(axis=1) == j, j]
-            cs.append(c[j])
-            langs.append(str(name))
-            limits.append(float(np.quantile(mine, 1 - INLIERS)) - SLACK if len(mine) else 0.0)
-    return Model(idf, np.stack(cs), langs, np.array(limits)) if cs else None
+        own = [near[near.argmax(axis=1) == j, j] for j in range(len(c))]
+        return pd.DataFrame({"lang": group.lang.iloc[0], "c": [v.astype(np.float32).tobytes() for v in c], "limit": [float(np.quantile(m, 1 - INLIERS)) - SLACK if len(m) else 0.0 for m in own]})
+
+    # a language's sample is one task's; its centroids alone go to the driver
+    found = picked.groupBy("lang").applyInPandas(centroids_of, "lang string, c binary, limit double").toPandas()
+    if not len(found):
+        return None
+    found = found.sort_values("lang", kind="stable")
+    return Model(idf, np.stack([np.frombuffer(c, np.float32) for c in found.c]), found.lang.tolist(), found.limit.to_numpy())
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (cosine to the nearest centroid, 0 to 1) and lang_rejected.
 
     Null texts and texts without letters, and all texts where nothing could be
-    learned, are UNKNOWN with score 0, rejected. Columns of docs with these names are
+    learned, are UNKNOWN with score 0, rejected. Texts of any length are judged
+    whole, repeated rows alike; an empty table gives an empty one. Columns of docs with these names are
     replaced; others pass through. Ties go to the language first by name.
     """
     docs = docs.drop("lang_pred", "score", "lang_rejected")

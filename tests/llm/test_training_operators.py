@@ -134,6 +134,31 @@ def test_langid(spark, docs, empty):
     assert langid.predict(empty, model).count() == 0
 
 
+def test_langid_held_out(spark):
+    """Held-out rows of the tables are told right, by several centroids a language; a text in another script is rejected."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    truth = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", F.length("text").alias("n"))
+    got = langid.op2_langid(spark, folder).filter("held_out and lang_pred <> 'und'").join(truth.filter("lang is not null and n > 100"), "doc_id")
+    right = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("lang_rejected").cast("int")), F.count(F.lit(1))).first()
+    assert right[2] > 100 and right[0] >= 0.98 and right[1] < 0.05
+    model = langid.fit(spark.read.parquet(f"{folder}/documents.parquet"))
+    assert Counter(model.langs) == {name: langid.CENTROIDS for name in set(model.langs)} and len(set(model.langs)) >= 4
+    foreign = spark.createDataFrame([(1, "Αυτό είναι ένα κείμενο σε άλλη γραφή και γλώσσα. " * 9), (2, "зовсім інша мова тут стоїть " * 9)], "doc_id long, text string")
+    assert all(x.lang_rejected for x in langid.predict(foreign, model).collect())
+
+
+def test_mixing_reruns(spark):
+    """Rows without ids, and of equal sizes, are mixed alike however they are partitioned."""
+    rows = [(None, f"word{i} and some more", "ab"[i % 2]) for i in range(60)] + [(1, "x " * (i + 1), "c") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [Counter((x.text, x.mix_copies) for x in mixing.mix(d).collect()) for d in (df, df.repartition(7, "text"), df.orderBy(F.desc("text")).coalesce(1))]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs.withColumn("mix_size", F.lit("old"))).collect()
     again = mixing.mix(docs).collect()
