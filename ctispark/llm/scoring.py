@@ -37,8 +37,6 @@ VIEW, FEWEST_PARTS, PART_DOCS = 32, 16, 1_000_000
 HEAD = 1_000_000
 #: Shards: one for so many documents, FEWEST_SHARDS at least.
 SHARD_DOCS, FEWEST_SHARDS = 20_000, 32
-#: Words whose subwords a worker keeps.
-KEPT_WORDS = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -130,17 +128,19 @@ def encoded(rows: DataFrame, ranks: str, head: tuple[np.ndarray, np.ndarray], de
     shared = rows.sparkSession.sparkContext.broadcast(head)  # HEAD pairs of numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (top, n), kept = encoder(ranks), shared.value, {}
+        enc, (top, n) = encoder(ranks), shared.value
         logs = np.append(np.log10((n + 1) / denominator), 0.0)
         known = np.append(n > 0, False)
+        leads = np.array([enc.decode_single_token_bytes(k).startswith(b" ") for k in range(enc.n_vocab)])
 
-        def subwords(word: bytes) -> bytes:
-            found = kept.get(word)
-            if found is None:
-                found = np.array(enc.encode_ordinary(" " + word.decode("utf-8", "replace")), np.uint16).tobytes()
-                if len(kept) < KEPT_WORDS and len(word) < 50:
-                    kept[word] = found
-            return found
+        def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            """The subwords of words, one behind the other, and how many each has. They are encoded at once: only the first of a word begins with a space."""
+            ids = np.array(enc.encode_ordinary("".join(" " + w.decode("utf-8", "replace") for w in words)), np.uint16)
+            begins = np.flatnonzero(leads[ids])
+            if len(begins) == len(words):
+                return ids, np.diff(np.append(begins, len(ids)))
+            each = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
+            return np.array([k for own in each for k in own], np.uint16), np.array([len(own) for own in each], np.int64)
 
         for batch in (part for whole in batches for part in pieces(whole, 3)):
             words, counts = [], []
@@ -154,9 +154,7 @@ def encoded(rows: DataFrame, ranks: str, head: tuple[np.ndarray, np.ndarray], de
             at = np.searchsorted(top, distinct)
             if len(top):
                 at = np.where(top[np.minimum(at, len(top) - 1)] == distinct, at, len(top))
-            packed = [subwords(words[k]) for k in first.tolist()]
-            pool = np.frombuffer(b"".join(packed), np.uint16)
-            size = np.fromiter(map(len, packed), np.int64, len(packed)) // 2
+            pool, size = subwords([words[k] for k in first.tolist()])
             begin, sizes = np.cumsum(size) - size, size[which]
             ids = pool[np.arange(sizes.sum()) + np.repeat(begin[which] - (np.cumsum(sizes) - sizes), sizes)]
             doc, docs = np.repeat(np.arange(len(counts)), counts), len(counts)

@@ -421,8 +421,8 @@ def test_scoring_trains_on_every_window():
 
 def test_scoring_tells_subwords_of_a_class_apart(spark):
     """Ids 0 to 3 share a class of two decisions each, but 2 follows 0 and 3 follows 1; 4 ends a text."""
-    out = factored(np.array([5.0, 5, 5, 5, 0]), np.array([0, 0, 0, 0, 1]), 1)
-    assert (out.lengths > 0).all()
+    out = factored(np.array([5.0, 5, 5, 5, 20]), np.array([0, 0, 0, 0, 1]), 2)
+    assert out.classes.tolist() == [0, 0, 0, 0, 1] and (out.lengths[:4] > 0).all()
     r = np.random.default_rng(5)
     rows = [(i, (r.integers(0, 2, (2000, 1)) + [0, 2]).astype(np.uint16).tobytes()) for i in range(200)]
     model = scoring.fit(spark.createDataFrame(rows, "row long, ids binary"), out)
