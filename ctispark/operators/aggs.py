@@ -38,9 +38,16 @@ def facet_counts(df: DataFrame, cols: list[str]) -> DataFrame:
     return grouped.select(facet.alias("facet"), value.alias("value"), "n")
 
 
-def feed_stats(adv: DataFrame) -> DataFrame:
-    """Scraped advisories by source, extraction and triage state."""
-    return facet_counts(adv.filter("scrape_status = 'scraped'"), ["source", "extraction_status", "triage_status"])
+def _fact(df: DataFrame, facet: str, value: Column | None = None, n: Column | None = None, at: Column | None = None) -> DataFrame:
+    return df.select(F.lit(facet).alias("facet"), (F.lit(None) if value is None else value).cast("string").alias("value"), (F.lit(None) if n is None else n).cast("long").alias("n"), (F.lit(None) if at is None else at).cast("string").alias("at"))
+
+
+def feed_stats(adv: DataFrame, polls: DataFrame, ioc: DataFrame, rules: DataFrame) -> DataFrame:
+    """(facet, value, n, at): scraped advisories by source, extraction and triage state and in total; each source's last poll, at; all indicators and rules."""
+    out = facet_counts(adv.filter("scrape_status = 'scraped'"), ["source", "extraction_status", "triage_status"]).withColumn("at", F.lit(None).cast("string"))
+    last = polls.groupBy("source").agg(F.max("polled_at").alias("polled_at"))
+    every = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    return out.unionByName(_fact(last, "last_poll", F.col("source"), at=F.col("polled_at"))).unionByName(_fact(every(ioc), "iocs", n=F.col("n"))).unionByName(_fact(every(rules), "rules", n=F.col("n")))
 
 
 def advisories_with_iocs(ioc: DataFrame, approximate: bool = False) -> DataFrame:
@@ -87,28 +94,35 @@ def severity_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("advisory_id").agg(F.count_if(F.col("severity") == "warning").alias("warning"), F.count_if(F.col("severity") == "error").alias("error"))
 
 
-def cve_stats(cve: DataFrame, kev: DataFrame) -> DataFrame:
-    """(facet, value, n), as facet_counts; and kev and exploited, among all. A missing priority counts as NOISE."""
-    from ctispark.operators.joins import cve_with_kev
-
-    flagged = cve_with_kev(cve, kev)
-    by = facet_counts(flagged.fillna("NOISE", [c for c in ("priority", "vr_priority") if c in flagged.columns]), [c for c in ("priority", "vr_priority", "impact", "severity") if c in flagged.columns])
-    flags = flagged.agg(F.sum("kev_listed").alias("kev"), F.count_if(F.col("exploited_wild") == 1).alias("exploited"))
-    return by.unionByName(flags.select(F.expr("stack(2, 'kev', cast(null as string), kev, 'exploited', cast(null as string), exploited) as (facet, value, n)")))
+def cve_stats(cve: DataFrame, kev: DataFrame, polls: DataFrame) -> DataFrame:
+    """(facet, value, n, at): CVEs by priority, research priority (none: NOISE), impact and severity and in total, exploited ones, known-exploited entries, and the last poll, at."""
+    by = facet_counts(cve.fillna("NOISE", ["vr_priority"]), ["priority", "vr_priority", "impact", "severity"]).withColumn("at", F.lit(None).cast("string"))
+    kevs = kev.agg(F.count(F.lit(1)).alias("n"))
+    exploited = cve.agg(F.count_if(F.col("exploited_wild") == 1).alias("n"))
+    return by.unionByName(_fact(kevs, "kev", n=F.col("n"))).unionByName(_fact(exploited, "exploited", n=F.col("n"))).unionByName(_fact(latest_poll(polls), "last_poll", at=F.col("polled_at")))
 
 
 def llm_stats(calls: DataFrame) -> DataFrame:
     """By phase, and over all (phase all): calls, tokens, cost, cost an advisory. Costs add up as decimals of six places."""
     cost = F.sum(F.col("cost_usd").cast("decimal(18,6)"))
     per = F.when(F.count_distinct("advisory_id") > 0, cost.cast("double") / F.count_distinct("advisory_id")).otherwise(0.0)
-    aggs = [F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), cost.cast("double").alias("cost_usd"), F.count_distinct("advisory_id").alias("advisories"), per.alias("cost_per_advisory")]
+    aggs = [F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), cost.cast("double").alias("cost_usd"), F.count_distinct("advisory_id").alias("advisories"), per.alias("cost_per_advisory")]
     return calls.groupBy("phase").agg(*aggs).unionByName(calls.agg(*aggs).withColumn("phase", F.lit("all")))
 
 
 def telemetry_rollup(calls: DataFrame) -> DataFrame:
-    """Sums over the intel and rulegen calls of each advisory, and the phase called last (of equal times, the last by name)."""
+    """Sums over the intel and rulegen calls of each advisory, their longest time, and model and phase of the call that was last (of equal times, the last by name)."""
     own = calls.filter(F.col("phase").isin("intel", "rulegen"))
-    return own.groupBy("advisory_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("double").alias("cost_usd"), F.max("called_at").alias("last_call"), F.max_by("phase", F.struct("called_at", "phase")).alias("last_phase"))
+    last = F.struct("called_at", "phase", "model")
+    return own.groupBy("advisory_id").agg(
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum(F.col("cost_usd").cast("decimal(18,6)")).cast("double").alias("cost_usd"), F.max("latency_ms").alias("latency_ms"),
+        F.max_by("model", last).alias("model"), F.max_by("phase", last).alias("last_phase"), F.max("called_at").alias("last_call"),
+    )
+
+
+def item_tables(ioc: DataFrame, rule: DataFrame, technique: DataFrame, asset: DataFrame, cve: DataFrame, behavior: DataFrame) -> dict[str, DataFrame]:
+    """The seven child tables of an advisory by their names in item_counts; techniques are told apart by framework."""
+    return {"ioc": ioc, "rule": rule, "technique": technique.filter("framework = 'attack'"), "d3fend": technique.filter("framework = 'd3fend'"), "asset": asset, "cve": cve, "behavior": behavior}
 
 
 def item_counts(adv: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
@@ -130,7 +144,7 @@ def extraction_status(adv: DataFrame, log: DataFrame) -> DataFrame:
 
 def quality_metadata(ioc: DataFrame) -> DataFrame:
     """Yield (verified of all) and hallucination (not in the source of all) an advisory, in ten thousandths."""
-    share = lambda cond: F.round(F.count_if(cond).cast("decimal(18,0)") / F.count(F.lit(1)).cast("decimal(18,0)"), 4).cast("double")
+    share = lambda cond: F.round(F.count_if(cond).cast("decimal(18,8)") / F.count(F.lit(1)), 4).cast("double")
     return ioc.groupBy("advisory_id").agg(F.count(F.lit(1)).alias("n"), share(F.col("validation_status") == "verified").alias("yield"), share(F.col("source_verified") == 0).alias("hallucination"))
 
 
@@ -139,6 +153,12 @@ def feed_type_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("scrape_status") == "pending").alias("pending"))
 
 
+def poll_summary(changes: DataFrame) -> DataFrame:
+    """What a poll found, of entries with type and change: entries by type, new ones, updated ones."""
+    n = lambda cond, name: F.count_if(cond).alias(name)
+    return changes.agg(n(F.col("type") == "cybersecurity_advisory", "aa_total"), n(F.col("type") == "analysis_report", "ar_total"), n(F.col("change") == "new", "new_advisories"), n(F.col("change") == "updated", "updated"))
+
+
 def remaining_cap(adv: DataFrame, cap: int) -> DataFrame:
     """E17."""
     return adv.groupBy("source").agg(F.greatest(F.lit(0), cap - F.count_if(F.col("scrape_status") == "scraped")).alias("remaining"))

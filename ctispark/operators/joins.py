@@ -122,8 +122,8 @@ def allowlist_join(ioc: DataFrame, allow: DataFrame) -> DataFrame:
 
 
 def match_rules_to_blocks(blocks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each rule's first block, in document order, that holds the rule's first line, white space aside."""
-    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    """Each rule's first block, in document order, that holds the rule's first line, white space and case aside."""
+    bare = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
     line = F.get(F.filter(F.split("rule_text", "\n"), lambda x: F.trim(x) != ""), F.lit(0))
     r = rules.select("advisory_id", "rule_name", bare(line).alias("line")).filter("line <> ''")
     pairs = r.join(blocks.select("advisory_id", "pos", bare(F.col("text")).alias("block")), "advisory_id").filter(F.contains("block", F.col("line")))

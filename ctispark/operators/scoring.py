@@ -11,34 +11,34 @@ PRIVILEGE_ALIASES = {"n": "None", "l": "Low", "h": "High"}
 INTERACTION_ALIASES = {"n": "None", "r": "Required"}
 
 
-def _holds(text: Column, name: str) -> Column:
-    return F.contains(text, F.lit(name.lower()))
-
-
 def _hit(score: int | Column, name: str | Column) -> Column:
     return F.struct((F.lit(score) if isinstance(score, int) else score).cast("int").alias("score"), (F.lit(name) if isinstance(name, str) else name).alias("name"))
 
 
+def _within(text: Column, of) -> Column:
+    """of(text), with the text computed once a row."""
+    return F.element_at(F.transform(F.array(text), of), 1)
+
+
+def _first_held(table: list[tuple[str, int]]):
+    """A function of a text: struct (score, name) of the first name that it holds; null without one. The names are one constant array."""
+    names = F.array(*[F.struct(F.lit(score).alias("score"), F.lit(name).alias("name"), F.lit(name.lower()).alias("low")) for name, score in table])
+    cut = lambda x: F.struct(x["score"].alias("score"), x["name"].alias("name"))
+    return lambda text: F.get(F.transform(F.filter(names, lambda x: F.contains(text, x["low"])), cut), F.lit(0))
+
+
 def component_match_first(component: Column, scores: dict[str, int] = dims.COMPONENTS) -> Column:
     """Struct (score, name) of the first name, in their order, that component holds; 0 without one."""
-    low = F.lower(F.trim(component))
-    out = None
-    for name, score in scores.items():
-        out = F.when(_holds(low, name), _hit(score, name)) if out is None else out.when(_holds(low, name), _hit(score, name))
-    return out.otherwise(_hit(0, ""))
+    return F.coalesce(_within(F.lower(F.trim(component)), _first_held(list(scores.items()))), _hit(0, ""))
 
 
 def component_match_best(component: Column, title: Column, scores: dict[str, int] = dims.VR_COMPONENTS, catchall: dict[str, int] = dims.VR_CATCHALL, default: int = dims.VR_DEFAULT) -> Column:
     """The best score of a name that component or title hold, the first of equal ones; else of a catch-all name; else the default."""
     text = F.lower(F.concat_ws(" ", F.coalesce(component, F.lit("")), F.coalesce(title, F.lit(""))))
 
-    def best(table: dict[str, int], rest: Column) -> Column:
-        out = None
-        for name, score in sorted(table.items(), key=lambda x: -x[1]):  # a stable sort: the first of equal scores comes first
-            out = F.when(_holds(text, name), _hit(score, name)) if out is None else out.when(_holds(text, name), _hit(score, name))
-        return out.otherwise(rest)
-
-    return best(scores, best(catchall, _hit(default, "")))
+    # a stable sort: the first of equal scores comes first
+    ranked, rest = (_first_held(sorted(t.items(), key=lambda x: -x[1])) for t in (scores, catchall))
+    return _within(text, lambda t: F.coalesce(ranked(t), rest(t), _hit(default, "")))
 
 
 def weight(value: Column, table: dict[str, int], aliases: dict[str, str] | None = None, exact: bool = False) -> Column:
@@ -121,10 +121,8 @@ def vr_tags(cve: DataFrame, strict: bool = True) -> DataFrame:
     text = F.lower(F.concat_ws(" ", F.coalesce("component", F.lit("")), F.coalesce("title", F.lit(""))))
 
     def any_of(names: tuple[str, ...]) -> Column:
-        out = F.lit(False)
-        for n in names:
-            out = out | _holds(text, n)
-        return out
+        low = F.array(*[F.lit(n.lower()) for n in names])
+        return _within(text, lambda t: F.exists(low, lambda n: F.contains(t, n)))
 
     letter = lambda c: F.upper(c) if strict else F.upper(F.substring(F.trim(c), 1, 1))
     rules = {

@@ -53,10 +53,10 @@ SQL["address"] = ("lineitem", _IPS)
 _add("I06_public_ip", "address", lambda a: a.select("ip", ioc.public_ip(F.col("ip")).alias("ok")), f"select ip, {_public('ip')} as ok from address")
 _add("I07_is_domain", "ioc", lambda i: i.select("value", ioc.is_domain(F.col("value")).alias("ok")), f"select value, {_domain('value')} as ok from ioc")
 _add("I08_well_formed", "ioc", lambda i: i.select("type", "value", ioc.well_formed(F.col("type"), F.col("value")).alias("ok")), f"select type, value, case type when 'ip' then {_public('value')} when 'domain' then {_domain('value')} when 'url' then starts_with(value, 'http') when 'email' then contains(value, '@') else {_hex('value', 32)} end as ok from ioc")
-_ALLOW = (("domain", "evil.com"), ("ip", "45.7.7.9"))
+_ALLOW = (("domain", "evil.com"), ("ip", "45.0.0.7"))
 _add(
     "I09_validate_ioc", "ioc", lambda i: plaintext.validated(i.select("type", "value").distinct(), i.sparkSession.createDataFrame(_ALLOW, "kind string, key string").filter("kind = 'ip'")),
-    f"select distinct type, value, case when not case type when 'ip' then {_public('value')} when 'domain' then {_domain('value')} else true end then 'invalid' when type = 'ip' and value = '45.7.7.9' then 'allowlisted' else 'verified' end as validation_status, type = 'ip' and value = '45.7.7.9' as needs_review from ioc",
+    f"select distinct type, value, case when not case type when 'ip' then {_public('value')} when 'domain' then {_domain('value')} else true end then 'invalid' when type = 'ip' and value = '45.0.0.7' then 'allowlisted' else 'verified' end as validation_status, type = 'ip' and value = '45.0.0.7' as needs_review from ioc",
 )
 _add("I10_registerable_domain", "ioc", lambda i: i.filter("type = 'domain'").select("value", ioc.registerable_domain(F.concat(F.col("value"), F.lit(".co.uk"))).alias("domain")), f"select value, {_registerable(chr(39).join(['value || ', '.co.uk', '']))} as domain from ioc where type = 'domain'")
 _add("I11_url_host", "ioc", lambda i: i.filter("type = 'url'").select("value", ioc.url_host(F.col("value")).alias("host")), "select value, lower(regexp_extract(value, '^https?://([^/]+)', 1)) as host from ioc where type = 'url'")
@@ -81,7 +81,7 @@ _add("I39_unfence_json", "feed_entry", lambda e: e.select("advisory_id", text.un
 _add("I44_summary_of", "advisory", lambda a: a.select("id", text.summary_of(F.col("article_body")).alias("s")), "select id, substr(article_body, instr(article_body, chr(10)) + 1, 500) as s from advisory")
 _add("H05_technique_sets", "advisory_technique", lambda t: t.groupBy("advisory_id").agg(F.sort_array(F.collect_set("technique_id")).alias("ids")).select("advisory_id", _joined("ids")), "select advisory_id, string_agg(distinct technique_id, ',' order by technique_id) as ids from advisory_technique group by 1")
 
-_add("D21_allowlist_join", "ioc", lambda i: plaintext.allowlist_join(i, dims.allowlist(i.sparkSession, domains=("evil.com",), ips=("45.9.7.9",))).select("advisory_id", "type", "value", "allowed"), "select advisory_id, type, value, type in ('domain', 'url') or (type = 'ip' and value = '45.9.7.9') as allowed from ioc")
+_add("D21_allowlist_join", "ioc", lambda i: plaintext.allowlist_join(i, dims.allowlist(i.sparkSession, domains=("evil.com",), ips=("45.0.0.9",))).select("advisory_id", "type", "value", "allowed"), "select advisory_id, type, value, type in ('domain', 'url') or (type = 'ip' and value = '45.0.0.9') as allowed from ioc")
 _LINES = lambda i: i.select("advisory_id", F.concat(F.lit("Indicators of compromise\nThe host uses "), F.replace(F.col("value"), F.lit("."), F.lit("[.]")), F.lit(", it is said.\n"), F.col("value")).alias("text"))
 _add(
     "M09_build_ioc", "ioc", lambda i: plaintext.typed(i.select("advisory_id", F.concat(F.lit(" "), F.replace(F.col("value"), F.lit("."), F.lit("[.]"))).alias("raw")), "raw").select("advisory_id", "type", "value"),

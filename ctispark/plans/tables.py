@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctispark import dims
-from ctispark.operators import aggs, filters, joins, merge, ordering, scoring
+from ctispark.operators import aggs, details, filters, joins, merge, ordering, scoring
 from ctispark.sources.domain import domain, with_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,7 +95,7 @@ _VR_SCORE = _case_first(_VR_SORTED, _BOTH, True, _case_first(_VR_REST, _BOTH, Tr
 _add("D12_component_first", "msrc_cve", lambda c: c.select("cve_id", scoring.component_match_first(F.col("component")).alias("m")).select("cve_id", "m.*"), f"select cve_id, {_case_first(dims.COMPONENTS, _LOW, True, '0')} as score, {_case_first(dims.COMPONENTS, _LOW, False, chr(39) * 2)} as name from msrc_cve")
 _add("D13_component_best", "msrc_cve", lambda c: c.select("cve_id", scoring.component_match_best(F.col("component"), F.col("title")).alias("m")).select("cve_id", "m.score"), f"select cve_id, {_VR_SCORE} as score from msrc_cve")
 _add("D14_resolve_alias", "advisory_actor threat_actor_alias", joins.resolve_alias, "select x.advisory_id, x.name, coalesce(a.canonical, x.name) as canonical from advisory_actor x left join threat_actor_alias a on x.name = a.alias")
-_NAMED = lambda a, l: a.select("advisory_id", "article_body").join(l.filter("hash(cve_id) % 1 = 0").groupBy("advisory_id").agg(F.concat_ws(" and ", F.sort_array(F.collect_list("cve_id"))).alias("named")), "advisory_id")
+_NAMED = lambda a, l: a.select("advisory_id", "article_body").join(l.groupBy("advisory_id").agg(F.concat_ws(" and ", F.sort_array(F.collect_list("cve_id"))).alias("named")), "advisory_id")
 _add(
     "D15_cross_reference", "advisory advisory_cve msrc_cve", lambda a, l, c: joins.cross_reference(_NAMED(a, l), c.filter("severity <> 'Low'"), l.filter("cve_id like '%1'"), ("article_body", "named")),
     "select distinct l.advisory_id, l.cve_id from advisory_cve l join advisory a using (advisory_id) where l.cve_id in (select cve_id from msrc_cve where severity <> 'Low') and l.cve_id not like '%1'",
@@ -117,26 +117,29 @@ _add(
     "select a.advisory_id, coalesce(string_agg(distinct r.rule_name, ',' order by r.rule_name), '') as rule_refs from advisory a left join (select * from detection_rule where rule_name in ('rule_1', 'rule_2', 'rule_7')) r using (advisory_id) group by a.advisory_id",
 )
 _add("D20_dedup_against", "advisory_technique mitre_technique", lambda t, m: joins.dedup_against(t, m, ["technique_id"]), "select * from advisory_technique where technique_id not in (select technique_id from mitre_technique)")
+_CHILDREN = {"ioc": "n_ioc", "detection_rule": "n_rule", "advisory_technique where framework = 'attack'": "n_technique", "advisory_technique where framework = 'd3fend'": "n_d3fend", "asset": "n_asset", "advisory_cve": "n_cve", "behavior": "n_behavior"}
+
+
+def _counted(of: str = "a") -> str:
+    return ", ".join(f"(select count(*) from {t} {'and' if ' where ' in t else 'where'} advisory_id = {of}.advisory_id) as {n}" for t, n in _CHILDREN.items())
+
+
+_NAMES = lambda t: f"coalesce((select string_agg(distinct name, ',' order by name) from {t} x where x.advisory_id = a.advisory_id), '')"
+_ISSUES = lambda s: f"(select count(*) from extraction_log l where l.advisory_id = a.advisory_id and severity = '{s}')"
 _add(
-    "D23_advisory_detail", "advisory ioc advisory_cve extraction_log detection_rule",
-    lambda a, i, c, l, r: aggs.item_counts(a, {"ioc": i, "cve": c, "log": l, "rule": r}).join(a.select("advisory_id", "source", "pub_date"), "advisory_id").join(aggs.severity_counts(l), "advisory_id", "left").fillna(0),
-    """select a.advisory_id, a.source, a.pub_date, (select count(*) from ioc i where i.advisory_id = a.advisory_id) as n_ioc, (select count(*) from advisory_cve c where c.advisory_id = a.advisory_id) as n_cve,
-    (select count(*) from extraction_log l where l.advisory_id = a.advisory_id) as n_log, (select count(*) from detection_rule r where r.advisory_id = a.advisory_id) as n_rule,
-    (select count(*) from extraction_log l where l.advisory_id = a.advisory_id and severity = 'warning') as warning, (select count(*) from extraction_log l where l.advisory_id = a.advisory_id and severity = 'error') as error from advisory a""",
-)
-_add(
-    "D24_cve_detail", "msrc_cve msrc_kb kev_entry advisory_cve",
-    lambda c, b, k, l: joins.cve_with_kev(c.select("cve_id", "title"), k).join(aggs.kb_by_cve(b), "cve_id", "left").join(l.groupBy("cve_id").agg(F.count(F.lit(1)).alias("n_advisories")), "cve_id", "left").select("cve_id", "title", "kev_listed", F.coalesce(F.array_join("kbs", ","), F.lit("")).alias("kbs"), F.coalesce("n_advisories", F.lit(0)).alias("n_advisories")),
-    """select c.cve_id, c.title, cast(c.cve_id in (select cve_id from kev_entry) as int) as kev_listed, coalesce(k.kbs, '') as kbs, coalesce(l.n, 0) as n_advisories from msrc_cve c
-    left join (select cve_id, string_agg(kb_number, ',' order by kb_number) as kbs from (select distinct cve_id, kb_number from msrc_kb) group by 1) k using (cve_id) left join (select cve_id, count(*) as n from advisory_cve group by 1) l using (cve_id)""",
+    "D23_advisory_detail", "advisory ioc detection_rule advisory_technique asset advisory_cve behavior advisory_sector advisory_actor advisory_malware extraction_log",
+    lambda a, i, r, t, s, c, b, sec, act, mal, l: details.advisory_detail(a.select("advisory_id", "source", "pub_date"), aggs.item_tables(i, r, t, s, c, b), {"sectors": sec, "actors": act, "malware": mal}, l)
+    .withColumns({c: F.array_join(c, ",") for c in ("sectors", "actors", "malware")}),
+    f"""select a.advisory_id, a.source, a.pub_date, {_counted()}, {_NAMES("advisory_sector")} as sectors, {_NAMES("advisory_actor")} as actors, {_NAMES("advisory_malware")} as malware, {_ISSUES("warning")} as warning, {_ISSUES("error")} as error from advisory a""",
 )
-
 # aggregations
 _add("E01_table_counts", "advisory ioc msrc_cve", lambda a, i, c: aggs.table_counts({"advisory": a, "ioc": i, "msrc_cve": c}), "select 'advisory' as table_name, count(*) as n from advisory union all select 'ioc', count(*) from ioc union all select 'msrc_cve', count(*) from msrc_cve")
 _add("E02_count_by", "ioc", lambda i: aggs.count_by(i, "type", F.col("source_verified") == 1), "select type, count(*) as n from ioc where source_verified = 1 group by type")
+_FACETS = lambda table, cols: " union all ".join(f"select '{c}' as facet, {c} as value, count(*) as n, null as at from {table} group by {c}" for c in cols)
 _add(
-    "E03_feed_stats", "advisory", aggs.feed_stats,
-    "with s as (select * from advisory where scrape_status = 'scraped') select 'source' as facet, source as value, count(*) as n from s group by source union all select 'extraction_status', extraction_status, count(*) from s group by 2 union all select 'triage_status', triage_status, count(*) from s group by 2 union all select 'total', null, count(*) from s",
+    "E03_feed_stats", "advisory poll_history ioc detection_rule", aggs.feed_stats,
+    f"""with s as (select * from advisory where scrape_status = 'scraped') {_FACETS("s", ("source", "extraction_status", "triage_status"))} union all select 'total', null, count(*), null from s union all select 'last_poll', source, null, max(polled_at) from poll_history group by source
+    union all select 'iocs', null, count(*), null from ioc union all select 'rules', null, count(*), null from detection_rule""",
 )
 _add("E04_advisories_with_iocs", "ioc", aggs.advisories_with_iocs, "select count(distinct advisory_id) as n from ioc")
 _add("E05_cross_referenced", "ioc", aggs.cross_referenced, "select type, value, count(distinct advisory_id) as n from ioc group by 1, 2 having n >= 2")
@@ -152,27 +155,30 @@ _add(
 )
 _add("E08_extraction_issues", "extraction_log", aggs.extraction_issues, "select advisory_id, count(*) as issues, count(*) filter (severity = 'error') as errors, count(*) filter (severity = 'warning') as warnings from extraction_log group by 1")
 _add("E09_severity_counts", "extraction_log", aggs.severity_counts, "select advisory_id, count(*) filter (severity = 'warning') as warning, count(*) filter (severity = 'error') as error from extraction_log group by 1")
+_PRIORITIES = lambda c: c.withColumns({"priority": F.when(F.col("severity") != "Low", F.concat(F.lit("P-"), "impact")), "vr_priority": F.when(F.col("av") != "Local", F.col("av"))})
 _add(
-    "E10_cve_stats", "msrc_cve kev_entry", aggs.cve_stats,
-    """select 'impact' as facet, impact as value, count(*) as n from msrc_cve group by impact union all select 'severity', severity, count(*) from msrc_cve group by severity union all select 'total', null, count(*) from msrc_cve
-    union all select 'kev', null, count(*) from msrc_cve where cve_id in (select cve_id from kev_entry) union all select 'exploited', null, count(*) from msrc_cve where exploited_wild = 1""",
+    "E10_cve_stats", "msrc_cve kev_entry poll_history", lambda c, k, p: aggs.cve_stats(_PRIORITIES(c), k, p),
+    f"""with c as (select *, case when severity <> 'Low' then 'P-' || impact end as p, case when av <> 'Local' then av else 'NOISE' end as vr_priority from msrc_cve), d as (select *, p as priority from c) {_FACETS("d", ("priority", "vr_priority", "impact", "severity"))} union all select 'total', null, count(*), null from d
+    union all select 'kev', null, count(*), null from kev_entry union all select 'exploited', null, count(*), null from d where exploited_wild = 1 union all select 'last_poll', null, null, max(polled_at) from poll_history""",
 )
-_LLM = "count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(cast(cost_usd as decimal(18,6))) as double) as cost_usd, count(distinct advisory_id) as advisories, cast(sum(cast(cost_usd as decimal(18,6))) as double) / count(distinct advisory_id) as cost_per_advisory"
+_LLM = "count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(cast(cost_usd as decimal(18,6))) as double) as cost_usd, count(distinct advisory_id) as advisories, cast(sum(cast(cost_usd as decimal(18,6))) as double) / count(distinct advisory_id) as cost_per_advisory"
 _add("E11_llm_stats", "llm_call_log", aggs.llm_stats, f"select phase, {_LLM} from llm_call_log group by phase union all select 'all', {_LLM} from llm_call_log")
 _add(
-    "E12_telemetry_rollup", "llm_call_log", lambda c: aggs.telemetry_rollup(c).drop("last_call"),
-    "select advisory_id, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(cast(cost_usd as decimal(18,6))) as double) as cost_usd, arg_max(phase, (called_at, phase)) as last_phase from llm_call_log where phase in ('intel', 'rulegen') group by 1",
-)
-_add(
-    "E13_item_counts", "advisory ioc advisory_cve advisory_technique detection_rule", lambda a, i, c, t, r: aggs.item_counts(a, {"ioc": i, "cve": c, "technique": t, "rule": r}),
-    "select advisory_id, (select count(*) from ioc i where i.advisory_id = a.advisory_id) as n_ioc, (select count(*) from advisory_cve i where i.advisory_id = a.advisory_id) as n_cve, (select count(*) from advisory_technique i where i.advisory_id = a.advisory_id) as n_technique, (select count(*) from detection_rule i where i.advisory_id = a.advisory_id) as n_rule from advisory a",
+    "E12_telemetry_rollup", "llm_call_log", aggs.telemetry_rollup,
+    """select advisory_id, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(cast(cost_usd as decimal(18,6))) as double) as cost_usd, max(latency_ms) as latency_ms, arg_max(model, (called_at, phase, model)) as model, arg_max(phase, (called_at, phase, model)) as last_phase, max(called_at) as last_call
+    from llm_call_log where phase in ('intel', 'rulegen') group by 1""",
 )
+_add("E13_item_counts", "advisory ioc detection_rule advisory_technique asset advisory_cve behavior", lambda a, i, r, t, s, c, b: aggs.item_counts(a, aggs.item_tables(i, r, t, s, c, b)), f"select a.advisory_id, {_counted()} from advisory a")
 _add(
     "E14_extraction_status", "advisory extraction_log", aggs.extraction_status,
     "select a.advisory_id, case when bool_or(severity = 'error') then 'parse_failed' when bool_or(severity = 'warning') then 'parse_partial' else 'parse_done' end as status from advisory a left join extraction_log l using (advisory_id) group by 1",
 )
-_add("E15_quality", "ioc", lambda i: aggs.quality_metadata(i).select("advisory_id", "n"), "select advisory_id, count(*) as n from ioc group by 1")
+_add(
+    "E15_quality", "ioc", aggs.quality_metadata,
+    """select advisory_id, count(*) as n, cast(round(cast(count(*) filter (validation_status = 'verified') as decimal(18,8)) / count(*), 4) as double) as yield, cast(round(cast(count(*) filter (source_verified = 0) as decimal(18,8)) / count(*), 4) as double) as hallucination from ioc group by 1""",
+)
 _add("E16_feed_type_counts", "feed_entry", aggs.feed_type_counts, "select type, count(*) as n, count(*) filter (scrape_status = 'pending') as pending from feed_entry group by 1")
+_add("E16_poll_summary", "feed_entry advisory", lambda e, a: aggs.poll_summary(joins.diff_feed(e, a.select("advisory_id", F.col("pub_date").alias("sitemap_lastmod")))), "select count(*) filter (type = 'cybersecurity_advisory') as aa_total, count(*) filter (type = 'analysis_report') as ar_total, count(*) filter (a.advisory_id is null) as new_advisories, count(*) filter (e.lastmod > a.pub_date) as updated from feed_entry e left join (select advisory_id, pub_date from advisory) a using (advisory_id)")
 _add("E17_remaining_cap", "advisory", lambda a: aggs.remaining_cap(a, 230), "select source, greatest(0, 230 - count(*) filter (scrape_status = 'scraped')) as remaining from advisory group by 1")
 _ITEMS = lambda t, r: t.select("advisory_id", "technique_id").join(r.filter("rule_format = 'yara'").groupBy("advisory_id").agg(F.collect_set("rule_name").alias("rule_refs")), "advisory_id", "left")
 _add(
@@ -238,6 +244,18 @@ _TAGS = f"""array_to_string(list_sort(list_filter([case when impact in ('Remote
  case when {_HOLDS(dims.KERNEL)} then 'kernel' end, case when cwe_id in ({_in(dims.MEM_CORRUPT)}) then 'mem_corrupt' end, case when exploited_wild = 0 and publicly_disclosed = 0 and cve_id not in (select cve_id from kev_entry) then 'novel' end,
  case when cve_id in (select cve_id from msrc_kb) then 'patchable' end, case when upper(av) = 'N' and upper(pr) = 'N' then 'remote_preauth' end, case when lower(scope) = 'changed' then 'scope_change' end, case when {_HOLDS(dims.PARSERS)} then 'user_mode_parser' end], lambda x: x is not null)), ',')"""
 _add("J05_defense_score", "msrc_cve kev_entry", lambda c, k: scoring.defense_score(joins.cve_with_kev(c, k)).select("cve_id", "score", "priority"), f"select cve_id, score, {_tier('score', dims.THRESHOLDS)} as priority from (select cve_id, {_DEFENSE} as score from msrc_cve)")
+_KBS = "(select string_agg(distinct kb_number, ',' order by kb_number) from msrc_kb k where k.cve_id = c.cve_id)"
+_add(
+    "D24_cve_detail", "msrc_cve msrc_kb kev_entry advisory_cve advisory", lambda c, b, k, l, a: details.cve_detail(c, b, k, l, a).select("cve_id", "title", "kev_listed", "vendor", _joined("kbs"), F.array_join(F.transform("advisories", lambda x: x["id"].cast("string")), ",").alias("advisories"),
+        F.col("breakdown.impact.score").alias("impact_score"), F.col("vr_breakdown.impact.score").alias("vr_impact_score"), "score", "vr_score", F.array_join(F.transform("related", lambda x: x["related"]), ",").alias("related")),
+    f"""with d as (select cve_id, {_DEFENSE} as score, {_VR} as vr_score, {_lookup("impact", dims.IMPACT)} as impact_score, {_lookup("impact", dims.VR_IMPACT)} as vr_impact_score from msrc_cve),
+    ranked as (select cve_id, component, row_number() over (partition by component order by released desc, cve_id) as place, released from msrc_cve where component <> ''),
+    rel as (select x.cve_id, y.cve_id as related, row_number() over (partition by x.cve_id order by y.released desc, y.cve_id) as pos from ranked x join ranked y on x.component = y.component and x.cve_id <> y.cve_id and y.place <= 11),
+    kb as (select cve_id, string_agg(kb_number, ',' order by kb_number) as kbs from (select distinct cve_id, kb_number from msrc_kb) group by 1), ad as (select cve_id, string_agg(cast(id as varchar), ',' order by id) as advisories from advisory_cve join (select id, advisory_id from advisory) using (advisory_id) group by 1),
+    re as (select cve_id, string_agg(related, ',' order by pos) as related from rel where pos <= 10 group by 1)
+    select c.cve_id, c.title, cast(k.cve_id is not null as int) as kev_listed, k.vendor, coalesce(kb.kbs, '') as kbs, coalesce(ad.advisories, '') as advisories, d.impact_score, d.vr_impact_score, d.score, d.vr_score, coalesce(re.related, '') as related
+    from msrc_cve c join d using (cve_id) left join kev_entry k using (cve_id) left join kb using (cve_id) left join ad using (cve_id) left join re using (cve_id)""",
+)
 _add("J07_vr_score", "msrc_cve", lambda c: scoring.vr_score(c).select("cve_id", "vr_score", "vr_priority"), f"select cve_id, vr_score, {_tier('vr_score', dims.VR_THRESHOLDS)} as vr_priority from (select cve_id, {_VR} as vr_score from msrc_cve)")
 _add(
     "J10_rescore", "msrc_cve kev_entry msrc_kb", lambda c, k, b: scoring.rescore(c, k, b).select("cve_id", "score", "priority", "vr_score", "vr_priority", _joined("vr_tags")),

@@ -1,7 +1,8 @@
 """Domain tables as projections of the tables in a data folder.
 
-Keys that those tables lack are made from their ids, without chance or clock.
-The SQL runs on Spark and on DuckDB alike.
+Keys that those tables lack are made from their whole ids, without chance or
+clock, so domain tables grow with their sources. The SQL runs on Spark and on
+DuckDB alike.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +20,12 @@ select doc_id as id, concat('adv-', cast(doc_id as varchar(20))) as advisory_id,
  case when doc_id % 10 = 0 then 'pending' else 'scraped' end as scrape_status,
  cast(doc_id % 4 as int) as retry_count, text as article_body from documents"""),
     "ioc": ("events", """
-select distinct concat('adv-', cast(event_id % 200 as varchar(20))) as advisory_id,
+select distinct concat('adv-', cast(cast(floor(event_id / 10) as bigint) as varchar(20))) as advisory_id,
  case event_type when 'click' then 'ip' when 'view' then 'domain' when 'error' then 'url' when 'signup' then 'email' else 'md5' end as type,
- case event_type when 'click' then concat('45.', cast(user_id % 200 as varchar(20)), '.7.9') when 'view' then concat('H', cast(user_id % 150 as varchar(20)), '.evil.com')
-  when 'error' then concat('http://h', cast(user_id % 150 as varchar(20)), '.evil.com/p') when 'signup' then concat('u', cast(user_id % 90 as varchar(20)), '@evil.com') else md5(cast(user_id % 120 as varchar(20))) end as value,
- case event_id % 5 when 0 then 'invalid' when 1 then 'allowlisted' when 2 then 'format_valid' else 'verified' end as validation_status,
- cast(event_id % 2 as int) as source_verified from events"""),
+ case event_type when 'click' then concat('45.', cast(cast(floor(user_id / 65536) as bigint) % 256 as varchar(20)), '.', cast(cast(floor(user_id / 256) as bigint) % 256 as varchar(20)), '.', cast(user_id % 256 as varchar(20))) when 'view' then concat('H', cast(user_id as varchar(20)), '.evil.com')
+  when 'error' then concat('http://h', cast(user_id as varchar(20)), '.evil.com/p') when 'signup' then concat('u', cast(user_id as varchar(20)), '@evil.com') else md5(cast(user_id as varchar(20))) end as value,
+ case cast(floor(event_id / 10) as bigint) % 5 when 0 then 'invalid' when 1 then 'allowlisted' when 2 then 'format_valid' else 'verified' end as validation_status,
+ cast(cast(floor(event_id / 10) as bigint) % 2 as int) as source_verified from events"""),
     "msrc_cve": ("part", """
 select concat('CVE-', cast(2020 + p_partkey % 6 as varchar(20)), '-', lpad(cast(p_partkey as varchar(20)), 6, '0')) as cve_id,
  concat('Issue in ', p_name) as title,
@@ -39,30 +40,38 @@ select concat('CVE-', cast(2020 + p_partkey % 6 as varchar(20)), '-', lpad(cast(
  case when p_partkey % 13 = 0 then 'Customer action required' end as customer_action,
  concat('2024-', lpad(cast(1 + p_partkey % 12 as varchar(20)), 2, '0'), '-14') as released from part"""),
     "kev_entry": ("part", """
-select concat('CVE-', cast(2020 + p_partkey % 6 as varchar(20)), '-', lpad(cast(p_partkey as varchar(20)), 6, '0')) as cve_id, p_brand as vendor from part where p_partkey % 7 = 0"""),
+select concat('CVE-', cast(2020 + p_partkey % 6 as varchar(20)), '-', lpad(cast(p_partkey as varchar(20)), 6, '0')) as cve_id, p_brand as vendor from part where p_size > 42"""),
     "msrc_kb": ("lineitem", """
-select concat('CVE-', cast(2020 + l_partkey % 6 as varchar(20)), '-', lpad(cast(l_partkey as varchar(20)), 6, '0')) as cve_id, cast(5000000 + l_suppkey as varchar(20)) as kb_number from lineitem where l_partkey % 3 = 0"""),
+select concat('CVE-', cast(2020 + l_partkey % 6 as varchar(20)), '-', lpad(cast(l_partkey as varchar(20)), 6, '0')) as cve_id, cast(5000000 + l_suppkey as varchar(20)) as kb_number from lineitem where l_discount = 0"""),
     "advisory_cve": ("lineitem", """
-select distinct concat('adv-', cast(l_orderkey % 200 as varchar(20))) as advisory_id, concat('CVE-', cast(2020 + l_partkey % 6 as varchar(20)), '-', lpad(cast(l_partkey as varchar(20)), 6, '0')) as cve_id from lineitem where l_linenumber = 1"""),
+select distinct concat('adv-', cast(cast(floor(l_orderkey / 15) as bigint) as varchar(20))) as advisory_id, concat('CVE-', cast(2020 + l_partkey % 6 as varchar(20)), '-', lpad(cast(l_partkey as varchar(20)), 6, '0')) as cve_id from lineitem"""),
     "extraction_log": ("events", """
-select event_id as id, concat('adv-', cast(event_id % 200 as varchar(20))) as advisory_id, case when event_id % 4 = 0 then 'error' else 'warning' end as severity from events where event_type = 'error'"""),
+select event_id as id, concat('adv-', cast(cast(floor(event_id / 10) as bigint) as varchar(20))) as advisory_id, case when event_id % 4 = 0 then 'error' else 'warning' end as severity from events where event_type = 'error'"""),
     "llm_call_log": ("orders", """
-select concat('adv-', cast(o_orderkey % 200 as varchar(20))) as advisory_id, case o_orderkey % 3 when 0 then 'intel' when 1 then 'rulegen' else 'analysis' end as phase, cast(floor(o_totalprice) as bigint) as input_tokens, floor(o_totalprice) / 1e6 as cost_usd, o_orderdate as called_at from orders"""),
+select concat('adv-', cast(cast(floor(o_orderkey / 15) as bigint) as varchar(20))) as advisory_id, case o_orderkey % 3 when 0 then 'intel' when 1 then 'rulegen' else 'analysis' end as phase, cast(floor(o_totalprice) as bigint) as input_tokens, o_custkey as output_tokens, cast(floor(o_totalprice) as bigint) % 9000 as latency_ms,
+ concat('model-', cast(o_custkey % 3 as varchar(20))) as model, floor(o_totalprice) / 1e6 as cost_usd, o_orderdate as called_at from orders"""),
     "mitre_technique": ("supplier", """
-select distinct concat('T', cast(1000 + s_suppkey % 60 as varchar(20))) as technique_id, concat('Technique ', cast(s_suppkey % 60 as varchar(20))) as name,
+select concat('T', cast(1000 + s_suppkey % 9000 as varchar(20)), case when s_suppkey >= 9000 then concat('.', lpad(cast(cast(floor(s_suppkey / 9000) as bigint) as varchar(20)), 3, '0')) else '' end) as technique_id, concat('Technique ', cast(s_suppkey as varchar(20))) as name,
  case s_suppkey % 4 when 0 then 'Initial Access' when 1 then 'Execution' when 2 then 'Persistence' else 'Oddity' end as tactic from supplier"""),
     "advisory_technique": ("orders", """
-select distinct concat('adv-', cast(o_orderkey % 200 as varchar(20))) as advisory_id, concat(case when o_custkey % 17 = 0 then 'X' else 'T' end, cast(1000 + o_custkey % 90 as varchar(20))) as technique_id,
+select distinct concat('adv-', cast(cast(floor(o_orderkey / 15) as bigint) as varchar(20))) as advisory_id, concat(case when o_custkey % 17 = 0 then 'X' else '' end, concat('T', cast(1000 + o_custkey % 9000 as varchar(20)), case when o_custkey >= 9000 then concat('.', lpad(cast(cast(floor(o_custkey / 9000) as bigint) as varchar(20)), 3, '0')) else '' end)) as technique_id,
+ case when o_custkey % 17 = 0 then 'd3fend' else 'attack' end as framework,
  case o_orderkey % 2 when 0 then 'advisory_stated' else 'llm_inferred' end as confidence from orders"""),
     "advisory_actor": ("customer", """
-select distinct concat('adv-', cast(c_custkey % 200 as varchar(20))) as advisory_id, concat('Actor ', cast(c_nationkey as varchar(20))) as name from customer"""),
+select distinct concat('adv-', cast(c_custkey as varchar(20))) as advisory_id, concat('Actor ', cast(c_nationkey as varchar(20))) as name from customer"""),
     "advisory_malware": ("supplier", """
-select distinct concat('adv-', cast(s_suppkey % 200 as varchar(20))) as advisory_id, concat('Malware ', cast(s_nationkey as varchar(20))) as name from supplier"""),
+select distinct concat('adv-', cast(s_suppkey as varchar(20))) as advisory_id, concat('Malware ', cast(s_nationkey as varchar(20))) as name from supplier"""),
     "threat_actor_alias": ("nation", """
 select concat('Actor ', cast(n_nationkey as varchar(20))) as alias, n_name as canonical from nation where n_nationkey % 2 = 0"""),
     "detection_rule": ("orders", """
-select distinct concat('adv-', cast(o_orderkey % 200 as varchar(20))) as advisory_id, concat('rule_', cast(o_custkey % 50 as varchar(20))) as rule_name,
- case o_custkey % 50 % 4 when 0 then 'yara' when 1 then 'sigma' when 2 then 'snort' else 'other' end as rule_format from orders"""),
+select distinct concat('adv-', cast(cast(floor(o_orderkey / 15) as bigint) as varchar(20))) as advisory_id, concat('rule_', cast(o_custkey as varchar(20))) as rule_name,
+ case o_custkey % 4 when 0 then 'yara' when 1 then 'sigma' when 2 then 'snort' else 'other' end as rule_format from orders"""),
+    "asset": ("events", """
+select distinct concat('adv-', cast(cast(floor(event_id / 10) as bigint) as varchar(20))) as advisory_id, concat('http://h', cast(user_id as varchar(20)), '.evil.com/a.pdf') as original_url from events where event_type <> 'error'"""),
+    "behavior": ("orders", """
+select o_orderkey as id, concat('adv-', cast(cast(floor(o_orderkey / 15) as bigint) as varchar(20))) as advisory_id, concat('Behavior ', cast(o_custkey as varchar(20))) as description from orders"""),
+    "advisory_sector": ("customer", """
+select distinct concat('adv-', cast(c_custkey as varchar(20))) as advisory_id, c_mktsegment as name from customer"""),
     "poll_history": ("orders", """
 select o_orderkey as id, case o_orderkey % 4 when 0 then 'cisa' when 1 then 'acsc' when 2 then 'jpcert' else 'orkl' end as source, cast(o_orderdate as varchar(40)) as polled_at from orders"""),
     "feed_entry": ("customer", """
