@@ -22,6 +22,8 @@ NODE = "doc_id long, source string, pos int, end_pos int, parent_pos int, depth
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset(("script", "style", "noscript", "template"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+#: What a repeated start closes along with it.
+INLINE = frozenset("a b i em strong span u s small font code sub sup mark".split())
 #: Containers whose text is that of their nodes; it is not repeated at each of them unless they are named by a class or id.
 WIDE = frozenset("html head table tbody thead tfoot tr ul ol dl".split())
 SITES = {"cisa": "https://www.cisa.gov", "acsc": "https://www.cyber.gov.au", "jpcert": "https://blogs.jpcert.or.jp"}
@@ -43,7 +45,7 @@ class _Nodes(HTMLParser):
         self.open: list[dict] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        while self.open and self.open[-1]["tag"] in CLOSES.get(tag, ()):
+        while self._closes(tag):
             self._close()
         up = self.open[-1] if self.open else None
         inherit = lambda k: up[k] if up else -1
@@ -65,6 +67,11 @@ class _Nodes(HTMLParser):
         if tag not in VOID:
             self.open.append(row)
 
+    def _closes(self, tag: str) -> bool:
+        """Whether tag ends an open element, with the inline ones that were left open in it."""
+        outer = next((o["tag"] for o in reversed(self.open) if o["tag"] not in INLINE), "")
+        return outer in CLOSES.get(tag, ())
+
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.open and self.open[-1]["tag"] == tag:
