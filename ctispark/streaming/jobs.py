@@ -20,16 +20,33 @@ def _next(root: str, spark: SparkSession) -> tuple[DataFrame | None, int]:
     return (spark.read.parquet(f"{root}/v={max(done)}"), max(done)) if done else (None, 0)
 
 
+def _claim(root: str, spark: SparkSession, query: str | None) -> None:
+    """Notes that the table is written by this query; raises if another one wrote it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    owners = [n.removeprefix("_query-") for n in names if n.startswith("_query-")]
+    if owners and query and query not in owners:
+        raise ValueError(f"{root} was written by query {owners[0]}; start again with its checkpoint, or with a new table")
+    if query and not owners:
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path, f"_query-{query}"))
+
+
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     """The newest version of a merged table."""
     return _next(root, spark)[0]
 
 
 def merged_sink(root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes merge(old, batch) as the next version; a batch that is run again writes the same version again."""
+    """A foreachBatch function that writes merge(old, batch) as the next version; a batch that is run again writes the same version again.
+
+    Versions are numbered by the batches of one query, so the table keeps that
+    query's id; another query, as after the loss of a checkpoint, is refused.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        _claim(root, spark, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
         old, n = _next(root, spark)
         if n > batch_id:  # this batch's version is complete
             return
