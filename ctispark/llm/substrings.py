@@ -285,8 +285,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
     searched = taken.filter("words is not null").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(search, "row long, s int, e int")
     single = taken.filter("words is null")
-    lowest = single.groupBy("key").agg(F.min("id").alias("least")).withColumnRenamed("key", "k2")
-    hot = single.join(lowest, F.col("key") == F.col("k2")).filter("id > least").select("row", F.col("s").cast("int").alias("s"), (F.col("s") + 1).cast("int").alias("e"))
+    lowest = staged(single.groupBy("key").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).withColumnRenamed("key", "k2"))
+    hot = hub_join(single, "key", lowest, "k2", "n", single.count()).filter("id > least").select("row", F.col("s").cast("int").alias("s"), (F.col("s") + 1).cast("int").alias("e"))
     spans = copies.unionByName(searched).unionByName(hot)
     return staged(spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("all")).select("row", _merged(F.col("all")).alias("spans")))
 
