@@ -23,15 +23,15 @@ def _text(c: str):
 _ID = "cast(split_part(advisory_id, '-', 2) as bigint) as doc_id"
 _TABLE = "<html><body><main><h2>Findings</h2><table><tr><th>Indicator</th><th>Description</th></tr>"
 _END = "</table></main></body></html>"
-_ROW = F.concat(F.lit("<tr><td>"), _text("value"), F.lit("</td><td>seen as "), F.col("type"), F.lit("</td></tr>"))
+_ROW = lambda: F.concat(F.lit("<tr><td>"), _text("value"), F.lit("</td><td>seen as "), F.col("type"), F.lit("</td></tr>"))
 _IOCS = lambda i: i.select("advisory_id", "type", "value")
 
 _add(
-    "M04_tables_classified", "ioc", lambda i: html.tables_classified(_doc(_IOCS(i), "cisa", _TABLE, _ROW, "</table><table><tr><th>Tactic</th></tr><tr><td>x</td></tr></table><table><tr><td>plain</td><td>words</td></tr>" + _END)).select("doc_id", "kind", "headers", "iocs"),
+    "M04_tables_classified", "ioc", lambda i: html.tables_classified(_doc(_IOCS(i), "cisa", _TABLE, _ROW(), "</table><table><tr><th>Tactic</th></tr><tr><td>x</td></tr></table><table><tr><td>plain</td><td>words</td></tr>" + _END)).select("doc_id", "kind", "headers", "iocs"),
     f"select d.doc_id, k.kind, k.headers, false as iocs from (select distinct {_ID} from ioc) d, (values ('headed', 'Indicator; Description'), ('skip', 'Tactic'), ('headerless', '')) k(kind, headers)",
 )
 _add(
-    "M05_table_iocs", "ioc", lambda i: html.table_iocs(_doc(_IOCS(i), "cisa", _TABLE, _ROW, _END)).select("doc_id", "type", "value", "context", "sure"),
+    "M05_table_iocs", "ioc", lambda i: html.table_iocs(_doc(_IOCS(i), "cisa", _TABLE, _ROW(), _END)).select("doc_id", "type", "value", "context", "sure"),
     f"select {_ID}, type, value, 'seen as ' || type as context, true as sure from ioc",
 )
 _add(
@@ -53,7 +53,7 @@ _add(
     f"select {_ID}, type, value, c as context from ioc, (values ('Appendix: indicators'), ('Appendix B')) x(c)",
 )
 _add(
-    "M10_extract_iocs", "ioc", lambda i: html.extract_iocs(_doc(_IOCS(i), "cisa", _TABLE, F.concat(_ROW, _ROW), _END)).select("doc_id", "type", "value", "context", "validation_status", "source_verified"),
+    "M10_extract_iocs", "ioc", lambda i: html.extract_iocs(_doc(_IOCS(i), "cisa", _TABLE, F.concat(_ROW(), _ROW()), _END)).select("doc_id", "type", "value", "context", "validation_status", "source_verified"),
     f"select {_ID}, type, value, 'seen as ' || type as context, 'verified' as validation_status, true as source_verified from ioc",
 )
 _TECHNIQUES = "<main><table><caption>Table 1: Techniques</caption><tr><th>Technique Title</th><th>ID</th><th>Use</th></tr>"
@@ -68,9 +68,9 @@ _add(
     "M12_d3fend", "behavior", lambda b: html.d3fend(_doc(b.withColumn("d3", F.concat(F.lit("D3-"), F.expr(_LETTERS))), "cisa", "<main><p>", F.concat(F.lit('<a href="/d3" title="'), "d3", F.lit('">'), "description", F.lit("</a> ")), "</p></main>")),
     f"select {_ID}, 'D3-' || {_LETTERS} as technique_id, description as name from behavior",
 )
-_RULE = F.concat(F.lit("<table><tr><th>Rule</th></tr><tr><td>short</td><td>"), F.when(F.col("rule_format") == "yara", F.concat(F.lit("rule "), "rule_name", F.lit(" { condition: true }"))).otherwise(F.concat(F.lit("title: "), "rule_name", F.lit("\nlogsource: x"))), F.lit("</td></tr></table>"))
+_RULE = lambda: F.concat(F.lit("<table><tr><th>Rule</th></tr><tr><td>short</td><td>"), F.when(F.col("rule_format") == "yara", F.concat(F.lit("rule "), "rule_name", F.lit(" { condition: true }"))).otherwise(F.concat(F.lit("title: "), "rule_name", F.lit("\nlogsource: x"))), F.lit("</td></tr></table>"))
 _add(
-    "M14_detection_rules", "detection_rule", lambda r: html.detection_rules(_doc(r, "cisa", "<main><h2>Detection rules</h2>", _RULE, "<h2>Next</h2><table><tr><td>rule none { }</td></tr></table></main>")).select("doc_id", "rule_name", "rule_text", "rule_format", "validation_status"),
+    "M14_detection_rules", "detection_rule", lambda r: html.detection_rules(_doc(r, "cisa", "<main><h2>Detection rules</h2>", _RULE(), "<h2>Next</h2><table><tr><td>rule none { }</td></tr></table></main>")).select("doc_id", "rule_name", "rule_text", "rule_format", "validation_status"),
     f"""select {_ID}, case rule_format when 'yara' then rule_name else 'Rule' end as rule_name, case rule_format when 'yara' then 'rule ' || rule_name || ' {{ condition: true }}' else 'title: ' || rule_name || chr(10) || 'logsource: x' end as rule_text,
     case rule_format when 'yara' then 'yara' else 'sigma' end as rule_format, 'unvalidated' as validation_status from detection_rule""",
 )
@@ -93,7 +93,7 @@ _add(
 
 
 def _parsed(i: DataFrame) -> DataFrame:
-    found = html.parse_documents(_doc(_IOCS(i), "cisa", _TABLE, _ROW, _END + "<p>See CVE-2024-12345.</p>"))
+    found = html.parse_documents(_doc(_IOCS(i), "cisa", _TABLE, _ROW(), _END + "<p>See CVE-2024-12345.</p>"))
     parts = [df.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(name).alias("table_name"), "n") for name, df in found.items()]
     out = parts[0]
     for part in parts[1:]:
@@ -112,9 +112,9 @@ _add(
     """with t as (select concat_ws('/', advisory_id, type, value) as doc_id, type as kind, '/' || type as target, value, replace(value, '.', '[.]') as v from ioc)
     select doc_id, cast(5 as bigint) as start, v as matched, kind, target from t union all select doc_id, 5 + length(v) + 10, value, kind, target from t""",
 )
-_MARKDOWN = F.concat(F.lit("# "), F.col("source"), F.lit("\nIt was "), F.col("triage_status"), F.lit(".\n## Indicators\n"), F.col("pub_date"), F.lit("\n### More\nof it\n## Next\nend"))
+_MARKDOWN = lambda: F.concat(F.lit("# "), F.col("source"), F.lit("\nIt was "), F.col("triage_status"), F.lit(".\n## Indicators\n"), F.col("pub_date"), F.lit("\n### More\nof it\n## Next\nend"))
 _add(
-    "M21_prepare_body", "advisory", lambda a: html.prepare_body(a.select(F.col("id").alias("doc_id"), _MARKDOWN.alias("markdown")), "(?i)indicators"),
+    "M21_prepare_body", "advisory", lambda a: html.prepare_body(a.select(F.col("id").alias("doc_id"), _MARKDOWN().alias("markdown")), "(?i)indicators"),
     "select id as doc_id, '# ' || source || chr(10) || 'It was ' || triage_status || '.' || chr(10) || '## Next' || chr(10) || 'end' as body from advisory",
 )
 

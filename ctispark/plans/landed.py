@@ -48,42 +48,42 @@ def _feed(df: DataFrame, by: Column, item: Column, root: str) -> tuple[SparkSess
 
 
 # readers
-_LOC = F.concat(F.lit("https://x.example/"), F.when(F.col("type") == "analysis_report", "analysis-reports/ar").otherwise("cybersecurity-advisories/aa"), "advisory_id")
+_LOC = lambda: F.concat(F.lit("https://x.example/"), F.when(F.col("type") == "analysis_report", "analysis-reports/ar").otherwise("cybersecurity-advisories/aa"), "advisory_id")
 _add(
-    "A01_read_sitemap", "feed_entry", lambda e: feeds.read_sitemap(*_feed(e, F.floor(F.col("pos") / 1000), F.concat(F.lit("<url>"), _tag("loc", _LOC), _tag("lastmod", F.col("lastmod")), F.lit("</url><url><loc>https://x.example/news</loc></url>")), "urlset")),
+    "A01_read_sitemap", "feed_entry", lambda e: feeds.read_sitemap(*_feed(e, F.floor(F.col("pos") / 1000), F.concat(F.lit("<url>"), _tag("loc", _LOC()), _tag("lastmod", F.col("lastmod")), F.lit("</url><url><loc>https://x.example/news</loc></url>")), "urlset")),
     "select 'https://x.example/' || case type when 'analysis_report' then 'analysis-reports/ar' else 'cybersecurity-advisories/aa' end || advisory_id as url, lastmod, case type when 'analysis_report' then 'ar' else 'aa' end || advisory_id as advisory_id, type as advisory_type from feed_entry",
 )
-_ITEM = F.concat(F.lit("<item>"), _tag("title", F.concat(F.when(F.col("source") == "acsc", "High ALERT: ").otherwise(""), "advisory_id")), _tag("link", F.concat(F.lit("https://x.example/"), "advisory_id")), _tag("pubDate", F.date_format("pub_date", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")), F.lit("</item><item><title>no link</title></item>"))
+_ITEM = lambda: F.concat(F.lit("<item>"), _tag("title", F.concat(F.when(F.col("source") == "acsc", "High ALERT: ").otherwise(""), "advisory_id")), _tag("link", F.concat(F.lit("https://x.example/"), "advisory_id")), _tag("pubDate", F.date_format("pub_date", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")), F.lit("</item><item><title>no link</title></item>"))
 _add(
-    "A02_read_rss", "advisory", lambda a: feeds.read_rss(*_feed(a, F.floor(F.col("id") / 1000), _ITEM, "channel"), "alert").select("url", "title", "pub_date", "advisory_type", "severity"),
+    "A02_read_rss", "advisory", lambda a: feeds.read_rss(*_feed(a, F.floor(F.col("id") / 1000), _ITEM(), "channel"), "alert").select("url", "title", "pub_date", "advisory_type", "severity"),
     "select 'https://x.example/' || advisory_id as url, advisory_id as title, pub_date, 'alert' as advisory_type, case source when 'acsc' then 'high' end as severity from advisory",
 )
-_ENTRY = F.concat(
+_ENTRY = lambda: F.concat(
     F.lit("<entry>"), _tag("title", F.col("advisory_id")), F.lit('<link href="https://blogs.example/2024/05/'), "advisory_id", F.lit('.html"/><category term="News"/><category term="'), F.when(F.col("source") == "orkl", "Other").otherwise("Malware"), F.lit('"/>'),
     _tag("published", F.concat("pub_date", F.lit("T01:02:03Z"))), F.lit("</entry>"),
 )
 _add(
-    "A03_read_atom", "advisory", lambda a: feeds.read_atom(*_feed(a, F.floor(F.col("id") / 1000), _ENTRY, "feed"), ["malware", "incident"]),
+    "A03_read_atom", "advisory", lambda a: feeds.read_atom(*_feed(a, F.floor(F.col("id") / 1000), _ENTRY(), "feed"), ["malware", "incident"]),
     "select 'https://blogs.example/2024/05/' || advisory_id || '.html' as url, advisory_id as title, pub_date, 'malware' as category, 'jpcert-202405-' || advisory_id as advisory_id from advisory where source <> 'orkl'",
 )
 _add("A04_rss_cve_ids", "msrc_cve", lambda c: feeds.rss_cve_ids(*_feed(c, F.substring("cve_id", 1, 12), F.concat(F.lit("<item>"), _tag("title", F.concat(F.lit("Fix for "), "cve_id", F.lit(" and "), "cve_id")), F.lit("</item>")), "channel")), "select distinct cve_id from msrc_cve")
-_POST = F.concat(F.lit('<a href="/2024/05/post-'), F.col("id").cast("string"), F.lit('.html">'), "description", F.lit('</a><a href="/about">no</a>'))
+_POST = lambda: F.concat(F.lit('<a href="/2024/05/post-'), F.col("id").cast("string"), F.lit('.html">'), "description", F.lit('</a><a href="/about">no</a>'))
 _add(
-    "A05_read_listing", "behavior", lambda b: feeds.read_listing(html.html_nodes(b.select(F.col("id").alias("doc_id"), F.lit("jpcert").alias("source"), F.concat(F.lit("<main>"), _POST, _POST, F.lit("</main>")).alias("html")))).select("doc_id", "url", "title", "advisory_id"),
+    "A05_read_listing", "behavior", lambda b: feeds.read_listing(html.html_nodes(b.select(F.col("id").alias("doc_id"), F.lit("jpcert").alias("source"), F.concat(F.lit("<main>"), _POST(), _POST(), F.lit("</main>")).alias("html")))).select("doc_id", "url", "title", "advisory_id"),
     "select id as doc_id, '/2024/05/post-' || id || '.html' as url, description as title, 'jpcert-202405-post-' || id as advisory_id from behavior",
 )
-_REPORT = F.struct(F.col("advisory_id").alias("id"), F.col("source").alias("title"), F.when(F.col("source") == "acsc", "en").otherwise("DE").alias("language"), F.col("retry_count").alias("extraction_quality"), F.array(F.concat(F.lit("https://host.example/"), "advisory_id")).alias("references"))
+_REPORT = lambda: F.struct(F.col("advisory_id").alias("id"), F.col("source").alias("title"), F.when(F.col("source") == "acsc", "en").otherwise("DE").alias("language"), F.col("retry_count").alias("extraction_quality"), F.array(F.concat(F.lit("https://host.example/"), "advisory_id")).alias("references"))
 _add(
-    "A06_read_reports", "advisory", lambda a: feeds.read_reports_json(*_grouped(a, F.floor(F.col("id") / 1000), _REPORT, None)).select("id", "title", "original_source"),
+    "A06_read_reports", "advisory", lambda a: feeds.read_reports_json(*_grouped(a, F.floor(F.col("id") / 1000), _REPORT(), None)).select("id", "title", "original_source"),
     "select advisory_id as id, source as title, 'host.example' as original_source from advisory where source = 'acsc' and retry_count >= 1",
 )
-_THOUSAND = F.substring("cve_id", 1, 12)
+_THOUSAND = lambda: F.substring("cve_id", 1, 12)
 _add(
-    "A07_read_kev", "kev_entry", lambda k: feeds.read_kev(*_grouped(k, _THOUSAND, F.struct(F.col("cve_id").alias("cveID"), F.col("vendor").alias("vendorProject"), F.lit("p").alias("product")), "vulnerabilities")).select("cve_id", "vendor", "product"),
+    "A07_read_kev", "kev_entry", lambda k: feeds.read_kev(*_grouped(k, _THOUSAND(), F.struct(F.col("cve_id").alias("cveID"), F.col("vendor").alias("vendorProject"), F.lit("p").alias("product")), "vulnerabilities")).select("cve_id", "vendor", "product"),
     "select cve_id, vendor, 'p' as product from kev_entry",
 )
 _said = lambda v: F.struct(v.alias("Value"))
-_VULNERABILITY = F.struct(
+_VULNERABILITY = lambda: F.struct(
     F.col("cve_id").alias("CVE"), _said(F.col("title")).alias("Title"),
     F.array(F.struct(F.lit("2").alias("Type"), F.concat(F.lit("<p>A flaw in "), "cve_id", F.lit("</p>")).alias("Value")), F.struct(F.lit("7").alias("Type"), F.col("component").alias("Value")), F.struct(F.lit("CWE").alias("Type"), F.col("cwe_id").alias("Value"))).alias("Notes"),
     F.array(
@@ -94,9 +94,9 @@ _VULNERABILITY = F.struct(
     F.array(F.struct(F.lit(7.5).alias("BaseScore"), F.concat(F.lit("CVSS:3.1/AV:"), F.substring("av", 1, 1), F.lit("/PR:"), F.substring("pr", 1, 1)).alias("Vector"))).alias("CVSSScoreSets"),
 )
 _CVRF_SQL = """select cve_id, title, 'A flaw in ' || cve_id as description, released, coalesce(component, 'Product') as component, impact, severity, cwe_id, exploited_wild, publicly_disclosed, 7.5 as cvss_base from msrc_cve"""
-_add("A08_read_cvrf", "msrc_cve", lambda c: feeds.read_cvrf(*_grouped(c, _THOUSAND, _VULNERABILITY, "Vulnerability"))[0].select("cve_id", "title", "description", "released", "component", "impact", "severity", "cwe_id", "exploited_wild", "publicly_disclosed", "cvss_base"), _CVRF_SQL)
-_add("J02_cve_patches", "msrc_cve", lambda c: feeds.read_cvrf(*_grouped(c, _THOUSAND, _VULNERABILITY, "Vulnerability"))[1].select("cve_id", "kb_number", "product_name"), "select cve_id, substr(cve_id, 10, 6) as kb_number, 'Product' as product_name from msrc_cve")
-_V = lambda c: c.select("cve_id", _VULNERABILITY.alias("v"))
+_add("A08_read_cvrf", "msrc_cve", lambda c: feeds.read_cvrf(*_grouped(c, _THOUSAND(), _VULNERABILITY(), "Vulnerability"))[0].select("cve_id", "title", "description", "released", "component", "impact", "severity", "cwe_id", "exploited_wild", "publicly_disclosed", "cvss_base"), _CVRF_SQL)
+_add("J02_cve_patches", "msrc_cve", lambda c: feeds.read_cvrf(*_grouped(c, _THOUSAND(), _VULNERABILITY(), "Vulnerability"))[1].select("cve_id", "kb_number", "product_name"), "select cve_id, substr(cve_id, 10, 6) as kb_number, 'Product' as product_name from msrc_cve")
+_V = lambda c: c.select("cve_id", _VULNERABILITY().alias("v"))
 _add("J01_cve_threats", "msrc_cve", lambda c: _V(c).select("cve_id", feeds.cve_threats(F.col("v")).alias("t")).select("cve_id", "t.impact", "t.severity", "t.exploited_wild", "t.publicly_disclosed"), "select cve_id, impact, severity, exploited_wild = 1 as exploited_wild, publicly_disclosed = 1 as publicly_disclosed from msrc_cve")
 _add("J03_cve_notes", "msrc_cve", lambda c: _V(c).select("cve_id", feeds.cve_notes(F.col("v")).alias("n")).select("cve_id", "n.description", "n.component", "n.cwe_id"), "select cve_id, 'A flaw in ' || cve_id as description, component, cwe_id from msrc_cve")
 
@@ -111,16 +111,16 @@ def _round_trip(a: DataFrame, i: DataFrame) -> DataFrame:
 
 
 _add("A10_tables_round_trip", "advisory ioc", _round_trip, "select source, sum(case when type = 'ip' then 2 else 1 end)::bigint as n from ioc join (select advisory_id, source from advisory) using (advisory_id) group by source")
-_add("B13_backfill_from_json", "msrc_cve", lambda c: merge.backfill_from_json(c.select("cve_id", F.lit("").alias("description"), F.when(F.col("severity") == "Low", "unknown").otherwise(F.col("severity")).alias("component"), F.to_json(F.struct(_VULNERABILITY["Notes"].alias("Notes"))).alias("raw_json"))).select("cve_id", "description", "component"),
+_add("B13_backfill_from_json", "msrc_cve", lambda c: merge.backfill_from_json(c.select("cve_id", F.lit("").alias("description"), F.when(F.col("severity") == "Low", "unknown").otherwise(F.col("severity")).alias("component"), F.to_json(F.struct(_VULNERABILITY()["Notes"].alias("Notes"))).alias("raw_json"))).select("cve_id", "description", "component"),
     "select cve_id, '<p>A flaw in ' || cve_id || '</p>' as description, case when severity = 'Low' then coalesce(component, 'unknown') else severity end as component from msrc_cve")
 
 # responses of a model
-_IOC_LISTS = [F.collect_list(F.when(F.col("type") == kind, F.col("value"))).alias(key) for key, kind in intel.IOC_KINDS.items()]
+_IOC_LISTS = lambda: [F.collect_list(F.when(F.col("type") == kind, F.col("value"))).alias(key) for key, kind in intel.IOC_KINDS.items()]
 
 
 def _responses(i: DataFrame, b: DataFrame) -> DataFrame:
     """A response an advisory; those of a source of their own lack a key."""
-    iocs = i.groupBy("advisory_id").agg(F.to_json(F.struct(*_IOC_LISTS)).alias("iocs"))
+    iocs = i.groupBy("advisory_id").agg(F.to_json(F.struct(*_IOC_LISTS())).alias("iocs"))
     acts = b.groupBy("advisory_id").agg(F.to_json(F.collect_list(F.struct("description", F.lit("T1059").alias("mitre_technique_id"), F.lit("Execution").alias("mitre_tactic"), F.lit("llm_extracted").alias("confidence")))).alias("acts"))
     keys = F.when(F.col("advisory_id").endswith("3"), "").otherwise('"cve_ids":["CVE-2024-12345"],')
     body = F.concat(F.lit('```json\n{"threat_actors":["Actor 2"],"malware_families":["M"],"targeted_sectors":[],'), keys, F.lit('"mitre_techniques":["T1059","bad"],"behaviors":'), "acts", F.lit(',"iocs":'), "iocs", F.lit("}\n```"))
@@ -146,18 +146,18 @@ _add(
     f"""with s as ({_SOUND}) select advisory_id, 'ioc' as table_name, count(*) as n from ioc where advisory_id in (select * from s) group by 1 union all select advisory_id, 'behavior', count(*) from behavior where advisory_id in (select * from s) group by 1
     union all select advisory_id, 'advisory_actor', 1 from s union all select advisory_id, 'advisory_cve', 1 from s union all select distinct advisory_id, 'failures', 1 from ioc where advisory_id in (select advisory_id from behavior) and advisory_id like '%3'""",
 )
-_ANALYSES = F.concat(
+_ANALYSES = lambda: F.concat(
     F.lit('{"tactical":{"red_team_activities":[{"title":"Try '), "source", F.lit('","priority":"HIGH","mitre_techniques":["T1059","bad"]},{"title":"","priority":"low"}],"blue_team_activities":[{"title":"Watch","detection_rule_refs":["rule_7","none"],"gap_quote":""}],"purple_team_exercises":[{"title":"Both","kill_chain_phase":"0"}],'),
     F.lit('"lessons_learned":[{"type":"incident_lessons","finding":"f"},{"type":"x","finding":"g"}]},"strategic":{"security_posture":[{"category":"c","title":"t","description":"d","priority":"urgent","maturity_level":"Advanced"}]}}'),
 )
-_ANALYSED = lambda a: intel.validate_analysis(a.select("advisory_id", F.when(F.col("source") == "orkl", "{}").otherwise(_ANALYSES).alias("response")))
+_ANALYSED = lambda a: intel.validate_analysis(a.select("advisory_id", F.when(F.col("source") == "orkl", "{}").otherwise(_ANALYSES()).alias("response")))
 _add(
     "N06_validate_analysis", "advisory", lambda a: _ANALYSED(a).select("advisory_id", "error", F.size("red_team_activities").alias("red"), F.col("red_team_activities")[0]["priority"].alias("priority"), F.size("defensive_findings").alias("findings"), F.col("security_posture")[0]["maturity_level"].alias("maturity"), F.col("security_posture")[0]["priority"].alias("urgency")).filter("error is null"),
     "select advisory_id, null as error, 1 as red, 'high' as priority, 1 as findings, 'advanced' as maturity, null as urgency from advisory where source <> 'orkl'",
 )
 _add(
     "N07_postprocess_analysis", "advisory detection_rule mitre_technique",
-    lambda a, r, m: intel.postprocess_analysis(a.select("advisory_id", F.when(F.col("source") == "orkl", "{}").otherwise(_ANALYSES).alias("response")), a, m, r).select("advisory_id", "section", "title", "technique_warning", "gap_quote_verified", F.array_join("rule_refs", ",").alias("refs")),
+    lambda a, r, m: intel.postprocess_analysis(a.select("advisory_id", F.when(F.col("source") == "orkl", "{}").otherwise(_ANALYSES()).alias("response")), a, m, r).select("advisory_id", "section", "title", "technique_warning", "gap_quote_verified", F.array_join("rule_refs", ",").alias("refs")),
     """select advisory_id, s.section, case s.section when 'red_team_activities' then 'Try ' || source else s.title end as title, s.warning as technique_warning, null as gap_quote_verified,
     case s.section when 'blue_team_activities' then case when advisory_id in (select advisory_id from detection_rule where rule_name = 'rule_7') then 'rule_7' else '' end end as refs
     from advisory, (values ('red_team_activities', '', 'malformed_id'), ('blue_team_activities', 'Watch', null), ('purple_team_exercises', 'Both', null), ('security_posture', 't', null)) s(section, title, warning) where source <> 'orkl'""",
