@@ -1,31 +1,18 @@
-"""HTML documents as a table of nodes (M0), and what is read from it by joins, windows and aggregations.
+"""What is read from the nodes of HTML documents (operators/parse.py) by expressions, joins on equal keys, windows and aggregations.
 
-html_nodes is the only parser: it turns each document into rows and knows
-nothing of indicators, techniques or rules. Documents are independent, so it
-scales with them.
+Give operators staged nodes (parse.parsed): each reads them again.
 """
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctispark.functions import ioc, text
+from ctispark.operators.markdown import html_to_markdown  # noqa: F401
 from ctispark.operators.ordering import first_per_key
+from ctispark.operators.parse import has_class, html_nodes, parse_errors, parsed  # noqa: F401
 from ctispark.operators.plaintext import typed, validated
+from ctispark.sources.shared import staged
 
-NODE = "doc_id long, source string, pos int, end_pos int, parent_pos int, depth int, tag string, attrs map<string,string>, text string, raw_text string, table_pos int, row_pos int, col_no int, block_pos int"
-
-# Elements without an end, those whose text is none, and those that a repeated start closes.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset(("script", "style", "noscript", "template"))
-CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
-#: What a repeated start closes along with it.
-INLINE = frozenset("a b i em strong span u s small font code sub sup mark".split())
-#: Containers whose text is that of their nodes; it is not repeated at each of them unless they are named by a class or id.
-WIDE = frozenset("html head table tbody thead tfoot tr ul ol dl".split())
 SITES = {"cisa": "https://www.cisa.gov", "acsc": "https://www.cyber.gov.au", "jpcert": "https://blogs.jpcert.or.jp"}
 BODIES = {"cisa": ("main", "article"), "acsc": ("article", "main"), "jpcert": ("article", "main")}
 SKIPPED_TABLES = ("technique", "countermeasure", "tactic", "command", "plugin")
@@ -36,97 +23,6 @@ DETECTION = r"(?i)\b(?:yara|sigma|snort|detections?)\b"
 APPENDIX = r"(?i)appendix|ioc|indicator"
 
 
-class _Nodes(HTMLParser):
-    """Rows of one document, in document order."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.open: list[dict] = []
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        while self._closes(tag):
-            self._close()
-        up = self.open[-1] if self.open else None
-        inherit = lambda k: up[k] if up else -1
-        row = {"pos": len(self.rows), "parent_pos": up["pos"] if up else -1, "depth": len(self.open), "tag": tag, "attrs": {k: v or "" for k, v in attrs}, "parts": [], "table_pos": inherit("table_pos"), "row_pos": inherit("row_pos"), "col_no": -1, "cells": 0, "block_pos": inherit("block_pos"), "end_pos": len(self.rows)}
-        if tag == "table":
-            row["table_pos"] = row["pos"]
-        elif tag == "tr":
-            row["row_pos"] = row["pos"]
-        elif tag in ("td", "th"):
-            owner = next((o for o in reversed(self.open) if o["tag"] == "tr"), None)
-            if owner:
-                row["col_no"] = owner["cells"]
-                owner["cells"] += 1
-        elif tag == "div" and "c-file" in row["attrs"].get("class", "").split():
-            row["block_pos"] = row["pos"]
-        self.rows.append(row)
-        if tag == "br":
-            self.handle_data("\n")
-        if tag not in VOID:
-            self.open.append(row)
-
-    def _closes(self, tag: str) -> bool:
-        """Whether tag ends an open element, with the inline ones that were left open in it."""
-        outer = next((o["tag"] for o in reversed(self.open) if o["tag"] not in INLINE), "")
-        return outer in CLOSES.get(tag, ())
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open and self.open[-1]["tag"] == tag:
-            self._close()
-
-    def handle_endtag(self, tag: str) -> None:
-        if any(o["tag"] == tag for o in self.open):
-            while self.open[-1]["tag"] != tag:
-                self._close()
-            self._close()
-
-    def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1]["tag"] not in SILENT:
-            self.open[-1]["parts"].append(data)
-
-    def _close(self) -> None:
-        row = self.open.pop()
-        row["end_pos"] = len(self.rows) - 1
-        if row["tag"] == "p":
-            row["parts"].append("\n")
-        if self.open and row["tag"] not in SILENT:
-            self.open[-1]["parts"].append("".join(row["parts"]))
-            row["parts"] = row["parts"]
-
-    def finish(self) -> list[dict]:
-        self.close()
-        while self.open:
-            self._close()
-        return self.rows
-
-
-def html_nodes(docs: DataFrame, doc: str = "doc_id", html: str = "html", source: str = "source") -> DataFrame:
-    """M0: a row an element: its place, parent, table, row and column, and its text, white space single (raw_text: as written, with line breaks). Null pages have no rows."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in NODE.split(", ")]
-        for batch in batches:
-            out = []
-            for d, s, h in zip(batch.iloc[:, 0], batch.iloc[:, 1], batch.iloc[:, 2], strict=True):
-                parser = _Nodes()
-                if h:
-                    parser.feed(h)
-                for row in parser.finish():
-                    raw = "" if row["tag"] in WIDE and not {"class", "id"} & set(row["attrs"]) else "".join(row["parts"])
-                    row.update(doc_id=d, source=s, raw_text=raw, text=" ".join(raw.split()))
-                    out.append({k: row[k] for k in names})
-            yield pd.DataFrame(out, columns=names)
-
-    return docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(html).alias("html")).mapInPandas(run, NODE)
-
-
-def has_class(name: str) -> Column:
-    return F.array_contains(F.split(F.coalesce(F.col("attrs")["class"], F.lit("")), r"\s+"), name)
-
-
 def level(tag: Column) -> Column:
     return F.when(tag.rlike(r"\Ah[1-6]\z"), F.substring(tag, 2, 1).cast("int"))
 
@@ -137,13 +33,11 @@ def article_body(nodes: DataFrame, least: int = 500, least_blog: int = 300) -> D
     for site, tags in BODIES.items():
         for i, tag in enumerate(tags):
             rank = F.when((F.col("source") == site) & (F.col("tag") == tag), i).otherwise(rank)
-    enough = F.length("text") >= F.when(F.col("source") == "jpcert", least_blog).otherwise(least)
+    enough = F.col("n_chars") >= F.when(F.col("source") == "jpcert", least_blog).otherwise(least)
     ranked = nodes.withColumn("rank", F.when(enough, rank)).withColumn("rank", F.coalesce("rank", F.when(F.col("tag") == "body", 9))).filter("rank is not null")
     best = ranked.groupBy("doc_id").agg(F.min_by(F.struct("pos", "end_pos"), F.struct("rank", "pos")).alias("b"))
-    noise = nodes.filter(F.col("tag").isin("nav", "header", "footer", "aside", "form")).select("doc_id", F.col("pos").alias("a"), F.col("end_pos").alias("z"))
-    texts = nodes.filter(F.col("tag").isin("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "th")).select("doc_id", "pos", "end_pos", "text").join(best, "doc_id").filter("pos >= b.pos and pos <= b.end_pos and text <> ''")
-    inside = texts.join(noise, "doc_id", "left").groupBy("doc_id", "pos", "end_pos", "text").agg(F.coalesce(F.bool_or(F.col("pos").between(F.col("a"), F.col("z"))), F.lit(False)).alias("gone")).filter("not gone")
-    return inside.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("body"))
+    texts = nodes.filter(F.col("tag").isin("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "td", "th") & (F.col("text") != "") & ~F.col("noise")).select("doc_id", "pos", "text").join(best, "doc_id").filter("pos >= b.pos and pos <= b.end_pos")
+    return texts.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("body"))
 
 
 def page_title(nodes: DataFrame) -> DataFrame:
@@ -158,28 +52,6 @@ def page_date(nodes: DataFrame) -> DataFrame:
     return nodes.filter("tag = 'time'").groupBy("doc_id").agg(F.min_by(text.normalize_date(raw), "pos").alias("pub_date"))
 
 
-def cells(nodes: DataFrame) -> DataFrame:
-    return nodes.filter(F.col("tag").isin("td", "th") & (F.col("table_pos") >= 0)).select("doc_id", "source", "table_pos", "row_pos", "col_no", "pos", "end_pos", "tag", "text", "raw_text")
-
-
-def tables_classified(nodes: DataFrame) -> DataFrame:
-    """M4: (doc_id, table_pos, kind, headers, iocs): skip, vertical, grid, headed, or headerless with too few indicators; headers joined; iocs: most cells are indicators."""
-    c = cells(nodes)
-    is_ioc = ioc.infer_type(ioc.refang(F.col("text"))).isNotNull()
-    skip = F.lit(False)
-    for w in SKIPPED_TABLES:
-        skip = skip | F.contains(F.lower("text"), F.lit(w))
-    rows = c.groupBy("doc_id", "table_pos", "row_pos").agg((F.bool_or(F.col("tag") == "th") & F.bool_or(F.col("tag") == "td")).alias("pair"))
-    rows = rows.groupBy("doc_id", "table_pos").agg(F.count(F.lit(1)).alias("rows"), F.count_if("pair").alias("pairs"))
-    own = c.groupBy("doc_id", "table_pos").agg(
-        F.bool_or((F.col("tag") == "th") & skip).alias("skip"), F.count_if(F.col("tag") == "th").alias("heads"), F.count_if((F.col("tag") == "td") & (F.col("text") != "")).alias("filled"), F.count_if((F.col("tag") == "td") & (F.col("text") != "") & is_ioc).alias("found"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("tag") == "th", F.struct("pos", "text")))), lambda x: x["text"]), "; ").alias("headers"),
-    )
-    mostly = F.col("found") * 2 > F.col("filled")
-    kind = F.when(F.col("skip"), "skip").when((F.col("rows") >= 2) & (F.col("pairs") >= F.col("rows") * 0.8), "vertical").when((F.col("heads") == 0) & mostly, "grid").when(F.col("heads") == 0, "headerless").otherwise("headed")
-    return own.join(rows, ["doc_id", "table_pos"]).select("doc_id", "table_pos", kind.alias("kind"), "headers", mostly.alias("iocs"))
-
-
 def _words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -188,124 +60,173 @@ def _any(words: Column, names: tuple[str, ...]) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, names)))
 
 
+def _tables(nodes: DataFrame, told: Column) -> DataFrame:
+    """(doc_id, source, table_pos, caption, rows, t): a row a table with what told makes of cells (all of its cells), heads (their texts) and rows."""
+    own = nodes.filter("tag = 'table'").select("doc_id", "source", F.col("pos").alias("table_pos"), "caption", "rows", F.flatten(F.transform("rows", lambda r: r["cells"])).alias("cells"))
+    own = own.withColumn("heads", F.transform(F.filter("cells", lambda x: x["th_no"] >= 0), lambda x: x["text"]))
+    # a generator's output is computed once, however many columns and filters ask for it
+    return own.select("doc_id", "source", "table_pos", "caption", "rows", F.explode(F.array(told)).alias("t"))
+
+
+def _is_ioc(said: Column) -> Column:
+    return ioc.bound(ioc.refang(said), lambda v: ioc.infer_type(v).isNotNull())
+
+
+def _layout() -> Column:
+    """M4, M5 of a table: kind, headers (joined), iocs (most cells are indicators) and the roles of its headers, by whole words, context before value."""
+    td = F.filter("cells", lambda x: (x["td_no"] >= 0) & (x["text"] != ""))
+    share = ioc.bound(td, lambda own: F.size(F.filter(own, lambda x: _is_ioc(x["text"]))) * 2 > F.size(own))
+    has = lambda r, number: F.exists(r["cells"], lambda x: x[number] >= 0)
+    pairs = F.size(F.filter("rows", lambda r: has(r, "th_no") & has(r, "td_no")))
+    skip = F.exists("heads", lambda h: F.lower(h).rlike("|".join(SKIPPED_TABLES)))
+    headless = F.size("heads") == 0
+    role = lambda w: F.when(_any(w, CONTEXT_WORDS), "context").when(_any(w, VALUE_WORDS), "ioc_value")
+    told = F.struct(share.alias("iocs"), F.transform("heads", lambda h: ioc.bound(_words(h), role)).alias("roles"))
+
+    def whole(t: Column) -> Column:
+        kind = F.when(skip, "skip").when((F.size("rows") >= 2) & (pairs >= F.size("rows") * 0.8), "vertical").when(headless & t["iocs"], "grid").when(headless, "headerless").otherwise("headed")
+        return F.struct(kind.alias("kind"), F.array_join("heads", "; ").alias("headers"), t["iocs"].alias("iocs"), t["roles"].alias("roles"), F.coalesce(F.array_contains(t["roles"], "ioc_value"), F.lit(False)).alias("mapped"))
+
+    return ioc.bound(told, whole)
+
+
+def tables_classified(nodes: DataFrame) -> DataFrame:
+    """M4: (doc_id, table_pos, kind, headers, iocs, mapped): skip, vertical, grid, headed, or headerless with too few indicators; headers joined; iocs: most cells are indicators; mapped: a header names a column of them. Tables without cells are none."""
+    return _tables(nodes, _layout()).filter(F.exists("rows", lambda r: F.size(r["cells"]) > 0)).select("doc_id", "table_pos", "t.kind", "t.headers", "t.iocs", "t.mapped")
+
+
 def header_roles(nodes: DataFrame) -> DataFrame:
-    """M5: (doc_id, table_pos, n, role) of headers by whole words, context before value; n counts the table's headers."""
-    h = cells(nodes).filter("tag = 'th'").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "table_pos").orderBy("pos")) - 1)
-    w = _words(F.col("text"))
-    return h.select("doc_id", "table_pos", "n", F.when(_any(w, CONTEXT_WORDS), "context").when(_any(w, VALUE_WORDS), "ioc_value").alias("role")).filter("role is not null")
+    """M5: (doc_id, table_pos, n, role) of headers; n counts the table's headers."""
+    return _tables(nodes, _layout()).select("doc_id", "table_pos", F.posexplode("t.roles").alias("n", "role")).filter("role is not null")
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(doc_id, table_pos, pos, raw, context, hint, sure): texts of cells that may be indicators, by the layout of their table.
+
+    vertical: the first cell of rows whose header names a hash. grid: all. headed:
+    the cells below headers of values, with those of the row's context columns;
+    where no header names values, all cells with the row's header if most of
+    them are indicators, else all, not sure. Cells are numbered as they stand,
+    empty ones too. Everything is told by the table's own row: no shuffle.
+    """
+    lines = _tables(nodes, _layout()).filter("t.kind not in ('skip', 'headerless')").select("doc_id", "table_pos", "caption", "t", F.explode("rows").alias("r"))
+    td = F.filter("r.cells", lambda x: x["td_no"] >= 0)
+    role = lambda x: F.get("t.roles", x["td_no"])
+    kind, mapped, head = F.col("t.kind"), F.col("t.mapped"), F.col("r.head")
+    beside = F.array_join(F.transform(F.filter(td, lambda x: (role(x) == "context") & (x["text"] != "")), lambda x: x["text"]), "; ")
+    hashes = (kind == "vertical") & F.lower(head).rlike("md5|sha|hash|ssdeep")
+    chosen = F.when(hashes, F.filter(td, lambda x: x["td_no"] == 0)).when(kind == "grid", td).when((kind == "headed") & mapped, F.filter(td, lambda x: role(x) == "ioc_value")).when(kind == "headed", td)
+    context = F.when(kind == "vertical", F.lower(head)).when((kind == "headed") & mapped, F.nullif(beside, F.lit(""))).when((kind == "headed") & F.col("t.iocs"), head).when(kind == "headed", F.col("t.headers"))
+    sure = (kind != "headed") | mapped | F.col("t.iocs")
+    found = lines.select("doc_id", "table_pos", context.alias("context"), F.when((kind == "headed") & mapped, F.col("caption")).alias("hint"), sure.alias("sure"), F.explode(chosen).alias("x")).filter("x.text <> ''")
+    raw = F.when(F.col("sure"), ioc.split_cell(F.col("x.text"))).otherwise(F.array("x.text"))
+    return found.select("doc_id", "table_pos", F.col("x.pos").cast("long").alias("pos"), F.explode(raw).alias("raw"), "context", "hint", "sure")
 
 
 def table_iocs(nodes: DataFrame) -> DataFrame:
-    """M5, M6: indicators of tables by their layout, before validation: (doc_id, pos, type, value, context, sure)."""
-    kinds = tables_classified(nodes)
-    c = cells(nodes).join(kinds, ["doc_id", "table_pos"])
-    td = c.filter("tag = 'td' and text <> ''").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "table_pos", "row_pos").orderBy("pos")) - 1)
-    row_head = c.filter("tag = 'th'").groupBy("doc_id", "table_pos", "row_pos").agg(F.min_by("text", "pos").alias("head"))
-    with_head = td.join(row_head, ["doc_id", "table_pos", "row_pos"], "left")
-    parts = lambda df: df.withColumn("raw", F.explode(ioc.split_cell(F.col("text"))))
-    low = F.lower("head")
-    vertical = parts(with_head.filter((F.col("kind") == "vertical") & low.rlike("md5|sha|hash|ssdeep") & (F.col("n") == 0))).withColumn("context", low)
-    grid = parts(td.filter("kind = 'grid'")).withColumn("context", F.lit(None).cast("string"))
-    roles = header_roles(nodes)
-    mapped = roles.filter("role = 'ioc_value'").select("doc_id", "table_pos").distinct().withColumn("mapped", F.lit(True))
-    headed = with_head.filter("kind = 'headed'").join(mapped, ["doc_id", "table_pos"], "left")
-    by_role = headed.filter("mapped").join(roles, ["doc_id", "table_pos", "n"])
-    contexts = by_role.filter("role = 'context'").groupBy("doc_id", "row_pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "; ").alias("context"))
-    horizontal = parts(by_role.filter("role = 'ioc_value'")).join(contexts, ["doc_id", "row_pos"], "left")
-    percell = parts(headed.filter("mapped is null and iocs")).withColumn("context", F.col("head"))
-    keep = ["doc_id", "pos", "raw", "context"]
-    caption = nodes.filter("tag = 'caption'").groupBy("doc_id", "table_pos").agg(F.min_by("text", "pos").alias("hint"))
-    hinted = typed(horizontal.join(caption, ["doc_id", "table_pos"], "left").select(*keep, "hint"), "raw", F.col("hint")).drop("hint")
-    plain = typed(vertical.select(*keep).unionByName(grid.select(*keep)).unionByName(percell.select(*keep)), "raw")
-    sure = hinted.unionByName(plain).withColumn("sure", F.lit(True))
-    scanned = headed.filter("mapped is null and not iocs").select("doc_id", "pos", F.col("text").alias("raw"), F.col("headers").alias("context"))
-    weak = typed(scanned, "raw").filter(F.col("type").isin(*SURE_TYPES) & F.col("rest").isNull()).withColumn("sure", F.lit(False))
-    return _with_context(sure.unionByName(weak)).select("doc_id", "pos", "type", "value", "context", "sure")
+    """M5, M6: indicators of tables by their layout, before validation: (doc_id, table_pos, pos, type, value, context, sure). Of unsure tables those types only that are told by their form."""
+    return _found(_candidates(nodes))
+
+
+def _found(candidates: DataFrame) -> DataFrame:
+    out = typed(candidates, "raw", F.col("hint"))
+    return _with_context(out.filter(F.col("sure") | F.col("type").isin(*SURE_TYPES) & F.col("rest").isNull())).select("doc_id", "table_pos", "pos", "type", "value", "context", "sure")
 
 
 def _with_context(df: DataFrame) -> DataFrame:
     return df.withColumn("context", F.when(F.col("rest").isNull(), F.col("context")).otherwise(F.concat_ws("; ", "rest", "context")))
 
 
-def section_members(nodes: DataFrame, heading: str, levels: str = "[234]") -> DataFrame:
-    """the siblings behind a heading that fits, up to one of its level or a higher one: nodes with head_pos and heading.
+def section_members(nodes: DataFrame, heading: str, levels: str = "234") -> DataFrame:
+    """the siblings behind a heading that fits, up to one of its level or a higher one: nodes with head_pos and heading, joined by the headings that nodes stand under."""
+    heads = nodes.filter(F.col("tag").rlike(rf"\Ah[{levels}]\z") & F.col("text").rlike(heading)).select("doc_id", F.col("pos").alias("head_pos"), F.col("text").alias("heading"))
+    return nodes.withColumn("head_pos", F.explode("heads")).join(heads, ["doc_id", "head_pos"])
+
+
+def _held(nodes: DataFrame, tag: str, holders: DataFrame, columns: list[str]) -> DataFrame:
+    """Nodes of a tag (li, code) with columns of the holders (doc_id, holder, ...) around them, a row each: joined by the numbers of the elements around."""
+    each = nodes.filter(F.col("tag") == tag).select("*", F.explode("up").alias("holder"))
+    return each.join(holders.select("doc_id", "holder", *columns), ["doc_id", "holder"])
 
-    The siblings of each heading's parent are looked at once; a heading's end
-    is the first later sibling heading of no lower level.
-    """
-    heads = nodes.filter(F.col("tag").rlike(rf"\Ah{levels}\z")).select("doc_id", "parent_pos", F.col("pos").alias("head_pos"), level(F.col("tag")).alias("l"), F.col("text").alias("heading"))
-    later = heads.select("doc_id", "parent_pos", F.col("head_pos").alias("next_pos"), F.col("l").alias("next_l"))
-    ends = heads.join(later, ["doc_id", "parent_pos"]).filter("next_pos > head_pos and next_l <= l").groupBy("doc_id", "head_pos").agg(F.min("next_pos").alias("end"))
-    ranges = heads.filter(F.col("heading").rlike(heading)).join(ends, ["doc_id", "head_pos"], "left").select("doc_id", "parent_pos", "head_pos", "heading", F.coalesce("end", F.lit(2**31 - 1)).alias("end"))
-    return nodes.join(ranges, ["doc_id", "parent_pos"]).filter("pos > head_pos and pos < end")
+
+def _pre_candidates(nodes: DataFrame) -> DataFrame:
+    lines = F.filter(F.transform(F.split("raw_text", r"\r?\n"), lambda x, i: F.struct(F.trim(x).alias("raw"), i.alias("n"))), lambda x: x["raw"] != "")
+    pre = nodes.filter("tag = 'pre'").select("doc_id", "pos", "under", lines.alias("lines"))
+    hits = F.size(F.filter("lines", lambda x: _is_ioc(x["raw"])))
+    pre = pre.filter(hits * 2 > F.size("lines")).select("doc_id", "pos", "under", F.explode("lines").alias("l"))
+    return pre.select("doc_id", F.lit(-1).alias("table_pos"), (F.col("pos").cast("long") * 1000000 + F.col("l.n")).alias("pos"), "l.raw", F.when(F.col("under").rlike(APPENDIX), F.col("under")).alias("context"), F.lit(None).cast("string").alias("hint"), F.lit(True).alias("sure"))
+
+
+def _bullet_candidates(nodes: DataFrame) -> DataFrame:
+    lists = nodes.filter((F.col("tag") == "ul") & F.col("under").rlike(APPENDIX)).select("doc_id", F.col("pos").alias("holder"), F.col("under").alias("context"))
+    return _held(nodes, "li", lists, ["context"]).select("doc_id", F.lit(-1).alias("table_pos"), F.col("pos").cast("long").alias("pos"), F.col("text").alias("raw"), "context", F.col("context").alias("hint"), F.lit(True).alias("sure"))
 
 
 def iocs_pre(nodes: DataFrame) -> DataFrame:
-    """M7: lines of pre blocks of which more than half are indicators; a heading about indicators right before gives the context."""
-    pre = nodes.filter("tag = 'pre'").select("doc_id", "pos", "parent_pos", F.posexplode(F.split("raw_text", r"\r?\n")).alias("n", "raw")).withColumn("raw", F.trim("raw")).filter("raw <> ''")
-    hit = ioc.infer_type(ioc.refang(F.col("raw"))).isNotNull()
-    share = Window.partitionBy("doc_id", "pos")
-    pre = pre.withColumn("ok", F.sum(hit.cast("int")).over(share) * 2 > F.count(F.lit(1)).over(share)).filter("ok")
-    heads = nodes.filter(F.col("tag").rlike(r"\Ah[1-6]\z")).select("doc_id", "parent_pos", F.col("pos").alias("h"), F.col("text").alias("heading"))
-    before = pre.select("doc_id", "pos", "parent_pos").distinct().join(heads, ["doc_id", "parent_pos"]).filter("h < pos").groupBy("doc_id", "pos").agg(F.max_by("heading", "h").alias("heading"))
-    with_head = pre.join(before, ["doc_id", "pos"], "left").withColumn("context", F.when(F.col("heading").rlike(APPENDIX), F.col("heading")))
-    return _with_context(typed(with_head.select("doc_id", (F.col("pos") * 1000000 + F.col("n")).cast("long").alias("pos"), "raw", "context"), "raw")).select("doc_id", "pos", "type", "value", "context", F.lit(True).alias("sure"))
+    """M7: lines of pre blocks of which more than half are indicators; the heading before gives the context if it is about indicators."""
+    return _found(_pre_candidates(nodes)).drop("table_pos")
 
 
 def iocs_bullets(nodes: DataFrame) -> DataFrame:
     """M7: list items of sections about indicators; the heading is their context, and names what has no form of its own."""
-    # such a section ends at any heading
-    heads = nodes.filter(F.col("tag").rlike(r"\Ah[1-6]\z")).select("doc_id", "parent_pos", F.col("pos").alias("h"), F.col("text").alias("heading"))
-    lists = nodes.filter("tag = 'ul'").select("doc_id", "parent_pos", F.col("pos").alias("a"), F.col("end_pos").alias("z"))
-    owned = lists.join(heads, ["doc_id", "parent_pos"]).filter("h < a").groupBy("doc_id", "a", "z").agg(F.max_by("heading", "h").alias("heading")).filter(F.col("heading").rlike(APPENDIX))
-    items = nodes.filter("tag = 'li'").select("doc_id", "pos", F.col("text").alias("raw")).join(owned, "doc_id").filter("pos between a and z")
-    out = typed(items.select("doc_id", "pos", "raw", F.col("heading").alias("context")), "raw", F.col("context"))
-    return _with_context(out).select("doc_id", "pos", "type", "value", "context", F.lit(True).alias("sure"))
+    return _found(_bullet_candidates(nodes)).drop("table_pos")
 
 
 def extract_iocs(nodes: DataFrame, allow: DataFrame | None = None) -> DataFrame:
     """Indicators of pages, once each where they first stand, validated; those of weak tables want review."""
-    blog = F.col("source") == "jpcert"
-    found = table_iocs(nodes).unionByName(iocs_pre(nodes.filter(blog))).unionByName(iocs_bullets(nodes.filter(blog)))
+    blog = nodes.filter("source = 'jpcert'")
+    found = _found(_candidates(nodes).unionByName(_pre_candidates(blog)).unionByName(_bullet_candidates(blog))).drop("table_pos")
     first = first_per_key(found, ["doc_id", "type", "value"], "pos").drop("pos")
     out = validated(first, allow)
     return out.withColumns({"source_verified": F.col("sure"), "needs_review": F.col("needs_review") | ~F.col("sure")}).drop("sure")
 
 
+def _attack() -> Column:
+    """M11 of a table: the number of the first header of each role, and whether the table is about techniques."""
+    role = lambda h: F.when(_any(_words(h), ("tactic",)), "tactic").when(_any(_words(h), ("id",)), "id").when(_any(_words(h), ("use", "description", "procedure")), "use").when(_any(_words(h), ("technique", "title", "name")), "name")
+    roles = F.transform("heads", role)
+    marked = lambda h: F.lower(h).rlike("att&ck|technique|tactic")
+    about = F.exists("heads", marked) | F.coalesce(marked(F.col("caption")), F.lit(False))
+    return F.struct(about.alias("about"), *[(F.array_position(roles, r) - 1).cast("int").alias(r) for r in ("id", "name", "tactic", "use")])
+
+
 def attack_roles(nodes: DataFrame) -> DataFrame:
     """(doc_id, table_pos, role, n): the first header of each role."""
-    h = cells(nodes).filter("tag = 'th'").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "table_pos").orderBy("pos")) - 1)
-    w = _words(F.col("text"))
-    role = F.when(_any(w, ("tactic",)), "tactic").when(_any(w, ("id",)), "id").when(_any(w, ("use", "description", "procedure")), "use").when(_any(w, ("technique", "title", "name")), "name")
-    return h.withColumn("role", role).filter("role is not null").groupBy("doc_id", "table_pos", "role").agg(F.min("n").alias("n"))
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col("t")[r].alias("n")) for r in ("id", "name", "tactic", "use")])
+    return _tables(nodes, _attack()).select("doc_id", "table_pos", F.explode(roles).alias("x")).select("doc_id", "table_pos", "x.role", "x.n").filter("n >= 0")
+
+
+def _link_technique(href: Column, title: Column) -> Column:
+    named = F.when(F.contains(href, F.lit("attack.mitre.org")), F.nullif(text.technique_from_url(href), F.lit("")))
+    return F.coalesce(named, F.nullif(F.regexp_extract(F.coalesce(title, F.lit("")), text.TECHNIQUE, 0), F.lit("")))
+
+
+def _link_version(href: Column) -> Column:
+    return F.nullif(F.regexp_extract(href, r"/versions/(v[0-9]+)/", 1), F.lit(""))
 
 
 def attack_techniques(nodes: DataFrame) -> DataFrame:
-    """(doc_id, technique_id, tactic, name, use_description, version), once each, tables before links in the text."""
-    links = nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select("doc_id", "pos", "table_pos", F.col("attrs")["href"].alias("href"), F.coalesce(F.col("attrs")["title"], F.lit("")).alias("hint"), "text")
-    version = F.nullif(F.regexp_extract("href", r"/versions/(v[0-9]+)/", 1), F.lit(""))
-    named = F.when(F.contains("href", F.lit("attack.mitre.org")), F.nullif(text.technique_from_url(F.col("href")), F.lit("")))
-    link_id = F.coalesce(named, F.nullif(F.regexp_extract("hint", text.TECHNIQUE, 0), F.lit("")))
-    links = links.withColumns({"link_id": link_id, "version": version})
-    c = cells(nodes).filter("tag = 'td'").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "table_pos", "row_pos").orderBy("pos")) - 1)
-    in_cell = links.filter("table_pos >= 0 and link_id is not null").select(F.col("doc_id").alias("d"), F.col("pos").alias("p"), "link_id", "version", F.col("table_pos").alias("tp"))
-    ids = c.join(in_cell, (F.col("doc_id") == F.col("d")) & (F.col("tp") == F.col("table_pos")) & (F.col("p") > F.col("pos")) & (F.col("p") <= F.col("end_pos")), "left").drop("d")
-    ids = ids.groupBy("doc_id", "table_pos", "row_pos", "n", "pos", "text").agg(F.min_by(F.struct("link_id", "version"), "p").alias("l"))
-    ids = ids.withColumn("technique_id", F.coalesce("l.link_id", F.nullif(F.regexp_extract("text", text.TECHNIQUE, 0), F.lit(""))))
-    wide = ids.join(attack_roles(nodes), ["doc_id", "table_pos", "n"])
-    pick = lambda role, col: F.max(F.when(F.col("role") == role, F.col(col)))
-    rows = wide.groupBy("doc_id", "table_pos", "row_pos").agg(
-        pick("id", "technique_id").alias("by_id"), pick("name", "technique_id").alias("by_name"), F.bool_or(F.col("role") == "id").alias("has_id"), F.nullif(pick("tactic", "text"), F.lit("")).alias("tactic"), F.nullif(pick("name", "text"), F.lit("")).alias("name"),
-        F.nullif(pick("use", "text"), F.lit("")).alias("use_description"), F.max("l.version").alias("version"), F.min("pos").alias("pos"),
+    """(doc_id, technique_id, tactic, name, use_description, version), once each, tables before links in the text.
+
+    Of a table, each row by the cells below its headers' roles; a cell's id is
+    that of its first link with one, by address or title, else of its text.
+    """
+    lines = _tables(nodes, _attack()).filter("t.about").select("doc_id", "caption", "t", F.explode("rows").alias("r"))
+    cell = lambda role: F.get(F.filter("r.cells", lambda x: (x["td_no"] >= 0) & (x["td_no"] == F.col("t")[role])), F.lit(0))
+    cells = lines.select("doc_id", "caption", F.col("t.id").alias("id_no"), F.col("r.pos").alias("pos"), *[cell(r).alias(r) for r in ("id", "name", "tactic", "use")])
+    told = lambda c: F.get(F.filter(F.transform(F.col(c)["links"], lambda x: F.struct(_link_technique(x["href"], x["title"]).alias("id"), _link_version(x["href"]).alias("version"))), lambda x: x["id"].isNotNull()), F.lit(0))
+    linked = cells.withColumns({"by_id": told("id"), "by_name": told("name")})
+    of = lambda link, c: F.coalesce(F.col(link)["id"], F.nullif(F.regexp_extract(F.col(c)["text"], text.TECHNIQUE, 0), F.lit("")))
+    said = lambda c: F.nullif(F.col(c)["text"], F.lit(""))
+    caption = F.nullif(F.regexp_extract("caption", r"(?i)(?:table\s+[0-9]+\s*[:.]\s*)?([A-Za-z ]+?)(?:\s+techniques.*)?\z", 1), F.lit(""))
+    from_tables = linked.select(
+        "doc_id", F.when(F.col("id_no") >= 0, of("by_id", "id")).otherwise(of("by_name", "name")).alias("technique_id"), F.coalesce(said("tactic"), caption).alias("tactic"), said("name").alias("name"), said("use").alias("use_description"),
+        F.coalesce("by_id.version", "by_name.version").alias("version"), F.lit(0).alias("rank"), "pos",
     )
-    caption = nodes.filter("tag = 'caption'").groupBy("doc_id", "table_pos").agg(F.min_by(F.regexp_extract("text", r"(?i)(?:table\s+[0-9]+\s*[:.]\s*)?([A-Za-z ]+?)(?:\s+techniques.*)?\z", 1), "pos").alias("caption"))
-    own_tables = nodes.filter(F.col("tag").isin("th", "caption")).groupBy("doc_id", "table_pos").agg(F.bool_or(F.lower("text").rlike("att&ck|technique|tactic")).alias("attack")).filter("attack")
-    from_tables = rows.join(own_tables, ["doc_id", "table_pos"], "left_semi").join(caption, ["doc_id", "table_pos"], "left").withColumn("technique_id", F.when(F.col("has_id"), F.col("by_id")).otherwise(F.col("by_name"))).withColumn("tactic", F.coalesce("tactic", F.nullif("caption", F.lit("")))).withColumn("rank", F.lit(0))
-    keep = ["doc_id", "technique_id", "tactic", "name", "use_description", "version", "rank", "pos"]
-    null = F.lit(None).cast("string")
-    inline = links.filter((F.col("table_pos") < 0) & F.contains("href", F.lit("attack.mitre.org"))).select("doc_id", F.col("link_id").alias("technique_id"), null.alias("tactic"), F.nullif("text", F.lit("")).alias("name"), null.alias("use_description"), "version", F.lit(1).alias("rank"), "pos")
-    found = from_tables.select(*keep).unionByName(inline.select(*keep)).filter("technique_id is not null")
-    return first_per_key(found, ["doc_id", "technique_id"], "rank", "pos").drop("rank", "pos")
+    href, null = F.col("attrs")["href"], F.lit(None).cast("string")
+    links = nodes.filter((F.col("tag") == "a") & (F.col("table_pos") < 0) & F.contains(href, F.lit("attack.mitre.org")))
+    inline = links.select("doc_id", _link_technique(href, F.col("attrs")["title"]).alias("technique_id"), null.alias("tactic"), F.nullif("text", F.lit("")).alias("name"), null.alias("use_description"), _link_version(href).alias("version"), F.lit(1).alias("rank"), "pos")
+    return first_per_key(from_tables.unionByName(inline).filter("technique_id is not null"), ["doc_id", "technique_id"], "rank", "pos").drop("rank", "pos")
 
 
 def d3fend(nodes: DataFrame) -> DataFrame:
@@ -319,35 +240,33 @@ def cves(nodes: DataFrame) -> DataFrame:
     """M13 of pages: ids of the text with the first link of each."""
     from ctispark.operators.plaintext import cves_in_text
 
-    body = nodes.filter("tag in ('p', 'li', 'td', 'th', 'h1', 'h2', 'h3', 'h4', 'pre', 'a')").groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    said = nodes.filter("tag in ('p', 'li', 'td', 'th', 'h1', 'h2', 'h3', 'h4', 'pre', 'a')").select("doc_id", "text")
     links = nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select("doc_id", "pos", F.col("attrs")["href"].alias("href"), "text")
-    return cves_in_text(body, links)
+    return cves_in_text(said, links).dropDuplicates(["doc_id", "cve_id"])
 
 
 def detection_rules(nodes: DataFrame) -> DataFrame:
     """(doc_id, rule_name, rule_text, rule_format, validation_status) of detection sections of one source: one rule a table (its longest cell), or rows between name rows; and runs of code between headings outside of tables. Rules that are not validated here stay unvalidated."""
     own = nodes.filter("source = 'cisa'")
     members = section_members(own, DETECTION)
-    tables = members.filter("tag = 'table'").select("doc_id", F.col("pos").alias("table_pos"), "heading")
-    c = cells(own).join(tables, ["doc_id", "table_pos"])
-    strong = own.filter("tag = 'strong' and row_pos >= 0").select("doc_id", "row_pos", F.col("text").alias("strong"))
-    td = c.filter("tag = 'td'")
-    singles = td.groupBy("doc_id", "table_pos", "row_pos").agg(F.count(F.lit(1)).alias("k"), F.max("text").alias("only"))
-    names = singles.filter("k = 1").join(strong, ["doc_id", "row_pos"]).filter("only = strong and only <> ''").select("doc_id", "table_pos", "row_pos", F.col("strong").alias("name"))
-    with_names = td.join(names, ["doc_id", "table_pos", "row_pos"], "left")
-    upto = Window.partitionBy("doc_id", "table_pos").orderBy("row_pos", "pos").rowsBetween(Window.unboundedPreceding, 0)
-    runs = with_names.withColumn("run", F.last("name", ignorenulls=True).over(upto)).withColumn("labelled", F.max("name").over(Window.partitionBy("doc_id", "table_pos")).isNotNull())
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "raw_text"))), lambda x: x["raw_text"]), "\n")
-    pattern_c = runs.filter("labelled and run is not null and name is null and text <> ''").groupBy("doc_id", "table_pos", "run", "heading").agg(joined.alias("rule_text")).select("doc_id", "rule_text", "heading", F.col("run").alias("header"))
-    th = c.filter("tag = 'th'").groupBy("doc_id", "table_pos").agg(F.min_by("text", "pos").alias("header"))
-    longest = runs.filter("not labelled").groupBy("doc_id", "table_pos", "heading").agg(F.max_by("raw_text", F.struct(F.length("raw_text"), -F.col("pos"))).alias("rule_text"))
-    pattern_ab = longest.join(th, ["doc_id", "table_pos"], "left").select("doc_id", "rule_text", "heading", "header")
-    others = members.filter("tag <> 'table'").select("doc_id", "head_pos", "heading", F.col("pos").alias("m"), "end_pos", "tag", F.col("text").alias("m_text"))
-    by_pos = Window.partitionBy("doc_id", "head_pos").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    others = others.withColumn("name", F.coalesce(F.last(F.when(F.col("tag").rlike(r"\Ah[2-6]\z"), F.col("m_text")), ignorenulls=True).over(by_pos), F.col("heading")))
-    code = own.filter("tag = 'code'").select("doc_id", "pos", F.col("raw_text").alias("line"))
-    coded = others.join(code, "doc_id").filter("pos between m and end_pos")
-    pattern_d = coded.groupBy("doc_id", "head_pos", "heading", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("rule_text")).select("doc_id", "rule_text", F.lit(None).cast("string").alias("heading"), F.col("name").alias("header"))
+    td = F.filter("r.cells", lambda x: (x["td_no"] >= 0))
+    name = F.when((F.size(td) == 1) & (F.col("r.strong") != "") & (F.get(td, F.lit(0))["text"] == F.col("r.strong")), F.col("r.strong"))
+    lines = members.filter("tag = 'table'").select("doc_id", "head_pos", "pos", "heading", "rows", F.posexplode("rows").alias("n", "r")).withColumn("name", name)
+    by_row = Window.partitionBy("doc_id", "head_pos", "pos")
+    runs = lines.withColumns({"run": F.last("name", ignorenulls=True).over(by_row.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)), "labelled": F.max("name").over(by_row).isNotNull()})
+    filled = F.transform(F.filter(td, lambda x: x["text"] != ""), lambda x: x["raw_text"])
+    joined = F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", filled.alias("t")))), lambda x: x["t"])), "\n")
+    pattern_c = runs.filter("labelled and run is not null and name is null").groupBy("doc_id", "head_pos", "pos", "run", "heading").agg(joined.alias("rule_text")).select("doc_id", "rule_text", "heading", F.col("run").alias("header"))
+    first = lines.groupBy("doc_id", "head_pos", "pos").agg(F.max("name").isNull().alias("plain")).filter("plain").drop("plain")
+    whole = members.filter("tag = 'table'").join(first, ["doc_id", "head_pos", "pos"], "left_semi").withColumn("cells", F.flatten(F.transform("rows", lambda r: r["cells"])))
+    longest = F.array_max(F.transform(F.filter("cells", lambda x: x["td_no"] >= 0), lambda x: F.struct(F.length(x["raw_text"]).alias("k"), (-x["pos"]).alias("p"), x["raw_text"].alias("t"))))["t"]
+    pattern_ab = whole.select("doc_id", longest.alias("rule_text"), "heading", F.get(F.filter("cells", lambda x: x["th_no"] == 0), F.lit(0))["text"].alias("header")).filter("rule_text is not null")
+    by_pos = Window.partitionBy("doc_id", "head_pos").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    others = members.filter("tag <> 'table'").withColumn("name", F.coalesce(F.last(F.when(F.col("tag").rlike(r"\Ah[2-6]\z"), F.col("text")), ignorenulls=True).over(by_pos), F.col("heading"))).select("doc_id", F.col("pos").alias("holder"), "head_pos", "name")
+    # a code element that is itself a sibling is its own holder
+    bare = own.filter("tag = 'code'").withColumn("up", F.concat("up", F.array("pos")))
+    coded = _held(bare, "code", others, ["head_pos", "name"])
+    pattern_d = coded.groupBy("doc_id", "head_pos", "name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "raw_text"))), lambda x: x["raw_text"]), "\n").alias("rule_text")).select("doc_id", "rule_text", F.lit(None).cast("string").alias("heading"), F.col("name").alias("header"))
     rules = pattern_c.unionByName(pattern_ab).unionByName(pattern_d).withColumn("rule_text", text.clean_rule_text(F.col("rule_text")))
     rules = rules.withColumns({"rule_format": text.rule_format(F.col("rule_text")), "rule_name": text.rule_name(F.col("rule_text"), F.col("heading"), F.col("header"))}).filter("trim(rule_text) <> ''")
     return rules.select("doc_id", "rule_name", "rule_text", "rule_format", F.lit("unvalidated").alias("validation_status")).distinct()
@@ -356,17 +275,17 @@ def detection_rules(nodes: DataFrame) -> DataFrame:
 def figures(nodes: DataFrame) -> DataFrame:
     """(doc_id, original_url, caption, alt_text) of images in figures; on one site also bare images, with a centred line below."""
     sites = F.create_map(*[F.lit(x) for kv in SITES.items() for x in kv])
-    img = nodes.filter((F.col("tag") == "img") & (F.col("attrs")["src"] != "")).select("doc_id", "source", "pos", "parent_pos", F.col("attrs")["alt"].alias("alt_text"), text.resolve_url(F.col("attrs")["src"], sites[F.col("source")]).alias("original_url"))
-    fig = nodes.filter(F.col("tag") == "figure").filter((F.col("source") == "acsc") | (F.col("source") == "cisa") & has_class("c-figure") | (F.col("source") == "jpcert") & has_class("mt-figure")).select("doc_id", F.col("pos").alias("f"), F.col("end_pos").alias("z"))
-    caps = nodes.filter("tag = 'figcaption'").select(F.col("doc_id").alias("d"), F.col("pos").alias("c"), F.col("text").alias("caption"))
-    first = img.join(fig, "doc_id").filter("pos between f and z").groupBy("doc_id", "f", "z").agg(F.min_by(F.struct("original_url", "alt_text"), "pos").alias("i"))
-    captioned = first.join(caps, (F.col("doc_id") == F.col("d")) & F.col("c").between(F.col("f"), F.col("z")), "left").drop("d").groupBy("doc_id", "f").agg(F.first("i").alias("i"), F.min_by("caption", "c").alias("caption")).select("doc_id", "i.original_url", "caption", "i.alt_text")
-    inside = nodes.filter("tag = 'figure'").select("doc_id", F.col("pos").alias("f"), F.col("end_pos").alias("z"))
-    bare = img.filter("source = 'jpcert'").join(inside, "doc_id", "left").groupBy("doc_id", "pos", "parent_pos", "original_url", "alt_text").agg(F.coalesce(F.bool_or(F.col("pos").between(F.col("f"), F.col("z"))), F.lit(False)).alias("in_figure")).filter("not in_figure")
-    follows = nodes.filter("tag <> 'br'").select("doc_id", "parent_pos", F.col("pos").alias("n"), "tag", F.col("attrs")["style"].alias("style"), "text")
-    below = bare.join(follows, ["doc_id", "parent_pos"], "left").groupBy("doc_id", "pos", "original_url", "alt_text").agg(F.min_by(F.struct("tag", "style", "text"), F.when(F.col("n") > F.col("pos"), F.col("n"))).alias("d"))
+    image = (F.col("tag") == "img") & (F.col("attrs")["src"] != "")
+    url = text.resolve_url(F.col("attrs")["src"], sites[F.col("source")]).alias("original_url")
+    fits = (F.col("tag") == "figure") & ((F.col("source") == "acsc") | (F.col("source") == "cisa") & has_class("c-figure") | (F.col("source") == "jpcert") & has_class("mt-figure"))
+    part = nodes.filter((F.col("figure_pos") >= 0) & F.col("tag").isin("figure", "img", "figcaption")).select("doc_id", "figure_pos", "pos", F.when(image, F.struct(url, F.col("attrs")["alt"].alias("alt_text"))).alias("i"), F.when(F.col("tag") == "figcaption", F.col("text")).alias("caption"), fits.alias("fits"))
+    captioned = part.groupBy("doc_id", "figure_pos").agg(F.min_by("i", F.when(F.col("i").isNotNull(), F.col("pos"))).alias("i"), F.min_by("caption", F.when(F.col("caption").isNotNull(), F.col("pos"))).alias("caption"), F.bool_or("fits").alias("fits"))
+    captioned = captioned.filter("fits and i is not null").select("doc_id", "i.original_url", "caption", "i.alt_text")
+    # the element below an image is its next sibling
+    siblings = Window.partitionBy("doc_id", "parent_pos").orderBy("pos")
+    below = nodes.filter("source = 'jpcert' and tag <> 'br'").withColumn("d", F.lead(F.struct("tag", F.col("attrs")["style"].alias("style"), "text")).over(siblings)).filter(image & (F.col("figure_pos") < 0))
     centred = F.when((F.col("d.tag") == "div") & F.col("d.style").rlike("text-align.*center"), F.col("d.text"))
-    return captioned.unionByName(below.select("doc_id", "original_url", centred.alias("caption"), "alt_text")).distinct()
+    return captioned.unionByName(below.select("doc_id", url, centred.alias("caption"), F.col("attrs")["alt"].alias("alt_text"))).distinct()
 
 
 def download_links(nodes: DataFrame) -> DataFrame:
@@ -385,37 +304,39 @@ def sectors(nodes: DataFrame) -> DataFrame:
 
 def actor_aliases(nodes: DataFrame) -> DataFrame:
     """(doc_id, name, organization): list items of tracking sections, and names of blog titles."""
-    lists = section_members(nodes.filter("source = 'cisa'"), r"(?i)cybersecurity\s+industry\s+tracking", "[1-6]").filter("tag = 'ul'").select("doc_id", F.col("pos").alias("a"), F.col("end_pos").alias("z"))
-    items = nodes.filter("tag = 'li' and text <> ''").select("doc_id", "pos", "text").join(lists, "doc_id").filter("pos between a and z").select("doc_id", text.alias_org(F.col("text")).alias("x")).select("doc_id", "x.name", "x.organization")
+    own = nodes.filter("source = 'cisa'")
+    lists = section_members(own, r"(?i)cybersecurity\s+industry\s+tracking", "123456").filter("tag = 'ul'").select("doc_id", F.col("pos").alias("holder"))
+    items = _held(own.filter("tag = 'li' and text <> ''"), "li", lists, []).select("doc_id", text.alias_org(F.col("text")).alias("x")).select("doc_id", "x.name", "x.organization")
     titles = nodes.filter("source = 'jpcert' and tag = 'h1'").select("doc_id", F.explode(text.actor_names(F.col("text"))).alias("name"), F.lit(None).cast("string").alias("organization"))
     return items.unionByName(titles).distinct()
 
 
 def parse_documents(nodes: DataFrame) -> dict[str, DataFrame]:
-    """All that pages hold, by table. Give it staged nodes: each table reads them."""
-    return {"ioc": extract_iocs(nodes), "advisory_technique": attack_techniques(nodes), "d3fend": d3fend(nodes), "advisory_cve": cves(nodes), "detection_rule": detection_rules(nodes).filter("rule_format is not null"), "figure": figures(nodes), "asset": download_links(nodes), "advisory_sector": sectors(nodes), "alias": actor_aliases(nodes), "extraction_log": extraction_warnings(nodes)}
+    """All that pages hold, by table. Give it staged nodes: each table reads them.
 
-
-def extraction_warnings(nodes: DataFrame) -> DataFrame:
-    """(doc_id, extractor, severity, message, context) of blocks that were recognised and gave nothing."""
-    kinds = tables_classified(nodes)
-    mapped = header_roles(nodes).filter("role = 'ioc_value'").select("doc_id", "table_pos").distinct()
-    warn = lambda df, extractor, message, context: df.select("doc_id", F.lit(extractor).alias("extractor"), F.lit("warning").alias("severity"), F.lit(message).alias("message"), context.alias("context"))
-    null = F.lit(None).cast("string")
-    grids = warn(kinds.filter("kind = 'headerless'"), "iocs", "a table without headers is no grid of indicators", null)
-    headed = warn(kinds.filter("kind = 'headed'").join(mapped, ["doc_id", "table_pos"], "left_anti"), "iocs", "no header names a column of indicators", F.col("headers"))
-    rules = warn(detection_rules(nodes).filter("rule_format is null and length(rule_text) > 40"), "detection_rules", "no known rule format", F.col("rule_name"))
-    blocks = nodes.filter((F.col("tag") == "a") & has_class("c-file__link") & (F.col("block_pos") >= 0) & text.asset_type(F.col("attrs")["href"]).isNull())
-    return grids.unionByName(headed).unionByName(rules).unionByName(warn(blocks, "assets", "a download of no known type", F.col("attrs")["href"]))
-
-
-def html_to_markdown(nodes: DataFrame) -> DataFrame:
-    """(doc_id, markdown): headings, paragraphs, list items, code and table rows, in page order, one block a line group."""
-    t = F.col("tag")
-    cell_rows = cells(nodes).groupBy("doc_id", "row_pos").agg(F.concat(F.lit("| "), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " | "), F.lit(" |")).alias("md")).select("doc_id", F.col("row_pos").alias("pos"), "md")
-    lead = F.when(level(t).isNotNull(), F.concat(F.repeat(F.lit("#"), level(t)), F.lit(" "), "text")).when(t == "li", F.concat(F.lit("- "), "text")).when(t == "pre", F.concat(F.lit("```\n"), F.regexp_replace("raw_text", r"\n+\z", ""), F.lit("\n```"))).when(t == "p", F.col("text"))
-    blocks = nodes.filter((F.col("text") != "") & (F.col("table_pos") < 0)).select("doc_id", "pos", lead.alias("md")).filter("md is not null")
-    return blocks.unionByName(cell_rows).groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "md"))), lambda x: x["md"]), "\n\n").alias("markdown"))
+    A document that can't be read has one row in extraction_log, an error, and
+    none elsewhere; the others of its batch are not touched by it.
+    """
+    rules = staged(detection_rules(nodes))
+    return {
+        "ioc": extract_iocs(nodes), "advisory_technique": attack_techniques(nodes), "d3fend": d3fend(nodes), "advisory_cve": cves(nodes), "detection_rule": rules.filter("rule_format is not null"), "figure": figures(nodes), "asset": download_links(nodes),
+        "advisory_sector": sectors(nodes), "alias": actor_aliases(nodes), "extraction_log": extraction_warnings(nodes, rules).unionByName(parse_errors(nodes)),
+    }
+
+
+def extraction_warnings(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """(doc_id, extractor, severity, message, context) of blocks that were recognised and gave nothing, or gave something by a fallback. rules: what detection_rules gives, if it is there."""
+    rules = detection_rules(nodes) if rules is None else rules
+    warn = lambda df, extractor, message, context: df.select("doc_id", F.lit(extractor).alias("extractor"), F.lit("warning").alias("severity"), message.alias("message"), context.alias("context"))
+    unnamed = (F.col("kind") == "headed") & ~F.col("mapped")
+    message = F.when(F.col("kind") == "headerless", "a table without headers is no grid of indicators").when(unnamed & F.col("iocs"), "no header names a column of indicators; cells were read one by one").when(unnamed, "no header names a column of indicators")
+    tables = warn(tables_classified(nodes).withColumn("m", message).filter("m is not null"), "iocs", F.col("m"), F.when(F.col("kind") != "headerless", F.col("headers")))
+    weak = _found(_candidates(nodes).filter("not sure")).groupBy("doc_id", "table_pos", "context").agg(F.count(F.lit(1)).alias("n"))
+    recovered = warn(weak, "iocs", F.concat("n", F.lit(" indicators were found among cells that are none")), F.col("context"))
+    unknown = warn(rules.filter("rule_format is null and length(rule_text) > 40"), "detection_rules", F.lit("no known rule format"), F.col("rule_name"))
+    href = F.col("attrs")["href"]
+    blocks = nodes.filter((F.col("tag") == "a") & has_class("c-file__link") & (F.col("block_pos") >= 0) & text.asset_type(href).isNull())
+    return tables.unionByName(recovered).unionByName(unknown).unionByName(warn(blocks, "assets", F.lit("a download of no known type"), href))
 
 
 def prepare_body(markdown: DataFrame, removable: str) -> DataFrame:
@@ -428,14 +349,21 @@ def prepare_body(markdown: DataFrame, removable: str) -> DataFrame:
 
 
 def clean_document(nodes: DataFrame) -> DataFrame:
-    """Nodes without hidden ones and what they hold, and without empty wrappers; dangerous: a link that runs code; spoofed: a page that brings marks of our own."""
+    """Nodes without hidden ones and what they hold, without empty wrappers and trailing bylines; dangerous: a link that runs code; spoofed: a page that brings marks of our own.
+
+    A byline is a short right-aligned paragraph that is no sentence, among the
+    last three elements of its parent with nothing but bylines behind it.
+    """
     style = F.lower(F.regexp_replace(F.coalesce(F.col("attrs")["style"], F.lit("")), r"\s+", ""))
-    hidden = F.col("attrs")["hidden"].isNotNull() | style.rlike("display:none|visibility:hidden") | (F.col("attrs")["aria-hidden"] == "true")
-    roots = nodes.filter(F.coalesce(hidden, F.lit(False))).select(F.col("doc_id").alias("d"), F.col("pos").alias("a"), F.col("end_pos").alias("z"))
-    shown = nodes.join(roots, (F.col("doc_id") == F.col("d")) & F.col("pos").between(F.col("a"), F.col("z")), "left_anti")
     hollow = F.col("tag").isin("span", "div", "p") & (F.col("text") == "") & (F.col("pos") == F.col("end_pos"))
+    signed = (F.col("tag") == "p") & style.rlike("text-align:right") & (F.col("text") != "") & (F.length("text") <= 80) & (F.size(F.split("text", " ")) <= 8) & (F.contains("text", F.lit("JPCERT")) | ~F.contains("text", F.lit(". ")))
+    behind = Window.partitionBy("doc_id", "parent_pos").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    shown = nodes.filter(~F.col("hidden") & ~hollow).withColumns({"__nth": F.row_number().over(Window.partitionBy("doc_id", "parent_pos").orderBy(F.desc("pos"))), "__signed": F.min(signed.cast("int")).over(behind)})
+    # a byline's own elements go with it: none of them begins before it or ends behind it
+    inside = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    marked = shown.withColumn("__until", F.max(F.when((F.col("__signed") == 1) & (F.col("__nth") <= 3), F.col("end_pos"))).over(inside)).filter("__until is null or pos > __until")
     href = F.lower(F.regexp_replace(F.coalesce(F.col("attrs")["href"], F.lit("")), r"[\x00-\x20]+", ""))
-    return shown.filter(~hollow).withColumns({"dangerous": href.rlike(r"\A(?:javascript|data|vbscript):"), "spoofed": F.exists(F.map_keys("attrs"), lambda k: k.startswith("data-annotation"))})
+    return marked.drop("__nth", "__signed", "__until").withColumns({"dangerous": href.rlike(r"\A(?:javascript|data|vbscript|blob):"), "spoofed": F.exists(F.map_keys("attrs"), lambda k: k.startswith("data-annotation"))})
 
 
 def link_audit(nodes: DataFrame, known_cves: DataFrame | None = None) -> DataFrame:

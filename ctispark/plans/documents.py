@@ -23,9 +23,9 @@ ORACLE["K05_poll_windows"] = "select strftime(time_bucket(interval '6 hours', ts
 def _nodes(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    from ctispark.operators.html import html_nodes
+    from ctispark.operators.html import parsed
 
-    return html_nodes(table(spark, sf_dir, "pages").withColumn("source", F.when(F.col("page_id") % 2 == 0, "cisa").otherwise("jpcert")), "page_id")
+    return parsed(table(spark, sf_dir, "pages").withColumn("source", F.when(F.col("page_id") % 2 == 0, "cisa").otherwise("jpcert")), "page_id")
 
 
 def _over_nodes(name, *columns):

@@ -9,10 +9,16 @@ from ctispark.sources.tables import table
 
 
 def _doc(df: DataFrame, source: str, head: str, row, tail: str, key: str = "advisory_id") -> DataFrame:
-    """Nodes of a page an advisory: head, a piece of markup for each of its rows, tail; doc_id is the number in the advisory's id."""
-    pieces = df.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))
-    pages = pieces.select(F.substring_index(key, "-", -1).cast("long").alias("doc_id"), F.lit(source).alias("source"), F.concat(F.lit(head), "rows", F.lit(tail)).alias("html"))
-    return html.html_nodes(pages)
+    """Nodes of a page an advisory, parsed once."""
+    return html.parsed(_page(df, source, head, row, tail, key))
+
+
+def _page(df: DataFrame, source: str, head: str, row, tail: str, key: str = "advisory_id") -> DataFrame:
+    """A page an advisory: head, a piece of markup for each of its rows, tail; doc_id is the number in the advisory's id."""
+    # reading a page takes longer than its bytes tell, so the pages stay dealt out over all tasks
+    dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    pieces = dealt.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(row)), "").alias("rows"))
+    return pieces.select(F.substring_index(key, "-", -1).cast("long").alias("doc_id"), F.lit(source).alias("source"), F.concat(F.lit(head), "rows", F.lit(tail)).alias("html"))
 
 
 def _text(c: str):
@@ -42,6 +48,19 @@ _add(
     "M05_vertical_iocs", "ioc", lambda i: html.table_iocs(_doc(_IOCS(i.filter("type = 'md5'")), "cisa", "<main><table><tr><th>Name</th><td>x.exe</td></tr>", F.concat(F.lit("<tr><th>MD5</th><td>"), F.upper("value"), F.lit("</td></tr>")), _END)).select("doc_id", "type", "value", "context", "sure"),
     f"select {_ID}, type, value, 'md5' as context, true as sure from ioc where type = 'md5'",
 )
+# a header over two columns, which fits no cell; a row with an empty cell, which keeps its place; cells with two values
+_add(
+    "M05_percell_iocs", "ioc", lambda i: html.table_iocs(_doc(_IOCS(i), "cisa", '<main><table><thead><tr><th colspan="2">January</th></tr></thead>', F.concat(F.lit("<tr><td>"), _text("value"), F.when(F.col("type") == "ip", "</td><td colspan=2> </td></tr>").otherwise("</td></tr>")), _END)).select("doc_id", "type", "value", "context", "sure"),
+    f"select {_ID}, type, value, null as context, true as sure from ioc",
+)
+_add(
+    "M05_row_headers", "ioc", lambda i: html.table_iocs(_doc(_IOCS(i), "cisa", "<main><table><tr><td>203.0.113.9</td><td></td><td></td></tr>", F.concat(F.lit("<tr><th>Monday</th><td>"), _text("value"), F.lit("</td></tr>"), F.lit("<tr><td>"), _text("value"), F.lit("</td></tr>")), _END)).filter("value <> '203.0.113.9'").select("doc_id", "type", "value", "context", "sure"),
+    f"select {_ID}, type, value, c as context, true as sure from (select *, 'Monday' as c from ioc union all select *, null from ioc)",
+)
+_add(
+    "M05_empty_and_double_cells", "ioc", lambda i: html.table_iocs(_doc(_IOCS(i), "cisa", "<main><table><tr><th>Notes</th><th>Number</th><th>Address</th></tr>", F.concat(F.lit("<tr><td>"), F.when(F.col("type") == "ip", "").otherwise("found"), F.lit("</td><td></td><td><p>"), _text("value"), F.lit(" aka <code>h-"), "type", F.lit("[.]example[.]com</code></p></td></tr>")), _END)).select("doc_id", "type", "value", "context"),
+    f"with c as (select *, case when type <> 'ip' then 'found' end as context from ioc) select {_ID}, type, value, context from c union all select {_ID}, 'domain', 'h-' || type || '.example.com', context from c",
+)
 _add(
     "M06_low_confidence", "ioc", lambda i: html.table_iocs(_doc(_IOCS(i), "cisa", "<main><table><tr><th>Item</th><th>Remark</th><th>Day</th></tr>", F.concat(F.lit("<tr><td>"), "value", F.lit("</td><td>it was there</td><td>once more</td></tr>")), _END)).select("doc_id", "type", "value", "context", "sure"),
     f"select {_ID}, type, value, 'Item; Remark; Day' as context, false as sure from ioc where type in ('ip', 'md5')",
@@ -102,6 +121,22 @@ def _parsed(i: DataFrame) -> DataFrame:
 
 
 _add("M18_parse_documents", "ioc", _parsed, f"select {_ID}, 'ioc' as table_name, count(*) as n from ioc group by 1 union all select distinct {_ID}, 'advisory_cve', 1 from ioc")
+# a marked section of no known kind can't be read, nor can elements nested without end; the other pages of the table are not touched
+_BROKEN = lambda p: p.withColumn("html", F.when(F.col("doc_id") % 7 == 3, F.concat("html", F.lit("<![broken[ ]]>"))).when(F.col("doc_id") % 7 == 5, F.concat(F.repeat(F.lit("<div>"), 600), "html")).otherwise(F.col("html")))
+
+
+def _isolated(i: DataFrame) -> DataFrame:
+    found = html.parse_documents(html.parsed(_BROKEN(_page(_IOCS(i), "cisa", _TABLE, _ROW(), _END + "<p>See CVE-2024-12345.</p>"))))
+    kinds = found["extraction_log"].select("doc_id", F.concat_ws(" ", "extractor", "severity", F.regexp_extract("message", r"\A[A-Za-z]+", 0)).alias("kind"), F.lit(1).cast("long").alias("n"))
+    per = lambda name: found[name].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).select("doc_id", F.lit(name).alias("kind"), "n")
+    return kinds.unionByName(per("ioc")).unionByName(per("advisory_cve"))
+
+
+_add(
+    "M18_unreadable_pages", "ioc", _isolated,
+    f"""with d as (select {_ID}, count(*) as n from ioc group by 1) select doc_id, 'document error ' || case doc_id % 7 when 3 then 'AssertionError' else 'ValueError' end as kind, 1::bigint as n from d where doc_id % 7 in (3, 5)
+    union all select doc_id, 'ioc', n from d where doc_id % 7 not in (3, 5) union all select doc_id, 'advisory_cve', 1 from d where doc_id % 7 not in (3, 5)""",
+)
 _add(
     "M24_extraction_warnings", "ioc", lambda i: html.extraction_warnings(_doc(_IOCS(i), "cisa", "<main><table>", F.concat(F.lit("<tr><td>"), "value", F.lit("</td><td>one</td><td>two</td></tr>")), "</table><table><tr><th>Item</th></tr><tr><td>x</td></tr></table></main>")).select("doc_id", "extractor", "severity", "context"),
     f"select d.doc_id, 'iocs' as extractor, 'warning' as severity, c as context from (select distinct {_ID} from ioc) d, (values (null), ('Item')) x(c)",
@@ -124,7 +159,7 @@ _BLOCKS = r"list_filter(list_transform(string_split_regex(regexp_extract(html, '
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.html_nodes(table(spark, sf_dir, "pages").withColumn("source", F.when(F.col("page_id") % 2 == 0, "cisa").otherwise("jpcert")), "page_id")
+    return html.parsed(table(spark, sf_dir, "pages").withColumn("source", F.when(F.col("page_id") % 2 == 0, "cisa").otherwise("jpcert")), "page_id")
 
 
 _TAGS = ("p", "li", "a", "h1", "br", "article", "footer", "nav", "div", "ul")
@@ -132,8 +167,9 @@ QUERIES["M00_html_nodes"] = lambda spark, sf_dir: _pages(spark, sf_dir).filter(F
 ORACLE["M00_html_nodes"] = "select page_id as doc_id, tag, cast(len(regexp_extract_all(html, '<' || tag || '[ >]')) as bigint) as n from pages, (values " + ", ".join(f"('{t}')" for t in _TAGS) + ") t(tag) where len(regexp_extract_all(html, '<' || tag || '[ >]')) > 0"
 QUERIES["M01_article_body"] = lambda spark, sf_dir: html.article_body(_pages(spark, sf_dir))
 ORACLE["M01_article_body"] = f"select page_id as doc_id, array_to_string({_BLOCKS}, chr(10)) as body from pages"
-QUERIES["M20_html_to_markdown"] = lambda spark, sf_dir: html.html_to_markdown(_pages(spark, sf_dir))
-ORACLE["M20_html_to_markdown"] = (
-    "select page_id as doc_id, array_to_string(list_concat(list_transform(list_filter(list_transform(regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1), lambda x: " + _CLEAN.format("x") + "), lambda x: x <> ''), lambda x: '- ' || x), "
-    f"list_transform({_BLOCKS}, lambda x, i: case when i = 1 then '# ' || x else x end)), chr(10) || chr(10)) as markdown from pages"
-)
+QUERIES["M20_html_to_markdown"] = lambda spark, sf_dir: html.html_to_markdown(table(spark, sf_dir, "pages"), "page_id").select("doc_id", "markdown")
+# what is between the navigation and the footer; a bold that is never closed ends with its paragraph, which ends where the next begins
+_MD = "regexp_replace(regexp_extract(html, '(?s)<div class=\"ad\">(.*)</article>', 1), '(?s)</div><article><h1>\\s*(.*?)\\s*</h1>', chr(10) || '# \\1' || chr(10))"
+_MD = f"replace(replace(regexp_replace({_MD}, '<b>([^<]*)<br>(?:<p>|$)', '**\\1' || chr(10) || '**</p><p>', 'g'), '<p>', chr(10)), '</p>', chr(10))"
+_MD = f"replace(replace(replace(replace(replace({_MD}, '&quot;', '\"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+ORACLE["M20_html_to_markdown"] = f"select page_id as doc_id, trim(regexp_replace({_MD}, chr(10) || '{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) as markdown from pages"

@@ -1,28 +1,16 @@
 """Readers, streams and response handling over files and texts that Spark writes from the stored tables into the shared folder."""
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctispark.operators import html, intel, merge, ordering
-from ctispark.plans.extraction import _ID
+from ctispark.plans.extraction import _BROKEN, _END, _ID, _ROW, _TABLE, _page
 from ctispark.plans.tables import _add, _joined
 from ctispark.sources import feeds
+from ctispark.sources.shared import folder
 from ctispark.streaming import jobs
 
 
-def folder(spark: SparkSession) -> str:
-    """A new place in the folder that the driver and executors share; a folder of this machine only where none is named, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root.rstrip('/')}/landed-{uuid.uuid4().hex}"
-
-
 def landed(df: DataFrame, text: Column, one_a_file: bool = False) -> tuple[SparkSession, str]:
     """df's texts as files."""
     spark, path = df.sparkSession, folder(df.sparkSession)
@@ -168,59 +156,108 @@ _add(
 )
 _add("G06_sort_tags", "advisory_technique", lambda t: t.groupBy("advisory_id").agg(F.collect_list("technique_id").alias("tags")).select("advisory_id", ordering.sort_tags(F.col("tags")).alias("tags")).select("advisory_id", _joined("tags")), "select advisory_id, string_agg(technique_id, ',' order by technique_id) as tags from advisory_technique group by 1")
 
-# streams that have run dry, against their batch twins
+# streams of several batches that have run dry, against their batch twins
 _WAIT = lambda query: query.awaitTermination()
+BATCHES, FILES = 5, 4
+
+
+def _landed_in_turn(df: DataFrame, turn: Column, form: str = "json") -> tuple[str, int]:
+    """df's rows as files of one folder, those of a later turn (0 to BATCHES - 1) later; and how many files a batch may take to be one turn's."""
+    spark, landing = df.sparkSession, folder(df.sparkSession)
+    for k in range(BATCHES):
+        # a fixed number of files a turn, so a turn is a batch
+        df.filter(turn == k).repartition(FILES).write.mode("append").format(form).save(landing)
+    return landing, FILES
+
+
+# each entry, for some a later one of another type, for some a stale one; in another turn than the entry itself
+_ENTRIES = lambda e: e.select("advisory_id", "lastmod", "type", "pos").unionByName(e.filter("pos % 3 = 0").select("advisory_id", F.lit("2999-01-01").alias("lastmod"), F.lit("updated").alias("type"), (F.col("pos") + 2).alias("pos"))).unionByName(e.filter("pos % 4 = 1").select("advisory_id", F.lit("1999-01-01").alias("lastmod"), F.lit("stale").alias("type"), (F.col("pos") + 1).alias("pos")))
 
 
 def _ingest(e: DataFrame) -> DataFrame:
-    spark, landing, root = e.sparkSession, folder(e.sparkSession), folder(e.sparkSession)
-    e.select("advisory_id", "lastmod", "type").write.json(landing)
-    _WAIT(jobs.stream_ingest(spark, landing, "advisory_id string, lastmod string, type string", root, folder(spark)))
+    spark, root = e.sparkSession, folder(e.sparkSession)
+    landing, files = _landed_in_turn(_ENTRIES(e).withColumn("turn", F.col("pos") % BATCHES).drop("pos"), F.col("turn"))
+    _WAIT(jobs.stream_ingest(spark, landing, "advisory_id string, lastmod string, type string", root, folder(spark), files))
     return jobs.current(spark, root).select("advisory_id", "sitemap_lastmod", "type", "scrape_status")
 
 
-_add("K01_stream_ingest", "feed_entry", _ingest, "select advisory_id, lastmod as sitemap_lastmod, type, 'pending' as scrape_status from feed_entry")
+_add(
+    "K01_stream_ingest", "feed_entry", _ingest,
+    "select advisory_id, case when pos % 3 = 0 then '2999-01-01' else lastmod end as sitemap_lastmod, case when pos % 3 = 0 then 'updated' else type end as type, 'pending' as scrape_status from feed_entry",
+)
 
 
-def _streamed(df: DataFrame) -> DataFrame:
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+def _streamed(df: DataFrame, turn: Column) -> DataFrame:
+    landing, files = _landed_in_turn(df.withColumn("turn", turn), F.col("turn"), "parquet")
+    return jobs.landed_stream(df.sparkSession, landing, ", ".join(f"`{n}` {t}" for n, t in df.dtypes), "parquet", files)
 
 
 def _deduplicated(i: DataFrame) -> DataFrame:
-    spark, out = i.sparkSession, folder(i.sparkSession)
-    unique = jobs.stream_dedup(_streamed(i.select("type", "value", F.lit("2024-01-01").cast("timestamp").alias("ts"))), ["type", "value"], "1 day")
-    _WAIT(unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", folder(spark)).trigger(availableNow=True).start())
-    return spark.read.schema(unique.schema).parquet(out).select("type", "value")
+    """Sightings of January; in March new kinds again and again; late ones of January, refused; then those of January anew, whose state is gone."""
+    spark, landing, out, check = i.sparkSession, folder(i.sparkSession), folder(i.sparkSession), folder(i.sparkSession)
+    at = lambda df, day, prefix="": df.select("type", F.concat(F.lit(prefix), "value").alias("value"), F.lit(day).cast("timestamp").alias("ts"))
+    for part in (at(i, "2024-01-01").unionByName(at(i.filter("type = 'ip'"), "2024-01-01 05:00:00")), at(i.filter("type = 'md5'"), "2024-03-01", "x"), at(i.filter("type = 'url'"), "2024-01-02", "late"), at(i.filter("type = 'email'"), "2024-03-02")):
+        part.write.mode("append").parquet(landing)
+        unique = jobs.stream_dedup(jobs.landed_stream(spark, landing, "type string, value string, ts timestamp", "parquet"), ["type", "value"], "1 day")
+        _WAIT(unique.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start())
+    return spark.read.schema(unique.schema).parquet(out).select("type", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
-_add("K02_stream_dedup", "ioc", _deduplicated, "select distinct type, value from ioc")
+_add(
+    "K02_stream_dedup", "ioc", _deduplicated,
+    "select distinct type, value, '2024-01-01' as day from ioc union all select distinct type, 'x' || value, '2024-03-01' from ioc where type = 'md5' union all select distinct type, value, '2024-03-02' from ioc where type = 'email'",
+)
 
 
 def _rolled_up(i: DataFrame, a: DataFrame) -> DataFrame:
     spark, root = i.sparkSession, folder(i.sparkSession)
-    _WAIT(jobs.stream_ioc_rollup_exact(_streamed(i.join(a.select("advisory_id", F.col("pub_date").alias("seen")), "advisory_id").select("type", "value", "advisory_id", "seen")), root, folder(spark)))
-    return jobs.current(spark, root).groupBy("type", "value").agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count_distinct("advisory_id").alias("advisories"))
+    seen = i.join(a.select("advisory_id", "id", F.col("pub_date").alias("seen")), "advisory_id")
+    # every sighting twice, in two turns
+    twice = seen.unionByName(seen.withColumn("id", F.col("id") + 2))
+    _WAIT(jobs.stream_ioc_rollup_exact(_streamed(twice.select("type", "value", "advisory_id", "seen", "id"), F.col("id") % BATCHES), root, folder(spark)))
+    return jobs.current(spark, root).groupBy("type", "value").agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count_distinct("advisory_id").alias("advisories"), F.count(F.lit(1)).alias("rows"))
 
 
-_add("K03_stream_ioc_rollup", "ioc advisory", _rolled_up, "select type, value, min(pub_date) as first_seen, max(pub_date) as last_seen, count(distinct advisory_id) as advisories from ioc join (select advisory_id, pub_date from advisory) using (advisory_id) group by 1, 2")
+_add("K03_stream_ioc_rollup", "ioc advisory", _rolled_up, "select type, value, min(pub_date) as first_seen, max(pub_date) as last_seen, count(distinct advisory_id) as advisories, count(distinct (advisory_id, pub_date)) as rows from ioc join (select advisory_id, pub_date from advisory) using (advisory_id) group by 1, 2")
 
 
 def _extracted(i: DataFrame) -> DataFrame:
     spark, root = i.sparkSession, folder(i.sparkSession)
-    texts = i.groupBy("advisory_id").agg(F.concat(F.lit("Indicators of compromise\n"), F.array_join(F.sort_array(F.collect_list("value")), "\n")).alias("text"))
-    _WAIT(jobs.stream_extract(_streamed(texts.select(F.substring_index("advisory_id", "-", -1).cast("long").alias("doc_id"), "text")), root, folder(spark)))
+    texts = i.groupBy("advisory_id").agg(F.concat(F.lit("Indicators of compromise\n"), F.array_join(F.sort_array(F.collect_list("value")), "\n")).alias("text")).select(F.substring_index("advisory_id", "-", -1).cast("long").alias("doc_id"), "text")
+    _WAIT(jobs.stream_extract(_streamed(texts, F.col("doc_id") % BATCHES), root, folder(spark)))
     return jobs.current(spark, root).select("doc_id", "type", "value")
 
 
 _add("K04_stream_extract", "ioc", _extracted, f"select {_ID}, type, value from ioc")
 
 
+def _parsed_in_turn(i: DataFrame) -> DataFrame:
+    """Pages by turns, some that can't be read; of every other of these a good one comes two turns later, of some good ones another page."""
+    spark, root = i.sparkSession, folder(i.sparkSession)
+    pages = _page(i.select("advisory_id", "type", "value"), "cisa", _TABLE, _ROW(), _END)
+    first = _BROKEN(pages).withColumn("turn", F.col("doc_id") % 3)
+    again = pages.filter("doc_id % 14 = 3").withColumn("turn", F.col("doc_id") % 3 + 2)
+    other = pages.filter("doc_id % 14 = 1").select("doc_id", "source", F.lit(f"{_TABLE}<tr><td>45.1.2.3</td><td>new</td></tr>{_END}").alias("html"), (F.col("doc_id") % 3 + 1).alias("turn"))
+    landing = first.unionByName(again).unionByName(other)
+    _WAIT(jobs.stream_parse(_streamed(landing.withColumnRenamed("turn", "t"), F.col("t")).select("doc_id", "source", "html"), root, folder(spark)))
+    rows = lambda name, kind, value: jobs.current(spark, root, name).select("doc_id", kind.alias("kind"), value.alias("value"))
+    return rows("ioc", F.col("type"), F.col("value")).unionByName(rows("extraction_log", F.col("severity"), F.regexp_extract("message", r"\A[A-Za-z]+", 0))).unionByName(rows("dead_letter", F.lit("page"), F.col("source")))
+
+
+_add(
+    "K04_stream_parse", "ioc", _parsed_in_turn,
+    f"""with d as (select {_ID}, type, value from ioc), b as (select distinct doc_id from d where doc_id % 7 = 5 or (doc_id % 7 = 3 and doc_id % 14 <> 3))
+    select doc_id, type as kind, value from d where doc_id not in (select doc_id from b) and doc_id % 14 <> 1 union all select distinct doc_id, 'ip', '45.1.2.3' from d where doc_id % 14 = 1
+    union all select doc_id, 'error', case doc_id % 7 when 3 then 'AssertionError' else 'ValueError' end from b union all select doc_id, 'page', 'cisa' from b""",
+)
+
+
 def _retried(l: DataFrame) -> DataFrame:
     spark, root = l.sparkSession, folder(l.sparkSession)
-    _WAIT(jobs.stream_retry_state(_streamed(l.select("advisory_id", F.col("id").alias("pos"), F.when(F.col("severity") == "error", "ok").otherwise("challenge").alias("outcome"))), root, folder(spark)))
-    return jobs.current(spark, root)
+    results = l.select("advisory_id", F.col("id").alias("pos"), F.when(F.col("severity") == "error", "ok").otherwise("challenge").alias("outcome"))
+    # dealt without regard to their order, so results come late
+    _WAIT(jobs.stream_retry_state(_streamed(results, F.pmod(F.xxhash64("pos"), F.lit(BATCHES)).cast("int")), root, folder(spark)))
+    return jobs.current(spark, root).select("advisory_id", "retry_count", "blocked")
 
 
 _add(

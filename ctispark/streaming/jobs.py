@@ -1,4 +1,8 @@
-"""Streaming jobs over landed files. Batches are merged with the operators of the batch side, so a stream that has run dry equals its batch twin."""
+"""Streaming jobs over landed files. Batches are merged with the operators of the batch side, so a stream that has run dry equals its batch twin.
+
+Tables are kept in a Store (streaming/store.py): a batch rewrites the buckets
+of its own keys and commits all its tables at once.
+"""
 
 from collections.abc import Callable
 
@@ -7,50 +11,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ctispark.operators.joins import diff_feed
-from ctispark.operators.merge import insert_ignore, upsert_partial
-
-
-def _next(root: str, spark: SparkSession) -> tuple[DataFrame | None, int]:
-    """The last complete version of a table kept as root/v=N, and N."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None, 0
-    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return (spark.read.parquet(f"{root}/v={max(done)}"), max(done)) if done else (None, 0)
+from ctispark.operators.merge import delete_where, insert_ignore, upsert_partial
+from ctispark.streaming.store import Store, Tables
 
+#: The table of jobs that keep only one.
+ROWS = "rows"
 
-def _claim(root: str, spark: SparkSession, query: str | None) -> None:
-    """Notes that the table is written by this query; raises if another one wrote it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-    owners = [n.removeprefix("_query-") for n in names if n.startswith("_query-")]
-    if owners and query and query not in owners:
-        raise ValueError(f"{root} was written by query {owners[0]}; start again with its checkpoint, or with a new table")
-    if query and not owners:
-        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path, f"_query-{query}"))
 
+def current(spark: SparkSession, root: str, table: str = ROWS) -> DataFrame | None:
+    """A merged table as of the last batch."""
+    return Store(spark, root, ()).read(table)
 
-def current(spark: SparkSession, root: str) -> DataFrame | None:
-    """The newest version of a merged table."""
-    return _next(root, spark)[0]
 
+def merged_sink(root: str, key: tuple[str, ...], merge: Callable[[Tables, DataFrame], Tables], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that commits merge(old tables, batch) to the store at root; a batch that is run again changes nothing.
 
-def merged_sink(root: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that writes merge(old, batch) as the next version; a batch that is run again writes the same version again.
-
-    Versions are numbered by the batches of one query, so the table keeps that
-    query's id; another query, as after the loss of a checkpoint, is refused.
+    Batches are numbered by one query, so the store keeps that query's id;
+    another query, as after the loss of a checkpoint, is refused.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        _claim(root, spark, spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
-        old, n = _next(root, spark)
-        if n > batch_id:  # this batch's version is complete
-            return
-        merge(old, batch).write.mode("overwrite").parquet(f"{root}/v={batch_id + 1}")
+        batch.persist()
+        try:
+            Store(spark, root, key, buckets).commit(batch_id, batch, lambda old: merge(old, batch), spark.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        finally:
+            batch.unpersist()
 
     return write
 
@@ -59,22 +45,29 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_ingest(spark: SparkSession, landing: str, schema: str, root: str, checkpoint: str) -> StreamingQuery:
-    """K1: landed entries (advisory_id, lastmod, ...): unseen ones are added as pending, ones with a later lastmod are asked for again, others change nothing."""
+def landed_stream(spark: SparkSession, landing: str, schema: str, form: str = "json", files: int | None = None) -> DataFrame:
+    """Files of a folder as a stream, so many a batch at most."""
+    reader = spark.readStream.schema(schema).format(form)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(landing)
+
 
-    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+def stream_ingest(spark: SparkSession, landing: str, schema: str, root: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
+    """K1: landed entries (advisory_id, lastmod, ...): unseen ones are added as pending, ones with a later lastmod are asked for again, others change nothing. files: of a batch, at most."""
+
+    def merge(tables: Tables, batch: DataFrame) -> Tables:
+        old = tables.get(ROWS)
         newest = batch.groupBy("advisory_id").agg(F.max_by(F.struct(*batch.columns), "lastmod").alias("e")).select("e.*")
         fresh = newest.withColumnRenamed("lastmod", "sitemap_lastmod").withColumn("scrape_status", F.lit("pending"))
         if old is None:
-            return fresh
+            return {ROWS: fresh}
         changed = diff_feed(newest, old).filter("change <> 'unchanged'").drop("change").withColumnRenamed("lastmod", "sitemap_lastmod").withColumn("scrape_status", F.lit("pending"))
-        return upsert_partial(old, changed, ["advisory_id"], [c for c in old.columns if c != "advisory_id"])
+        return {ROWS: upsert_partial(old, changed, ["advisory_id"], [c for c in old.columns if c != "advisory_id"])}
 
-    return start(spark.readStream.schema(schema).json(landing), merged_sink(root, merge), checkpoint)
+    return start(landed_stream(spark, landing, schema, files=files), merged_sink(root, ("advisory_id",), merge), checkpoint)
 
 
 def stream_dedup(events: DataFrame, key: list[str], delay: str, ts: str = "ts") -> DataFrame:
-    """K2: the first sighting of each key; state older than the delay is let go."""
+    """K2: the first sighting of each key; state older than the delay is let go, and rows behind it are refused."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
@@ -84,17 +77,52 @@ def stream_ioc_rollup(sightings: DataFrame) -> DataFrame:
 
 
 def stream_ioc_rollup_exact(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """K3, exact: distinct sightings are merged batch by batch; roll them up with current()."""
+    """K3, exact: distinct sightings are merged batch by batch; roll them up with current(). Kept by whole sightings, so a popular indicator is spread over all buckets."""
     key = ["type", "value", "advisory_id", "seen"]
-    return start(stream.select(*key), merged_sink(root, lambda old, batch: batch.distinct() if old is None else insert_ignore(old, batch.distinct(), key)), checkpoint)
+
+    def merge(tables: Tables, batch: DataFrame) -> Tables:
+        old, new = tables.get(ROWS), batch.select(*key).distinct()
+        return {ROWS: new if old is None else insert_ignore(old, new, key)}
+
+    return start(stream.select(*key), merged_sink(root, tuple(key), merge), checkpoint)
 
 
 def stream_extract(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    """K4: indicators of landed documents (doc_id, text), merged; a document's rows of an earlier batch stay."""
+    """K4 of plain texts: indicators of landed documents (doc_id, text), merged; a document's rows of an earlier batch stay."""
     from ctispark.operators.plaintext import iocs_plaintext
 
     key = ["doc_id", "type", "value"]
-    return start(stream, merged_sink(root, lambda old, batch: iocs_plaintext(batch) if old is None else insert_ignore(old, iocs_plaintext(batch), key)), checkpoint)
+
+    def merge(tables: Tables, batch: DataFrame) -> Tables:
+        old, new = tables.get(ROWS), iocs_plaintext(batch)
+        return {ROWS: new if old is None else insert_ignore(old, new, key)}
+
+    return start(stream, merged_sink(root, ("doc_id",), merge), checkpoint)
+
+
+def stream_parse(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+    """K4 of pages: all that landed pages (doc_id, source, html) hold (M18), one store for all tables.
+
+    A batch is parsed once. What it has of a document replaces what earlier
+    batches had, in all tables by one commit; of several pages of one document
+    in a batch one is taken. A page that can't be read leaves an error in
+    extraction_log and its row, whole, in dead_letter; all others go on, and a
+    later page of the document that can be read takes both away.
+    """
+    from ctispark.operators.html import parse_documents, parsed
+
+    def merge(tables: Tables, batch: DataFrame) -> Tables:
+        # reading a page takes longer than its bytes tell, so a batch's pages are dealt out over all tasks
+        dealt = batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+        one = dealt.groupBy("doc_id").agg(F.max(F.struct("source", "html")).alias("p")).select("doc_id", "p.*")
+        nodes = parsed(one)
+        found = parse_documents(nodes)
+        failed = found["extraction_log"].filter("extractor = 'document'").select("doc_id", "message")
+        found["dead_letter"] = one.join(failed, "doc_id")
+        ids = one.select("doc_id")
+        return {name: rows if tables.get(name) is None else delete_where(tables[name], ids, ["doc_id"]).unionByName(rows) for name, rows in found.items()}
+
+    return start(stream, merged_sink(root, ("doc_id",), merge, buckets=16), checkpoint)
 
 
 def poll_windows(rows: DataFrame, ts: str, width: str, slide: str | None = None, gap: str | None = None, key: tuple[str, ...] = ()) -> DataFrame:
@@ -106,15 +134,22 @@ def poll_windows(rows: DataFrame, ts: str, width: str, slide: str | None = None,
 
 
 def stream_retry_state(stream: DataFrame, root: str, checkpoint: str, tries: int = 3) -> StreamingQuery:
-    """K6: fetch results (advisory_id, outcome) counted up to blocked: ok resets the count, a challenge adds to it."""
-
-    def merge(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        # within a batch the order of results is theirs by pos; a success wipes out the challenges before it
-        last_ok = batch.groupBy("advisory_id").agg(F.max(F.when(F.col("outcome") == "ok", F.col("pos"))).alias("ok_at"))
-        seen = batch.join(last_ok, "advisory_id").groupBy("advisory_id").agg(F.max("ok_at").isNotNull().alias("ok"), F.count_if((F.col("outcome") == "challenge") & (F.coalesce("ok_at", F.lit(-1)) < F.col("pos"))).alias("k"))
-        before = seen.select("advisory_id").limit(0).withColumn("retry_count", F.lit(0).cast("long")) if old is None else old.select("advisory_id", "retry_count")
-        both = before.join(seen, "advisory_id", "full")
-        n = F.when(F.coalesce("ok", F.lit(False)), 0).otherwise(F.coalesce("retry_count", F.lit(0))) + F.coalesce("k", F.lit(0))
-        return both.select("advisory_id", n.cast("long").alias("retry_count")).withColumn("blocked", F.col("retry_count") >= tries)
-
-    return start(stream, merged_sink(root, merge), checkpoint)
+    """K6: fetch results (advisory_id, pos, outcome) counted up to blocked, in order of pos: ok resets the count, a challenge adds to it.
+
+    Results may come late, in any batch: kept are, of each advisory, the latest
+    success and the challenges behind it, so an early result that comes after
+    later ones changes what it should and no more.
+    """
+
+    def merge(tables: Tables, batch: DataFrame) -> Tables:
+        new = batch.filter(F.col("outcome").isin("ok", "challenge")).groupBy("advisory_id").agg(F.max(F.when(F.col("outcome") == "ok", F.col("pos"))).alias("ok_at"), F.collect_set(F.when(F.col("outcome") == "challenge", F.col("pos"))).alias("late"))
+        old = tables.get(ROWS)
+        if old is None:
+            both = new
+        else:
+            both = old.select("advisory_id", F.col("ok_at").alias("a"), F.col("challenges").alias("b")).join(new, "advisory_id", "full").select("advisory_id", F.greatest("a", "ok_at").alias("ok_at"), F.array_union(F.coalesce("b", F.array().cast("array<long>")), F.coalesce("late", F.array().cast("array<long>"))).alias("late"))
+        open_ = F.array_sort(F.filter("late", lambda p: F.col("ok_at").isNull() | (p > F.col("ok_at"))))
+        counted = both.select("advisory_id", "ok_at", open_.alias("challenges"))
+        return {ROWS: counted.withColumn("retry_count", F.size("challenges").cast("long")).withColumn("blocked", F.col("retry_count") >= tries)}
+
+    return start(stream, merged_sink(root, ("advisory_id",), merge), checkpoint)

@@ -134,10 +134,89 @@ def test_page_parts(spark):
     assert links["https://nvd.nist.gov/vuln/detail/CVE-2024-0001"] == (True, "/msrc/CVE-2024-0001") and links["/f.pdf"] == (False, None)
 
 
+def markdown_of(spark, *pages):
+    return html.html_to_markdown(spark.createDataFrame(list(enumerate(pages)), "doc_id long, html string"))
+
+
 def test_markdown(spark):
-    md = html.html_to_markdown(nodes_of(spark, ("cisa", "<h2>Head</h2><p>Para</p><ul><li>one</li></ul><table><tr><th>a</th><td>b</td></tr></table><pre>x\n y\n</pre><h2>References</h2><p>gone</p>")))
-    assert md.first().markdown == "## Head\n\nPara\n\n- one\n\n| a | b |\n\n```\nx\n y\n```\n\n## References\n\ngone"
-    assert html.prepare_body(md, "(?i)references").first().body.rstrip().endswith("```")
+    md = markdown_of(spark, "<h2>Head</h2><p>Para</p><ul><li>one</li></ul><table><tr><th>a</th><td>b</td></tr></table><pre>x\n y\n</pre><h2>References</h2><p>gone</p>")
+    assert md.first().markdown == "## Head\n\nPara\n\n- one\n\n| a | b |\n|---|---|\n\n```\nx\n y\n\n```\n\n## References\n\ngone"
+    assert html.prepare_body(md.select("doc_id", "markdown"), "(?i)references").first().body.rstrip().endswith("```")
+
+
+def test_markdown_of_inline_marks_lists_and_chrome(spark):
+    pages = [
+        "<nav><ul><li>menu</li></ul></nav><header><h1>Site</h1></header><aside>ad</aside><main><p>A <b>bold <i>and slanted</i></b> <a href='/x'>link</a>, <code>c<b>o</b>de</code>.<br>Next</p></main><footer>end</footer><script>no()</script>",
+        "<ol><li>one <b>two</b></li><li>outer<ul><li>in 1</li><li>in 2</li></ul></li></ol>",
+        "<table><tr><td>p|q</td><td><p>two</p><p>parts</p></td></tr><tr><td>x</td></tr></table><pre><code>a\n  b</code></pre>",
+        "<p><b>never closed<p>next <em>open",
+        None,
+        "",
+        "<p>x<![odd[y]]>",
+    ]
+    got = {r.doc_id: (r.markdown, r.error) for r in markdown_of(spark, *pages).collect()}
+    assert got[0] == ("A **bold *and slanted*** link, `code`.\nNext", None)
+    assert got[1] == ("1. one two\n2. outer in 1 in 2", None)
+    assert got[2] == ("| p\\|q | two parts |\n|---|---|\n| x |\n\n```\na\n  b\n```", None)
+    assert got[3] == ("**never closed**\n\nnext *open*", None)
+    assert got[4] == (None, None) and got[5] == ("", None)
+    assert got[6][0] is None and got[6][1].startswith("AssertionError")
+
+
+def test_layouts(spark):
+    period = '<table><caption>By month</caption><tr><th colspan="2">January</th><th colspan="2">February</th></tr><tr><td>185.220.101.5</td><td>185.220.101.6</td><td>91.219.236.10</td><td></td></tr></table>'
+    shifted = "<table><tr><th>Content</th><th>Filename</th><th>SHA256</th></tr><tr><td></td><td>loader.dll</td><td>" + "e3" * 32 + "</td></tr><tr><td>stage</td><td></td><td>" + "F4" * 32 + "</td></tr></table>"
+    nested = "<table><tr><td><table><tr><td>8.8.4.7</td></tr></table></td></tr></table>"
+    bare = "<table><td>8.8.4.6</td><td>8.8.4.5</td></table><table></table><table><tr></tr></table>"
+    hex_ = "<table><tr><td>00 01 02</td><td>sleep</td></tr></table>"
+    several = period + shifted + "<p>between</p>" + nested
+    nodes = html.parsed(spark.createDataFrame([(i, "cisa", p) for i, p in enumerate((period, shifted, nested, bare, hex_, several))], "doc_id long, source string, html string"))
+    got = {}
+    for r in html.extract_iocs(nodes).collect():
+        got.setdefault(r.doc_id, {})[r.value] = r.context
+    months = {"185.220.101.5": None, "185.220.101.6": None, "91.219.236.10": None}
+    hashes = {"e3" * 32: "loader.dll", "f4" * 32: "stage"}
+    assert got[0] == months and got[1] == hashes and set(got[3]) == {"8.8.4.6", "8.8.4.5"} and 4 not in got
+    assert got[2] == {"8.8.4.7": None} and got[5] == months | hashes | got[2]
+    told = {(r.doc_id, r.severity): r.message for r in html.extraction_warnings(nodes).collect() if r.doc_id in (0, 4)}
+    assert "one by one" in told[0, "warning"] and "no grid" in told[4, "warning"]
+
+
+def test_one_bad_page_of_many(spark):
+    good = "<main><table><tr><th>Indicator</th></tr><tr><td>8.8.4.9</td></tr></table><p>CVE-2024-1234</p></main>"
+    pages = [(1, good), (2, good + "<![odd[x]]>"), (3, "<div>" * 600 + good), (4, None), (5, good)]
+    found = html.parse_documents(html.parsed(spark.createDataFrame([(i, "cisa", p) for i, p in pages], "doc_id long, source string, html string").coalesce(1)))
+    assert {r.doc_id for r in found["ioc"].collect()} == {r.doc_id for r in found["advisory_cve"].collect()} == {1, 5}
+    assert {(r.doc_id, r.extractor, r.message.split(":")[0]) for r in found["extraction_log"].filter("severity = 'error'").collect()} == {(2, "document", "AssertionError"), (3, "document", "ValueError")}
+
+
+def test_page_of_many_nodes(spark):
+    """Work is in proportion to nodes: headings, lists, hidden parts and tables by the ten thousand in one page."""
+    import time
+
+    n = 13_000
+    level = lambda i: 2 + i % 3
+    # the lists behind each heading that fits, up to the next of its level or a higher one
+    members = sum(next(k for k in range(1, n) if i + k >= n or level(i + k) <= level(i)) for i in range(0, n, 50))
+    part = "".join(f"<h{2 + i % 3}>{'Detection' if i % 50 == 0 else 'Part'} {i}</h{2 + i % 3}><ul><li>x {i}</li></ul><p style='{'display:none' if i % 7 == 0 else ''}'>p<b>b</b></p>" for i in range(n))
+    table = "<table><tr><th>Indicator</th><th>Notes</th></tr>" + "".join(f"<tr><td>8.{i >> 8 & 255}.{i & 255}.9</td><td>n</td></tr>" for i in range(n)) + "</table>"
+    began = time.time()
+    nodes = html.parsed(spark.createDataFrame([(1, "cisa", f"<main>{part}{table}</main>")], "doc_id long, source string, html string"))
+    assert nodes.count() > 100_000
+    assert html.extract_iocs(nodes).count() == n
+    assert html.section_members(nodes, "Detection").filter("tag = 'ul'").count() == members
+    assert html.clean_document(nodes).filter("tag = 'p'").count() == n - len(range(0, n, 7))
+    assert time.time() - began < 90
+
+
+def test_bylines(spark):
+    right = '<p style="text-align: right">'
+    page = f"<div><p>Text.</p>{right}Not. At the end</p><p>More.</p>{right}Some Name, Group</p></div>"
+    nodes = nodes_of(spark, ("jpcert", page), ("jpcert", f"<div>{right}A long line. It is a sentence</p></div>"), ("jpcert", f"<div><p>x</p>{right}<b>A</b> of JPCERT/CC</p>{right}B</p></div>"))
+    kept = {}
+    for r in html.clean_document(nodes).filter("tag in ('p', 'b')").orderBy("pos").collect():
+        kept.setdefault(r.doc_id, []).append(r.text)
+    assert kept == {0: ["Text.", "Not. At the end", "More."], 1: ["A long line. It is a sentence"], 2: ["x"]}
 
 
 def test_stream_ingest(spark, tmp_path):
@@ -181,7 +260,85 @@ def test_stream_retries(spark, tmp_path):
     spark.createDataFrame(data, "advisory_id string, outcome string, pos long").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("advisory_id string, outcome string, pos long").parquet(str(tmp_path / "in"))
     jobs.stream_retry_state(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
-    assert rows(jobs.current(spark, str(tmp_path / "t"))) == [("a", 3, True), ("b", 1, False)]
+    assert rows(jobs.current(spark, str(tmp_path / "t")).select("advisory_id", "retry_count", "blocked")) == [("a", 3, True), ("b", 1, False)]
+
+
+def test_stream_retries_in_any_order(spark, tmp_path):
+    """Results that come late, in shuffled batches, leave the state that their order by pos gives."""
+    import random
+
+    r = random.Random(4)
+    data = [(f"a{r.randrange(6)}", r.choice(("ok", "challenge", "challenge", "other")), i) for i in range(80)]
+    want = {}
+    for a, outcome, _ in data:
+        want[a] = 0 if outcome == "ok" else want.get(a, 0) + (outcome == "challenge")
+    r.shuffle(data)
+    schema = "advisory_id string, outcome string, pos long"
+    for k in range(6):
+        spark.createDataFrame(data[k::6], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    jobs.stream_retry_state(jobs.landed_stream(spark, str(tmp_path / "in"), schema, "parquet", 1), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    assert rows(jobs.current(spark, str(tmp_path / "t")).select("advisory_id", "retry_count", "blocked")) == sorted((a, n, n >= 3) for a, n in want.items())
+
+
+def test_stream_parse(spark, tmp_path):
+    """A page that can't be read leaves an error and a dead letter, until a later batch has one that can."""
+    page = lambda *values: "<main><table><tr><th>Indicator</th></tr>" + "".join(f"<tr><td>{v}</td></tr>" for v in values) + "</table></main>"
+    schema = "doc_id long, source string, html string"
+    landing, root, check = (str(tmp_path / n) for n in ("in", "t", "c"))
+
+    def land(*pages):
+        spark.createDataFrame([(i, "cisa", h) for i, h in pages], schema).coalesce(1).write.mode("append").parquet(landing)
+        jobs.stream_parse(jobs.landed_stream(spark, landing, schema, "parquet", 1), root, check).awaitTermination()
+        read = lambda name, *columns: rows(jobs.current(spark, root, name).select("doc_id", *columns))
+        return read("ioc", "value"), read("extraction_log", "severity"), read("dead_letter", "html")
+
+    bad = page("9.9.9.1") + "<![odd[x]]>"
+    assert land((1, page("8.8.4.1", "8.8.4.2")), (2, bad), (3, None)) == ([(1, "8.8.4.1"), (1, "8.8.4.2")], [(2, "error")], [(2, bad)])
+    assert land((4, page("8.8.4.4"))) == ([(1, "8.8.4.1"), (1, "8.8.4.2"), (4, "8.8.4.4")], [(2, "error")], [(2, bad)])
+    assert land((1, page("8.8.4.3")), (2, page("9.9.9.1"))) == ([(1, "8.8.4.3"), (2, "9.9.9.1"), (4, "8.8.4.4")], [], [])
+
+
+def test_store(spark, tmp_path):
+    import os
+
+    from ctispark.operators.merge import upsert_partial
+    from ctispark.streaming.store import Store
+
+    root = str(tmp_path / "s")
+    table = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    put = lambda batch: lambda old: {"t": batch if old.get("t") is None else upsert_partial(old["t"], batch, ["k"], ["v"])}
+    first = table(*[(f"k{i}", i) for i in range(200)])
+    assert Store(spark, root, ("k",), 32).commit(0, first, put(first), "q")
+    written = lambda n: sum(name.startswith("__bucket") for name in os.listdir(f"{root}/t/v{n}"))
+    assert written(0) == 32
+    few = table(("k7", 700), ("new", 1))
+    assert Store(spark, root, ("k",)).commit(1, few, put(few), "q") and written(1) <= 2
+    want = sorted([(f"k{i}", 700 if i == 7 else i) for i in range(200)] + [("new", 1)])
+    assert rows(Store(spark, root, ()).read("t")) == want
+    # run again, and by another query
+    assert not Store(spark, root, ("k",)).commit(1, few, put(few), "q")
+    with pytest.raises(ValueError, match="was written by query q"):
+        Store(spark, root, ("k",)).commit(2, few, put(few), "other")
+
+    # several tables in one commit; a failure halfway leaves all of them as they were
+    def halfway(old):
+        yield_ = {"t": table(("k7", 0)), "u": table(("k7", 1)).withColumn("v", F.raise_error(F.lit("no")).cast("int"))}
+        return yield_
+
+    with pytest.raises(Exception, match="no"):
+        Store(spark, root, ("k",)).commit(2, table(("k7", 0)), halfway, "q")
+    assert rows(Store(spark, root, ()).read("t")) == want and Store(spark, root, ()).read("u") is None
+    # rows of keys that the batch doesn't touch are refused
+    with pytest.raises(ValueError, match="doesn't touch"):
+        Store(spark, root, ("k",)).commit(2, table(("k7", 0)), lambda old: {"t": first}, "q")
+    # a table emptied, and what no manifest names is gone
+    assert Store(spark, root, ("k",)).commit(3, first.unionByName(few), lambda old: {"t": old["t"].limit(0)}, "q")
+    assert rows(Store(spark, root, ()).read("t")) == []
+    assert Store(spark, root, ("k",)).commit(4, few, put(few), "q")
+    assert rows(Store(spark, root, ()).read("t")) == [("k7", 700), ("new", 1)]
+    assert Store(spark, root, ("k",)).commit(5, few, put(few), "q")
+    assert sorted(n for n in os.listdir(f"{root}/manifests") if not n.startswith(".")) == ["4.json", "5.json"]
+    assert not os.path.exists(f"{root}/t/v0") and not os.path.exists(f"{root}/t/v1")
 
 
 def test_stream_extract(spark, tmp_path):
