@@ -78,24 +78,73 @@ def cves_in_text(docs: DataFrame, links: DataFrame | None = None, doc: str = "do
     return found.join(first, [doc, "cve_id"], "left").withColumn("link_source", F.coalesce(text.cve_link_source(F.col("link_url")), F.lit("none")))
 
 
+#: A token is a run of characters other than these.
+BLANKS = r"[\x20\x09-\x0D]+"
+LEAD, TRAIL = r"\A[(),;:.'\"]+", r"[(),;:.'\"]+\z"
+
+
+def text_tokens(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFrame:
+    """(doc, i, start, gap, t): the tokens of texts by number, where they start, and the white space before them.
+
+    Offsets are one running sum over a document's tokens; what is shuffled are
+    tokens, each once, and never texts.
+    """
+    at, gaps = F.regexp_extract_all(body, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.split(body, r"[^\x20\x09-\x0D]+", -1)
+    each = docs.filter(F.col(body).isNotNull()).select(doc, F.posexplode(F.arrays_zip(gaps.alias("gap"), at.alias("t"))).alias("i", "x")).select(doc, "i", "x.gap", "x.t").filter("t is not null")
+    upto = Window.partitionBy(doc).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return each.withColumn("start", F.sum(F.length("gap") + F.length("t")).over(upto) - F.length("t"))
+
+
 def annotation_spans(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFrame:
     """(doc, start, matched, kind, target) where terms (doc, kind, value, target) stand in their documents.
 
     Tokens, without what stands around them in prose and with their defanging
-    undone, are joined with the terms by document and value, whatever the
-    number of terms; case counts for no kind but hashes. Of terms that begin at
-    one place the longest stays.
+    undone, are joined with the terms by document and word, whatever the number
+    of terms, without regard to case. A term of several words is where its
+    words follow each other, whatever white space is between them: its words
+    are joined one by one and counted by where the term would begin. From the
+    left, of terms that begin at one place the longest stays, and none that
+    begins within one that stays. Documents without terms are not looked at;
+    null texts hold none; terms without a word stand nowhere; repeated terms
+    count once.
     """
-    at = F.regexp_extract_all(body, F.lit(r"\S+"), F.lit(0))
-    gaps = F.split(body, r"\S+", -1)
-    start = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(at, F.lit(1), i), F.lit(0), lambda a, t: a + F.length(t))
-    marked = F.filter(F.transform(at, lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: F.length(x["t"]) >= 4)
-    tokens = docs.select(doc, body, F.explode(marked).alias("x"))
-    lead = F.length(F.regexp_extract("x.t", r"\A[(),;:.'\"]*", 0))
-    bare = F.regexp_replace("x.t", EDGES, "")
-    keyed = tokens.withColumns({"matched": bare, "key": F.lower(ioc.refang(bare)), "lead": lead})
-    side = terms.select(F.col(doc).alias("__d"), F.lower("value").alias("__k"), "kind", "target")
-    hits = keyed.join(side, (F.col(doc) == F.col("__d")) & (F.col("key") == F.col("__k")))
-    out = hits.withColumn("start", start(F.col("x.i")) + F.col("lead")).select(doc, "start", "matched", "kind", "target")
+    said = F.filter(F.split(F.lower(ioc.refang(F.col("value"))), BLANKS, -1), lambda w: w != "")
+    known = terms.select(F.col(doc).alias("__d"), said.alias("words"), "kind", "target").filter(F.size("words") > 0).distinct()
+    tokens = text_tokens(docs.join(known.select(F.col("__d").alias(doc)).distinct(), doc, "left_semi"), doc, body)
+    key = lambda c: F.lower(ioc.refang(c))
+    lead = F.regexp_replace("t", LEAD, "")
+    bare = tokens.withColumns({"lead": F.length("t") - F.length(lead), "matched": F.regexp_replace(lead, TRAIL, "")})
+    # one word
+    ones = known.filter(F.size("words") == 1).select("__d", F.col("words")[0].alias("__k"), "kind", "target")
+    keyed = bare.filter(F.length("matched") > 0).withColumn("key", key(F.col("matched")))
+    hits = keyed.join(ones, (F.col(doc) == F.col("__d")) & (F.col("key") == F.col("__k"))).select(doc, (F.col("start") + F.col("lead")).alias("start"), "matched", "kind", "target")
+    # several: the first word loses what stands before it, the last what stands behind it
+    many = known.filter(F.size("words") > 1)
+    n = F.size("words")
+    parts = many.select("__d", "words", "kind", "target", F.posexplode("words").alias("j", "__k")).withColumn("place", F.when(F.col("j") == 0, "first").when(F.col("j") == n - 1, "last").otherwise("inner"))
+    shapes = F.array(F.struct(F.lit("first").alias("place"), lead.alias("s")), F.struct(F.lit("inner").alias("place"), F.col("t").alias("s")), F.struct(F.lit("last").alias("place"), F.regexp_replace("t", TRAIL, "").alias("s")))
+    shaped = tokens.join(many.select(F.col("__d").alias(doc)).distinct(), doc, "left_semi").select(doc, "i", "gap", "t", "start", F.explode(shapes).alias("x")).select(doc, "i", "gap", "t", "start", "x.place", "x.s").withColumn("key", key(F.col("s")))
+    found = shaped.alias("a").join(parts.alias("b"), (F.col(doc) == F.col("__d")) & (F.col("key") == F.col("__k")) & (F.col("a.place") == F.col("b.place")))
+    runs = found.groupBy(doc, "words", "kind", "target", (F.col("i") - F.col("j")).alias("from")).agg(F.sort_array(F.collect_list(F.struct("j", "gap", "s", "start", "t"))).alias("w")).filter(F.size("w") == n)
+    shown = F.concat(F.col("w")[0]["s"], F.array_join(F.transform(F.slice("w", F.lit(2), n - 1), lambda x: F.concat(x["gap"], x["s"])), ""))
+    phrases = runs.select(doc, (F.col("w")[0]["start"] + F.length(F.col("w")[0]["t"]) - F.length(F.col("w")[0]["s"])).alias("start"), shown.alias("matched"), "kind", "target")
     longest = Window.partitionBy(doc, "start").orderBy(F.desc(F.length("matched")), "kind", "target")
-    return out.withColumn("__n", F.row_number().over(longest)).filter("__n = 1").drop("__n")
+    out = hits.unionByName(phrases).withColumn("__n", F.row_number().over(longest)).filter("__n = 1").drop("__n")
+    return _apart(out, doc)
+
+
+def _apart(spans: DataFrame, doc: str) -> DataFrame:
+    """Spans from the left, without those that begin within one that stays.
+
+    Only spans that hang together are folded: a group ends where no span so far
+    reaches, so a fold has the spans of one overlap and not those of a document.
+    """
+    before = Window.partitionBy(doc).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(doc).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("start") + F.length("matched")
+    grouped = spans.withColumn("__new", F.coalesce(F.max(end).over(before) <= F.col("start"), F.lit(True)).cast("int")).withColumn("__g", F.sum("__new").over(upto))
+    each = grouped.groupBy(doc, "__g").agg(F.sort_array(F.collect_list(F.struct("start", "matched", "kind", "target"))).alias("s"))
+    empty = F.slice("s", F.lit(1), F.lit(0))
+    last = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["start"] + F.length(F.try_element_at(kept, F.lit(-1))["matched"]), F.lit(-1))
+    kept = F.aggregate("s", empty, lambda kept, x: F.when(x["start"] >= last(kept), F.concat(kept, F.array(x))).otherwise(kept))
+    return each.select(doc, F.explode(kept).alias("x")).select(doc, "x.start", "x.matched", "x.kind", "x.target")
