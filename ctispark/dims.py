@@ -1,4 +1,8 @@
-"""Scoring and allowlist dimensions: fixed values, as ordered tables."""
+"""Scoring and allowlist dimensions: fixed values as the default, or a configuration file's."""
+
+import hashlib
+import json
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,9 +68,90 @@ def ordered(spark: SparkSession, scores: dict[str, int]) -> DataFrame:
     return spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(scores.items())], "pos int, name string, score int")
 
 
-def load_dims(path: str) -> dict:
-    """A configuration file of mappings and lists, read on the driver."""
+@dataclass(frozen=True)
+class Scoring:
+    """What the scores are computed from. Mappings keep their order: the first component that fits counts."""
+
+    components: dict[str, int] = field(default_factory=lambda: dict(COMPONENTS))
+    cwe: dict[str, int] = field(default_factory=lambda: dict(CWE))
+    impact: dict[str, int] = field(default_factory=lambda: dict(IMPACT))
+    vector: dict[str, int] = field(default_factory=lambda: dict(VECTOR))
+    privileges: dict[str, int] = field(default_factory=lambda: dict(PRIVILEGES))
+    interaction: dict[str, int] = field(default_factory=lambda: dict(INTERACTION))
+    bonuses: dict[str, int] = field(default_factory=lambda: dict(BONUSES))
+    thresholds: dict[str, int] = field(default_factory=lambda: dict(THRESHOLDS))
+    ignored: tuple[str, ...] = IGNORED
+    vr_components: dict[str, int] = field(default_factory=lambda: dict(VR_COMPONENTS))
+    vr_catchall: dict[str, int] = field(default_factory=lambda: dict(VR_CATCHALL))
+    vr_default: int = VR_DEFAULT
+    vr_cwe: dict[str, int] = field(default_factory=lambda: dict(VR_CWE))
+    vr_impact: dict[str, int] = field(default_factory=lambda: dict(VR_IMPACT))
+    vr_vector: dict[str, int] = field(default_factory=lambda: dict(VR_VECTOR))
+    vr_privileges: dict[str, int] = field(default_factory=lambda: dict(VR_PRIVILEGES))
+    vr_interaction: dict[str, int] = field(default_factory=lambda: dict(VR_INTERACTION))
+    vr_bonuses: dict[str, int] = field(default_factory=lambda: dict(VR_BONUSES))
+    vr_thresholds: dict[str, int] = field(default_factory=lambda: dict(VR_THRESHOLDS))
+    mem_corrupt: tuple[str, ...] = MEM_CORRUPT
+    heap_corrupt: tuple[str, ...] = HEAP_CORRUPT
+    parsers: tuple[str, ...] = PARSERS
+    kernel: tuple[str, ...] = KERNEL
+
+    @property
+    def version(self) -> str:
+        """Eight digits that tell two configurations apart, order included."""
+        return hashlib.sha256(json.dumps(asdict(self)).encode()).hexdigest()[:8]
+
+
+DEFAULT = Scoring()
+
+# Where a configuration file holds each part.
+PLACES = {
+    "components": ("component_scores",), "cwe": ("cwe_weights",), "impact": ("impact_weights",), "vector": ("attack_vector",), "privileges": ("privileges_required",), "interaction": ("user_interaction",), "bonuses": ("bonuses",),
+    "thresholds": ("priority_thresholds",), "ignored": ("ignore_list",), "vr_components": ("vr_scoring", "components"), "vr_catchall": ("vr_scoring", "catchall_categories"), "vr_default": ("vr_scoring", "default_component_score"),
+    "vr_cwe": ("vr_scoring", "cwe_weights"), "vr_impact": ("vr_scoring", "impact_weights"), "vr_vector": ("vr_scoring", "attack_vector_weights"), "vr_privileges": ("vr_scoring", "privileges_required_weights"),
+    "vr_interaction": ("vr_scoring", "user_interaction_weights"), "vr_bonuses": ("vr_scoring", "bonuses"), "vr_thresholds": ("vr_scoring", "thresholds"), "mem_corrupt": ("vr_scoring", "tag_rules", "mem_corrupt", "cwe_ids"),
+    "heap_corrupt": ("vr_scoring", "tag_rules", "heap_corrupt", "cwe_ids"), "parsers": ("vr_scoring", "tag_rules", "user_mode_parser", "component_patterns"), "kernel": ("vr_scoring", "tag_rules", "kernel", "component_patterns"),
+}
+
+
+def _yaml(spark: SparkSession, path: str) -> dict:
     import yaml
 
-    with open(path) as f:
-        return yaml.safe_load(f) or {}
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
+
+
+def load_dims(spark: SparkSession, path: str) -> Scoring:
+    """The scoring tables of a configuration file, wherever Spark reads it; parts that it lacks are as they are here.
+
+    Whole parts are replaced. Bonuses that a file's part lacks count nothing. A
+    part of another form than it must have raises, named by its place.
+    """
+    given, parts = _yaml(spark, path), {}
+    for name, place in PLACES.items():
+        at = given
+        for step in place:
+            at = at.get(step) if isinstance(at, dict) else None
+        if at is None:
+            continue
+        default = getattr(DEFAULT, name)
+        if isinstance(default, dict):
+            if not isinstance(at, dict) or not all(isinstance(v, int) for v in at.values()):
+                raise ValueError(f"{'.'.join(place)} must map names to whole numbers")
+            known = dict.fromkeys(default, 0) if name.endswith("bonuses") else {}
+            # thresholds are tried from the highest
+            parts[name] = dict(sorted(at.items(), key=lambda x: -x[1])) if name.endswith("thresholds") else known | at
+        elif isinstance(default, tuple):
+            if not isinstance(at, list):
+                raise ValueError(f"{'.'.join(place)} must be a list")
+            parts[name] = tuple(map(str, at))
+        elif isinstance(at, int):
+            parts[name] = at
+        else:
+            raise ValueError(f"{'.'.join(place)} must be a whole number")
+    return replace(DEFAULT, **parts)
+
+
+def load_allowlist(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, key) of a configuration file's domains, ips and hashes."""
+    given = _yaml(spark, path)
+    return allowlist(spark, *[tuple(str(x).lower() for x in given.get(k) or ()) for k in ("domains", "ips", "hashes")])

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ctispark import dims
+from ctispark.dims import DEFAULT, Scoring
 
 # Other spellings.
 VECTOR_ALIASES = {"n": "Network", "a": "Adjacent", "l": "Local", "p": "Physical"}
@@ -27,12 +27,12 @@ def _first_held(table: list[tuple[str, int]]):
     return lambda text: F.get(F.transform(F.filter(names, lambda x: F.contains(text, x["low"])), cut), F.lit(0))
 
 
-def component_match_first(component: Column, scores: dict[str, int] = dims.COMPONENTS) -> Column:
+def component_match_first(component: Column, scores: dict[str, int] = DEFAULT.components) -> Column:
     """Struct (score, name) of the first name, in their order, that component holds; 0 without one."""
     return F.coalesce(_within(F.lower(F.trim(component)), _first_held(list(scores.items()))), _hit(0, ""))
 
 
-def component_match_best(component: Column, title: Column, scores: dict[str, int] = dims.VR_COMPONENTS, catchall: dict[str, int] = dims.VR_CATCHALL, default: int = dims.VR_DEFAULT) -> Column:
+def component_match_best(component: Column, title: Column, scores: dict[str, int] = DEFAULT.vr_components, catchall: dict[str, int] = DEFAULT.vr_catchall, default: int = DEFAULT.vr_default) -> Column:
     """The best score of a name that component or title hold, the first of equal ones; else of a catch-all name; else the default."""
     text = F.lower(F.concat_ws(" ", F.coalesce(component, F.lit("")), F.coalesce(title, F.lit(""))))
 
@@ -90,22 +90,22 @@ def _filled(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit("")) != ""
 
 
-def defense_score(cve: DataFrame) -> DataFrame:
-    """Over CVEs with kev_listed: score, priority, breakdown."""
+def defense_score(cve: DataFrame, d: Scoring = DEFAULT) -> DataFrame:
+    """Over CVEs with kev_listed: score, priority, breakdown, by the tables of d."""
     parts = {
-        "component": component_match_first(F.col("component")), "cwe": weight(F.col("cwe_id"), dims.CWE, exact=True), "impact": weight(F.col("impact"), dims.IMPACT),
-        "attack_vector": weight(F.col("av"), dims.VECTOR, VECTOR_ALIASES), "privileges": weight(F.col("pr"), dims.PRIVILEGES, PRIVILEGE_ALIASES), "user_interaction": weight(F.col("ui"), dims.INTERACTION, INTERACTION_ALIASES),
+        "component": component_match_first(F.col("component"), d.components), "cwe": weight(F.col("cwe_id"), d.cwe, exact=True), "impact": weight(F.col("impact"), d.impact),
+        "attack_vector": weight(F.col("av"), d.vector, VECTOR_ALIASES), "privileges": weight(F.col("pr"), d.privileges, PRIVILEGE_ALIASES), "user_interaction": weight(F.col("ui"), d.interaction, INTERACTION_ALIASES),
     }
-    bonuses = [_given(_filled("customer_action"), "customer_action_required", dims.BONUSES), _given(_true("exploited_wild"), "exploit_active", dims.BONUSES), _given(_true("kev_listed"), "kev_listed", dims.BONUSES)]
-    return _scored(cve, "", parts, {"bonuses": bonuses}, dims.THRESHOLDS)
+    bonuses = [_given(_filled("customer_action"), "customer_action_required", d.bonuses), _given(_true("exploited_wild"), "exploit_active", d.bonuses), _given(_true("kev_listed"), "kev_listed", d.bonuses)]
+    return _scored(cve, "", parts, {"bonuses": bonuses}, d.thresholds)
 
 
-def vr_score(cve: DataFrame) -> DataFrame:
-    """vr_score, vr_priority, vr_breakdown."""
-    b = dims.VR_BONUSES
+def vr_score(cve: DataFrame, d: Scoring = DEFAULT) -> DataFrame:
+    """vr_score, vr_priority, vr_breakdown, by the tables of d."""
+    b = d.vr_bonuses
     parts = {
-        "component": component_match_best(F.col("component"), F.col("title")), "cwe": weight(F.col("cwe_id"), dims.VR_CWE, exact=True), "impact": weight(F.col("impact"), dims.VR_IMPACT),
-        "attack_vector": letter_weight(F.col("av"), dims.VR_VECTOR), "privileges": letter_weight(F.col("pr"), dims.VR_PRIVILEGES), "user_interaction": letter_weight(F.col("ui"), dims.VR_INTERACTION),
+        "component": component_match_best(F.col("component"), F.col("title"), d.vr_components, d.vr_catchall, d.vr_default), "cwe": weight(F.col("cwe_id"), d.vr_cwe, exact=True), "impact": weight(F.col("impact"), d.vr_impact),
+        "attack_vector": letter_weight(F.col("av"), d.vr_vector), "privileges": letter_weight(F.col("pr"), d.vr_privileges), "user_interaction": letter_weight(F.col("ui"), d.vr_interaction),
     }
     exploited, disclosed, severity = _true("exploited_wild"), _true("publicly_disclosed"), F.trim("severity")
     bonuses = [
@@ -113,10 +113,10 @@ def vr_score(cve: DataFrame) -> DataFrame:
         _given(severity == "Important", "important_severity", b), _given(F.lower("scope") == "changed", "scope_changed", b),
     ]
     penalties = [_given(exploited, "exploit_active", b), _given(~exploited & disclosed, "publicly_disclosed", b)]
-    return _scored(cve, "vr_", parts, {"bonuses": bonuses, "penalties": penalties}, dims.VR_THRESHOLDS)
+    return _scored(cve, "vr_", parts, {"bonuses": bonuses, "penalties": penalties}, d.vr_thresholds)
 
 
-def vr_tags(cve: DataFrame, strict: bool = True) -> DataFrame:
+def vr_tags(cve: DataFrame, strict: bool = True, d: Scoring = DEFAULT) -> DataFrame:
     """vr_tags, in order, over CVEs with kev_listed and has_kb. strict: remote_preauth needs the letter codes; else words count by their first letter."""
     text = F.lower(F.concat_ws(" ", F.coalesce("component", F.lit("")), F.coalesce("title", F.lit(""))))
 
@@ -126,26 +126,26 @@ def vr_tags(cve: DataFrame, strict: bool = True) -> DataFrame:
 
     letter = lambda c: F.upper(c) if strict else F.upper(F.substring(F.trim(c), 1, 1))
     rules = {
-        "mem_corrupt": F.col("cwe_id").isin(*dims.MEM_CORRUPT), "heap_corrupt": F.col("cwe_id").isin(*dims.HEAP_CORRUPT), "user_mode_parser": any_of(dims.PARSERS), "kernel": any_of(dims.KERNEL),
+        "mem_corrupt": F.col("cwe_id").isin(*d.mem_corrupt), "heap_corrupt": F.col("cwe_id").isin(*d.heap_corrupt), "user_mode_parser": any_of(d.parsers), "kernel": any_of(d.kernel),
         "remote_preauth": (letter("av") == "N") & (letter("pr") == "N"), "scope_change": F.lower("scope") == "changed", "novel": ~_true("exploited_wild") & ~_true("publicly_disclosed") & ~_true("kev_listed"), "patchable": _true("has_kb"),
         "high_impact": F.col("impact").isin("Remote Code Execution", "Elevation of Privilege"), "info_leak": F.col("impact") == "Information Disclosure",
     }
     return cve.withColumn("vr_tags", F.sort_array(F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()]))))
 
 
-def rescore(cve: DataFrame, kev: DataFrame, kb: DataFrame) -> DataFrame:
-    """All three for the whole table."""
+def rescore(cve: DataFrame, kev: DataFrame, kb: DataFrame, d: Scoring = DEFAULT) -> DataFrame:
+    """All three for the whole table, with the version of the tables that gave them."""
     from ctispark.operators.joins import cve_with_kev
 
     patched = kb.select("cve_id").distinct().withColumn("has_kb", F.lit(1))
     flagged = cve_with_kev(cve, kev).join(patched, "cve_id", "left").fillna(0, ["has_kb"])
-    return vr_tags(vr_score(defense_score(flagged)))
+    return vr_tags(vr_score(defense_score(flagged, d), d), d=d).withColumn("scoring_version", F.lit(d.version))
 
 
-def score_new(cve: DataFrame, kev: DataFrame, kb: DataFrame) -> DataFrame:
+def score_new(cve: DataFrame, kev: DataFrame, kb: DataFrame, d: Scoring = DEFAULT) -> DataFrame:
     """New CVEs without ignored components, scored; an empty category becomes the matched component."""
     from ctispark.operators.filters import drop_ignored
 
-    scored = rescore(drop_ignored(cve, list(dims.IGNORED)), kev, kb)
+    scored = rescore(drop_ignored(cve, list(d.ignored)), kev, kb, d)
     own = F.col("component_category") if "component_category" in cve.columns else F.lit(None).cast("string")
     return scored.withColumn("component_category", F.coalesce(F.nullif(own, F.lit("")), F.nullif(F.col("breakdown.component.name"), F.lit(""))))

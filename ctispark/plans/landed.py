@@ -1,11 +1,14 @@
 """Readers, streams and response handling over files and texts that Spark writes from the stored tables into the shared folder."""
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctispark.operators import html, intel, merge, ordering
+from ctispark import dims
+from ctispark.operators import aggs, html, intel, joins, merge, ordering, scoring
 from ctispark.plans.extraction import _BROKEN, _END, _ID, _ROW, _TABLE, _page
-from ctispark.plans.tables import _add, _joined
+from ctispark.plans.tables import _add, _defense_sql, _joined, _tags_sql, _tier, _vr_sql
 from ctispark.sources import feeds
 from ctispark.sources.shared import folder
 from ctispark.streaming import jobs
@@ -102,6 +105,32 @@ _add("A10_tables_round_trip", "advisory ioc", _round_trip, "select source, sum(c
 _add("B13_backfill_from_json", "msrc_cve", lambda c: merge.backfill_from_json(c.select("cve_id", F.lit("").alias("description"), F.when(F.col("severity") == "Low", "unknown").otherwise(F.col("severity")).alias("component"), F.to_json(F.struct(_VULNERABILITY()["Notes"].alias("Notes"))).alias("raw_json"))).select("cve_id", "description", "component"),
     "select cve_id, '<p>A flaw in ' || cve_id || '</p>' as description, case when severity = 'Low' then coalesce(component, 'unknown') else severity end as component from msrc_cve")
 
+# scores by a configuration file: some parts of it are others than the default, some are left out
+_CONFIG = {
+    "component_scores": {"DNS": 50, "Windows": 9, "Office": 21}, "impact_weights": {"Spoofing": 40}, "bonuses": {"kev_listed": 7}, "priority_thresholds": {"LOW": 5, "HIGH": 60}, "ignore_list": ["Kernel", "Studio"],
+    "vr_scoring": {"components": {"kernel": 90, "Excel": 12}, "default_component_score": 1, "bonuses": {"exploit_active": -40, "scope_changed": 3}, "thresholds": {"PRIME": 90, "LOW": 10}, "tag_rules": {"kernel": {"component_patterns": ["DNS"]}, "mem_corrupt": {"cwe_ids": ["CWE-20"]}}},
+}
+
+
+def _configured(c: DataFrame, k: DataFrame, b: DataFrame) -> DataFrame:
+    import json
+
+    _, path = landed(c.sparkSession.range(1), F.lit(json.dumps(_CONFIG)), True)  # JSON is YAML
+    d = dims.load_dims(c.sparkSession, path)
+    out = scoring.score_new(c, k, b, d)
+    assert d.version != dims.DEFAULT.version
+    return out.select("cve_id", "score", "priority", "vr_score", "vr_priority", _joined("vr_tags"), (F.col("scoring_version") == d.version).alias("versioned"))
+
+
+_D = replace(
+    dims.DEFAULT, components=_CONFIG["component_scores"], impact=_CONFIG["impact_weights"], bonuses=dict.fromkeys(dims.BONUSES, 0) | _CONFIG["bonuses"], thresholds={"HIGH": 60, "LOW": 5}, vr_components={"kernel": 90, "Excel": 12}, vr_default=1,
+    vr_bonuses=dict.fromkeys(dims.VR_BONUSES, 0) | _CONFIG["vr_scoring"]["bonuses"], vr_thresholds={"PRIME": 90, "LOW": 10}, kernel=("DNS",), mem_corrupt=("CWE-20",),
+)
+_add(
+    "A11_load_dims", "msrc_cve kev_entry msrc_kb", _configured,
+    f"select cve_id, score, {_tier('score', _D.thresholds)} as priority, vr_score, {_tier('vr_score', _D.vr_thresholds)} as vr_priority, vr_tags, true as versioned from (select cve_id, {_defense_sql(_D)} as score, {_vr_sql(_D)} as vr_score, {_tags_sql(_D)} as vr_tags from msrc_cve where component is null or not regexp_matches(lower(component), 'kernel|studio'))",
+)
+
 # responses of a model
 _IOC_LISTS = lambda: [F.collect_list(F.when(F.col("type") == kind, F.col("value"))).alias(key) for key, kind in intel.IOC_KINDS.items()]
 

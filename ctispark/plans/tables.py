@@ -232,17 +232,30 @@ def _in(names: tuple[str, ...]) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
 
-_b = dims.BONUSES
-_v = dims.VR_BONUSES
-_DEFENSE = f"""cast({_case_first(dims.COMPONENTS, _LOW, True, "0")} + {_lookup("cwe_id", dims.CWE, False)} + {_lookup("impact", dims.IMPACT)} + {_lookup("av", dims.VECTOR)} + {_lookup("pr", dims.PRIVILEGES)} + {_lookup("ui", dims.INTERACTION)}
- + case when customer_action <> '' then {_b["customer_action_required"]} else 0 end + case when exploited_wild = 1 then {_b["exploit_active"]} else 0 end + case when cve_id in (select cve_id from kev_entry) then {_b["kev_listed"]} else 0 end as double)"""
-_VR = f"""cast({_VR_SCORE} + {_lookup("cwe_id", dims.VR_CWE, False)} + {_lookup("impact", dims.VR_IMPACT)} + {_letter("av", dims.VR_VECTOR)} + {_letter("pr", dims.VR_PRIVILEGES)} + {_letter("ui", dims.VR_INTERACTION)}
- + case when customer_action <> '' then {_v["customer_action_required"]} else 0 end + case when exploited_wild = 1 then {_v["exploit_active"]} when publicly_disclosed = 1 then {_v["publicly_disclosed"]} else {_v["exploit_unproven"]} end
- + case severity when 'Critical' then {_v["critical_severity"]} when 'Important' then {_v["important_severity"]} else 0 end + case when lower(scope) = 'changed' then {_v["scope_changed"]} else 0 end as double)"""
+def _defense_sql(d: dims.Scoring) -> str:
+    b = d.bonuses
+    return f"""cast({_case_first(d.components, _LOW, True, "0")} + {_lookup("cwe_id", d.cwe, False)} + {_lookup("impact", d.impact)} + {_lookup("av", d.vector)} + {_lookup("pr", d.privileges)} + {_lookup("ui", d.interaction)}
+ + case when customer_action <> '' then {b["customer_action_required"]} else 0 end + case when exploited_wild = 1 then {b["exploit_active"]} else 0 end + case when cve_id in (select cve_id from kev_entry) then {b["kev_listed"]} else 0 end as double)"""
+
+
+def _vr_sql(d: dims.Scoring) -> str:
+    v = d.vr_bonuses
+    best, rest = (dict(sorted(t.items(), key=lambda x: -x[1])) for t in (d.vr_components, d.vr_catchall))
+    return f"""cast({_case_first(best, _BOTH, True, _case_first(rest, _BOTH, True, str(d.vr_default)))} + {_lookup("cwe_id", d.vr_cwe, False)} + {_lookup("impact", d.vr_impact)} + {_letter("av", d.vr_vector)} + {_letter("pr", d.vr_privileges)} + {_letter("ui", d.vr_interaction)}
+ + case when customer_action <> '' then {v["customer_action_required"]} else 0 end + case when exploited_wild = 1 then {v["exploit_active"]} when publicly_disclosed = 1 then {v["publicly_disclosed"]} else {v["exploit_unproven"]} end
+ + case severity when 'Critical' then {v["critical_severity"]} when 'Important' then {v["important_severity"]} else 0 end + case when lower(scope) = 'changed' then {v["scope_changed"]} else 0 end as double)"""
+
+
 _HOLDS = lambda names: "(" + " or ".join(f"contains({_BOTH}, '{n.lower()}')" for n in names) + ")"
-_TAGS = f"""array_to_string(list_sort(list_filter([case when impact in ('Remote Code Execution', 'Elevation of Privilege') then 'high_impact' end, case when cwe_id in ({_in(dims.HEAP_CORRUPT)}) then 'heap_corrupt' end, case when impact = 'Information Disclosure' then 'info_leak' end,
- case when {_HOLDS(dims.KERNEL)} then 'kernel' end, case when cwe_id in ({_in(dims.MEM_CORRUPT)}) then 'mem_corrupt' end, case when exploited_wild = 0 and publicly_disclosed = 0 and cve_id not in (select cve_id from kev_entry) then 'novel' end,
- case when cve_id in (select cve_id from msrc_kb) then 'patchable' end, case when upper(av) = 'N' and upper(pr) = 'N' then 'remote_preauth' end, case when lower(scope) = 'changed' then 'scope_change' end, case when {_HOLDS(dims.PARSERS)} then 'user_mode_parser' end], lambda x: x is not null)), ',')"""
+
+
+def _tags_sql(d: dims.Scoring) -> str:
+    return f"""array_to_string(list_sort(list_filter([case when impact in ('Remote Code Execution', 'Elevation of Privilege') then 'high_impact' end, case when cwe_id in ({_in(d.heap_corrupt)}) then 'heap_corrupt' end, case when impact = 'Information Disclosure' then 'info_leak' end,
+ case when {_HOLDS(d.kernel)} then 'kernel' end, case when cwe_id in ({_in(d.mem_corrupt)}) then 'mem_corrupt' end, case when exploited_wild = 0 and publicly_disclosed = 0 and cve_id not in (select cve_id from kev_entry) then 'novel' end,
+ case when cve_id in (select cve_id from msrc_kb) then 'patchable' end, case when upper(av) = 'N' and upper(pr) = 'N' then 'remote_preauth' end, case when lower(scope) = 'changed' then 'scope_change' end, case when {_HOLDS(d.parsers)} then 'user_mode_parser' end], lambda x: x is not null)), ',')"""
+
+
+_DEFENSE, _VR, _TAGS = _defense_sql(dims.DEFAULT), _vr_sql(dims.DEFAULT), _tags_sql(dims.DEFAULT)
 _add("J05_defense_score", "msrc_cve kev_entry", lambda c, k: scoring.defense_score(joins.cve_with_kev(c, k)).select("cve_id", "score", "priority"), f"select cve_id, score, {_tier('score', dims.THRESHOLDS)} as priority from (select cve_id, {_DEFENSE} as score from msrc_cve)")
 _KBS = "(select string_agg(distinct kb_number, ',' order by kb_number) from msrc_kb k where k.cve_id = c.cve_id)"
 _add(
