@@ -184,15 +184,34 @@ def save_parse(tables: dict[str, DataFrame], parsed: dict[str, DataFrame], at: s
     return out
 
 
-def save_intel(tables: dict[str, DataFrame], intel: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Rows of an earlier intel run make way; parsed rows of a key stay, so its techniques never lose confidence; bridges only grow."""
+def save_intel(tables: dict[str, DataFrame], intel: dict[str, DataFrame], at: str = "") -> dict[str, DataFrame]:
+    """Rows of an earlier intel run make way; parsed rows of a key stay, so its techniques never lose confidence; bridges only grow.
+
+    intel has the advisories (advisory_id) and what was found. With calls
+    (llm_call_log's columns), these replace the logged ones of their phase, and
+    the advisories are completed with the totals of E12. Where tables has
+    extraction_history, the phase's open rows are closed and new ones opened.
+    """
+    from ctispark.operators.aggs import telemetry_rollup
+
     ids = intel["advisories"].select("advisory_id")
     out = dict(tables)
     out["ioc"] = insert_ignore(delete_where(tables["ioc"], ids, ["advisory_id"], F.col("extraction_source") == "intel"), intel["ioc"], ["advisory_id", "type", "value"])
     out["advisory_technique"] = insert_ignore(tables["advisory_technique"], intel["advisory_technique"], ["advisory_id", "technique_id"])
+    if "behavior" in intel:
+        out["behavior"] = delete_where(tables["behavior"], ids, ["advisory_id"]).unionByName(intel["behavior"].select(*tables["behavior"].columns))
     for name in ("advisory_actor", "advisory_malware", "advisory_sector", "advisory_cve"):
         if name in intel:
             out[name] = insert_ignore(tables[name], intel[name], ["advisory_id", "cve_id" if name == "advisory_cve" else "name"])
+    if "calls" in intel:
+        out["llm_call_log"] = insert_replace(tables["llm_call_log"], intel["calls"], ["advisory_id", "phase"])
+        totals = telemetry_rollup(out["llm_call_log"].join(ids.distinct(), "advisory_id", "left_semi"))
+        names = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cost_usd": "llm_cost_usd", "latency_ms": "llm_latency_ms", "model": "extraction_model"}
+        done = totals.select("advisory_id", F.lit("completed").alias("extraction_status"), *[F.col(a).alias(b) for a, b in names.items()])
+        out["advisory"] = update_cols(tables["advisory"], done, ["advisory_id"])
+    if "extraction_history" in tables:
+        opened = ids.distinct().select("advisory_id", F.lit("intel").alias("phase"), F.lit(at).alias("created_at"))
+        out["extraction_history"] = close_and_append(tables["extraction_history"], opened, ["advisory_id", "phase"], at)
     return out
 
 

@@ -12,6 +12,7 @@ from ctispark.plans.tables import _add, _defense_sql, _joined, _tags_sql, _tier,
 from ctispark.sources import feeds
 from ctispark.sources.shared import folder
 from ctispark.streaming import jobs
+from ctispark.streaming.store import Store
 
 
 def landed(df: DataFrame, text: Column, one_a_file: bool = False) -> tuple[SparkSession, str]:
@@ -131,6 +132,81 @@ _add(
     f"select cve_id, score, {_tier('score', _D.thresholds)} as priority, vr_score, {_tier('vr_score', _D.vr_thresholds)} as vr_priority, vr_tags, true as versioned from (select cve_id, {_defense_sql(_D)} as score, {_vr_sql(_D)} as vr_score, {_tags_sql(_D)} as vr_tags from msrc_cve where component is null or not regexp_matches(lower(component), 'kernel|studio'))",
 )
 
+# batches of parsed and of modelled advisories, each one commit over all tables
+_HISTORY = "advisory_id string, phase string, created_at string, superseded_at string"
+
+
+def _stored(a: DataFrame, i: DataFrame, r: DataFrame, t: DataFrame, c: DataFrame, s: DataFrame, l: DataFrame, m: DataFrame) -> tuple[Store, DataFrame]:
+    """A store of tables, and the advisories of a batch."""
+    spark = a.sparkSession
+    null = lambda kind: F.lit(None).cast(kind)
+    store = Store(spark, folder(spark), ("advisory_id",), buckets=4)
+    jobs.keep_tables(store, {
+        "advisory": a.select("advisory_id", "id", "extraction_status", null("long").alias("input_tokens"), null("long").alias("output_tokens"), null("double").alias("llm_cost_usd"), null("long").alias("llm_latency_ms"), null("string").alias("extraction_model")),
+        "ioc": i.select("advisory_id", "type", "value", F.when(F.col("type") == "md5", "intel").otherwise("parse").alias("extraction_source")), "detection_rule": r, "advisory_technique": t, "advisory_cve": c,
+        "advisory_asset": s.select("advisory_id", "original_url", F.lit("done").alias("download_status")), "extraction_log": l.select("advisory_id", "severity"), "llm_call_log": m, "extraction_history": spark.createDataFrame([], _HISTORY),
+    })
+    return store, a.filter("id % 5 = 0").select("advisory_id", "id")
+
+
+def _saved_parse(*tables: DataFrame) -> DataFrame:
+    store, batch = _stored(*tables)
+    of = lambda **columns: batch.select("advisory_id", *[F.lit(v).alias(k) for k, v in columns.items()])
+    parsed = {
+        "advisories": batch, "ioc": of(type="domain", value="new.example", extraction_source="parse"), "detection_rule": of(rule_name="r", rule_format="yara"), "advisory_technique": of(technique_id="T9999", framework="attack", confidence="advisory_stated"),
+        "advisory_cve": of(cve_id="CVE-2024-9999"), "advisory_asset": of(original_url="http://new/a.pdf").unionByName(tables[5].join(batch, "advisory_id", "left_semi").select("advisory_id", "original_url")),
+        "extraction_log": batch.select("advisory_id", F.when(F.col("id") % 10 == 0, "error").otherwise("warning").alias("severity")),
+    }
+    assert jobs.commit_parse(store, 1, parsed, "2024-06-01") and not jobs.commit_parse(store, 1, parsed, "2024-06-01")
+    jobs.commit_parse(store, 2, parsed, "2024-06-02")  # the same again, as a batch of its own
+    n = lambda name, table, cond="true": store.read(table).filter(cond).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    counts = [n(x, x) for x in ("ioc", "detection_rule", "advisory_technique", "advisory_cve", "extraction_log")]
+    counts += [n("downloaded", "advisory_asset", "download_status = 'done'"), n("to download", "advisory_asset", "download_status is null"), n("failed", "advisory", "extraction_status = 'parse_failed'"), n("partial", "advisory", "extraction_status = 'parse_partial'")]
+    counts += [n("open", "extraction_history", "superseded_at is null"), n("closed", "extraction_history", "superseded_at = '2024-06-02'")]
+    out = counts[0]
+    for part in counts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_SAVED = "advisory ioc detection_rule advisory_technique advisory_cve asset extraction_log llm_call_log"
+_add(
+    "B17_save_parse", _SAVED, _saved_parse,
+    """with p as (select advisory_id, id from advisory where id % 5 = 0), k as (select count(*) as k from p), o as (select advisory_id from p)
+    select 'ioc' as name, count(*) + (select k from k) as n from ioc where type = 'md5' or advisory_id not in (select * from o) union all select 'detection_rule', count(*) + (select k from k) from detection_rule where advisory_id not in (select * from o)
+    union all select 'advisory_technique', count(*) + (select k from k) from advisory_technique union all select 'advisory_cve', count(*) + (select k from k) from advisory_cve where advisory_id not in (select * from o)
+    union all select 'extraction_log', count(*) + (select k from k) from extraction_log where advisory_id not in (select * from o) union all select 'downloaded', count(*) from asset union all select 'to download', k from k
+    union all select 'failed', count(*) filter (id % 10 = 0 or (id % 5 <> 0 and extraction_status = 'parse_failed')) from advisory union all select 'partial', count(*) filter (id % 10 = 5 or (id % 5 <> 0 and extraction_status = 'parse_partial')) from advisory
+    union all select 'open', k from k union all select 'closed', k from k""",
+)
+
+
+def _saved_intel(*tables: DataFrame) -> DataFrame:
+    store, batch = _stored(*tables)
+    calls = tables[7]
+    own = tables[1].join(batch, "advisory_id", "left_semi")
+    new = batch.select("advisory_id", F.lit("domain").alias("type"), F.lit("intel.example").alias("value"), F.lit("intel").alias("extraction_source"))
+    call = {"phase": "intel", "input_tokens": 10, "output_tokens": 5, "latency_ms": 7, "model": "m-new", "cost_usd": 0.5, "called_at": "2999-01-01"}
+    intel = {
+        "advisories": batch, "ioc": own.select("advisory_id", "type", "value", F.lit("intel").alias("extraction_source")).unionByName(new), "advisory_technique": tables[3].join(batch, "advisory_id", "left_semi").withColumn("confidence", F.lit("llm_inferred")),
+        "advisory_cve": batch.select("advisory_id", F.lit("CVE-2024-9999").alias("cve_id")), "calls": batch.select("advisory_id", *[F.lit(v).cast(calls.schema[c].dataType).alias(c) for c, v in call.items()]),
+    }
+    for n in (1, 2):
+        jobs.commit_intel(store, n, intel, f"2024-06-0{n}")
+    sources = store.read("ioc").groupBy("advisory_id").agg(F.count_if(F.col("extraction_source") == "parse").alias("n_parse"), F.count_if(F.col("extraction_source") == "intel").alias("n_intel"))
+    stated = store.read("advisory_technique").filter("confidence = 'advisory_stated'").groupBy("advisory_id").agg(F.count(F.lit(1)).alias("n_stated"))
+    both = store.read("advisory").filter("id % 5 = 0").join(sources, "advisory_id", "left").join(stated, "advisory_id", "left").fillna(0, ["n_parse", "n_intel", "n_stated"])
+    return both.select("advisory_id", "extraction_status", "input_tokens", "output_tokens", "llm_cost_usd", "llm_latency_ms", "extraction_model", "n_parse", "n_intel", "n_stated")
+
+
+_add(
+    "B18_save_intel", _SAVED, _saved_intel,
+    """with c as (select advisory_id, sum(input_tokens)::bigint as i, sum(output_tokens)::bigint as o, sum(cost_usd::decimal(18, 6))::double as usd, max(latency_ms) as ms from llm_call_log where phase = 'rulegen' group by 1),
+    s as (select advisory_id, count(*) filter (type <> 'md5') as p, count(*) filter (type = 'md5') as q from ioc group by 1), t as (select advisory_id, count(*) as n from advisory_technique where confidence = 'advisory_stated' group by 1)
+    select a.advisory_id, 'completed' as extraction_status, 10 + coalesce(i, 0) as input_tokens, 5 + coalesce(o, 0) as output_tokens, 0.5 + coalesce(usd, 0) as llm_cost_usd, greatest(7, coalesce(ms, 7)) as llm_latency_ms, 'm-new' as extraction_model, coalesce(p, 0) as n_parse, coalesce(q, 0) + 1 as n_intel, coalesce(n, 0) as n_stated
+    from (select advisory_id, id from advisory) a left join c using (advisory_id) left join s using (advisory_id) left join t using (advisory_id) where id % 5 = 0""",
+)
+
 # responses of a model
 _IOC_LISTS = lambda: [F.collect_list(F.when(F.col("type") == kind, F.col("value"))).alias(key) for key, kind in intel.IOC_KINDS.items()]
 

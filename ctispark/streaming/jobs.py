@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ctispark.operators.joins import diff_feed
-from ctispark.operators.merge import delete_where, insert_ignore, upsert_partial
+from ctispark.operators.merge import delete_where, insert_ignore, save_intel, save_parse, upsert_partial
 from ctispark.streaming.store import Store, Tables
 
 #: The table of jobs that keep only one.
@@ -125,6 +125,25 @@ def stream_parse(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     return start(stream, merged_sink(root, ("doc_id",), merge, buckets=16), checkpoint)
 
 
+def keep_tables(store: Store, tables: Tables) -> None:
+    """Begins a store with tables of its key."""
+    keys = None
+    for df in tables.values():
+        own = df.select(*store.key).distinct()
+        keys = own if keys is None else keys.unionByName(own)
+    store.commit(0, keys, lambda old: tables)
+
+
+def commit_parse(store: Store, batch: int, parsed: Tables, at: str) -> bool:
+    """B17 as one commit over all tables: a failure halfway leaves the set as it was, a batch that was committed changes nothing."""
+    return store.commit(batch, parsed["advisories"], lambda old: save_parse(old, parsed, at))
+
+
+def commit_intel(store: Store, batch: int, intel: Tables, at: str) -> bool:
+    """B18 as one commit, likewise."""
+    return store.commit(batch, intel["advisories"], lambda old: save_intel(old, intel, at))
+
+
 def poll_windows(rows: DataFrame, ts: str, width: str, slide: str | None = None, gap: str | None = None, key: tuple[str, ...] = ()) -> DataFrame:
     """K5: counts by tumbling, sliding or (gap) session windows, of a stream with a watermark or of a table."""
     at = F.col(ts).cast("timestamp")
