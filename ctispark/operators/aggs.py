@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ctispark.operators.ordering import LISTED, first_listed
+
 # Tactics in kill-chain order.
 KILL_CHAIN = (
     "reconnaissance", "resource-development", "initial-access", "execution", "persistence", "privilege-escalation", "defense-evasion", "credential-access", "discovery", "lateral-movement", "collection", "command-and-control",
@@ -60,20 +62,19 @@ def cross_referenced(ioc: DataFrame, least: int = 2) -> DataFrame:
     return ioc.groupBy("type", "value").agg(F.count_distinct("advisory_id").alias("n")).filter(F.col("n") >= least)
 
 
-def ioc_rollup(ioc: DataFrame, adv: DataFrame) -> DataFrame:
-    """A row an indicator: the status last by name, whether any source verified it, first and last day, how many advisories, their ids in order, joined.
+def ioc_rollup(ioc: DataFrame, adv: DataFrame, most: int | None = LISTED) -> DataFrame:
+    """A row an indicator: the status last by name, whether any source verified it, first and last day, how many advisories, and the ids of the first of them (most, by id), in order, joined.
 
-    Sightings that repeat in an advisory are merged first, so a popular
-    indicator's final group holds an entry an advisory.
+    Sightings that repeat in an advisory are merged first. A popular indicator's
+    measures are added up before the shuffle; its row lists no more than most.
     """
-    days = adv.select("advisory_id", "id", "pub_date")
-    per = ioc.groupBy("type", "value", "advisory_id").agg(F.max("validation_status").alias("validation_status"), F.max("source_verified").alias("source_verified"))
-    seen = per.join(days, "advisory_id")
-    listed = lambda c: F.array_join(F.sort_array(F.collect_list(c)).cast("array<string>"), ",")
-    return seen.groupBy("type", "value").agg(
-        F.max("validation_status").alias("validation_status"), F.max("source_verified").alias("source_verified"), F.min("pub_date").alias("first_seen"), F.max("pub_date").alias("last_seen"),
-        F.count(F.lit(1)).alias("advisory_count"), listed("advisory_id").alias("advisory_ids"), listed("id").alias("ids"),
-    )
+    key = ["type", "value"]
+    per = ioc.groupBy(*key, "advisory_id").agg(F.max("validation_status").alias("validation_status"), F.max("source_verified").alias("source_verified"))
+    seen = per.join(adv.select("advisory_id", "id", "pub_date"), "advisory_id")
+    measures = seen.groupBy(*key).agg(F.max("validation_status").alias("validation_status"), F.max("source_verified").alias("source_verified"), F.min("pub_date").alias("first_seen"), F.max("pub_date").alias("last_seen"), F.count(F.lit(1)).alias("advisory_count"))
+    listed = lambda c: F.array_join(F.sort_array(F.collect_list(c)).cast("array<string>"), ",").alias(f"{c}s")
+    lists = first_listed(seen.select(*key, "id", "advisory_id"), key, ["id", "advisory_id"], most).groupBy(*key).agg(listed("advisory_id"), listed("id"))
+    return measures.join(lists, key)
 
 
 def ioc_stats(ioc: DataFrame) -> DataFrame:
@@ -105,7 +106,9 @@ def cve_stats(cve: DataFrame, kev: DataFrame, polls: DataFrame) -> DataFrame:
 def llm_stats(calls: DataFrame) -> DataFrame:
     """By phase, and over all (phase all): calls, tokens, cost, cost an advisory. Costs add up as decimals of six places."""
     cost = F.sum(F.col("cost_usd").cast("decimal(18,6)"))
-    per = F.when(F.count_distinct("advisory_id") > 0, cost.cast("double") / F.count_distinct("advisory_id")).otherwise(0.0)
+    # rounded to six places in whole millionths, half of one upward
+    millionths, n = (cost * 1_000_000).cast("decimal(38,0)"), F.count_distinct("advisory_id")
+    per = F.when(n > 0, F.floor((2 * millionths + n) / (2 * n)).cast("double") / 1_000_000).otherwise(0.0)
     aggs = [F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), cost.cast("double").alias("cost_usd"), F.count_distinct("advisory_id").alias("advisories"), per.alias("cost_per_advisory")]
     return calls.groupBy("phase").agg(*aggs).unionByName(calls.agg(*aggs).withColumn("phase", F.lit("all")))
 
@@ -192,9 +195,11 @@ def score_totals(breakdown: DataFrame) -> DataFrame:
     return breakdown.select("cve_id", total("bonuses").alias("bonus_total"), total("penalties").alias("penalty_total"))
 
 
-def posture_by_category(items: DataFrame) -> DataFrame:
-    """E22."""
-    return items.groupBy("category").agg(F.sort_array(F.collect_list("recommendation")).alias("recommendations"))
+def posture_by_category(items: DataFrame, most: int | None = LISTED) -> DataFrame:
+    """A row a category: the first of its recommendations (most), in order, and n, how many there are."""
+    counts = items.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    listed = first_listed(items.select("category", "recommendation"), ["category"], ["recommendation"], most).groupBy("category").agg(F.sort_array(F.collect_list("recommendation")).alias("recommendations"))
+    return listed.join(counts, "category")
 
 
 def parse_history_summary(adv: DataFrame, children: dict[str, DataFrame]) -> DataFrame:
@@ -214,10 +219,11 @@ def feed_guard(entries: DataFrame, adv: DataFrame, least: int = 100) -> DataFram
 
 
 def rules_by_format(rules: DataFrame) -> DataFrame:
-    """The names of rules by format, formats in their order."""
+    """A row a rule: rank and rule_format, formats in their order, n, how many rules the format has, and rule_name."""
     at = F.array_position(F.array(*map(F.lit, FORMATS)), F.col("rule_format"))
-    out = rules.groupBy("rule_format").agg(F.sort_array(F.collect_list("rule_name")).alias("rules"))
-    return out.withColumn("rank", F.when(at > 0, at).otherwise(len(FORMATS) + 1)).orderBy("rank", "rule_format")
+    counts = rules.groupBy("rule_format").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.select(F.col("rule_format").alias("__f"), "n", F.when(at > 0, at).otherwise(len(FORMATS) + 1).alias("rank"))
+    return rules.join(ranked, F.col("rule_format").eqNullSafe(F.col("__f"))).select("rank", "rule_format", "n", "rule_name").orderBy("rank", "rule_format", "rule_name")
 
 
 def latest_poll(polls: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ctispark.functions import ioc, text
 from ctispark.operators.aggs import KILL_CHAIN
 from ctispark.operators.joins import dedup_against, resolve_alias
-from ctispark.operators.ordering import first_per_key
+from ctispark.operators.ordering import first_listed, first_per_key
 from ctispark.operators.plaintext import validated
 
 # The parts of a response.
@@ -152,12 +152,15 @@ def analysis_facets(items: DataFrame, priority: str | None = None, maturity: str
     return items.filter("gap_quote <> ''") if gaps_only else items
 
 
-def prompt_context(adv: DataFrame, iocs: DataFrame, techniques: DataFrame, actors: DataFrame) -> DataFrame:
-    """What is known of each advisory as text, none where there is nothing."""
-    listed = lambda df, c, name: df.groupBy("advisory_id").agg(F.array_join(F.sort_array(F.collect_set(c)), ", ").alias(name))
+def prompt_context(adv: DataFrame, iocs: DataFrame, techniques: DataFrame, actors: DataFrame, most: int | None = 200) -> DataFrame:
+    """What is known of each advisory as text, none where there is nothing: of each kind the first (most) in order, as a prompt has room for, and how many there are where it lists fewer."""
     out = adv.select("advisory_id")
     for df, c, name in ((iocs, F.concat_ws(": ", "type", "value"), "iocs"), (techniques, F.col("technique_id"), "techniques"), (actors, F.col("name"), "actors")):
-        out = out.join(listed(df, c, name), "advisory_id", "left")
+        said = df.select("advisory_id", c.alias("c")).filter("c is not null").distinct()
+        listed = first_listed(said, ["advisory_id"], ["c"], most).groupBy("advisory_id").agg(F.array_join(F.sort_array(F.collect_list("c")), ", ").alias(name), F.count(F.lit(1)).alias("__k"))
+        counted = said.groupBy("advisory_id").agg(F.count(F.lit(1)).alias("__n"))
+        both = listed.join(counted, "advisory_id").select("advisory_id", F.when(F.col("__n") > F.col("__k"), F.concat(name, F.lit(" and "), (F.col("__n") - F.col("__k")).cast("string"), F.lit(" more"))).otherwise(F.col(name)).alias(name))
+        out = out.join(both, "advisory_id", "left")
     return out.fillna("none", ["iocs", "techniques", "actors"])
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ctispark.operators.ordering import LISTED, first_listed
+
 
 def cve_with_kev(cve: DataFrame, kev: DataFrame) -> DataFrame:
     """kev_listed, 0 or 1."""
@@ -72,10 +74,13 @@ def cross_reference(texts: DataFrame, cve: DataFrame, links: DataFrame, columns:
     return named.join(cve.select("cve_id"), "cve_id", "left_semi").join(links.select("advisory_id", "cve_id"), ["advisory_id", "cve_id"], "left_anti")
 
 
-def attach_advisories(cve: DataFrame, links: DataFrame, adv: DataFrame) -> DataFrame:
-    """Advisories, an array of (id, advisory_id) by id."""
-    listed = links.join(adv.select("id", "advisory_id"), "advisory_id").groupBy("cve_id").agg(F.sort_array(F.collect_list(F.struct("id", "advisory_id"))).alias("advisories"))
-    return cve.join(listed, "cve_id", "left").withColumn("advisories", F.coalesce("advisories", F.array().cast("array<struct<id:bigint,advisory_id:string>>")))
+def attach_advisories(cve: DataFrame, links: DataFrame, adv: DataFrame, most: int | None = LISTED) -> DataFrame:
+    """Advisories, an array of (id, advisory_id) by id, the first of them (most), and advisory_count, how many there are."""
+    linked = links.join(adv.select("id", "advisory_id"), "advisory_id").select("cve_id", "id", "advisory_id")
+    counted = linked.groupBy("cve_id").agg(F.count(F.lit(1)).alias("advisory_count"))
+    listed = first_listed(linked, ["cve_id"], ["id", "advisory_id"], most).groupBy("cve_id").agg(F.sort_array(F.collect_list(F.struct("id", "advisory_id"))).alias("advisories"))
+    out = cve.join(listed.join(counted, "cve_id"), "cve_id", "left")
+    return out.withColumns({"advisories": F.coalesce("advisories", F.array().cast("array<struct<id:bigint,advisory_id:string>>")), "advisory_count": F.coalesce("advisory_count", F.lit(0).cast("long"))})
 
 
 def related_cves(cve: DataFrame, k: int = 10) -> DataFrame:

@@ -18,6 +18,17 @@ def limit_per_group(df: DataFrame, group: str, n: int, *order: str | Column) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+#: So many members of a group are listed within its row, unless asked otherwise; its count is exact in any case.
+LISTED = 1000
+
+
+def first_listed(df: DataFrame, key: list[str], order: list[str], most: int | None = LISTED) -> DataFrame:
+    """The first rows of each key, which a row can hold; None for all. A task keeps no more of a key before the shuffle."""
+    if most is None:
+        return df
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
+
+
 def latest_per_key(df: DataFrame, key: list[str], ts: str, *ties: str) -> DataFrame:
     """the newest row of each key, found by partial aggregation; of rows of one time the greatest by ties."""
     whole = F.struct(*df.columns)

@@ -180,7 +180,7 @@ def _hides(attrs: dict) -> bool:
     return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search("".join(attrs.get("style", "").lower().split())))
 
 
-def _rows(html: str) -> list[dict]:
+def document_rows(html: str) -> list[dict]:
     """The nodes of a document, or the row that says why there are none."""
     try:
         parser = _Nodes()
@@ -208,7 +208,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[dict] = []
     for batch in batches:
         for doc, source, html in zip(*(batch.column(i) for i in range(3)), strict=True):
-            rows = _rows(html.as_py()) if html.as_py() else []
+            rows = document_rows(html.as_py()) if html.as_py() else []
             for row in rows:
                 row["doc_id"], row["source"] = doc.as_py(), source.as_py()
             out += rows

@@ -1,11 +1,12 @@
 """Queries over column functions and plain-text extraction."""
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctispark import dims
 from ctispark.functions import ioc, text
 from ctispark.operators import plaintext
-from ctispark.plans.tables import _add, _joined
+from ctispark.plans.tables import ORACLE, QUERIES, _add, _joined
 from ctispark.sources.domain import SQL
 
 
@@ -91,3 +92,50 @@ _add(
     "M13_cves", "advisory_cve", lambda l: plaintext.cves_in_text(l.groupBy("advisory_id").agg(F.concat_ws("; ", F.collect_list("cve_id")).alias("text")), None, "advisory_id"),
     "select advisory_id, cve_id, null as link_url, 'none' as link_source from advisory_cve",
 )
+
+
+# the SQL functions, beside the Column functions that the queries above check: over all indicators, and over whole texts
+_WHOLE = "cve_ids technique_ids d3fend_ids rule_format rule_name clean_rule_text alert_severity published_date is_noise actor_names alias_org strip_html quote_verified unfence_json summary_of block_page challenge_page extracted_commands source_verified content_kind csv_safe".split()
+
+
+def _sql_functions(a: DataFrame, i: DataFrame) -> DataFrame:
+    from ctispark.functions import sql
+
+    spark = a.sparkSession
+    sql.register(spark)
+    short = i.select(F.concat(F.lit("("), F.replace("value", F.lit("."), F.lit("[.]")), F.lit(")")).alias("v"), F.col("type").alias("kind")).unionByName(i.select(F.col("value").alias("v"), F.col("type").alias("kind")))
+    whole = a.select(F.col("article_body").alias("v"), F.col("source").alias("kind"))
+    given = {"kind": "kind", "hint": "kind", "heading": "kind", "th": "kind", "fallback": "kind", "state": "kind", "quote": "kind", "base": "'https://x.example'", "known": "length(v) % 2 = 0", "allowed": "length(v) % 2 = 0", "status": "403", "content": "cast(v as binary)"}
+    out = None
+    for rows, names in ((short, [n for n in sql.FUNCTIONS if n not in _WHOLE]), (whole, _WHOLE)):
+        counts = []
+        for name in names:
+            parameters, function = sql.FUNCTIONS[name]
+            args = [given.get(p.split()[0], "v") for p in parameters.split(", ")]
+            agrees = F.expr(f"{name}({', '.join(args)})").eqNullSafe(function(*map(F.expr, args)))
+            counts.append(F.struct(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.count_if(agrees).alias("agree")))
+        part = rows.agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _names_sql() -> str:
+    from ctispark.functions import sql
+
+    values = ", ".join(f"('{n}', {'true' if n in _WHOLE else 'false'})" for n in sql.FUNCTIONS)
+    return f"select name, case when whole then (select count(*) from advisory) else 2 * (select count(*) from ioc) end as n, case when whole then (select count(*) from advisory) else 2 * (select count(*) from ioc) end as agree from (values {values}) f(name, whole)"
+
+
+_add("O_sql_functions", "advisory ioc", _sql_functions, _names_sql())
+
+
+def _node_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ctispark.functions import sql
+    from ctispark.sources.tables import table
+
+    sql.register(spark)
+    return spark.sql("select page_id as doc_id, n.tag, count(*) as n from {pages}, lateral html_nodes(html) n where n.tag in ('p', 'li', 'a', 'h1', 'br') and not n.hidden group by 1, 2", pages=table(spark, sf_dir, "pages"))
+
+
+QUERIES["O_html_nodes"] = _node_function
+ORACLE["O_html_nodes"] = "select page_id as doc_id, tag, cast(len(regexp_extract_all(html, '<' || tag || '[ >]')) as bigint) as n from pages, (values ('p'), ('li'), ('a'), ('h1'), ('br')) t(tag) where len(regexp_extract_all(html, '<' || tag || '[ >]')) > 0"

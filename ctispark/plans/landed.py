@@ -106,6 +106,42 @@ _add("A10_tables_round_trip", "advisory ioc", _round_trip, "select source, sum(c
 _add("B13_backfill_from_json", "msrc_cve", lambda c: merge.backfill_from_json(c.select("cve_id", F.lit("").alias("description"), F.when(F.col("severity") == "Low", "unknown").otherwise(F.col("severity")).alias("component"), F.to_json(F.struct(_VULNERABILITY()["Notes"].alias("Notes"))).alias("raw_json"))).select("cve_id", "description", "component"),
     "select cve_id, '<p>A flaw in ' || cve_id || '</p>' as description, case when severity = 'Low' then coalesce(component, 'unknown') else severity end as component from msrc_cve")
 
+def _archived(a: DataFrame) -> DataFrame:
+    """Reports written by month, those without a proper id left out, and read again."""
+    path = folder(a.sparkSession)
+    uuid = F.concat(F.substring(F.md5("advisory_id"), 1, 8), F.lit("-0000-4000-8000-"), F.substring(F.md5("advisory_id"), 9, 12))
+    feeds.archive_json(a.select(F.when(F.col("id") % 9 == 0, F.concat(F.lit("../"), "advisory_id")).otherwise(uuid).alias("id"), F.concat("pub_date", F.lit("T00:00:00Z")).alias("created_at"), F.col("type").alias("title")), path)
+    return a.sparkSession.read.schema("id string, title string, month string, source string").json(path).select("id", "title", "month", F.col("source").alias("publisher"))
+
+
+_add(
+    "A16_archive_json", "advisory", _archived,
+    "select substr(md5(advisory_id), 1, 8) || '-0000-4000-8000-' || substr(md5(advisory_id), 9, 12) as id, type as title, substr(pub_date, 1, 7) as month, 'orkl' as publisher from advisory where id % 9 <> 0",
+)
+
+_LONG = "word " * 130
+_HTML = lambda head: F.concat(F.lit(f"<html><head><title>Site</title></head><body><nav><p>menu</p></nav><main>{head} "), "advisory_id", F.lit(f'</h1><time datetime="2024-05-06T01:02:03Z">6 May</time><p>{_LONG}</p></main></body></html>'), F.when(F.col("id") % 7 == 3, "<![odd[y]]>").otherwise(""))
+_JSON = lambda: F.to_json(F.struct(F.when(F.col("id") % 7 != 3, F.col("advisory_id")).alias("id"), F.concat(F.lit("Report "), "advisory_id").alias("title"), F.lit("2024-07-08T00:00:00Z").alias("created_at"), F.array(F.lit("https://host.example:8/r")).alias("references"), F.when(F.col("id") % 7 != 3, "Published: 2024-07-01\nThe text.").alias("plain_text")))
+
+
+def _page_cache(a: DataFrame) -> DataFrame:
+    """A cache of pages as a fetcher leaves it, a file a page, written and read again."""
+    path = folder(a.sparkSession)
+    report = F.col("source") == "orkl"
+    pages = a.select(F.when(F.col("id") % 11 == 5, "elsewhere").otherwise(F.col("source")).alias("source"), F.substring("pub_date", 1, 7).alias("month"), F.concat("advisory_id", F.when(report, ".json").otherwise(".html")).alias("file"), F.when(report, _JSON()).otherwise(_HTML("<h1>On")).alias("value"))
+    pages.repartition("source", "month").write.partitionBy("source", "month", "file").text(path)
+    found = feeds.cached_pages(feeds.read_page_cache(a.sparkSession, path))
+    return found.select("source", "month", "advisory_id", "advisory_type", "title", F.col("pub_date").alias("day"), "original_source", F.length("body").alias("chars"), F.substring_index("body", "\n", 1).alias("head"), F.col("error").isNotNull().alias("failed"))
+
+
+_add(
+    "A09_page_cache", "advisory", _page_cache,
+    """with a as (select *, id % 7 = 3 as failed from advisory where id % 11 <> 5)
+    select source, substr(pub_date, 1, 7) as month, advisory_id, case source when 'cisa' then 'unknown' when 'acsc' then 'advisory' when 'jpcert' then 'jpcert_blog' else 'cti_report' end as advisory_type, case when source = 'orkl' then 'Report ' || advisory_id when not failed then 'On ' || advisory_id end as title,
+    case when source = 'orkl' then case when failed then '2024-07-08' else '2024-07-01' end when source <> 'acsc' and not failed then '2024-05-06' end as day, case when source = 'orkl' then 'host.example:8' end as original_source,
+    case when failed then null when source = 'orkl' then 31 else length('On ' || advisory_id) + 1 + 649 end as chars, case when failed then null when source = 'orkl' then 'Published: 2024-07-01' else 'On ' || advisory_id end as head, failed from a""",
+)
+
 # scores by a configuration file: some parts of it are others than the default, some are left out
 _CONFIG = {
     "component_scores": {"DNS": 50, "Windows": 9, "Office": 21}, "impact_weights": {"Spoofing": 40}, "bonuses": {"kev_listed": 7}, "priority_thresholds": {"LOW": 5, "HIGH": 60}, "ignore_list": ["Kernel", "Studio"],

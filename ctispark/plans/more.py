@@ -1,10 +1,11 @@
 """More queries over column functions, exports and merges."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ctispark.functions import ioc, text
 from ctispark.operators import aggs, intel, joins, merge, ordering
-from ctispark.plans.tables import _add
+from ctispark.plans.tables import QUERIES, _add, _joined
 from ctispark.sources import feeds
 
 _add(
@@ -51,8 +52,7 @@ _add("I43_extracted_commands", "advisory", lambda a: a.select("id", text.extract
 _add("I45_recent_months", "advisory", lambda a: a.select("id", F.array_join(text.recent_months(F.to_date("pub_date"), 2), ",").alias("months")), "select id, strftime(cast(pub_date as date), '%Y-%b') || ',' || strftime(date_trunc('month', cast(pub_date as date)) - interval '1 month', '%Y-%b') as months from advisory")
 _add(
     "N08_prompt_context", "advisory ioc advisory_technique advisory_actor", intel.prompt_context,
-    """select advisory_id, coalesce((select string_agg(distinct type || ': ' || value, ', ' order by type || ': ' || value) from ioc i where i.advisory_id = a.advisory_id), 'none') as iocs, coalesce((select string_agg(distinct technique_id, ', ' order by technique_id) from advisory_technique i where i.advisory_id = a.advisory_id), 'none') as techniques,
-    coalesce((select string_agg(distinct name, ', ' order by name) from advisory_actor i where i.advisory_id = a.advisory_id), 'none') as actors from advisory a""",
+    """select a.advisory_id, coalesce(i.s, 'none') as iocs, coalesce(t.s, 'none') as techniques, coalesce(x.s, 'none') as actors from (select advisory_id from advisory) a left join (select advisory_id, string_agg(c, ', ' order by c) filter (nth <= 200) || case when count(*) > 200 then ' and ' || (count(*) - 200) || ' more' else '' end as s from (select advisory_id, c, row_number() over (partition by advisory_id order by c) as nth from (select distinct advisory_id, type || ': ' || value as c from ioc)) group by 1) i using (advisory_id) left join (select advisory_id, string_agg(c, ', ' order by c) filter (nth <= 200) || case when count(*) > 200 then ' and ' || (count(*) - 200) || ' more' else '' end as s from (select advisory_id, c, row_number() over (partition by advisory_id order by c) as nth from (select distinct advisory_id, technique_id as c from advisory_technique)) group by 1) t using (advisory_id) left join (select advisory_id, string_agg(c, ', ' order by c) filter (nth <= 200) || case when count(*) > 200 then ' and ' || (count(*) - 200) || ' more' else '' end as s from (select advisory_id, c, row_number() over (partition by advisory_id order by c) as nth from (select distinct advisory_id, name as c from advisory_actor)) group by 1) x using (advisory_id)""",
 )
 
 
@@ -68,3 +68,31 @@ _add(
     "select advisory_id, type, value, source_verified = 1 as source_verified from ioc where type in ('domain', 'md5')",
 )
 _add("N03_intel_techniques", "ioc", lambda i: intel.intel_techniques(intel.validate_intel(_responses(i))).select("advisory_id", "technique_id", "confidence"), "select distinct advisory_id, 'T1059' as technique_id, 'llm_inferred' as confidence from ioc")
+
+# rules told by their first line in blocks of the same advisory; the first of several blocks has it
+_RULE_TEXT = lambda r: r.select("advisory_id", "rule_name", F.concat(F.lit("\n  Rule "), "rule_name", F.lit(" {\n  x }")).alias("rule_text"))
+_BLOCKS = lambda r: r.select("advisory_id", "rule_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select("advisory_id", (F.substring("rule_name", 6, 9).cast("long") * 10 + F.col("k") + F.when(F.col("rule_name").endswith("7"), 5).otherwise(0)).alias("pos"), F.concat(F.lit("see rule\t"), F.upper("rule_name"), F.lit("\n{ y }")).alias("text"))
+_add(
+    "D22_match_rules_to_blocks", "detection_rule", lambda r: joins.match_rules_to_blocks(_BLOCKS(r.select("advisory_id", "rule_name").distinct()), _RULE_TEXT(r.select("advisory_id", "rule_name").distinct())),
+    "select distinct advisory_id, rule_name, substr(rule_name, 6)::bigint * 10 + case when rule_name like '%7' then 5 else 0 end as pos from detection_rule",
+)
+_add(
+    "E22_posture_by_category", "behavior", lambda b: aggs.posture_by_category(b.select(F.concat(F.lit("c"), F.col("id") % 1000).alias("category"), F.concat(F.lit("r"), F.col("id")).alias("recommendation"))).select("category", _joined("recommendations"), "n"),
+    f"""with r as (select 'c' || (id % 1000) as category, 'r' || id as v, row_number() over (partition by id % 1000 order by 'r' || id) as nth from behavior)
+    select category, string_agg(v, ',' order by v) filter (nth <= {ordering.LISTED}) as recommendations, count(*) as n from r group by 1""",
+)
+_add(
+    "F10_reflow", "advisory", lambda a: ordering.reflow(a.select(F.col("id").alias("doc_id"), F.concat(F.lit("The report that was written about this matter says\n"), F.lit("it was "), "triage_status", F.lit(" by all those who had a look at it.\nPage 3 of 9\nhttps://host.example/x\n"), "source", F.lit("\nA line of over forty characters goes on to\n"), "type", F.lit("\n\nend")).alias("text"))),
+    """select id as doc_id, (row_number() over (partition by id order by k))::bigint as nth, s as text from advisory, lateral (values (0, 'The report that was written about this matter says it was ' || triage_status || ' by all those who had a look at it.'), (1, source), (2, 'A line of over forty characters goes on to ' || type), (3, 'end')) v(k, s)""",
+)
+QUERIES["F10_reflow"] = (lambda run: lambda spark, sf_dir: run(spark, sf_dir).withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("para")).cast("long")).drop("para"))(QUERIES["F10_reflow"])
+_EXERCISES = lambda b: b.select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("phase"), F.array(*[F.struct((((F.col("id") + k) * 7) % 11).alias("kind"), F.lit(k).alias("k")) for k in range(6)]).alias("references"))
+_add(
+    "G07_kill_chain_sort", "behavior", lambda b: ordering.kill_chain_sort(_EXERCISES(b)).select("id", "phase", F.array_join(F.transform("references", lambda x: x["kind"].cast("string")), ",").alias("kinds")),
+    "select id, case when id % 3 > 0 then id % 3 end as phase, array_to_string(list_sort(list_transform([0, 1, 2, 3, 4, 5], lambda k: ((id + k) * 7) % 11))[1:4], ',') as kinds from behavior",
+)
+_HEX = "case id % 6 when 0 then '255044462D' when 1 then '89504E470D0A1A0A00' when 2 then 'FFD8FF00' when 3 then '203C48544D4C3E' when 4 then '504B0304' else '7B7D' end"
+_add(
+    "I41_content_kind", "advisory", lambda a: a.withColumn("c", F.unhex(F.expr(_HEX))).select("id", text.content_kind(F.col("c")).alias("kind"), text.figure_mismatch(F.when(F.col("id") % 2 == 0, "figure").otherwise("file"), F.col("c")).alias("mismatch")),
+    "select id, ['pdf', 'png', 'jpeg', 'html', 'zip', 'json'][(id % 6 + 1)::int] as kind, case when id % 2 = 0 then id % 6 not in (1, 2) else id % 6 = 3 end as mismatch from advisory",
+)

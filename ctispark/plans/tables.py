@@ -101,8 +101,9 @@ _add(
     "select distinct l.advisory_id, l.cve_id from advisory_cve l join advisory a using (advisory_id) where l.cve_id in (select cve_id from msrc_cve where severity <> 'Low') and l.cve_id not like '%1'",
 )
 _add(
-    "D16_attach_advisories", "msrc_cve advisory_cve advisory", lambda c, l, a: joins.attach_advisories(c, l, a).select("cve_id", F.array_join(F.transform("advisories", lambda x: x["id"].cast("string")), ",").alias("advisories")),
-    "select c.cve_id, coalesce(string_agg(cast(a.id as varchar), ',' order by a.id), '') as advisories from msrc_cve c left join advisory_cve l using (cve_id) left join advisory a using (advisory_id) group by c.cve_id",
+    "D16_attach_advisories", "msrc_cve advisory_cve advisory", lambda c, l, a: joins.attach_advisories(c, l, a).select("cve_id", F.array_join(F.transform("advisories", lambda x: x["id"].cast("string")), ",").alias("advisories"), "advisory_count"),
+    f"""with r as (select cve_id, id, row_number() over (partition by cve_id order by id, advisory_id) as nth from advisory_cve join (select id, advisory_id from advisory) using (advisory_id))
+    select c.cve_id, coalesce(string_agg(cast(id as varchar), ',' order by id) filter (nth <= {ordering.LISTED}), '') as advisories, count(id) as advisory_count from msrc_cve c left join r using (cve_id) group by c.cve_id""",
 )
 _add(
     "D17_related_cves", "msrc_cve", joins.related_cves,
@@ -145,8 +146,8 @@ _add("E04_advisories_with_iocs", "ioc", aggs.advisories_with_iocs, "select count
 _add("E05_cross_referenced", "ioc", aggs.cross_referenced, "select type, value, count(distinct advisory_id) as n from ioc group by 1, 2 having n >= 2")
 _add(
     "E06_ioc_rollup", "ioc advisory", aggs.ioc_rollup,
-    """select type, value, max(validation_status) as validation_status, max(source_verified) as source_verified, min(pub_date) as first_seen, max(pub_date) as last_seen, count(distinct advisory_id) as advisory_count,
-    string_agg(distinct advisory_id, ',' order by advisory_id) as advisory_ids, array_to_string(list_sort(list(distinct id)), ',') as ids from ioc join (select advisory_id, id, pub_date from advisory) using (advisory_id) group by 1, 2""",
+    f"""with s as (select type, value, advisory_id, id, max(validation_status) as st, max(source_verified) as sv, max(pub_date) as day from ioc join (select advisory_id, id, pub_date from advisory) using (advisory_id) group by all), r as (select *, row_number() over (partition by type, value order by id, advisory_id) as nth from s)
+    select type, value, max(st) as validation_status, max(sv) as source_verified, min(day) as first_seen, max(day) as last_seen, count(*) as advisory_count, string_agg(advisory_id, ',' order by advisory_id) filter (nth <= {ordering.LISTED}) as advisory_ids, string_agg(id::varchar, ',' order by id) filter (nth <= {ordering.LISTED}) as ids from r group by 1, 2""",
 )
 _add(
     "E07_ioc_stats", "ioc", aggs.ioc_stats,
@@ -161,7 +162,7 @@ _add(
     f"""with c as (select *, case when severity <> 'Low' then 'P-' || impact end as p, case when av <> 'Local' then av else 'NOISE' end as vr_priority from msrc_cve), d as (select *, p as priority from c) {_FACETS("d", ("priority", "vr_priority", "impact", "severity"))} union all select 'total', null, count(*), null from d
     union all select 'kev', null, count(*), null from kev_entry union all select 'exploited', null, count(*), null from d where exploited_wild = 1 union all select 'last_poll', null, null, max(polled_at) from poll_history""",
 )
-_LLM = "count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(cast(cost_usd as decimal(18,6))) as double) as cost_usd, count(distinct advisory_id) as advisories, cast(sum(cast(cost_usd as decimal(18,6))) as double) / count(distinct advisory_id) as cost_per_advisory"
+_LLM = "count(*) as calls, cast(sum(input_tokens) as bigint) as input_tokens, cast(sum(output_tokens) as bigint) as output_tokens, cast(sum(cast(cost_usd as decimal(18,6))) as double) as cost_usd, count(distinct advisory_id) as advisories, cast((2 * cast(sum(cast(cost_usd as decimal(18,6))) * 1000000 as hugeint) + count(distinct advisory_id)) // (2 * count(distinct advisory_id)) as double) / 1000000 as cost_per_advisory"
 _add("E11_llm_stats", "llm_call_log", aggs.llm_stats, f"select phase, {_LLM} from llm_call_log group by phase union all select 'all', {_LLM} from llm_call_log")
 _add(
     "E12_telemetry_rollup", "llm_call_log", aggs.telemetry_rollup,
@@ -196,8 +197,8 @@ _add(
 )
 _add("E24_run_counts", "advisory", lambda a: aggs.run_counts(a.select(F.col("extraction_status").alias("status"))), "select extraction_status as status, count(*) as n from advisory group by 1")
 _add(
-    "E26_rules_by_format", "detection_rule", lambda r: aggs.rules_by_format(r.select("rule_name", "rule_format").distinct()).select("rule_format", _joined("rules"), "rank"),
-    "select rule_format, string_agg(distinct rule_name, ',' order by rule_name) as rules, case rule_format when 'yara' then 1 when 'sigma' then 2 when 'snort' then 3 else 4 end as rank from detection_rule group by 1",
+    "E26_rules_by_format", "detection_rule", lambda r: aggs.rules_by_format(r.select("rule_name", "rule_format").distinct()),
+    "with d as (select distinct rule_format, rule_name from detection_rule) select case rule_format when 'yara' then 1 when 'sigma' then 2 when 'snort' then 3 else 4 end as rank, rule_format, count(*) over (partition by rule_format) as n, rule_name from d",
 )
 _add("E27_latest_poll", "poll_history", aggs.latest_poll, "select max(polled_at) as polled_at from poll_history")
 

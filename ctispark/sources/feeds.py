@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ctispark.functions import ioc, text
+from ctispark.sources.shared import staged
 
 # Fixed values.
 UUID = r"(?i)\A[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
@@ -133,13 +134,41 @@ def cve_patches(vulnerabilities: DataFrame) -> DataFrame:
     return r.select("cve_id", F.explode("r.KB").alias("kb_number"), F.col("r.Description.Value").alias("product_name"), F.col("r.URL").alias("download_url"))
 
 
+#: Publishers whose pages are known.
+PUBLISHERS = ("cisa", "acsc", "jpcert", "orkl")
+
+
 def read_page_cache(spark: SparkSession, root: str) -> DataFrame:
-    """(source, month, advisory_id, kind, content) of files source/YYYY-MM/id.html or .json."""
+    """(source, month, advisory_id, kind, content) of files source/YYYY-MM/id.html or .json, or of a table of pages written by source, month and file."""
     files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).withColumn("f", F.input_file_name())
-    part = lambda i: F.regexp_extract("f", r"/([^/]+)/([0-9]{4}-[0-9]{2})/([^/]+)\.(html|json)\z", i)
+    part = lambda i: F.regexp_extract("f", r"/(?:source=)?([^/=]+)/(?:month=)?([0-9]{4}-[0-9]{2})/(?:file=)?([^/=]+)\.(html|json)(?:/part-[^/]*)?\z", i)
     return files.select(part(1).alias("source"), part(2).alias("month"), part(3).alias("advisory_id"), part(4).alias("kind"), F.col("value").alias("content")).filter("source <> ''")
 
 
+def cached_pages(cache: DataFrame) -> DataFrame:
+    """Cached pages (source, month, advisory_id, kind, content) as advisories: advisory_type, title, pub_date, original_source and body by the rules of their source, and error.
+
+    Pages are parsed once. A page or report that can't be read has an error and
+    no title, date or body; sources that are not known are left out.
+    """
+    from ctispark.operators import html
+
+    rows = staged(cache.filter(F.col("source").isin(*PUBLISHERS)).withColumn("doc_id", F.monotonically_increasing_id()))
+    nodes = html.parsed(rows.filter("kind = 'html'"), html="content")
+    errors = html.parse_errors(nodes).select("doc_id", F.col("message").alias("error"))
+    pages = rows.filter("kind = 'html'").join(html.page_title(nodes), "doc_id", "left").join(html.page_date(nodes), "doc_id", "left").join(html.article_body(nodes), "doc_id", "left").join(errors, "doc_id", "left")
+    said = {"title": F.col("title"), "pub_date": F.when(F.col("source") != "acsc", F.col("pub_date")), "original_source": F.lit(None).cast("string"), "body": F.col("body"), "error": F.col("error")}
+    r = F.from_json("content", REPORT)
+    reports = rows.filter("kind = 'json'").withColumn("r", r).withColumn("bad", F.col("r.id").isNull() & F.col("r.plain_text").isNull())
+    text_ = F.coalesce("r.plain_text", F.lit(""))
+    told = {
+        "title": F.coalesce(F.nullif("r.title", F.lit("")), "r.llm_title"), "pub_date": text.published_date(text_, F.nullif(F.substring("r.created_at", 1, 10), F.lit(""))), "original_source": F.try_parse_url(F.get("r.references", F.lit(0)), F.lit("AUTHORITY")),
+        "body": F.when(~F.col("bad"), text_), "error": F.when(F.col("bad"), "no report"),
+    }
+    keep = ["source", "month", "advisory_id", "kind", text.advisory_type_from_id(F.col("advisory_id"), F.col("source")).alias("advisory_type")]
+    return pages.select(*keep, *[c.alias(n) for n, c in said.items()]).unionByName(reports.select(*keep, *[c.alias(n) for n, c in told.items()]))
+
+
 def load_tables(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
     """A10."""
     return {n: spark.read.parquet(f"{root}/{n}") for n in names}
