@@ -13,16 +13,21 @@ PROSE_TRUSTED = ("md5", "sha1", "sha256", "sha512", "ip", "url", "email")
 EDGES = r"\A[(),;:.'\"]+|[(),;:.'\"]+\z"
 
 
-def typed(df: DataFrame, raw: str, hint: Column | None = None) -> DataFrame:
-    """M9, first half: rows whose raw text is an indicator, or holds one of a trusted type; adds type, value and rest (what else the text had)."""
+def _picked(df: DataFrame, raw: str, hint: Column | None = None) -> DataFrame:
+    """df with __i: type, value and rest of the raw text as an indicator, or of the one of a trusted type that it holds; null without one."""
     found = df.withColumn("__v", ioc.refang(F.col(raw))).withColumn("__t", ioc.infer_type(F.col("__v"), hint))
     whole = F.struct(F.col("__t").alias("type"), F.col("__v").alias("value"), F.lit(None).cast("string").alias("rest"))
     # texts with a mark of an indicator only; the others hold none of a trusted type
     marked = F.col("__v").rlike(r"\s") & F.col("__v").rlike(r"[0-9A-Fa-f]{32}|://|[0-9]\.[0-9]|:[0-9A-Fa-f:]|[/\\%]")
     picked = F.when(F.col("__t").isNotNull(), whole).when(marked, ioc.compound_token(F.col("__v"), hint))
-    out = found.withColumn("__i", picked).filter("__i is not null")
+    return found.withColumn("__i", picked).drop("__v", "__t")
+
+
+def typed(df: DataFrame, raw: str, hint: Column | None = None) -> DataFrame:
+    """M9, first half: rows whose raw text is an indicator, or holds one of a trusted type; adds type, value and rest (what else the text had)."""
+    out = _picked(df, raw, hint).filter("__i is not null")
     low = F.col("__i.type").isin("md5", "sha1", "sha256", "sha512")
-    return out.withColumns({"type": F.col("__i.type"), "value": F.when(low, F.lower("__i.value")).otherwise(F.col("__i.value")), "rest": F.col("__i.rest")}).drop("__v", "__t", "__i")
+    return out.withColumns({"type": F.col("__i.type"), "value": F.when(low, F.lower("__i.value")).otherwise(F.col("__i.value")), "rest": F.col("__i.rest")}).drop("__i")
 
 
 def validated(df: DataFrame, allow: DataFrame | None = None) -> DataFrame:
@@ -51,13 +56,10 @@ def iocs_plaintext(docs: DataFrame, doc: str = "doc_id", body: str = "text", own
     docs = docs.withColumn("__own", F.col(own_url) if own_url else F.lit(None).cast("string"))
     own = docs.select(doc, "__own") if own_url else None
     lines = carry_heading(text_lines(docs, doc, body), doc).filter(~F.col("is_heading")).select(doc, "pos", "line", "heading", "in_section")
-    # a line with a mark of an indicator is tried whole and by its tokens; in the same pass, as it decides about its tokens
-    whole = F.col("line")
+    # a line is tried whole; where it is none, and holds none of a trusted type, by its tokens
     tokens = F.filter(F.transform(F.split("line", r"\s+"), lambda t: F.regexp_replace(t, EDGES, "")), lambda t: F.length(t) >= 5)
-    as_line = F.struct(F.lit(0).alias("n"), whole.alias("raw"))
-    parts = F.concat(F.array(as_line), F.transform(tokens, lambda t, i: F.struct((i + 1).alias("n"), t.alias("raw"))))
-    tried = typed(lines.select(doc, "pos", "heading", "in_section", F.explode(parts).alias("part")).select(doc, "pos", "heading", "in_section", "part.n", "part.raw"), "raw")
-    tried = tried.withColumn("__least", F.min("n").over(Window.partitionBy(doc, "pos"))).filter("n = 0 or __least > 0")
+    parts = F.when(F.col("__i").isNotNull(), F.array(F.struct(F.lit(0).alias("n"), F.col("line").alias("raw")))).otherwise(F.transform(tokens, lambda t, i: F.struct((i + 1).alias("n"), t.alias("raw"))))
+    tried = typed(_picked(lines, "line").select(doc, "pos", "heading", "in_section", F.explode(parts).alias("part")).select(doc, "pos", "heading", "in_section", "part.n", "part.raw"), "raw")
     trusted = F.col("in_section") | F.col("type").isin(*PROSE_TRUSTED)
     context = F.when(F.col("rest").isNull(), F.col("heading")).otherwise(F.concat_ws("; ", "rest", "heading"))
     kept = tried.filter(trusted).select(doc, "pos", "n", "type", "value", context.alias("context"), "in_section")

@@ -45,6 +45,8 @@ select page_id as doc_id, trim(regexp_replace(replace(replace(replace(regexp_ext
 QUERIES["M23_link_audit"] = _over_nodes("link_audit", "doc_id", "href", "external")
 ORACLE["M23_link_audit"] = "select page_id as doc_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href, false as external from pages"
 QUERIES["M22_clean_document"] = _over_nodes("clean_document", "doc_id", "pos", "tag", "dangerous", "spoofed")
+# nothing is hidden or empty on these pages, so every element that begins is there
+ORACLE["M22_clean_document"] = "select page_id as doc_id, (i - 1)::int as pos, tag, false as dangerous, false as spoofed from (select page_id, unnest(ts) as tag, unnest(range(1, len(ts) + 1)) as i from (select page_id, regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1) as ts from pages))"
 
 
 def _phrases(spark, sf_dir):

@@ -153,6 +153,17 @@ _add(
     "select id as doc_id, '# ' || source || chr(10) || 'It was ' || triage_status || '.' || chr(10) || '## Next' || chr(10) || 'end' as body from advisory",
 )
 
+_LINKS = {"/advisories/x": False, "https://www.cisa.gov/y": False, "https://www.cisa.gov.evil.example/z": True, "//www.cisa.gov/w": False, "https://other.example/cisa.gov": True, "https://nvd.nist.gov/vuln/detail/CVE-2024-12345": True, "https://nvd.nist.gov.evil.example/vuln/detail/CVE-2024-12345": True}
+_add(
+    "M23_external_links", "behavior", lambda b: html.link_audit(_doc(b, "cisa", "<main>", F.concat(*[F.concat(F.lit(f'<a href="{u}?n='), F.col("id").cast("string"), F.lit('">x</a>')) for u in _LINKS]), "</main>")).select("doc_id", "href", "external", "target"),
+    f"select {_ID}, u || '?n=' || id as href, x as external, case when u = 'https://nvd.nist.gov/vuln/detail/CVE-2024-12345' then u end as target from behavior, (values " + ", ".join(f"('{u}', {str(x).lower()})" for u, x in _LINKS.items()) + ") l(u, x)",
+)
+_HIDDEN = "<p hidden>no</p><div style='DISPLAY : none'><p>no <b>nor this</b></p></div><span></span><p aria-hidden='true'>no</p>"
+_add(
+    "M22_hidden_and_dangerous", "behavior", lambda b: html.clean_document(_doc(b, "jpcert", f"<div>{_HIDDEN}", F.concat(F.lit('<a href="java\tscript:x(1)">'), "description", F.lit("</a><p data-annotation='x'>kept</p>")), "<p style='text-align: right'>A <i>Name</i>, JPCERT/CC</p></div>")).groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.count_if("dangerous").alias("dangerous"), F.count_if("spoofed").alias("spoofed")),
+    f"with d as (select {_ID}, count(*) as n from behavior group by 1) select doc_id, tag, case tag when 'div' then 1 else n end as n, case tag when 'a' then n else 0 end as dangerous, case tag when 'p' then n else 0 end as spoofed from d, (values ('div'), ('a'), ('p')) t(tag)",
+)
+
 # over the pages as they are
 _CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '<br>', ' ', 'g'), '<[^>]+>', '', 'g'), '&quot;', '\"'), '&#x27;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
 _BLOCKS = r"list_filter(list_transform(string_split_regex(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>'), lambda x: " + _CLEAN.format("x") + "), lambda x: x <> '')"
