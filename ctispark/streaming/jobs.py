@@ -109,7 +109,7 @@ def stream_parse(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     extraction_log and its row, whole, in dead_letter; all others go on, and a
     later page of the document that can be read takes both away.
     """
-    from ctispark.operators.html import parse_documents, parsed
+    from ctispark.operators.html import parse_documents, parse_errors, parsed
 
     def merge(tables: Tables, batch: DataFrame) -> Tables:
         # reading a page takes longer than its bytes tell, so a batch's pages are dealt out over all tasks
@@ -117,7 +117,7 @@ def stream_parse(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
         one = dealt.groupBy("doc_id").agg(F.max(F.struct("source", "html")).alias("p")).select("doc_id", "p.*")
         nodes = parsed(one)
         found = parse_documents(nodes)
-        failed = found["extraction_log"].filter("extractor = 'document'").select("doc_id", "message")
+        failed = parse_errors(nodes).select("doc_id", "message")
         found["dead_letter"] = one.join(failed, "doc_id")
         ids = one.select("doc_id")
         return {name: rows if tables.get(name) is None else delete_where(tables[name], ids, ["doc_id"]).unionByName(rows) for name, rows in found.items()}

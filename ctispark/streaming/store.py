@@ -10,6 +10,7 @@ those of the buckets that its keys fall into, whatever the size of the table.
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql.types import StructType
 
 Tables = dict[str, DataFrame]
 BUCKET = "__bucket"
+#: Tables of a commit that are written at one time.
+WRITERS = 4
 
 
 class Store:
@@ -76,18 +79,24 @@ class Store:
         hit = [r[0] for r in touched.select(self.bucket().alias("b")).distinct().collect()]
         tables = dict(last["tables"])
         old = {name: self.read(name, hit) for name in tables}
-        for name, rows in merge(old).items():
-            place = f"{name}/v{batch}"
-            rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.partitionBy(BUCKET).mode("overwrite").parquet(f"{self.root}/{place}")
-            written = {n.removeprefix(f"{BUCKET}="): batch for n in self._names(place) if n.startswith(f"{BUCKET}=")}
-            if stray := {int(b) for b in written} - set(hit):
-                raise ValueError(f"the merge of {name} returned keys that the batch doesn't touch (buckets {sorted(stray)[:5]})")
-            kept = {b: v for b, v in tables.get(name, {"buckets": {}})["buckets"].items() if int(b) not in hit}
-            tables[name] = {"buckets": kept | written, "schema": json.loads(rows.schema.json())}
+        # tables are written side by side: their jobs are small and independent
+        with ThreadPoolExecutor(max_workers=WRITERS) as pool:
+            for name, held in pool.map(lambda x: (x[0], self._write(*x, batch, set(hit), tables.get(x[0]))), merge(old).items()):
+                tables[name] = held
         self._publish({"batch": batch, "query": last["query"] or query, "buckets": self.buckets, "tables": tables})
         self.vacuum()
         return True
 
+    def _write(self, name: str, rows: DataFrame, batch: int, hit: set[int], before: dict | None) -> dict:
+        """Writes a table's touched buckets; its entry in the manifest."""
+        place = f"{name}/v{batch}"
+        rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.partitionBy(BUCKET).mode("overwrite").parquet(f"{self.root}/{place}")
+        written = {n.removeprefix(f"{BUCKET}="): batch for n in self._names(place) if n.startswith(f"{BUCKET}=")}
+        if stray := {int(b) for b in written} - hit:
+            raise ValueError(f"the merge of {name} returned keys that the batch doesn't touch (buckets {sorted(stray)[:5]})")
+        kept = {b: v for b, v in (before or {"buckets": {}})["buckets"].items() if int(b) not in hit}
+        return {"buckets": kept | written, "schema": json.loads(rows.schema.json())}
+
     def _publish(self, manifest: dict) -> None:
         draft, final = self._path(f"manifests/_{manifest['batch']}.draft"), self._path(f"manifests/{manifest['batch']}.json")
         out = self.fs.create(draft, True)
