@@ -117,7 +117,8 @@ PLACES = {
 def _yaml(spark: SparkSession, path: str) -> dict:
     import yaml
 
-    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
+    found = spark.read.text(path, wholetext=True).first()  # an empty file has no row
+    return yaml.safe_load(found[0] if found else "") or {}
 
 
 def load_dims(spark: SparkSession, path: str) -> Scoring:

@@ -125,18 +125,17 @@ def annotation_spans(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", bod
     n = F.size("words")
     parts = many.select("__d", "words", "kind", "target", F.posexplode("words").alias("j", "__k")).withColumn("place", F.when(F.col("j") == 0, "first").when(F.col("j") == n - 1, "last").otherwise("inner"))
     shapes = F.array(F.struct(F.lit("first").alias("place"), lead.alias("s")), F.struct(F.lit("inner").alias("place"), F.col("t").alias("s")), F.struct(F.lit("last").alias("place"), F.regexp_replace("t", TRAIL, "").alias("s")))
-    shaped = tokens.join(many.select(F.col("__d").alias(doc)).distinct(), doc, "left_semi").select(doc, "i", "gap", "t", "start", F.explode(shapes).alias("x")).select(doc, "i", "gap", "t", "start", "x.place", "x.s").withColumn("key", key(F.col("s")))
+    wide = text_tokens(docs.join(many.select(F.col("__d").alias(doc)).distinct(), doc, "left_semi"), doc, body)
+    shaped = wide.select(doc, "i", "gap", "t", "start", F.explode(shapes).alias("x")).select(doc, "i", "gap", "t", "start", "x.place", "x.s").withColumn("key", key(F.col("s")))
     found = shaped.alias("a").join(parts.alias("b"), (F.col(doc) == F.col("__d")) & (F.col("key") == F.col("__k")) & (F.col("a.place") == F.col("b.place")))
     runs = found.groupBy(doc, "words", "kind", "target", (F.col("i") - F.col("j")).alias("from")).agg(F.sort_array(F.collect_list(F.struct("j", "gap", "s", "start", "t"))).alias("w")).filter(F.size("w") == n)
     shown = F.concat(F.col("w")[0]["s"], F.array_join(F.transform(F.slice("w", F.lit(2), n - 1), lambda x: F.concat(x["gap"], x["s"])), ""))
     phrases = runs.select(doc, (F.col("w")[0]["start"] + F.length(F.col("w")[0]["t"]) - F.length(F.col("w")[0]["s"])).alias("start"), shown.alias("matched"), "kind", "target")
-    longest = Window.partitionBy(doc, "start").orderBy(F.desc(F.length("matched")), "kind", "target")
-    out = hits.unionByName(phrases).withColumn("__n", F.row_number().over(longest)).filter("__n = 1").drop("__n")
-    return _apart(out, doc)
+    return _apart(hits.unionByName(phrases), doc)
 
 
 def _apart(spans: DataFrame, doc: str) -> DataFrame:
-    """Spans from the left, without those that begin within one that stays.
+    """Spans from the left, the longest first of those that begin at one place, without those that begin within one that stays.
 
     Only spans that hang together are folded: a group ends where no span so far
     reaches, so a fold has the spans of one overlap and not those of a document.
@@ -145,7 +144,7 @@ def _apart(spans: DataFrame, doc: str) -> DataFrame:
     upto = Window.partitionBy(doc).orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("start") + F.length("matched")
     grouped = spans.withColumn("__new", F.coalesce(F.max(end).over(before) <= F.col("start"), F.lit(True)).cast("int")).withColumn("__g", F.sum("__new").over(upto))
-    each = grouped.groupBy(doc, "__g").agg(F.sort_array(F.collect_list(F.struct("start", "matched", "kind", "target"))).alias("s"))
+    each = grouped.groupBy(doc, "__g").agg(F.sort_array(F.collect_list(F.struct("start", (-F.length("matched")).alias("k"), "kind", "target", "matched"))).alias("s"))
     empty = F.slice("s", F.lit(1), F.lit(0))
     last = lambda kept: F.coalesce(F.try_element_at(kept, F.lit(-1))["start"] + F.length(F.try_element_at(kept, F.lit(-1))["matched"]), F.lit(-1))
     kept = F.aggregate("s", empty, lambda kept, x: F.when(x["start"] >= last(kept), F.concat(kept, F.array(x))).otherwise(kept))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ctispark import dims
 from ctispark.operators import aggs, intel, joins, merge, ordering, plaintext, scoring
 
 
@@ -196,3 +197,62 @@ def test_costs_and_context(spark):
     one = lambda s: spark.createDataFrame([("a", s)], "advisory_id string, name string")
     out = intel.prompt_context(spark.createDataFrame([("a",), ("b",)], "advisory_id string"), spark.createDataFrame([("a", "ip", "1.1.1.1")], "advisory_id string, type string, value string"), spark.createDataFrame([("a", "T1")], "advisory_id string, technique_id string"), one("X"))
     assert rows(out) == [("a", "ip: 1.1.1.1", "T1", "X"), ("b", "none", "none", "none")]
+
+
+def test_annotation_of_phrases(spark):
+    docs = spark.createDataFrame([(1, 'Run (C:\\Program  Files\\x y.exe), "C:\\Program Files\\x y.exe" or c:\\program\nfiles\\x y.exe. Files\\x z; evil[.]com now'), (2, "a b c d a b"), (3, None), (4, "no term here")], "doc_id int, text string")
+    terms = spark.createDataFrame(
+        [(1, "path", "C:\\Program Files\\x y.exe", "/p"), (1, "part", "Files\\x", "/f"), (1, "ioc", "evil.com", "/i"), (1, "ioc", "evil.com", "/i"), (1, "none", " ", "/n"), (2, "ab", "a b", None), (2, "bc", "b c", None), (2, "cd", "c d", None), (2, "one", "a", None), (3, "ab", "a b", None)],
+        "doc_id int, kind string, value string, target string",
+    )
+    got = [tuple(r) for r in plaintext.annotation_spans(docs, terms).select("doc_id", "start", "matched", "kind").orderBy("doc_id", "start").collect()]
+    text = docs.first().text
+    path = ["C:\\Program  Files\\x y.exe", "C:\\Program Files\\x y.exe", "c:\\program\nfiles\\x y.exe"]
+    want = [(1, text.index(p), p, "path") for p in path] + [(1, text.index("Files\\x z"), "Files\\x", "part"), (1, text.index("evil"), "evil[.]com", "ioc")]
+    # from the left: b c begins within a b, which stays, so c d is free
+    assert got == want + [(2, 0, "a b", "ab"), (2, 4, "c d", "cd"), (2, 8, "a b", "ab")]
+
+
+def test_configured_scores(spark, tmp_path):
+    (tmp_path / "s.yaml").write_text("component_scores: {Zed: 9, Ze: 40}\nvr_scoring:\n  thresholds: {LOW: 1, PRIME: 5}\n  bonuses: {scope_changed: 2}\n")
+    d = dims.load_dims(spark, str(tmp_path / "s.yaml"))
+    assert list(d.components.items()) == [("Zed", 9), ("Ze", 40)] and d.cwe == dims.CWE and d.version != dims.DEFAULT.version
+    assert list(d.vr_thresholds) == ["PRIME", "LOW"] and d.vr_bonuses == dict.fromkeys(dims.VR_BONUSES, 0) | {"scope_changed": 2}
+    (tmp_path / "e.yaml").write_text("")
+    assert dims.load_dims(spark, str(tmp_path / "e.yaml")) == dims.DEFAULT
+    for bad in ("component_scores: [a]", "ignore_list: x", "cwe_weights: {a: b}", "vr_scoring: {default_component_score: x}"):
+        (tmp_path / "b.yaml").write_text(bad)
+        with pytest.raises(ValueError, match="must"):
+            dims.load_dims(spark, str(tmp_path / "b.yaml"))
+    (tmp_path / "a.yaml").write_text("domains: [Evil.com]\nips: [1.2.3.4]\n")
+    assert {tuple(r) for r in dims.load_allowlist(spark, str(tmp_path / "a.yaml")).collect()} == {("domain", "evil.com"), ("ip", "1.2.3.4")}
+
+
+def test_lists_within_rows(spark):
+    links = spark.createDataFrame([("c", f"a{i}") for i in range(5)], "cve_id string, advisory_id string")
+    adv = spark.createDataFrame([(i, f"a{i}") for i in range(5)], "id long, advisory_id string")
+    cve = spark.createDataFrame([("c",), ("d",)], "cve_id string")
+    for most, n in ((2, 2), (None, 5)):
+        got = {r.cve_id: ([x.id for x in r.advisories], r.advisory_count) for r in joins.attach_advisories(cve, links, adv, most).collect()}
+        assert got == {"c": (list(range(n)), 5), "d": ([], 0)}
+    calls = spark.createDataFrame([("a", "intel", 1, 1, 0.1), ("b", "intel", 1, 1, 0.1), ("c", "intel", 1, 1, 0.0)], "advisory_id string, phase string, input_tokens long, output_tokens long, cost_usd double")
+    assert {r.cost_per_advisory for r in aggs.llm_stats(calls).collect()} == {0.066667}
+
+
+def test_cached_pages(spark, tmp_path):
+    from ctispark.sources import feeds
+
+    body = "word " * 130
+    for name, content in {
+        "cisa/2024-05/aa1.html": f"<title>T</title><main><h1>Head</h1><time datetime='2024-05-06'>x</time><p>{body}</p></main>", "acsc/2024-05/x.html": f"<article><h1>A</h1><time>2024-05-06</time><p>{body}</p></article>",
+        "cisa/2024-05/ar2.html": "<p>x<![odd[y]]>", "orkl/2024-06/r.json": '{"id": "r", "llm_title": "L", "created_at": "2024-01-02T00", "references": ["https://h:8/p"], "plain_text": "u\\nPublished: 2024-01-01"}',
+        "orkl/2024-06/s.json": "not json", "other/2024-06/t.html": "<p>t</p>",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    got = {r.advisory_id: r for r in feeds.cached_pages(feeds.read_page_cache(spark, str(tmp_path))).collect()}
+    assert set(got) == {"aa1", "x", "ar2", "r", "s"}
+    assert (got["aa1"].title, got["aa1"].pub_date, got["aa1"].advisory_type, got["aa1"].body[:9]) == ("Head", "2024-05-06", "cybersecurity_advisory", "Head\nword")
+    assert (got["x"].title, got["x"].pub_date, got["x"].advisory_type) == ("A", None, "advisory")
+    assert got["ar2"].error.startswith("AssertionError") and got["ar2"].body is None and got["s"].error == "no report"
+    assert (got["r"].title, got["r"].pub_date, got["r"].original_source, got["r"].body[:1]) == ("L", "2024-01-01", "h:8", "u")
