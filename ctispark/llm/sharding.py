@@ -142,7 +142,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = f"""
 with recursive k as materialized ({CRC_TABLE}),
-d as materialized (select doc_id, coalesce(strlen(text), 0)::bigint + {OVERHEAD} as size, {crc_sql('text')}::bigint as crc from documents, k),
+d as materialized (select doc_id, coalesce(strlen(text), 0)::bigint + {OVERHEAD} as size, case when text is not null then {crc_sql('text')}::bigint end as crc from documents, k),
 h as materialized (select *, (('0x' || substr(md5(coalesce(doc_id::varchar, '-' || coalesce(crc::varchar, '-'))), 1, 8))::bigint % {SLOTS})::int as vslot from d),
 b as (select vslot, sum(size)::bigint as bytes from h group by vslot),
 s as (select i::int as vslot, coalesce(bytes, 0) as bytes, (i * {SHARDS} // {SLOTS})::int as shard from range({SLOTS}) r(i) left join b on b.vslot = i),
