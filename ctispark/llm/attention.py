@@ -8,8 +8,11 @@ are added to the embedding before the output.
 The output has two steps that give each symbol a probability of its own: a
 softmax over classes, then, within the class, a tree of decisions down to the
 symbol. A decision is logistic in the first BRANCH numbers of the state, with
-the log odds of the counts as a fixed term. Embeddings and decisions begin at
-zero, so what was never trained has its share of the counts.
+the log odds of the counts as a fixed term. Counts of neighbours may be given
+too: how much more often a class follows this symbol, and how much more often a
+decision falls out this way behind a symbol of this class, than all in all.
+Embeddings and decisions begin at zero, so what was never trained is as likely
+as the counts have it.
 """
 
 from typing import NamedTuple
@@ -22,7 +25,10 @@ WIDTH, BRANCH = 16, 8
 
 
 class Outputs(NamedTuple):
-    """How symbols are predicted: their classes, the classes' shares, and each symbol's path of decisions, lengths[symbol] entries of nodes and signs from starts[symbol]; odds: the fixed terms of the decisions."""
+    """How symbols are predicted: their classes, the classes' shares, and each symbol's path of decisions, lengths[symbol] entries of nodes and signs from starts[symbol]; odds: the fixed terms of the decisions.
+
+    With counts of neighbours: after, what is added to the classes' terms behind each symbol, and turns, what is added to odds behind each class; the last row of both is for the start of a text.
+    """
 
     classes: np.ndarray
     shares: np.ndarray
@@ -31,6 +37,8 @@ class Outputs(NamedTuple):
     nodes: np.ndarray
     signs: np.ndarray
     odds: np.ndarray
+    after: np.ndarray | None = None
+    turns: np.ndarray | None = None
 
 
 def factored(counts: np.ndarray, kind: np.ndarray, classes: int) -> Outputs:
@@ -63,6 +71,21 @@ def factored(counts: np.ndarray, kind: np.ndarray, classes: int) -> Outputs:
     return Outputs(cls, shares, np.cumsum(lengths) - lengths, lengths, np.ascontiguousarray(flat[:, 0]), flat[:, 1].astype(np.float32), np.array(odds, np.float32))
 
 
+def conditioned(out: Outputs, by_symbol: np.ndarray, by_class: np.ndarray, weight: float = 8.0) -> Outputs:
+    """out with counts of neighbours: by_symbol of classes behind each symbol, by_class of symbols behind each class; each is mixed with weight times what the counts of all have."""
+    shares = np.maximum(out.shares, 1e-6)
+    after = np.log((by_symbol + weight * shares) / (by_symbol.sum(axis=1, keepdims=True) + weight)) - np.log(shares)
+    owner = np.repeat(np.arange(len(out.lengths)), out.lengths)
+    steps = np.repeat(out.starts, out.lengths) + np.arange(len(owner)) - np.repeat(np.cumsum(out.lengths) - out.lengths, out.lengths)
+    nodes, up = out.nodes[steps], out.signs[steps] > 0
+    p = 1 / (1 + np.exp(-out.odds.astype(np.float64)))
+    turns = np.zeros((len(by_class), len(out.odds)), np.float32)
+    for k, n in enumerate(by_class):
+        yes, no = (np.bincount(nodes[own], n[owner[own]], len(p)) for own in (up, ~up))
+        turns[k] = np.log((yes + weight * p) / (no + weight * (1 - p))) - out.odds
+    return out._replace(after=after.astype(np.float32), turns=turns)
+
+
 def _rows(keys: np.ndarray, values: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys in order, the sums of their values' rows, and how often each is real."""
     if not len(keys):
@@ -92,6 +115,7 @@ class Attention:
         self.p["b"] = np.log(np.maximum(out.shares, 1e-6)).astype(kind)
         self.p["E"] = np.zeros((self.first + 1, WIDTH), kind)
         self.p["U"] = np.zeros((len(out.odds), BRANCH), kind)
+        self.groups = np.append(out.classes, len(out.shares))
         self.distance = np.arange(span)[:, None] - np.arange(span)
 
     def table(self) -> np.ndarray:
@@ -109,12 +133,14 @@ class Attention:
             at += n
         return self
 
-    def _levels(self, h: np.ndarray, y: np.ndarray):
-        """Targets y, those of the longest paths first, and a row a level of their paths: how many have it, its nodes, signs, weights and margins."""
+    def _levels(self, h: np.ndarray, x: np.ndarray, y: np.ndarray):
+        """Targets y behind symbols x, those of the longest paths first, and a row a level of their paths: how many have it, its nodes, signs, weights and margins."""
         o = self.out
         order = np.argsort(255 - np.minimum(o.lengths[y], 255).astype(np.uint8), kind="stable")
         lengths, starts = o.lengths[y[order]], o.starts[y[order]]
         state = np.ascontiguousarray(h[:, :BRANCH]).take(order, axis=0)
+        turns = None if o.turns is None else o.turns.ravel()
+        group = self.groups[x[order]] * len(o.odds)
         have = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0)).tolist()
 
         def levels():
@@ -124,6 +150,8 @@ class Attention:
                 weights = self.p["U"].take(nodes, axis=0)
                 margin = (state[:n] * weights) @ np.ones(BRANCH, self.kind)
                 margin += o.odds.take(nodes)
+                if turns is not None:
+                    margin += turns.take(group[:n] + nodes)
                 margin *= signs
                 yield n, nodes, signs, weights, np.clip(margin, -60, 60, out=margin)
 
@@ -150,6 +178,8 @@ class Attention:
         # classes
         z = h @ p["W"]
         z += p["b"]
+        if self.out.after is not None:
+            z += self.out.after.take(xs, axis=0)
         _exp(z)
         sums, cls = z @ ones(z.shape[1]), self.out.classes[ys]
         loss = -float((np.log(np.maximum(z[np.arange(n), cls] / sums[:, 0], 1e-30)) * weight).sum()) if measured else 0.0
@@ -157,7 +187,7 @@ class Attention:
         z[np.arange(n), cls] -= weight
         dh = z @ p["W"].T
         # decisions within the class
-        order, state, steps, levels = self._levels(h, ys)
+        order, state, steps, levels = self._levels(h, xs, ys)
         own, used, back = weight[order], real.ravel()[order], np.zeros((n, BRANCH), self.kind)
         asked, pushed, was, at = np.zeros(steps, np.int64), np.zeros((steps, BRANCH), self.kind), np.zeros(steps, bool), 0
         for k, nodes, signs, weights, margin in levels:
@@ -233,11 +263,14 @@ class Attention:
                 h += late
                 z = h @ p["W"]
                 z += p["b"]
+                behind = np.minimum(x[own].ravel(), first)
+                if self.out.after is not None:
+                    z += self.out.after.take(behind, axis=0)
                 _exp(z)
                 real = filled[own].ravel()
                 targets = y[own].ravel()[real]
                 got = np.log(z[real, classes[targets]]) - np.log(z.sum(axis=1)[real])
-                order, _, _, levels = self._levels(h[real], targets)
+                order, _, _, levels = self._levels(h[real], behind[real], targets)
                 lost = np.zeros(len(targets))
                 for n, _, _, _, margin in levels:
                     lost[:n] += np.log1p(np.exp(-margin))

@@ -3,11 +3,13 @@
 A causal self-attention model, trained in numpy on the subword ids of a public
 vocabulary, predicts each subword from those before it: first its class, then,
 by a tree of decisions, the subword itself. A document's subwords are those of
-its words, each with the space before it. Each task trains on windows of its
-own documents, and the parameters are averaged by what was seen, twice; the
-rounds share out the windows, so together they see every one once. A document
-is scored in overlapping windows: each subword is scored once, with the half
-window before it in view.
+its words, each with the space before it. Counts of neighbouring subwords are
+fixed terms of the model, to which training adds. Documents are dealt to shards
+by a hash of id and text; a model is trained on windows of each shard, and the
+parameters are averaged by what was seen, ROUNDS times; the rounds share out the
+windows, so together they see every one once. Scores depend on the documents,
+not on the tasks that read them. A document is scored in overlapping windows:
+each subword is scored once, with the half window before it in view.
 
 Beside it stands the base score, a smoothed unigram model of words whose
 counts cover all training documents. Counts live in shards by word hash.
@@ -15,6 +17,7 @@ Words with at least one in HEAD of all occurrences, HEAD at most, are
 broadcast; occurrences of all others go to their shards to be scored.
 """
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -24,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctispark.llm.attention import BRANCH, SPAN, Attention, Outputs, factored, train
+from ctispark.llm.attention import BRANCH, SPAN, Attention, Outputs, conditioned, factored, train
 from ctispark.llm.common import pieces, read, staged
 from ctispark.llm.shingles import word_hashes
 
 CLASSES = 32
 #: Each of ROUNDS rounds trains on one window in SHARE, other ones each, so on all of them together; BATCH at a time.
-SHARE = ROUNDS = 2
+SHARE = ROUNDS = 4
 BATCH = 128
+#: Subwords of a shard that a model is trained on by itself, about; shards that may share a file, and files before any do.
+TRAINED, FILE_SHARDS, FILES = 2_000_000, 16, 64
 #: Positions of a window; parts by which parameters of tasks are summed, one for so many documents.
 VIEW, FEWEST_PARTS, PART_DOCS = 32, 16, 1_000_000
 HEAD = 1_000_000
@@ -220,6 +225,48 @@ def subword_counts(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def neighbours(texts: DataFrame, out: Outputs, parts: int = FEWEST_PARTS) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class stands behind each symbol, and each symbol behind each class; the last rows are for the start of a text. As many numbers as the vocabulary and the classes give go to the driver."""
+    size, classes = len(out.classes), len(out.shares)
+    first, total = (size + 1) * classes, (size + 1) * classes + (classes + 1) * size
+    bounds = np.arange(parts + 1) * total // parts
+    group, cls = np.append(out.classes, classes), out.classes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(total, np.int64)
+        for batch in (part for whole in batches for part in pieces(whole, 0)):
+            packs = batch.column(0).to_pylist()
+            ends = np.cumsum([len(b) // 2 + 1 for b in packs])
+            y = np.full(ends[-1], size - 1)  # the end of each text
+            inner = np.ones(len(y), bool)
+            inner[ends - 1] = False
+            y[inner] = np.frombuffer(b"".join(packs), np.uint16)
+            x = np.append(size, y[:-1])
+            x[ends[:-1]] = size
+            n[:first] += np.bincount(x * classes + cls[y], minlength=first)
+            n[first:] += np.bincount(group[x] * size + y, minlength=total - first)
+        for k in range(parts):
+            at = np.flatnonzero(n[bounds[k] : bounds[k + 1]])
+            if len(at):
+                yield pa.RecordBatch.from_pydict({"part": [k], "at": [at.tobytes()], "n": [n[bounds[k] + at].tobytes()]})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault(k, np.zeros(bounds[k + 1] - bounds[k], np.int64))[np.frombuffer(at, np.int64)] += np.frombuffer(n, np.int64)
+        for k, n in found.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"part": [k], "at": [at.tobytes()], "n": [n[at].tobytes()]})
+
+    schema = "part long, at binary, n binary"
+    got = texts.select("ids").mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, schema).toPandas()
+    n = np.zeros(total, np.int64)
+    for k, at, own in zip(got.part, got["at"], got.n, strict=True):
+        n[bounds[k] + np.frombuffer(at, np.int64)] = np.frombuffer(own, np.int64)
+    return n[:first].reshape(size + 1, classes), n[first:].reshape(classes + 1, size)
+
+
 def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int, span: int = SPAN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Batches (before, targets, real) of the training windows of (number, symbols) texts whose turn it is; n stands before the first symbol."""
     held, count = [], 0
@@ -245,16 +292,16 @@ def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int, span:
         yield tuple(joined())
 
 
-SCHEMA = pa.schema([("part", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("x", pa.binary())])
+SCHEMA = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("x", pa.binary())])
 
 
 def summed(rows: DataFrame, parts: int) -> DataFrame:
-    """rows (part, at, n, x): numbers of parameter rows, in order, how often each was seen, and the rows times that, packed. The same with one row a part, the sums."""
+    """rows (part, shard, at, n, x): numbers of parameter rows, in order, how often each was seen, and the rows times that, packed. (part, at, n, x) with one row a part, the sums, which are taken in the order of shards."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part, packed, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, _, packed, n, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.frombuffer(packed, np.int64) // parts
                 counts, sums = found.get(part, (np.zeros(0, np.int64), np.zeros((0, BRANCH))))
                 if len(at) and at[-1] >= len(counts):
@@ -265,26 +312,43 @@ def summed(rows: DataFrame, parts: int) -> DataFrame:
                 found[part] = counts, sums
         for part, (counts, sums) in found.items():
             at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"part": [part], "at": [(at * parts + part).tobytes()], "n": [counts[at].tobytes()], "x": [sums[at].astype(np.float32).tobytes()]}, SCHEMA)
+            yield pa.RecordBatch.from_pydict({"part": [part], "shard": [None], "at": [(at * parts + part).tobytes()], "n": [counts[at].tobytes()], "x": [sums[at].astype(np.float32).tobytes()]}, SCHEMA)
+
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "shard").mapInArrow(add, "part long, shard long, at binary, n binary, x binary")
 
-    return rows.repartition(parts, "part").mapInArrow(add, "part long, at binary, n binary, x binary")
 
+def dealt(texts: DataFrame, shards: int) -> DataFrame:
+    """(shard, ids): texts dealt to shards by a hash of id and ids, in the order of that hash. A shard is in one file, whose rows a task reads in order."""
+    files = max(min(shards, FILES), -(-shards // FILE_SHARDS))
+    at = F.xxhash64(*[c for c in ("id", "ids") if c in texts.columns])
+    rows = texts.select(F.pmod(at, F.lit(shards)).alias("shard"), at.alias("at"), "ids")
+    return staged(rows.repartitionById(files, F.pmod("shard", F.lit(files)).cast("int")).sortWithinPartitions("shard", "at").select("shard", "ids"))
 
-def fit(texts: DataFrame, out: Outputs, parts: int = FEWEST_PARTS) -> Attention:
-    """The model, trained on texts (ids): tasks train apart and are averaged, an embedding or a decision by how often each has seen it. As many numbers as the model has go to the driver."""
+
+def fit(texts: DataFrame, out: Outputs, parts: int = FEWEST_PARTS, shards: int = 1) -> Attention:
+    """The model, trained on texts (ids): shards train apart and are averaged, an embedding or a decision by how often each has seen it. As many numbers as the model has go to the driver.
+
+    Neither the partitions of texts nor the order of their rows matter. Rows
+    that agree in id and text share a shard, which goes through its task as a
+    stream.
+    """
     size = len(out.classes)
     model = Attention(out, VIEW)
     context = texts.sparkSession.sparkContext
-    outs = context.broadcast(out)  # a few numbers for each subword of the vocabulary
+    outs = context.broadcast(out)  # some numbers for each subword of the vocabulary
+    rows = dealt(texts, shards)
     for k in range(ROUNDS):
         now = context.broadcast(model.table())
 
         def learn(batches: Iterator[pa.RecordBatch], now=now, k: int = k) -> Iterator[pa.RecordBatch]:
-            own = Attention(outs.value, VIEW).load(now.value)
-            numbered = ((zlib.crc32(b), np.append(np.frombuffer(b, np.uint16), size - 1).astype(np.int64)) for batch in batches for b in batch.column(0).to_pylist())
-            before, decided = np.zeros(size + 1, np.int64), np.zeros(len(own.p["U"]), np.int64)
-            seen = train(own, windows(numbered, size, k, VIEW), before=before, decided=decided)
-            if seen:
+            read_ = (row for whole in batches for batch in pieces(whole, 1) for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for shard, members in itertools.groupby(read_, lambda row: row[0]):
+                own = Attention(outs.value, VIEW).load(now.value)
+                numbered = ((zlib.crc32(b), np.append(np.frombuffer(b, np.uint16), size - 1).astype(np.int64)) for _, b in members)
+                before, decided = np.zeros(size + 1, np.int64), np.zeros(len(own.p["U"]), np.int64)
+                seen = train(own, windows(numbered, size, k, VIEW), before=before, decided=decided)
+                if not seen:
+                    continue
                 table = own.table()
                 n = np.concatenate((np.repeat(before, own.p["E"].shape[1] // BRANCH), decided))
                 n = np.append(n, np.full(len(table) - len(n), seen))
@@ -292,9 +356,9 @@ def fit(texts: DataFrame, out: Outputs, parts: int = FEWEST_PARTS) -> Attention:
                     mine = np.arange(part, len(n), parts)
                     mine = mine[n[mine] > 0]
                     if len(mine):
-                        yield pa.RecordBatch.from_pydict({"part": [part], "at": [mine.tobytes()], "n": [n[mine].tobytes()], "x": [(table[mine] * n[mine, None]).astype(np.float32).tobytes()]}, SCHEMA)
+                        yield pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "at": [mine.tobytes()], "n": [n[mine].tobytes()], "x": [(table[mine] * n[mine, None]).astype(np.float32).tobytes()]}, SCHEMA)
 
-        got = summed(texts.select("ids").mapInArrow(learn, "part long, at binary, n binary, x binary"), parts).toPandas()
+        got = summed(rows.mapInArrow(learn, "part long, shard long, at binary, n binary, x binary"), parts).toPandas()
         if len(got):
             at, n = (np.frombuffer(b"".join(got[c]), np.int64) for c in ("at", "n"))
             table = model.table()
@@ -328,8 +392,9 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
     Tokens are words and one end a text; null texts are empty and have only
     that. Null ids and repeated rows are scored like others, and learned from
     as often as they occur. Texts of any length are learned from and scored
-    whole. Where there is nothing to learn from, counts are 0 and the model
-    stays as it began. Other columns are not returned, whatever their names;
+    whole. Scores are the same however rows are spread over partitions. Where
+    there is nothing to learn from, counts are 0 and the model stays as it
+    began. Other columns are not returned, whatever their names;
     empty input gives empty output.
     """
     if ranks is None:
@@ -348,7 +413,9 @@ def score_texts(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str
     texts = encoded(rows, ranks, frequent(words, n_all), denominator)
     own = texts.filter(~F.col("held"))
     kind = kinds(ranks)
-    model = fit(own, factored(subword_counts(own, len(kind)), kind, CLASSES), parts)
+    counts = subword_counts(own, len(kind))
+    out = factored(counts, kind, CLASSES)
+    model = fit(own, conditioned(out, *neighbours(own, out)), parts, max(1, -(-int(counts.sum()) // TRAINED)))
     scored = model_scores(texts, model).join(rare_scores(texts, words, shards, denominator), "row", "left")
     zero = F.lit(0)
     end_base = float(np.log10((ends + 1) / denominator))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctispark.llm import bpe, embeddings, html_text, jaccard, langid, mixing, quality, scoring, secrets, shingles, substrings
-from ctispark.llm.attention import BRANCH, Attention, factored, train
+from ctispark.llm.attention import BRANCH, Attention, conditioned, factored, train
 from ctispark.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -409,9 +409,61 @@ def test_scoring_held_out(spark, monkeypatch):
 
     trained = per_token()
     monkeypatch.setattr(scoring, "ROUNDS", 0)
+    monkeypatch.setattr(scoring, "conditioned", lambda out, *counts: out)
     assert trained > per_token() + 0.5
 
 
+def test_scoring_beats_its_base(spark):
+    """On held-out documents of the larger table, a text's score is better than its base score; the small tables are too small for that."""
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    got = scoring.op8_scoring(spark, folder).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] / got[2] > got[1] / got[2] + 0.02
+
+
+def test_scoring_whatever_the_partitions(spark, monkeypatch):
+    """Scores agree for rows in one partition, in 16, and in another order; repeated rows and null ids are among them."""
+    monkeypatch.setattr(scoring, "TRAINED", 20_000)
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("abcdefgh"), 4)) for _ in range(300)]
+    rows = [(i if i % 9 else None, " ".join(r.choice(words, int(r.integers(0, 300))))) for i in range(400)]
+    rows += rows[:40] * 2
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    shuffled = spark.createDataFrame([rows[k] for k in r.permutation(len(rows))], every.schema)
+    results = []
+    for docs in (every.coalesce(1), every.repartition(16), shuffled.repartition(5)):
+        got = scoring.score_texts(docs, scoring.held_out(F.col("doc_id")))
+        results.append(sorted((x.doc_id or -1, x.n_tokens, x.base_score, x.score) for x in got.collect()))
+    for other in results[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in results[0]]
+        assert np.allclose([x[2:] for x in other], [x[2:] for x in results[0]], rtol=0, atol=1e-3)
+
+
+def test_counts_of_neighbours(spark):
+    """Counts agree with those by hand, and with them an untrained model gives each symbol what they say; all symbols have one in sum."""
+    r = np.random.default_rng(6)
+    texts = [r.integers(0, 11, int(n)) for n in r.integers(0, 60, 50)]
+    n = 12  # 11 ends a text
+    out = factored(np.bincount(np.concatenate(texts), minlength=n) + 1.0, np.arange(n) % 2, 4)
+    df = spark.createDataFrame([(k, t.astype(np.uint16).tobytes()) for k, t in enumerate(texts)], "row long, ids binary").repartition(3)
+    by_symbol, by_class = scoring.neighbours(df, out)
+    one, two = np.zeros((n + 1, 4), int), np.zeros((5, n), int)
+    for t in texts:
+        for x, y in zip([n, *t.tolist()], [*t.tolist(), n - 1]):
+            one[x, out.classes[y]] += 1
+            two[4 if x == n else out.classes[x], y] += 1
+    assert (by_symbol == one).all() and (by_class == two).all()
+    model = Attention(conditioned(out, by_symbol, by_class))
+    ends = np.array([[5, k] for k in range(n)])
+    logs = model.scorer()(ends.ravel(), np.full(n, 2)).reshape(n, 2)[:, 1]
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
+    share = (one[5] + 8 * out.shares) / (one[5].sum() + 8)
+    assert np.bincount(out.classes, np.exp(logs), 4) == pytest.approx(share, abs=1e-5)
+
+
 def test_scoring_trains_on_every_window():
     """The rounds together see each symbol of each text once, whatever its row and length."""
     texts = [(row, np.arange(length) + 1000 * row) for row, length in enumerate((1, 15, 16, 17, 40, 300, 900, 5, 16, 16, 16, 33, 7, 31, 32, 48, 64, 3))]
