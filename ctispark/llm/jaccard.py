@@ -28,7 +28,7 @@ WORDS, SIMILARITY = 5, 0.8
 RECALL, MOST_HASHES = 0.9999, 200
 #: Buckets up to this size are paired, larger ones tied to their first class.
 PAIRED = 16
-#: Sketches have SKETCH bytes; pairs go on if SKETCH_ALIKE of them or more are equal: at the threshold 1 in 10 ** 8 pairs does not.
+#: Sketches have SKETCH bytes; pairs go on if SKETCH_ALIKE of them or more are equal: at the threshold 3 in 10 ** 7 pairs do not.
 SKETCH, SKETCH_ALIKE = 64, 34
 BLOCK = 512
 #: Up to so many classes in clusters (about 60 bytes each) are broadcast to the texts; more are joined by a shuffle.
