@@ -1,5 +1,7 @@
 """Indicators, CVEs and terms in plain text."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,18 +85,32 @@ def cves_in_text(docs: DataFrame, links: DataFrame | None = None, doc: str = "do
 #: A token is a run of characters other than these.
 BLANKS = r"[\x20\x09-\x0D]+"
 LEAD, TRAIL = r"\A[(),;:.'\"]+", r"[(),;:.'\"]+\z"
+#: The characters of both.
+AROUND = "(),;:.'\""
 
 
-def text_tokens(docs: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFrame:
-    """(doc, i, start, gap, t): the tokens of texts by number, where they start, and the white space before them.
+#: A document's words are kept in so many lists by their hash, so a token is compared with few of them.
+SLOTS = 64
 
-    Offsets are one running sum over a document's tokens; what is shuffled are
-    tokens, each once, and never texts.
+
+def _running(lengths: pa.Array) -> pa.Array:
+    """The running sums of each list."""
+    counts = np.diff(lengths.offsets.to_numpy())
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False).astype(np.int64))])
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((total[1:] - np.repeat(total[bounds[:-1]], counts)).astype(np.int32), pa.int32()))
+
+
+def text_tokens(docs: DataFrame, doc: str = "doc_id", body: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, i, start, gap, t) and docs' columns to keep: the tokens of texts by number, where they start, and the white space before them.
+
+    Offsets are running sums within a row; nothing is shuffled.
     """
     at, gaps = F.regexp_extract_all(body, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.split(body, r"[^\x20\x09-\x0D]+", -1)
-    each = docs.filter(F.col(body).isNotNull()).select(doc, F.posexplode(F.arrays_zip(gaps.alias("gap"), at.alias("t"))).alias("i", "x")).select(doc, "i", "x.gap", "x.t").filter("t is not null")
-    upto = Window.partitionBy(doc).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("start", F.sum(F.length("gap") + F.length("t")).over(upto) - F.length("t"))
+    split = docs.filter(F.col(body).isNotNull()).select(doc, *keep, at.alias("__at"), gaps.alias("__gaps"))
+    upto = F.arrow_udf(_running, "array<int>")(F.transform("__at", lambda t, i: F.length(t) + F.length(F.col("__gaps")[i])))
+    each = split.withColumn("__end", upto).select(doc, *keep, F.posexplode(F.arrays_zip(F.col("__gaps").alias("gap"), F.col("__at").alias("t"), F.col("__end").alias("end"))).alias("i", "x"))
+    return each.select(doc, *keep, "i", "x.gap", "x.t", "x.end").filter("t is not null").withColumn("start", F.col("end") - F.length("t")).drop("end")
 
 
 def annotation_spans(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", body: str = "text") -> DataFrame:
@@ -108,30 +124,30 @@ def annotation_spans(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", bod
     left, of terms that begin at one place the longest stays, and none that
     begins within one that stays. Documents without terms are not looked at;
     null texts hold none; terms without a word stand nowhere; repeated terms
-    count once.
+    count once. A text meets its terms' words before it is split, so only
+    tokens that are such words leave its row.
     """
     said = F.filter(F.split(F.lower(ioc.refang(F.col("value"))), BLANKS, -1), lambda w: w != "")
     known = terms.select(F.col(doc).alias("__d"), said.alias("words"), "kind", "target").filter(F.size("words") > 0).distinct()
-    tokens = text_tokens(docs.join(known.select(F.col("__d").alias(doc)).distinct(), doc, "left_semi"), doc, body)
-    key = lambda c: F.lower(ioc.refang(c))
-    lead = F.regexp_replace("t", LEAD, "")
-    bare = tokens.withColumns({"lead": F.length("t") - F.length(lead), "matched": F.regexp_replace(lead, TRAIL, "")})
-    # one word
-    ones = known.filter(F.size("words") == 1).select("__d", F.col("words")[0].alias("__k"), "kind", "target")
-    keyed = bare.filter(F.length("matched") > 0).withColumn("key", key(F.col("matched")))
-    hits = keyed.join(ones, (F.col(doc) == F.col("__d")) & (F.col("key") == F.col("__k"))).select(doc, (F.col("start") + F.col("lead")).alias("start"), "matched", "kind", "target")
-    # several: the first word loses what stands before it, the last what stands behind it
-    many = known.filter(F.size("words") > 1)
     n = F.size("words")
-    parts = many.select("__d", "words", "kind", "target", F.posexplode("words").alias("j", "__k")).withColumn("place", F.when(F.col("j") == 0, "first").when(F.col("j") == n - 1, "last").otherwise("inner"))
-    shapes = F.array(F.struct(F.lit("first").alias("place"), lead.alias("s")), F.struct(F.lit("inner").alias("place"), F.col("t").alias("s")), F.struct(F.lit("last").alias("place"), F.regexp_replace("t", TRAIL, "").alias("s")))
-    wide = text_tokens(docs.join(many.select(F.col("__d").alias(doc)).distinct(), doc, "left_semi"), doc, body)
-    shaped = wide.select(doc, "i", "gap", "t", "start", F.explode(shapes).alias("x")).select(doc, "i", "gap", "t", "start", "x.place", "x.s").withColumn("key", key(F.col("s")))
-    found = shaped.alias("a").join(parts.alias("b"), (F.col(doc) == F.col("__d")) & (F.col("key") == F.col("__k")) & (F.col("a.place") == F.col("b.place")))
-    runs = found.groupBy(doc, "words", "kind", "target", (F.col("i") - F.col("j")).alias("from")).agg(F.sort_array(F.collect_list(F.struct("j", "gap", "s", "start", "t"))).alias("w")).filter(F.size("w") == n)
+    # of several words, the first loses what stands before it, the last what stands behind it
+    place = F.when(n == 1, "one").when(F.col("j") == 0, "first").when(F.col("j") == n - 1, "last").otherwise("inner")
+    parts = known.select("__d", "words", "kind", "target", F.posexplode("words").alias("j", "__k")).withColumn("__w", F.concat_ws(" ", place, "__k")).drop("__k")
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")
+    wanted = parts.groupBy("__d").agg(F.collect_set("__w").alias("__all")).select("__d", F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.filter("__all", lambda w: slot(w) == k)).alias("__wanted"))
+    texts = docs.select(doc, body).join(wanted, F.col(doc) == F.col("__d"))
+    tokens = text_tokens(texts, doc, body, ("__wanted",))
+    lead, trail = F.ltrim("t", F.lit(AROUND)), F.rtrim("t", F.lit(AROUND))
+    shapes = F.array(*[F.struct(F.lit(k).alias("place"), s.alias("s")) for k, s in (("one", F.rtrim(lead, F.lit(AROUND))), ("first", lead), ("inner", F.col("t")), ("last", trail))])
+    shaped = tokens.withColumn("begin", F.col("start") + F.length("t") - F.length(lead)).select(doc, "__wanted", "i", "gap", "begin", F.explode(shapes).alias("x")).select(doc, "__wanted", "i", "gap", "begin", "x.place", "x.s")
+    # most words have no mark of defanging
+    marked = F.contains("s", F.lit("[")) | F.contains("s", F.lit("(")) | F.contains("s", F.lit("/"))
+    worded = shaped.withColumn("word", F.concat_ws(" ", "place", F.lower(F.when(marked, ioc.refang(F.col("s"))).otherwise(F.col("s")))))
+    told = worded.filter(F.array_contains(F.col("__wanted")[slot(F.col("word"))], F.col("word"))).drop("__wanted", "place")
+    found = told.join(parts, (F.col(doc) == F.col("__d")) & (F.col("word") == F.col("__w")))
+    runs = found.groupBy(doc, "words", "kind", "target", (F.col("i") - F.col("j")).alias("from")).agg(F.sort_array(F.collect_list(F.struct("j", "gap", "s", "begin"))).alias("w")).filter(F.size("w") == n)
     shown = F.concat(F.col("w")[0]["s"], F.array_join(F.transform(F.slice("w", F.lit(2), n - 1), lambda x: F.concat(x["gap"], x["s"])), ""))
-    phrases = runs.select(doc, (F.col("w")[0]["start"] + F.length(F.col("w")[0]["t"]) - F.length(F.col("w")[0]["s"])).alias("start"), shown.alias("matched"), "kind", "target")
-    return _apart(hits.unionByName(phrases), doc)
+    return _apart(runs.select(doc, F.col("w")[0]["begin"].alias("start"), shown.alias("matched"), "kind", "target"), doc)
 
 
 def _apart(spans: DataFrame, doc: str) -> DataFrame:
