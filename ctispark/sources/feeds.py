@@ -138,8 +138,17 @@ def cve_patches(vulnerabilities: DataFrame) -> DataFrame:
 PUBLISHERS = ("cisa", "acsc", "jpcert", "orkl")
 
 
-def read_page_cache(spark: SparkSession, root: str) -> DataFrame:
-    """(source, month, advisory_id, kind, content) of files source/YYYY-MM/id.html or .json, or of a table of pages written by source, month and file."""
+def pack_pages(pages: DataFrame, root: str) -> None:
+    """Pages (source, month, file, value) added to a cache of a few large files a source and month. A file a page costs a folder, a rename and a listing each; this costs none."""
+    pages.select("source", "month", "file", "value").write.partitionBy("source", "month").mode("append").parquet(root)
+
+
+def read_page_cache(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
+    """(source, month, advisory_id, kind, content) of files source/YYYY-MM/id.html or .json, of a table of pages written by source, month and file, or of what pack_pages has packed."""
+    if packed:
+        pages = spark.read.schema("file string, value string, source string, month string").parquet(root)
+        name = lambda i: F.regexp_extract("file", r"\A([^/=]+)\.(html|json)\z", i)
+        return pages.select("source", "month", name(1).alias("advisory_id"), name(2).alias("kind"), F.col("value").alias("content")).filter("kind <> '' and month rlike '^[0-9]{4}-[0-9]{2}$'")
     files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).withColumn("f", F.input_file_name())
     part = lambda i: F.regexp_extract("f", r"/(?:source=)?([^/=]+)/(?:month=)?([0-9]{4}-[0-9]{2})/(?:file=)?([^/=]+)\.(html|json)(?:/part-[^/]*)?\z", i)
     return files.select(part(1).alias("source"), part(2).alias("month"), part(3).alias("advisory_id"), part(4).alias("kind"), F.col("value").alias("content")).filter("source <> ''")

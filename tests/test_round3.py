@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctispark.operators import plaintext
+from ctispark.sources import feeds
 
 
 def rows(df):
@@ -16,3 +17,11 @@ def test_tokens_stay_in_their_rows(spark):
     assert rows(got.select("doc_id", "i", "start", "gap", "t")) == [(1, 0, 1, " ", "ab"), (1, 1, 5, "  ", "(cé)"), (4, 0, 0, "", "x")]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_packed_pages(spark, tmp_path):
+    pages = [("cisa", "2024-05", f"aa{i}.{kind}", f"<p>{i}\n</p>") for i in range(40) for kind in ("html", "json")]
+    root = str(tmp_path / "c")
+    feeds.pack_pages(spark.createDataFrame(pages, "source string, month string, file string, value string").coalesce(2), root)
+    assert rows(feeds.read_page_cache(spark, root, packed=True)) == sorted(((s, m, *f.split("."), v) for s, m, f, v in pages), key=str)
+    assert len(list((tmp_path / "c").rglob("*.parquet"))) <= 2
