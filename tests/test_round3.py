@@ -32,7 +32,7 @@ def odd(tmp_path_factory):
     return str(root), con
 
 
-@pytest.mark.parametrize("name", ["B17_save_parse", "I16_technique_ids", "M01_article_body"])
+@pytest.mark.parametrize("name", ["B17_save_parse", "I16_technique_ids", "M01_article_body", "M02_page_title"])
 def test_odd_tables(spark, odd, name):
     from test_queries import text
 
