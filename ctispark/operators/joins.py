@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctispark.operators.ordering import LISTED, first_listed
+from ctispark.operators.ordering import first_listed
 
 
 def cve_with_kev(cve: DataFrame, kev: DataFrame) -> DataFrame:
@@ -74,8 +74,8 @@ def cross_reference(texts: DataFrame, cve: DataFrame, links: DataFrame, columns:
     return named.join(cve.select("cve_id"), "cve_id", "left_semi").join(links.select("advisory_id", "cve_id"), ["advisory_id", "cve_id"], "left_anti")
 
 
-def attach_advisories(cve: DataFrame, links: DataFrame, adv: DataFrame, most: int | None = LISTED) -> DataFrame:
-    """Advisories, an array of (id, advisory_id) by id, the first of them (most), and advisory_count, how many there are."""
+def attach_advisories(cve: DataFrame, links: DataFrame, adv: DataFrame, most: int | None = None) -> DataFrame:
+    """Advisories, an array of (id, advisory_id) by id, all or the first of them (most), and advisory_count, how many there are."""
     linked = links.join(adv.select("id", "advisory_id"), "advisory_id").select("cve_id", "id", "advisory_id")
     counted = linked.groupBy("cve_id").agg(F.count(F.lit(1)).alias("advisory_count"))
     listed = first_listed(linked, ["cve_id"], ["id", "advisory_id"], most).groupBy("cve_id").agg(F.sort_array(F.collect_list(F.struct("id", "advisory_id"))).alias("advisories"))
