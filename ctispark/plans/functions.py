@@ -66,7 +66,7 @@ _add("I14_cvss_labels", "msrc_cve", lambda c: c.select("cve_id", text.cvss_label
 _add("I15_cve_ids", "advisory_cve", lambda l: l.groupBy("advisory_id").agg(F.concat_ws(" x ", F.sort_array(F.collect_list("cve_id"))).alias("t")).select("advisory_id", F.array_join(text.cve_ids(F.concat("t", F.lit(" "), "t")), ",").alias("cves")), "select advisory_id, string_agg(cve_id, ',' order by cve_id) as cves from advisory_cve group by 1")
 _add("I16_technique_ids", "advisory_technique", lambda t: t.select("advisory_id", "technique_id", F.array_join(text.technique_ids(F.concat("technique_id", F.lit(".001 and D3-NTA, "), "technique_id")), ",").alias("found")), "select advisory_id, technique_id, case when technique_id like 'T%' then technique_id || '.001,' || technique_id else '' end as found from advisory_technique")
 _add("I17_technique_url", "mitre_technique", lambda m: m.select("technique_id", text.technique_from_url(text.technique_url(F.concat("technique_id", F.lit(".002")))).alias("back")), "select technique_id, technique_id || '.002' as back from mitre_technique")
-_add("I19_cve_route", "advisory_cve kev_entry", lambda l, k: l.join(k.select("cve_id", F.lit(True).alias("known")), "cve_id", "left").select("advisory_id", "cve_id", text.cve_route(F.col("cve_id"), F.col("known")).alias("route")), "select advisory_id, cve_id, case when cve_id in (select cve_id from kev_entry) then '/msrc/' else 'https://nvd.nist.gov/vuln/detail/' end || cve_id as route from advisory_cve")
+_add("I19_cve_route", "advisory_cve kev_entry", lambda l, k: l.join(k.select("cve_id", F.lit(True).alias("known")).distinct(), "cve_id", "left").select("advisory_id", "cve_id", text.cve_route(F.col("cve_id"), F.col("known")).alias("route")), "select advisory_id, cve_id, case when cve_id in (select cve_id from kev_entry) then '/msrc/' else 'https://nvd.nist.gov/vuln/detail/' end || cve_id as route from advisory_cve")
 _add("I20_rule_format", "detection_rule", lambda r: r.select("advisory_id", "rule_name", text.rule_format(F.when(F.col("rule_format") == "yara", F.concat(F.lit("// c\nrule "), "rule_name", F.lit(" { }"))).when(F.col("rule_format") == "sigma", F.lit("title: a\nlogsource: b")).when(F.col("rule_format") == "snort", F.lit("# c\n\nalert tcp any")).otherwise(F.lit("text"))).alias("found")), "select advisory_id, rule_name, nullif(rule_format, 'other') as found from detection_rule")
 _add("I24_normalize_date", "advisory", lambda a: a.select("id", text.normalize_date(F.when(F.col("id") % 3 == 0, F.concat("pub_date", F.lit("T10:00:00Z"))).when(F.col("id") % 3 == 1, F.date_format("pub_date", "d MMM yyyy")).otherwise(F.concat(F.lit("Mon, "), F.date_format("pub_date", "dd MMM yyyy"), F.lit(" 10:00:00 +1000")))).alias("day")), "select id, pub_date as day from advisory")
 _add("I25_advisory_type", "feed_entry", lambda e: e.select("advisory_id", text.last_segment(F.concat(F.lit("https://x.example/a/"), "advisory_id", F.lit("/"))).alias("id"), text.advisory_type_from_id(F.concat(F.when(F.col("pos") % 2 == 0, "aa").otherwise("ar"), "advisory_id"), F.lit("cisa")).alias("kind")), "select advisory_id, advisory_id as id, case when pos % 2 = 0 then 'cybersecurity_advisory' else 'analysis_report' end as kind from feed_entry")

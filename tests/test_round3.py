@@ -32,7 +32,7 @@ def odd(tmp_path_factory):
     return str(root), con
 
 
-@pytest.mark.parametrize("name", ["B17_save_parse", "I16_technique_ids", "M01_article_body", "M02_page_title", "M20_html_to_markdown", "B04_insert_replace", "B22_refresh_kev", "D16_attach_advisories", "I17_technique_url"])
+@pytest.mark.parametrize("name", ["B17_save_parse", "I16_technique_ids", "M01_article_body", "M02_page_title", "M20_html_to_markdown", "B04_insert_replace", "B22_refresh_kev", "D16_attach_advisories", "I17_technique_url", "I19_cve_route"])
 def test_odd_tables(spark, odd, name):
     from test_queries import text
 
