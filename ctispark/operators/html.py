@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ctispark.functions import ioc, text
 from ctispark.operators.markdown import html_to_markdown  # noqa: F401
 from ctispark.operators.ordering import first_per_key
-from ctispark.operators.parse import has_class, html_nodes, parse_errors, parsed  # noqa: F401
+from ctispark.operators.parse import HEADINGS, Reads, has_class, html_nodes, parse_errors, parsed  # noqa: F401
 from ctispark.operators.plaintext import typed, validated
 from ctispark.sources.shared import staged
 
@@ -21,6 +21,8 @@ CONTEXT_WORDS = ("description", "details", "use", "context", "notes", "file", "f
 SURE_TYPES = ("ip", "md5", "sha1", "sha256", "sha512", "ssdeep")
 DETECTION = r"(?i)\b(?:yara|sigma|snort|detections?)\b"
 APPENDIX = r"(?i)appendix|ioc|indicator"
+#: What single operators read, for pages that no other operator reads.
+RULES = Reads(("table", "code", *sorted(HEADINGS)), ("doc_id", "source", "pos", "tag", "text", "raw_text", "up", "heads", "rows"), members=True)
 
 
 def level(tag: Column) -> Column:

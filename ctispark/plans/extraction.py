@@ -8,9 +8,9 @@ from ctispark.plans.tables import ORACLE, QUERIES, _add
 from ctispark.sources.tables import table
 
 
-def _doc(df: DataFrame, source: str, head: str, row, tail: str, key: str = "advisory_id") -> DataFrame:
+def _doc(df: DataFrame, source: str, head: str, row, tail: str, key: str = "advisory_id", reads: html.Reads | None = None) -> DataFrame:
     """Nodes of a page an advisory, parsed once."""
-    return html.parsed(_page(df, source, head, row, tail, key))
+    return html.parsed(_page(df, source, head, row, tail, key), reads=reads)
 
 
 def _page(df: DataFrame, source: str, head: str, row, tail: str, key: str = "advisory_id") -> DataFrame:
@@ -89,7 +89,7 @@ _add(
 )
 _RULE = lambda: F.concat(F.lit("<table><tr><th>Rule</th></tr><tr><td>short</td><td>"), F.when(F.col("rule_format") == "yara", F.concat(F.lit("rule "), "rule_name", F.lit(" { condition: true }"))).otherwise(F.concat(F.lit("title: "), "rule_name", F.lit("\nlogsource: x"))), F.lit("</td></tr></table>"))
 _add(
-    "M14_detection_rules", "detection_rule", lambda r: html.detection_rules(_doc(r, "cisa", "<main><h2>Detection rules</h2>", _RULE(), "<h2>Next</h2><table><tr><td>rule none { }</td></tr></table></main>")).select("doc_id", "rule_name", "rule_text", "rule_format", "validation_status"),
+    "M14_detection_rules", "detection_rule", lambda r: html.detection_rules(_doc(r, "cisa", "<main><h2>Detection rules</h2>", _RULE(), "<h2>Next</h2><table><tr><td>rule none { }</td></tr></table></main>", reads=html.RULES)).select("doc_id", "rule_name", "rule_text", "rule_format", "validation_status"),
     f"""select {_ID}, case rule_format when 'yara' then rule_name else 'Rule' end as rule_name, case rule_format when 'yara' then 'rule ' || rule_name || ' {{ condition: true }}' else 'title: ' || rule_name || chr(10) || 'logsource: x' end as rule_text,
     case rule_format when 'yara' then 'yara' else 'sigma' end as rule_format, 'unvalidated' as validation_status from detection_rule""",
 )
