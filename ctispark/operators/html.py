@@ -22,6 +22,7 @@ SURE_TYPES = ("ip", "md5", "sha1", "sha256", "sha512", "ssdeep")
 DETECTION = r"(?i)\b(?:yara|sigma|snort|detections?)\b"
 APPENDIX = r"(?i)appendix|ioc|indicator"
 #: What single operators read, for pages that no other operator reads.
+LINKS = Reads(("a",), ("doc_id", "source", "pos", "tag", "attrs"))
 RULES = Reads(("table", "code", *sorted(HEADINGS)), ("doc_id", "source", "pos", "tag", "text", "raw_text", "up", "heads", "rows"), members=True)
 
 
@@ -371,10 +372,11 @@ def clean_document(nodes: DataFrame) -> DataFrame:
 def link_audit(nodes: DataFrame, known_cves: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, href, url, host, external, target): links against their site, with the page that a CVE or technique link should lead to, told by the exact host."""
     sites = F.create_map(*[F.lit(x) for kv in SITES.items() for x in kv])
+    hosts = F.create_map(*[F.lit(x) for k, v in SITES.items() for x in (k, v.removeprefix("https://"))])
     site = F.coalesce(sites[F.col("source")], F.lit(""))
     a = nodes.filter((F.col("tag") == "a") & (F.col("attrs")["href"] != "")).select("doc_id", "pos", "source", F.col("attrs")["href"].alias("href"), site.alias("site"))
     a = a.withColumn("url", text.resolve_url(F.col("href"), F.col("site"))).withColumn("host", ioc.url_host(F.col("url")))
-    own = F.coalesce(F.col("host") == ioc.url_host(F.col("site")), F.lit(False)) | (F.col("host").isNull())
+    own = F.coalesce(F.col("host") == hosts[F.col("source")], F.lit(False)) | (F.col("host").isNull())
     cve = F.when(F.col("host").isin("nvd.nist.gov", "www.cve.org", "cve.mitre.org"), F.nullif(F.regexp_extract("url", text.CVE, 0), F.lit("")))
     technique = F.when(F.col("host") == "attack.mitre.org", F.nullif(text.technique_from_url(F.col("url")), F.lit("")))
     out = a.withColumns({"external": ~own, "cve_id": cve, "technique": technique})

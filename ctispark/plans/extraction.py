@@ -155,7 +155,7 @@ _add(
 
 _LINKS = {"/advisories/x": False, "https://www.cisa.gov/y": False, "https://www.cisa.gov.evil.example/z": True, "//www.cisa.gov/w": False, "https://other.example/cisa.gov": True, "https://nvd.nist.gov/vuln/detail/CVE-2024-12345": True, "https://nvd.nist.gov.evil.example/vuln/detail/CVE-2024-12345": True}
 _add(
-    "M23_external_links", "behavior", lambda b: html.link_audit(_doc(b, "cisa", "<main>", F.concat(*[F.concat(F.lit(f'<a href="{u}?n='), F.col("id").cast("string"), F.lit('">x</a>')) for u in _LINKS]), "</main>")).select("doc_id", "href", "external", "target"),
+    "M23_external_links", "behavior", lambda b: html.link_audit(html.html_nodes(_page(b, "cisa", "<main>", F.concat(*[F.concat(F.lit(f'<a href="{u}?n='), F.col("id").cast("string"), F.lit('">x</a>')) for u in _LINKS]), "</main>"), reads=html.LINKS)).select("doc_id", "href", "external", "target"),
     f"select {_ID}, u || '?n=' || id as href, x as external, case when u = 'https://nvd.nist.gov/vuln/detail/CVE-2024-12345' then u end as target from behavior, (values " + ", ".join(f"('{u}', {str(x).lower()})" for u, x in _LINKS.items()) + ") l(u, x)",
 )
 _HIDDEN = "<p hidden>no</p><div style='DISPLAY : none'><p>no <b>nor this</b></p></div><span></span><p aria-hidden='true'>no</p>"

@@ -67,6 +67,13 @@ def test_packed_pages(spark, tmp_path):
 PAGES = [(1, "cisa", '<main><h2>Detection rules</h2><table><tr><th>Rule</th></tr><tr><td>rule a { }</td></tr></table><p>x <a href="/y?n=1">y</a></p><pre><code>rule b { }</code></pre></main>'), (2, "cisa", "<p>A<br/>b<![broken[ ]]>")]
 
 
+def test_links_alone_are_handed_on(spark):
+    docs = spark.createDataFrame(PAGES, "doc_id long, source string, html string")
+    links = html.html_nodes(docs, reads=html.LINKS)
+    assert links.columns == ["doc_id", "source", "pos", "tag", "attrs"] and rows(links.select("tag")) == [("#error",), ("a",)]
+    assert rows(html.link_audit(links)) == rows(html.link_audit(html.html_nodes(docs)))
+
+
 def test_plain_tags_are_read_as_html_parser_does(monkeypatch):
     texts = [h for _, _, h in PAGES] + ['<div hidden="x">a &amp; b</div>', "<h2>t</h2><p>a<p a='1'>b", '<ul><li>x<li style="display : none">y</ul><title>a <b></title><i>', '<a href="?a=1&b=2">z</a></b>', "a < b <td>c"]
     plain = [parse.document_rows(h) for h in texts]
