@@ -8,6 +8,7 @@ from ctispark.operators.aggs import KILL_CHAIN
 from ctispark.operators.joins import dedup_against, resolve_alias
 from ctispark.operators.ordering import first_listed, first_per_key
 from ctispark.operators.plaintext import validated
+from ctispark.sources.shared import staged
 
 # The parts of a response.
 LISTS = ("threat_actors", "malware_families", "targeted_sectors", "cve_ids", "mitre_techniques")
@@ -36,20 +37,21 @@ def _keys(json: Column, path: str = "$") -> Column:
 
 def validate_intel(responses: DataFrame) -> DataFrame:
     """(advisory_id, response) with error (null for a sound one) and data, the parsed response."""
-    raw = text.unfence_json(F.col("response"))
-    out = responses.withColumn("__raw", raw).withColumn("data", F.from_json("__raw", INTEL))
+    # a generator's output is computed once, however many columns ask for it
+    out = responses.select("*", F.explode(F.array(text.unfence_json(F.col("response")))).alias("__raw")).select("*", F.explode(F.array(_keys(F.col("__raw")))).alias("__keys"))
+    out = out.select("*", F.json_tuple("__raw", *TOP).alias(*[f"__{k}" for k in TOP])).withColumn("data", F.from_json("__raw", INTEL))
     top = F.array(*map(F.lit, TOP))
-    missing = F.sort_array(F.array_except(top, _keys(F.col("__raw"))))
-    is_list = lambda k: F.get_json_object("__raw", f"$.{k}").startswith("[")
+    missing = F.sort_array(F.array_except(top, F.col("__keys")))
+    is_list = lambda k: F.col(f"__{k}").startswith("[")
     not_lists = F.array_compact(F.array(*[F.when(~F.coalesce(is_list(k), F.lit(False)), k) for k in (*LISTS, "behaviors")]))
-    iocs = F.get_json_object("__raw", "$.iocs")
+    iocs = F.col("__iocs")
     sub = F.sort_array(F.array_except(F.array(*map(F.lit, IOC_KINDS)), F.coalesce(F.json_object_keys(iocs), F.array().cast("array<string>"))))
     bad = F.exists("data.behaviors", lambda b: b["description"].isNull() | ~F.coalesce(b["confidence"], F.lit("llm_inferred")).isin(*CONFIDENCES))
     error = (
-        F.when(_keys(F.col("__raw")).isNull(), "not a JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ","))).when(F.size(not_lists) > 0, F.concat(F.lit("not lists: "), F.array_join(not_lists, ",")))
+        F.when(F.col("__keys").isNull(), "not a JSON object").when(F.size(missing) > 0, F.concat(F.lit("missing keys: "), F.array_join(missing, ","))).when(F.size(not_lists) > 0, F.concat(F.lit("not lists: "), F.array_join(not_lists, ",")))
         .when(~F.coalesce(iocs.startswith("{"), F.lit(False)), "iocs is no object").when(F.size(sub) > 0, F.concat(F.lit("missing iocs: "), F.array_join(sub, ","))).when(F.coalesce(bad, F.lit(False)), "bad behaviour")
     )
-    return out.withColumn("error", error).drop("__raw")
+    return out.withColumn("error", error).drop("__raw", "__keys", *[f"__{k}" for k in TOP])
 
 
 def intel_iocs(valid: DataFrame, docs: DataFrame, allow: DataFrame | None = None) -> DataFrame:
@@ -92,7 +94,9 @@ def quality_of_intel(valid: DataFrame, iocs: DataFrame) -> DataFrame:
 
 def intel_pipeline(responses: DataFrame, docs: DataFrame, parsed_techniques: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
     """Responses to the tables that save_intel merges, and failures of the others."""
-    valid = validate_intel(responses)
+    # reading a response takes longer than its bytes tell, so responses are dealt out over all tasks and read once
+    dealt = responses.repartition(int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions")), "advisory_id")
+    valid = staged(validate_intel(dealt).select("advisory_id", "error", "data"))
     own = valid.filter("error is null")
     iocs = intel_iocs(valid, docs).withColumn("extraction_source", F.lit("intel"))
     names = lambda c: own.select("advisory_id", F.explode(f"data.{c}").alias("name")).filter("trim(name) <> ''").distinct()

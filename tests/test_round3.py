@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ctispark.operators import html, parse, plaintext
+from ctispark.operators import html, intel, parse, plaintext
 from ctispark.plans import registry
 from ctispark.sources import feeds
 
@@ -86,3 +86,13 @@ def test_rules_need_no_cells_as_nodes(spark):
     nodes = html.parsed(docs, reads=html.RULES)
     assert rows(nodes.select("tag").distinct()) == [("#error",), ("code",), ("h2",), ("p",), ("pre",), ("table",)]
     assert rows(html.detection_rules(nodes)) == rows(html.detection_rules(html.parsed(docs))) != []
+
+
+def test_responses_are_read_once(spark):
+    named = spark.createDataFrame([("adv-1", "{}")], "advisory_id string, response string")
+    docs = spark.createDataFrame([("adv-1", "text")], "advisory_id string, article_body string")
+    techniques = spark.createDataFrame([("adv-1", "T1059")], "advisory_id string, technique_id string")
+    aliases = spark.createDataFrame([("a", "A")], "alias string, canonical string")
+    found = intel.intel_pipeline(named, docs, techniques, aliases)
+    assert rows(found["failures"])[0][0] == "adv-1"
+    assert not any("from_json" in df._jdf.queryExecution().executedPlan().toString() for df in found.values())
