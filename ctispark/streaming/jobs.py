@@ -134,14 +134,19 @@ def keep_tables(store: Store, tables: Tables) -> None:
     store.commit(0, keys, lambda old: tables)
 
 
+def _changed(old: Tables, new: Tables) -> Tables:
+    """Those of new that a merge made anew; the others stay in their files."""
+    return {name: df for name, df in new.items() if df is not old.get(name)}
+
+
 def commit_parse(store: Store, batch: int, parsed: Tables, at: str) -> bool:
     """B17 as one commit over all tables: a failure halfway leaves the set as it was, a batch that was committed changes nothing."""
-    return store.commit(batch, parsed["advisories"], lambda old: save_parse(old, parsed, at))
+    return store.commit(batch, parsed["advisories"], lambda old: _changed(old, save_parse(old, parsed, at)))
 
 
 def commit_intel(store: Store, batch: int, intel: Tables, at: str) -> bool:
     """B18 as one commit, likewise."""
-    return store.commit(batch, intel["advisories"], lambda old: save_intel(old, intel, at))
+    return store.commit(batch, intel["advisories"], lambda old: _changed(old, save_intel(old, intel, at)))
 
 
 def poll_windows(rows: DataFrame, ts: str, width: str, slide: str | None = None, gap: str | None = None, key: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ctispark.operators import html, intel, parse, plaintext
 from ctispark.plans import registry
 from ctispark.sources import feeds
+from ctispark.streaming import jobs
 
 
 FOLDER = "/root/testdata/sf0.001"
@@ -104,3 +105,16 @@ def test_indicators_are_told_once(spark):
     assert rows(found.select("doc_id", "type", "value", "rest")) == [(2, "url", "https://a.b/c", None)]
     # the step that undoes the first form of defanging stands in the plan as often as it is done
     assert found._jdf.queryExecution().optimizedPlan().toString().count("hxxps") == 1
+
+
+def test_commits_leave_unchanged_tables(spark, odd):
+    from ctispark.plans import landed
+    from ctispark.sources.domain import domain
+
+    tables = [domain(spark, FOLDER, name) for name in landed._SAVED.split()]
+    store, batch = landed._stored(*tables)
+    calls = tables[7].filter("false")
+    intel_ = {"advisories": batch, "ioc": store.read("ioc").filter("false"), "advisory_technique": tables[3].filter("false"), "calls": calls}
+    assert jobs.commit_intel(store, 1, intel_, "2024-06-01")
+    held = {name: set(t["buckets"].values()) for name, t in store.manifest["tables"].items()}
+    assert held["detection_rule"] == held["advisory_asset"] == held["extraction_log"] == {0} and held["ioc"] == {1}
