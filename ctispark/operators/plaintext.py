@@ -15,8 +15,8 @@ PROSE_TRUSTED = ("md5", "sha1", "sha256", "sha512", "ip", "url", "email")
 EDGES = r"\A[(),;:.'\"]+|[(),;:.'\"]+\z"
 
 
-def _picked(df: DataFrame, raw: str, hint: Column | None = None) -> DataFrame:
-    """df with __i: type, value and rest of the raw text as an indicator, or of the one of a trusted type that it holds; null without one."""
+def _picked(df: DataFrame, raw: str, hint: Column | None = None, known: Column | None = None) -> DataFrame:
+    """df with __i: type, value and rest of the raw text as an indicator, or of the one of a trusted type that it holds; null without one. known: __i where it was told before, else null."""
 
     def of(v: Column, t: Column) -> Column:
         whole = F.struct(t.alias("type"), v.alias("value"), F.lit(None).cast("string").alias("rest"))
@@ -26,13 +26,14 @@ def _picked(df: DataFrame, raw: str, hint: Column | None = None) -> DataFrame:
 
     picked = ioc.bound(ioc.refang(F.col(raw)), lambda v: ioc.bound(ioc.infer_type(v, hint), lambda t: of(v, t)))
     any_ = F.col(raw).rlike(ioc.MARK) if hint is None else F.col(raw).rlike(ioc.MARK) | hint.isNotNull()
+    told = F.when(any_, picked) if known is None else F.when(known.isNotNull(), known).when(any_, picked)
     # a generator's output is computed once, however many columns and filters ask for it
-    return df.select("*", F.explode(F.array(F.when(any_, picked))).alias("__i"))
+    return df.select("*", F.explode(F.array(told)).alias("__i"))
 
 
-def typed(df: DataFrame, raw: str, hint: Column | None = None) -> DataFrame:
+def typed(df: DataFrame, raw: str, hint: Column | None = None, known: Column | None = None) -> DataFrame:
     """M9, first half: rows whose raw text is an indicator, or holds one of a trusted type; adds type, value and rest (what else the text had)."""
-    out = _picked(df, raw, hint).filter("__i is not null")
+    out = _picked(df, raw, hint, known).filter("__i is not null")
     low = F.col("__i.type").isin("md5", "sha1", "sha256", "sha512")
     return out.withColumns({"type": F.col("__i.type"), "value": F.when(low, F.lower("__i.value")).otherwise(F.col("__i.value")), "rest": F.col("__i.rest")}).drop("__i")
 
@@ -66,7 +67,9 @@ def iocs_plaintext(docs: DataFrame, doc: str = "doc_id", body: str = "text", own
     # a line is tried whole; where it is none, and holds none of a trusted type, by its tokens
     tokens = F.filter(F.transform(F.split("line", r"\s+"), lambda t: F.regexp_replace(t, EDGES, "")), lambda t: (F.length(t) >= 5) & t.rlike(ioc.MARK))
     parts = F.when(F.col("__i").isNotNull(), F.array(F.struct(F.lit(0).alias("n"), F.col("line").alias("raw")))).otherwise(F.transform(tokens, lambda t, i: F.struct((i + 1).alias("n"), t.alias("raw"))))
-    tried = typed(_picked(lines, "line").select(doc, "pos", "heading", "in_section", F.explode(parts).alias("part")).select(doc, "pos", "heading", "in_section", "part.n", "part.raw"), "raw")
+    each = _picked(lines, "line").select(doc, "pos", "heading", "in_section", F.col("__i").alias("whole"), F.explode(parts).alias("part")).select(doc, "pos", "heading", "in_section", "whole", "part.n", "part.raw")
+    # what was told of a whole line is not told again
+    tried = typed(each, "raw", known=F.col("whole"))
     trusted = F.col("in_section") | F.col("type").isin(*PROSE_TRUSTED)
     context = F.when(F.col("rest").isNull(), F.col("heading")).otherwise(F.concat_ws("; ", "rest", "heading"))
     kept = tried.filter(trusted).select(doc, "pos", "n", "type", "value", context.alias("context"), "in_section")

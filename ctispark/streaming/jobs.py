@@ -51,6 +51,11 @@ def landed_stream(spark: SparkSession, landing: str, schema: str, form: str = "j
     return (reader.option("maxFilesPerTrigger", files) if files else reader).load(landing)
 
 
+def dealt(batch: DataFrame) -> DataFrame:
+    """A batch's documents, dealt out by id over all tasks: reading one takes longer than its bytes tell, so tasks are not merged by size."""
+    return batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def stream_ingest(spark: SparkSession, landing: str, schema: str, root: str, checkpoint: str, files: int | None = None) -> StreamingQuery:
     """K1: landed entries (advisory_id, lastmod, ...): unseen ones are added as pending, ones with a later lastmod are asked for again, others change nothing. files: of a batch, at most."""
 
@@ -94,8 +99,9 @@ def stream_extract(stream: DataFrame, root: str, checkpoint: str) -> StreamingQu
     key = ["doc_id", "type", "value"]
 
     def merge(tables: Tables, batch: DataFrame) -> Tables:
-        old, new = tables.get(ROWS), iocs_plaintext(batch)
-        return {ROWS: new if old is None else insert_ignore(old, new, key)}
+        old, new = tables.get(ROWS), iocs_plaintext(dealt(batch))
+        # new has each key once
+        return {ROWS: new if old is None else old.unionByName(new.join(old.select(*key), key, "left_anti").select(*old.columns))}
 
     return start(stream, merged_sink(root, ("doc_id",), merge), checkpoint)
 
@@ -112,9 +118,7 @@ def stream_parse(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
     from ctispark.operators.html import parse_documents, parse_errors, parsed
 
     def merge(tables: Tables, batch: DataFrame) -> Tables:
-        # reading a page takes longer than its bytes tell, so a batch's pages are dealt out over all tasks
-        dealt = batch.repartition(int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-        one = dealt.groupBy("doc_id").agg(F.max(F.struct("source", "html")).alias("p")).select("doc_id", "p.*")
+        one = dealt(batch).groupBy("doc_id").agg(F.max(F.struct("source", "html")).alias("p")).select("doc_id", "p.*")
         nodes = parsed(one)
         found = parse_documents(nodes)
         failed = parse_errors(nodes).select("doc_id", "message")
