@@ -86,14 +86,21 @@ def conditioned(out: Outputs, by_symbol: np.ndarray, by_class: np.ndarray, weigh
     return out._replace(after=after.astype(np.float32), turns=turns)
 
 
-def _rows(keys: np.ndarray, values: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct keys in order, the sums of their values' rows, and how often each is real."""
-    if not len(keys):
-        return keys, values, real
-    order = np.argsort(keys.astype(np.uint16) if keys.max() < 1 << 16 else keys, kind="stable")
-    own = keys[order]
-    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return own[starts], np.add.reduceat(values.take(order, axis=0), starts, axis=0), np.add.reduceat(real[order].astype(np.int64), starts)
+def _summed(places: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """A row for each of n places: the sums of what goes there of each of columns, which are long runs of numbers and so quicker than many short rows."""
+    width = len(columns)
+    return np.bincount((np.arange(width)[:, None] * n + places).ravel(), columns.ravel(), n * width).reshape(width, n).T.astype(columns.dtype, order="C")
+
+
+def _rows(keys: np.ndarray, columns: np.ndarray, real: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, below size, in order, a row of the sums of each one's numbers in columns, and how often each is real."""
+    there = np.zeros(size, bool)
+    there[keys] = True
+    distinct = np.flatnonzero(there)
+    place = np.empty(size, np.int64)
+    place[distinct] = np.arange(len(distinct))
+    at = place.take(keys)
+    return distinct, _summed(at, columns, len(distinct)), np.bincount(at[real], minlength=len(distinct))
 
 
 def _exp(m: np.ndarray) -> np.ndarray:
@@ -116,6 +123,7 @@ class Attention:
         self.p["E"] = np.zeros((self.first + 1, WIDTH), kind)
         self.p["U"] = np.zeros((len(out.odds), BRANCH), kind)
         self.groups = np.append(out.classes, len(out.shares))
+        self.fixed = None if out.turns is None else (out.turns + out.odds).ravel()
         self.distance = np.arange(span)[:, None] - np.arange(span)
 
     def table(self) -> np.ndarray:
@@ -133,44 +141,44 @@ class Attention:
             at += n
         return self
 
-    def _levels(self, h: np.ndarray, x: np.ndarray, y: np.ndarray):
-        """Targets y behind symbols x, those of the longest paths first, and a row a level of their paths: how many have it, its nodes, signs, weights and margins."""
+    def _steps(self, h: np.ndarray, x: np.ndarray, y: np.ndarray):
+        """The decisions on the paths of targets y behind symbols x, path behind path: whose they are, their states, nodes, signs, weights and margins."""
         o = self.out
-        order = np.argsort(255 - np.minimum(o.lengths[y], 255).astype(np.uint8), kind="stable")
-        lengths, starts = o.lengths[y[order]], o.starts[y[order]]
-        state = np.ascontiguousarray(h[:, :BRANCH]).take(order, axis=0)
-        turns = None if o.turns is None else o.turns.ravel()
-        group = self.groups[x[order]] * len(o.odds)
-        have = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0)).tolist()
-
-        def levels():
-            for k, n in enumerate(have):
-                at = starts[:n] + k
-                nodes, signs = o.nodes.take(at), o.signs.take(at)
-                weights = self.p["U"].take(nodes, axis=0)
-                margin = (state[:n] * weights) @ np.ones(BRANCH, self.kind)
-                margin += o.odds.take(nodes)
-                if turns is not None:
-                    margin += turns.take(group[:n] + nodes)
-                margin *= signs
-                yield n, nodes, signs, weights, np.clip(margin, -60, 60, out=margin)
-
-        return order, state, sum(have), levels()
+        lengths = o.lengths.take(y)
+        owner = np.repeat(np.arange(len(y)), lengths)
+        at = (o.starts.take(y) - (np.cumsum(lengths) - lengths)).take(owner)
+        at += np.arange(len(owner))
+        nodes, signs = o.nodes.take(at), o.signs.take(at)
+        state, weights = h[:, :BRANCH].take(owner, axis=0), self.p["U"].take(nodes, axis=0)
+        margin = (state * weights) @ np.ones(BRANCH, self.kind)
+        if o.turns is None:
+            margin += o.odds.take(nodes)
+        else:
+            place = (self.groups.take(x) * len(o.odds)).take(owner)
+            place += nodes
+            margin += self.fixed.take(place)
+        margin *= signs
+        return owner, state, nodes, signs, weights, np.clip(margin, -60, 60, out=margin)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, measured: bool = False) -> tuple[float, dict]:
         """Mean loss (if measured) of targets y after symbols x (windows by span, where real), and gradients; those of E and U are rows' numbers, rows, and how often each was used."""
-        p, root, ones = self.p, self.kind(np.sqrt(WIDTH)), lambda n: np.ones((n, 1), self.kind)
+        p, root, ones = self.p, self.kind(np.sqrt(WIDTH)), lambda *n: np.ones(n, self.kind)
         blocks = lambda m: m.reshape(-1, self.span, WIDTH)
-        dot = lambda a, b: np.einsum("ij,ij->i", a, b)
         flip = lambda m: m.transpose(0, 2, 1)
-        xs, ys, n = x.ravel(), y.ravel(), x.size
-        weight = real.ravel().astype(self.kind) / self.kind(max(1, int(real.sum())))
+        xs, ys, n, span = x.ravel(), y.ravel(), x.size, self.span
+        told = real.ravel()
+        weight = told.astype(self.kind) / self.kind(max(1, int(real.sum())))
         e = p["E"].take(xs, axis=0)
-        q = e @ (p["Q"] / root)
-        s = blocks(q) @ flip(blocks(e))
+        keys = np.ascontiguousarray(flip(blocks(e)))
+        # shares above their gradients, and gradients of attended values above queries: what both give the keys is one product
+        shares, given = np.empty((len(x), 2 * span, span), self.kind), np.empty((len(x), 2 * span, WIDTH), self.kind)
+        s, ds = shares[:, :span], shares[:, span:]
+        q = given[:, span:]
+        q[...] = blocks(e @ (p["Q"] / root))
+        np.matmul(q, keys, out=s)
         s += np.where(self.distance >= 0, p["r"][np.maximum(self.distance, 0)], self.kind(-np.inf))
         _exp(s)
-        total = s.reshape(n, -1) @ ones(self.span)
+        total = (s @ ones(span, 1)).reshape(n, 1)
         c = (s @ blocks(e)).reshape(n, -1)
         c /= total
         h = c @ p["V"]
@@ -181,44 +189,43 @@ class Attention:
         if self.out.after is not None:
             z += self.out.after.take(xs, axis=0)
         _exp(z)
-        sums, cls = z @ ones(z.shape[1]), self.out.classes[ys]
-        loss = -float((np.log(np.maximum(z[np.arange(n), cls] / sums[:, 0], 1e-30)) * weight).sum()) if measured else 0.0
+        sums, cls = z @ ones(z.shape[1], 1), np.arange(n) * z.shape[1] + self.out.classes.take(ys)
+        flat = z.reshape(-1)
+        loss = -float((np.log(np.maximum(flat[cls] / sums[:, 0], 1e-30)) * weight).sum()) if measured else 0.0
         z *= weight[:, None] / sums
-        z[np.arange(n), cls] -= weight
+        flat[cls] -= weight
         dh = z @ p["W"].T
         # decisions within the class
-        order, state, steps, levels = self._levels(h, xs, ys)
-        own, used, back = weight[order], real.ravel()[order], np.zeros((n, BRANCH), self.kind)
-        asked, pushed, was, at = np.zeros(steps, np.int64), np.zeros((steps, BRANCH), self.kind), np.zeros(steps, bool), 0
-        for k, nodes, signs, weights, margin in levels:
-            if measured:
-                loss += float((np.log1p(np.exp(-margin)) * own[:k]).sum())
-            g = np.exp(margin)
-            g += 1
-            np.divide(signs * own[:k], g, out=g)
-            weights *= g[:, None]
-            back[:k] -= weights
-            np.multiply(state[:k], -g[:, None], out=pushed[at : at + k])
-            asked[at : at + k], was[at : at + k] = nodes, used[:k]
-            at += k
-        dh[order, :BRANCH] += back
-        found = {"W": h.T @ z, "b": z.sum(axis=0), "U": _rows(asked, pushed, was)}
+        owner, state, nodes, signs, weights, margin = self._steps(h, xs, ys)
+        own = weight.take(owner)
+        if measured:
+            loss += float((np.log1p(np.exp(-margin)) * own).sum())
+        own *= signs
+        np.exp(margin, out=margin)
+        margin += 1
+        own /= margin
+        back, pushed = np.ascontiguousarray(weights.T), np.ascontiguousarray(state.T)
+        back *= own
+        pushed *= -own
+        dh[:, :BRANCH] -= _summed(owner, back, n)
+        found = {"W": h.T @ z, "b": (ones(1, n) @ z)[0], "U": _rows(nodes, pushed, told.take(owner), len(p["U"]))}
         # attention; the sum of gradients times shares is that of gradients times attended values
         dc = dh @ p["V"].T
         found["V"] = c.T @ dh
         dc /= total
-        ds = blocks(dc) @ flip(blocks(e))
-        ds -= dot(dc, c).reshape(*x.shape, 1)
+        given[:, :span] = blocks(dc)
+        np.matmul(given[:, :span], keys, out=ds)
+        c *= dc
+        ds -= (c @ ones(WIDTH, 1)).reshape(*x.shape, 1)
         ds *= s
         dq = (ds @ blocks(e)).reshape(n, -1)
         de = dq @ (p["Q"].T / root)
         de += dh
         de3 = blocks(de)
-        de3 += flip(s) @ blocks(dc)
-        de3 += flip(ds) @ blocks(q)
-        by = ds.sum(axis=0)
-        found["r"] = np.bincount(np.maximum(self.distance, 0).ravel(), np.where(self.distance >= 0, by, 0).ravel(), self.span)
-        return loss, found | {"Q": e.T @ dq / root, "E": _rows(xs, de, real.ravel())}
+        de3 += flip(shares) @ given
+        by = (ones(1, len(x)) @ shares.reshape(len(x), -1)).reshape(2 * span, span)[span:]
+        found["r"] = np.bincount(np.maximum(self.distance, 0).ravel(), np.where(self.distance >= 0, by, 0).ravel(), span)
+        return loss, found | {"Q": e.T @ dq / root, "E": _rows(xs, np.ascontiguousarray(de.T), told, len(p["E"]))}
 
     def scorer(self):
         """A function of (symbols, lengths), sequences one behind the other: the natural log of each symbol's probability."""
@@ -270,11 +277,8 @@ class Attention:
                 real = filled[own].ravel()
                 targets = y[own].ravel()[real]
                 got = np.log(z[real, classes[targets]]) - np.log(z.sum(axis=1)[real])
-                order, _, _, levels = self._levels(h[real], behind[real], targets)
-                lost = np.zeros(len(targets))
-                for n, _, _, _, margin in levels:
-                    lost[:n] += np.log1p(np.exp(-margin))
-                got[order] -= lost
+                owner, _, _, _, _, margin = self._steps(h[real], behind[real], targets)
+                got -= np.bincount(owner, np.log(np.exp(-margin) + 1), len(targets))
                 block = np.zeros(len(own) * half)
                 block[real] = got
                 out[own] = block.reshape(-1, half)
@@ -297,9 +301,14 @@ def train(model: Attention, windows, rate: float = 0.02, before: np.ndarray | No
             at, rows, times = g.pop(k)
             if counts is not None:
                 counts[at] += times
-            now = squares[k][at] + rows**2
+            now = squares[k].take(at, axis=0)
+            now += rows * rows
             squares[k][at] = now
-            model.p[k][at] -= model.kind(faster * rate * min(1.0, t / 20)) * rows / (np.sqrt(now) + model.kind(1e-8))
+            np.sqrt(now, out=now)
+            now += model.kind(1e-8)
+            rows *= model.kind(faster * rate * min(1.0, t / 20))
+            rows /= now
+            model.p[k][at] = model.p[k].take(at, axis=0) - rows
         for k in g:
             m[k] += 0.1 * (g[k] - m[k])
             v[k] += 0.01 * (g[k] ** 2 - v[k])

@@ -40,6 +40,8 @@ TRAINED, FILE_SHARDS, FILES = 2_000_000, 16, 64
 #: Positions of a window; parts by which parameters of tasks are summed, one for so many documents.
 VIEW, FEWEST_PARTS, PART_DOCS = 32, 16, 1_000_000
 HEAD = 1_000_000
+#: Words whose subwords a task keeps, about.
+KEPT = 200_000
 #: Shards: one for so many documents, FEWEST_SHARDS at least.
 SHARD_DOCS, FEWEST_SHARDS = 20_000, 32
 
@@ -133,7 +135,7 @@ def encoded(rows: DataFrame, ranks: str, head: tuple[np.ndarray, np.ndarray], de
     shared = rows.sparkSession.sparkContext.broadcast(head)  # HEAD pairs of numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (top, n) = encoder(ranks), shared.value
+        enc, (top, n), kept = encoder(ranks), shared.value, {}
         logs = np.append(np.log10((n + 1) / denominator), 0.0)
         known = np.append(n > 0, False)
         leads = np.array([enc.decode_single_token_bytes(k).startswith(b" ") for k in range(enc.n_vocab)])
@@ -154,12 +156,21 @@ def encoded(rows: DataFrame, ranks: str, head: tuple[np.ndarray, np.ndarray], de
                 words += own
                 counts.append(len(own))
             h, counts = word_hashes(words), np.array(counts, np.int64)
-            # each different word of the slice is looked up and encoded once
+            # each different word of the slice is looked up once; it is encoded once by this task, as long as it is kept
             distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
             at = np.searchsorted(top, distinct)
             if len(top):
                 at = np.where(top[np.minimum(at, len(top) - 1)] == distinct, at, len(top))
-            pool, size = subwords([words[k] for k in first.tolist()])
+            if len(kept) > KEPT:
+                kept.clear()
+            keys = distinct.tolist()
+            fresh = [(k, f) for k, f in zip(keys, first.tolist(), strict=True) if k not in kept]
+            new, size = subwords([words[f] for _, f in fresh])
+            packed, ends = new.tobytes(), (2 * np.cumsum(size)).tolist()
+            for (k, _), a, b in zip(fresh, [0, *ends], ends, strict=False):
+                kept[k] = packed[a:b]
+            packs = [kept[k] for k in keys]
+            pool, size = np.frombuffer(b"".join(packs), np.uint16), np.fromiter(map(len, packs), np.int64, len(packs)) // 2
             begin, sizes = np.cumsum(size) - size, size[which]
             ids = pool[np.arange(sizes.sum()) + np.repeat(begin[which] - (np.cumsum(sizes) - sizes), sizes)]
             doc, docs = np.repeat(np.arange(len(counts)), counts), len(counts)

@@ -554,3 +554,22 @@ def test_minimum_cut():
         cost = lambda side: sum(sink[i] if s else source[i] for i, s in enumerate(side)) + sum(c for a, b, c in ties if side[a] != side[b])
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert cost(html_text.max_flow_side(source, sink, ties)) == pytest.approx(best)
+
+
+def test_scoring_sums_rows_by_place():
+    """op8: rows of gradients are summed by their symbols or decisions, all steps of all paths at once."""
+    from ctispark.llm.attention import WIDTH, _rows
+
+    rng = np.random.default_rng(3)
+    keys, values, real = rng.integers(0, 9, 40) * 2, rng.normal(size=(40, 8)), rng.random(40) < 0.7
+    at, sums, times = _rows(keys, np.ascontiguousarray(values.T), real, 30)
+    want, n = np.zeros((30, 8)), np.zeros(30, int)
+    np.add.at(want, keys, values)
+    np.add.at(n, keys[real], 1)
+    assert at.tolist() == sorted(set(keys.tolist())) and np.allclose(sums, want[at]) and times.tolist() == n[at].tolist()
+    counts = rng.integers(1, 99, 50)
+    model = Attention(factored(counts, np.zeros(50, int), 4), 4)
+    y = rng.integers(0, 50, 12)
+    owner, _, nodes, *_ = model._steps(rng.normal(size=(12, WIDTH)).astype(np.float32), y, y)
+    o = model.out
+    assert [nodes[owner == k].tolist() for k in range(12)] == [o.nodes[o.starts[s] : o.starts[s] + o.lengths[s]].tolist() for s in y.tolist()]
