@@ -15,6 +15,7 @@ Embeddings and decisions begin at zero, so what was never trained is as likely
 as the counts have it.
 """
 
+import itertools
 from typing import NamedTuple
 
 import numpy as np
@@ -88,8 +89,10 @@ def conditioned(out: Outputs, by_symbol: np.ndarray, by_class: np.ndarray, weigh
 
 def _summed(places: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
     """A row for each of n places: the sums of what goes there of each of columns, which are long runs of numbers and so quicker than many short rows."""
-    width = len(columns)
-    return np.bincount((np.arange(width)[:, None] * n + places).ravel(), columns.ravel(), n * width).reshape(width, n).T.astype(columns.dtype, order="C")
+    out = np.empty((n, len(columns)), columns.dtype)
+    for k, column in enumerate(columns):
+        out[:, k] = np.bincount(places, column, n)
+    return out
 
 
 def _rows(keys: np.ndarray, columns: np.ndarray, real: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,15 +145,21 @@ class Attention:
         return self
 
     def _steps(self, h: np.ndarray, x: np.ndarray, y: np.ndarray):
-        """The decisions on the paths of targets y behind symbols x, path behind path: whose they are, their states, nodes, signs, weights and margins."""
+        """The decisions on the paths of targets y behind symbols x, depth by depth: whose they are, their states by column, nodes, signs, weights by column and margins; then the targets by the lengths of their paths, longest first, and where each depth begins and the last ends: its decisions are those of the first targets in that order."""
         o = self.out
         lengths = o.lengths.take(y)
-        owner = np.repeat(np.arange(len(y)), lengths)
-        at = (o.starts.take(y) - (np.cumsum(lengths) - lengths)).take(owner)
-        at += np.arange(len(owner))
+        order = np.argsort(-lengths.astype(np.int16), kind="stable")
+        deep = len(y) - np.cumsum(np.bincount(lengths))[:-1]
+        bounds = np.concatenate(([0], np.cumsum(deep)))
+        each = [*deep.tolist(), 0]
+        owner = np.concatenate([order[:k] for k in each])
+        first = o.starts.take(y).take(order)
+        at = np.concatenate([first[:k] + depth for depth, k in enumerate(each)])
         nodes, signs = o.nodes.take(at), o.signs.take(at)
-        state, weights = h[:, :BRANCH].take(owner, axis=0), self.p["U"].take(nodes, axis=0)
-        margin = (state * weights) @ np.ones(BRANCH, self.kind)
+        own = np.ascontiguousarray(h[:, :BRANCH].take(order, axis=0).T)
+        state = np.concatenate([own[:, :k] for k in each], axis=1)
+        weights = np.ascontiguousarray(self.p["U"].take(nodes, axis=0).T)
+        margin = (state * weights).sum(axis=0)
         if o.turns is None:
             margin += o.odds.take(nodes)
         else:
@@ -158,7 +167,7 @@ class Attention:
             place += nodes
             margin += self.fixed.take(place)
         margin *= signs
-        return owner, state, nodes, signs, weights, np.clip(margin, -60, 60, out=margin)
+        return owner, state, nodes, signs, weights, np.clip(margin, -60, 60, out=margin), order, bounds.tolist()
 
     def gradients(self, x: np.ndarray, y: np.ndarray, real: np.ndarray, measured: bool = False) -> tuple[float, dict]:
         """Mean loss (if measured) of targets y after symbols x (windows by span, where real), and gradients; those of E and U are rows' numbers, rows, and how often each was used."""
@@ -196,7 +205,7 @@ class Attention:
         flat[cls] -= weight
         dh = z @ p["W"].T
         # decisions within the class
-        owner, state, nodes, signs, weights, margin = self._steps(h, xs, ys)
+        owner, state, nodes, signs, weights, margin, order, bounds = self._steps(h, xs, ys)
         own = weight.take(owner)
         if measured:
             loss += float((np.log1p(np.exp(-margin)) * own).sum())
@@ -204,11 +213,15 @@ class Attention:
         np.exp(margin, out=margin)
         margin += 1
         own /= margin
-        back, pushed = np.ascontiguousarray(weights.T), np.ascontiguousarray(state.T)
-        back *= own
-        pushed *= -own
-        dh[:, :BRANCH] -= _summed(owner, back, n)
-        found = {"W": h.T @ z, "b": (ones(1, n) @ z)[0], "U": _rows(nodes, pushed, told.take(owner), len(p["U"]))}
+        weights *= own
+        state *= -own
+        back = np.zeros((BRANCH, n), self.kind)
+        for a, b in itertools.pairwise(bounds):
+            back[:, : b - a] += weights[:, a:b]
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        dh[:, :BRANCH] -= np.ascontiguousarray(back.T).take(place, axis=0)
+        found = {"W": h.T @ z, "b": (ones(1, n) @ z)[0], "U": _rows(nodes, state, told.take(owner), len(p["U"]))}
         # attention; the sum of gradients times shares is that of gradients times attended values
         dc = dh @ p["V"].T
         found["V"] = c.T @ dh
@@ -235,6 +248,9 @@ class Attention:
         query = p["Q"] / self.kind(np.sqrt(WIDTH))
         ahead = np.arange(half)[:, None] + half - np.arange(span)
         near = np.where(ahead >= 0, p["r"][np.maximum(ahead, 0)], self.kind(-np.inf))
+        # what a symbol and what is attended to add to the classes' terms and to the first numbers of the state
+        given = p["E"] @ p["W"] + p["b"] + (0 if self.out.after is None else self.out.after)
+        attended = np.concatenate((p["V"] @ p["W"], p["V"][:, :BRANCH]), axis=1)
 
         def score(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
             # each sequence gets half places of nothing in front, and is filled up to a multiple of half
@@ -266,19 +282,20 @@ class Attention:
                 _exp(s)
                 c = (s @ kept).reshape(-1, WIDTH)
                 c /= s.reshape(len(c), -1) @ np.ones((span, 1), self.kind)
-                h = c @ p["V"]
-                h += late
-                z = h @ p["W"]
-                z += p["b"]
-                behind = np.minimum(x[own].ravel(), first)
-                if self.out.after is not None:
-                    z += self.out.after.take(behind, axis=0)
+                z = c @ attended
+                h = z[:, -BRANCH:] + late[:, :BRANCH]
+                real = np.flatnonzero(filled[own])
+                behind, targets = np.minimum(x[own].ravel(), first).take(real), y[own].ravel().take(real)
+                z = z[:, :-BRANCH].take(real, axis=0)
+                z += given.take(behind, axis=0)
                 _exp(z)
-                real = filled[own].ravel()
-                targets = y[own].ravel()[real]
-                got = np.log(z[real, classes[targets]]) - np.log(z.sum(axis=1)[real])
-                owner, _, _, _, _, margin = self._steps(h[real], behind[real], targets)
-                got -= np.bincount(owner, np.log(np.exp(-margin) + 1), len(targets))
+                got = np.log(z.ravel().take(np.arange(len(z)) * z.shape[1] + classes.take(targets)) / (z @ np.ones(z.shape[1], self.kind)))
+                _, _, _, _, _, margin, order, bounds = self._steps(h.take(real, axis=0), behind, targets)
+                lost = np.log(np.exp(-margin) + 1)
+                paths = np.zeros(len(targets), self.kind)
+                for a, b in itertools.pairwise(bounds):
+                    paths[: b - a] += lost[a:b]
+                got[order] -= paths
                 block = np.zeros(len(own) * half)
                 block[real] = got
                 out[own] = block.reshape(-1, half)

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ TRAINED, FILE_SHARDS, FILES = 2_000_000, 16, 64
 #: Positions of a window; parts by which parameters of tasks are summed, one for so many documents.
 VIEW, FEWEST_PARTS, PART_DOCS = 32, 16, 1_000_000
 HEAD = 1_000_000
-#: Words whose subwords a task keeps, about.
-KEPT = 200_000
+#: Characters of texts that are parted into words and encoded at once, about.
+SLICE = 8_000_000
 #: Shards: one for so many documents, FEWEST_SHARDS at least.
 SHARD_DOCS, FEWEST_SHARDS = 20_000, 32
 
@@ -67,9 +68,15 @@ def encoder(ranks: str):
     return _encoders[ranks]
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words, A-Z in lower case; bytes.split() parts at space and \\x09 to \\x0d, and at nothing else."""
-    return text.lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of texts, A-Z in lower case; which of them each word is, text behind text; and how many words each text has. They part at space and \\x09 to \\x0d, and at nothing else."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, owner = parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+    empty = pc.equal(pc.binary_length(flat), 0)  # before leading and behind trailing white space
+    if pc.any(empty).as_py():
+        flat, owner = flat.filter(pc.invert(empty)), owner[~empty.to_numpy(zero_copy_only=False)]
+    found = flat.dictionary_encode()
+    return found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.bincount(owner, minlength=len(texts))
 
 
 def word_shards(rows: DataFrame, shards: int) -> DataFrame:
@@ -78,12 +85,12 @@ def word_shards(rows: DataFrame, shards: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[bool, list[np.ndarray]] = {False: [], True: []}
-            for held, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                found[held].append(word_hashes(tokens(t)))
             out: list[list] = [[], [], [], []]
-            for held, hs in found.items():
-                h, n = np.unique(np.concatenate(hs) if hs else np.zeros(0, np.uint64), return_counts=True)
+            for held in (False, True):
+                words, which, _ = words_of(batch.column(1).filter(pc.equal(batch.column(0), held)))
+                h = word_hashes(words)
+                order = np.argsort(h)
+                h, n = h[order], np.bincount(which, minlength=len(words))[order]
                 cuts = [0, *np.searchsorted(h, bounds).tolist(), len(h)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if a < b:
@@ -135,48 +142,36 @@ def encoded(rows: DataFrame, ranks: str, head: tuple[np.ndarray, np.ndarray], de
     shared = rows.sparkSession.sparkContext.broadcast(head)  # HEAD pairs of numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, (top, n), kept = encoder(ranks), shared.value, {}
+        enc, (top, n) = encoder(ranks), shared.value
         logs = np.append(np.log10((n + 1) / denominator), 0.0)
         known = np.append(n > 0, False)
         leads = np.array([enc.decode_single_token_bytes(k).startswith(b" ") for k in range(enc.n_vocab)])
 
         def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             """The subwords of words, one behind the other, and how many each has. They are encoded at once: only the first of a word begins with a space."""
-            ids = np.array(enc.encode_ordinary("".join(" " + w.decode("utf-8", "replace") for w in words)), np.uint16)
+            ids = enc.encode_to_numpy(b"".join(b" " + w for w in words).decode("utf-8", "replace"), disallowed_special=()).astype(np.uint16)
             begins = np.flatnonzero(leads[ids])
             if len(begins) == len(words):
                 return ids, np.diff(np.append(begins, len(ids)))
             each = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in words]
             return np.array([k for own in each for k in own], np.uint16), np.array([len(own) for own in each], np.int64)
 
-        for batch in (part for whole in batches for part in pieces(whole, 3)):
-            words, counts = [], []
-            for t in batch.column(3).cast(pa.binary()).to_pylist():
-                own = tokens(t)
-                words += own
-                counts.append(len(own))
-            h, counts = word_hashes(words), np.array(counts, np.int64)
-            # each different word of the slice is looked up once; it is encoded once by this task, as long as it is kept
-            distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-            at = np.searchsorted(top, distinct)
+        for batch in (part for whole in batches for part in pieces(whole, 3, SLICE)):
+            # each different word of the slice is looked up and encoded once
+            words, which, counts = words_of(batch.column(3))
+            distinct = word_hashes(words)
+            order = np.argsort(distinct)  # near ones are looked up one after the other
+            at = np.empty(len(order), np.int64)
+            at[order] = np.searchsorted(top, distinct[order])
             if len(top):
                 at = np.where(top[np.minimum(at, len(top) - 1)] == distinct, at, len(top))
-            if len(kept) > KEPT:
-                kept.clear()
-            keys = distinct.tolist()
-            fresh = [(k, f) for k, f in zip(keys, first.tolist(), strict=True) if k not in kept]
-            new, size = subwords([words[f] for _, f in fresh])
-            packed, ends = new.tobytes(), (2 * np.cumsum(size)).tolist()
-            for (k, _), a, b in zip(fresh, [0, *ends], ends, strict=False):
-                kept[k] = packed[a:b]
-            packs = [kept[k] for k in keys]
-            pool, size = np.frombuffer(b"".join(packs), np.uint16), np.fromiter(map(len, packs), np.int64, len(packs)) // 2
+            pool, size = subwords(words)
             begin, sizes = np.cumsum(size) - size, size[which]
             ids = pool[np.arange(sizes.sum()) + np.repeat(begin[which] - (np.cumsum(sizes) - sizes), sizes)]
             doc, docs = np.repeat(np.arange(len(counts)), counts), len(counts)
             rare = (at == len(top))[which]
             id_ends, rare_ends = (np.concatenate(([0], np.cumsum(np.bincount(doc, x, docs).astype(np.int64)))).tolist() for x in (sizes, rare))
-            rest = h[rare]
+            rest = distinct[which[rare]]
             packs = [[x[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] for x, ends in ((ids, id_ends), (rest, rare_ends))]
             base, seen = (np.bincount(doc, x[at][which], docs) for x in (logs, known))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packs[0], pa.binary()), pa.array(counts), pa.array(base), pa.array(seen.astype(np.int64)), pa.array(packs[1], pa.binary())], ["row", "id", "held", "ids", "n", "base", "known", "rest"])
@@ -289,9 +284,10 @@ def windows(texts: Iterator[tuple[int, np.ndarray]], n: int, round_: int, span:
         first, blocks = (round_ - number) % SHARE, -(-len(symbols) // span)
         if first >= blocks:
             continue
-        x, y = np.zeros(blocks * span, np.int64), np.zeros(blocks * span, np.int64)
-        x[0], x[1 : len(symbols)], y[: len(symbols)] = n, symbols[:-1], symbols
-        held.append([m.reshape(-1, span)[first::SHARE] for m in (x, y, np.arange(len(x)) < len(symbols))])
+        shifted = np.zeros(blocks * span + 1, np.int64)
+        shifted[0], shifted[1 : len(symbols) + 1] = n, symbols
+        x, y = (m.reshape(-1, span)[first::SHARE] for m in (shifted[:-1], shifted[1:]))
+        held.append([x, y, np.arange(first, blocks, SHARE)[:, None] * span + np.arange(span) < len(symbols)])
         count += len(held[-1][0])
         if count >= BATCH:
             whole = joined()

@@ -573,3 +573,30 @@ def test_scoring_sums_rows_by_place():
     owner, _, nodes, *_ = model._steps(rng.normal(size=(12, WIDTH)).astype(np.float32), y, y)
     o = model.out
     assert [nodes[owner == k].tolist() for k in range(12)] == [o.nodes[o.starts[s] : o.starts[s] + o.lengths[s]].tolist() for s in y.tolist()]
+
+
+def test_scoring_finds_each_word_of_a_slice_once():
+    """op8: the different words of texts, which one each word is and how many a text has, as bytes.split() has them, whatever white space and letters, also in a part of an array."""
+    import pyarrow as pa
+
+    texts = [None, "", " \t\x0b", " b  A\n", "a a\x0cB\r b", "\xa0x \x1c\x1dy \x85 İK ÀÉ", "x" * 3000 + " 's", None]
+    for part in (slice(0, 8), slice(1, 6), slice(0, 3), slice(0, 0)):
+        words, which, counts = scoring.words_of(pa.array(texts, pa.string())[part])
+        want = [t.encode().lower().split() if t else [] for t in texts[part]]
+        assert len(set(words)) == len(words) and [words[k] for k in which.tolist()] == [w for own in want for w in own]
+        assert counts.tolist() == [len(own) for own in want]
+
+
+def test_scoring_takes_decisions_by_depth():
+    """op8: decisions come depth by depth, each depth's being those of the first targets by length of path."""
+    from ctispark.llm.attention import WIDTH
+
+    counts = np.random.default_rng(3).integers(1, 99, 50)
+    model = Attention(factored(counts, np.zeros(50, int), 4), 4)
+    y = np.random.default_rng(4).integers(0, 50, 12)
+    o = model.out
+    owner, state, nodes, signs, weights, margin, order, bounds = model._steps(np.ones((12, WIDTH), np.float32), y, y)
+    assert bounds[0] == 0 and bounds[-1] == len(nodes) == o.lengths[y].sum() and state.shape == weights.shape == (BRANCH, len(nodes))
+    for depth, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        assert owner[a:b].tolist() == order[: b - a].tolist() and (o.lengths[y[owner[a:b]]] > depth).all()
+        assert nodes[a:b].tolist() == o.nodes[o.starts[y[owner[a:b]]] + depth].tolist() and signs[a:b].tolist() == o.signs[o.starts[y[owner[a:b]]] + depth].tolist()
