@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ctispark.operators.joins import diff_feed
 from ctispark.operators.merge import delete_where, insert_ignore, save_intel, save_parse, upsert_partial
-from ctispark.streaming.store import Store, Tables
+from ctispark.streaming.store import Added, Store, Tables
 
 #: The table of jobs that keep only one.
 ROWS = "rows"
@@ -131,14 +131,10 @@ def stream_parse(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuer
 
 def keep_tables(store: Store, tables: Tables) -> None:
     """Begins a store with tables of its key."""
-    keys = None
-    for df in tables.values():
-        own = df.select(*store.key).distinct()
-        keys = own if keys is None else keys.unionByName(own)
-    store.commit(0, keys, lambda old: tables)
+    store.commit(0, None, lambda old: tables)
 
 
-def _changed(old: Tables, new: Tables) -> Tables:
+def _changed(old: Tables, new: dict) -> dict:
     """Those of new that a merge made anew; the others stay in their files."""
     return {name: df for name, df in new.items() if df is not old.get(name)}
 
@@ -149,8 +145,8 @@ def commit_parse(store: Store, batch: int, parsed: Tables, at: str) -> bool:
 
 
 def commit_intel(store: Store, batch: int, intel: Tables, at: str) -> bool:
-    """B18 as one commit, likewise."""
-    return store.commit(batch, intel["advisories"], lambda old: _changed(old, save_intel(old, intel, at)))
+    """B18 as one commit, likewise. Of tables that only grow, the new rows are written."""
+    return store.commit(batch, intel["advisories"], lambda old: _changed(old, save_intel(old, intel, at, grown=lambda _, new: Added(new))))
 
 
 def poll_windows(rows: DataFrame, ts: str, width: str, slide: str | None = None, gap: str | None = None, key: tuple[str, ...] = ()) -> DataFrame:
